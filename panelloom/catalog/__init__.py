@@ -5,7 +5,7 @@ from importlib import import_module
 
 from . import base
 
-MODULES = ["tables", "log_queries"]
+MODULES = ["tables", "log_queries", "label_queries"]
 
 
 def _load() -> None:

@@ -16,29 +16,32 @@ def _cols(names) -> list[Column]:
 
 
 def carry(df: DataFrame, keys, chunk: str, order, *, prev=None, nxt=None, sums=None,
-          sums_before=None) -> DataFrame:
+          sums_before=None, folds=None) -> DataFrame:
     """Add lag / lead / running-sum columns computed chunk by chunk.
 
     prev, nxt:    {output: column} value of the previous / next row of the key
     sums:         {output: expression} running sum including the row
     sums_before:  {output: expression} running sum excluding the row
+    folds:        {output: (F.max or F.min, expression)} running extreme including the row
     """
     prev, nxt = prev or {}, nxt or {}
-    sums, before = sums or {}, sums_before or {}
+    sums, before, folds = sums or {}, sums_before or {}, folds or {}
     keys, order = list(keys), list(order)
     part = keys + [chunk]
     pos = F.struct(*_cols(order))
     summary = df.groupBy(*part).agg(
         *[F.max_by(F.struct(_c(c).alias("v")), pos).alias(f"_l_{o}") for o, c in prev.items()],
         *[F.min_by(F.struct(_c(c).alias("v")), pos).alias(f"_f_{o}") for o, c in nxt.items()],
-        *[F.sum(_c(c)).alias(f"_s_{o}") for o, c in {**sums, **before}.items()])
+        *[F.sum(_c(c)).alias(f"_s_{o}") for o, c in {**sums, **before}.items()],
+        *[fn(_c(c)).alias(f"_x_{o}") for o, (fn, c) in folds.items()])
     across = W.partitionBy(*keys).orderBy(chunk)
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
     summary = summary.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(part)],
         *[F.lag(f"_l_{o}").over(across).alias(f"_l_{o}") for o in prev],
         *[F.lead(f"_f_{o}").over(across).alias(f"_f_{o}") for o in nxt],
-        *[F.sum(f"_s_{o}").over(earlier).alias(f"_s_{o}") for o in {**sums, **before}])
+        *[F.sum(f"_s_{o}").over(earlier).alias(f"_s_{o}") for o in {**sums, **before}],
+        *[fn(f"_x_{o}").over(earlier).alias(f"_x_{o}") for o, (fn, _) in folds.items()])
     on = [df[k].eqNullSafe(summary[f"_k{i}"]) for i, k in enumerate(part)]
     cond = on[0]
     for c in on[1:]:
@@ -59,6 +62,9 @@ def carry(df: DataFrame, keys, chunk: str, order, *, prev=None, nxt=None, sums=N
         adds[o] = F.coalesce(F.sum(_c(c)).over(upto), zero) + F.coalesce(F.col(f"_s_{o}"), zero)
     for o, c in before.items():
         adds[o] = F.coalesce(F.sum(_c(c)).over(strictly), zero) + F.coalesce(F.col(f"_s_{o}"), zero)
+    for o, (fn, c) in folds.items():
+        pick = F.greatest if fn is F.max else F.least
+        adds[o] = pick(fn(_c(c)).over(upto), F.col(f"_x_{o}"))
     drop = [c for c in summary.columns]
     return out.withColumns(adds).drop(*drop)
 
@@ -67,6 +73,20 @@ def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def halo(df: DataFrame, keys, index: str, before: int, after: int, block: int = 1024) -> tuple[DataFrame, list]:
+    """Rows plus copies of their neighbours, so that a bounded frame fits in one chunk.
+
+    ``index`` is a dense zero-based position inside ``keys``.  Returns the frame with
+    ``_chunk`` and ``_own``, and the window partition to use; keep rows with ``_own`` after
+    the window columns are added.
+    """
+    own = F.floor(F.col(index) / block)
+    homes = F.array_distinct(F.array(own, F.floor((F.col(index) + before) / block),
+                                     F.floor((F.col(index) - after) / block)))
+    d = df.withColumn("_chunk", F.explode(homes)).withColumn("_own", F.col("_chunk") == own)
+    return d, list(keys) + ["_chunk"]
+
+
 def value_chunk(v: Column, per_octave: int = 256) -> Column:
     """A monotone integer of a double that needs no look at the data.
 

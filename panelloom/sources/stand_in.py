@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lineage import cut
 from ..functions.ordered import carry
-from ..operators import dwell, events as ev, intervals as iv, splits as sp
+from ..operators import dwell, events as ev, intervals as iv, knee as kn, splits as sp, trajectories as tr
 
 DESIGN_POINTS = 60
 SECONDS = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1000000.0D")
@@ -137,6 +137,21 @@ class Views:
     def build_sequences(self) -> DataFrame:
         return ev.sequence_features(self.run_events, self.spine, cut=cut)
 
+    def build_points(self) -> DataFrame:
+        return tr.capacity_points(self.intervals)
+
+    def build_horizon(self) -> DataFrame:
+        return tr.horizon_table(self.points)
+
+    def build_candidates(self) -> DataFrame:
+        return kn.knee_candidates(self.points, cut)
+
+    def build_labels(self) -> DataFrame:
+        return kn.threshold_labels(self.intervals, self.points)
+
+    def build_warning(self) -> DataFrame:
+        return kn.warning_table(self.labels, self.intervals, self.points)
+
 
 for _n in [n for n in dir(Views) if n.startswith("build_")]:
     product(getattr(Views, _n))
