@@ -5,7 +5,7 @@ from importlib import import_module
 
 from . import base
 
-MODULES = ["tables", "log_queries", "label_queries"]
+MODULES = ["tables", "log_queries", "label_queries", "state_queries", "eval_queries"]
 
 
 def _load() -> None:
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     _load()
-    return dict(base.ORACLES)
+    return {name: base.with_tables(sql) for name, sql in base.ORACLES.items()}

@@ -55,13 +55,14 @@ def table(name: str, sql: str) -> None:
 def with_tables(body: str) -> str:
     """Prefix the shared tables a text needs, dependencies first."""
     done: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str):
         for word in dict.fromkeys(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", text)):
-            if word in TABLES and word not in done:
+            if word in TABLES and word not in seen:
+                seen.add(word)
                 need(TABLES[word])
-                if word not in done:
-                    done.append(word)
+                done.append(word)
 
     need(body)
     if not done:
@@ -81,7 +82,7 @@ def query(name: str, spec: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_tables(sql_shape(sql.strip(), spec))
+            ORACLES[name] = sql_shape(sql.strip(), spec)
         return fn
     return deco
 

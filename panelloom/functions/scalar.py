@@ -193,7 +193,7 @@ def effect_sign(effect: Column) -> Column:
 
 
 def effect_bin(size: Column) -> Column:
-    return cut(size, [(0.01, "<0.01"), (0.02, "0.01-0.02"), (0.05, "0.02-0.05")], ">=0.05")
+    return cut(size, [(0.01, "tiny_lt_0.01Ah"), (0.02, "small_0.01_to_0.02Ah"), (0.05, "medium_0.02_to_0.05Ah")], "large_ge_0.05Ah")
 
 
 def checkup_bin(k: Column) -> Column:

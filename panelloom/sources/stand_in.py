@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lineage import cut
 from ..functions.ordered import carry
-from ..operators import dwell, events as ev, intervals as iv, knee as kn, splits as sp, trajectories as tr
+from ..operators import diagnostics as dg, dwell, events as ev, intervals as iv, knee as kn, metrics as me, rules as ru, splits as sp, trajectories as tr
+
+from . import ingest as ing
 
 DESIGN_POINTS = 60
 SECONDS = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1000000.0D")
@@ -152,6 +154,89 @@ class Views:
     def build_warning(self) -> DataFrame:
         return kn.warning_table(self.labels, self.intervals, self.points)
 
+    def build_pulses(self) -> DataFrame:
+        """Sign-up events as raw pulses, aligned to their nearest check-up."""
+        d = self._keyed().filter("event_type = 'signup'")
+        k = F.get_json_object("props", "$.k").cast("int")
+        raw = d.select("cell_id", F.col("event_id").alias("point_id"), F.col("t").alias("timestamp"), k.alias("_k"),
+                       F.when(k % 10 < 7, 50.0).otherwise(90.0).alias("soc_percent"),
+                       F.when(F.col("event_id") % 5 < 4, "RT").otherwise("OT").alias("temperature_context"),
+                       F.when(F.floor(F.col("event_id") / 2) % 2 == 0, "charge").otherwise("discharge").alias("pulse_direction"),
+                       (20.0 + F.col("event_id") % 5).alias("temperature_C"),
+                       ((10.0 + F.col("value") / 10.0) / 1000.0).alias("pulse_10ms_resistance"),
+                       ((20.0 + F.col("value") / 5.0) / 1000.0).alias("pulse_1s_resistance"))
+        return dg.nearest_checkup(raw, self.checkups)
+
+    def build_eis(self) -> DataFrame:
+        """Order lines as impedance rows: an order is a sweep, a line a frequency."""
+        o = self.read("orders").select("o_orderkey", "o_custkey")
+        ln = self.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity")
+        d = ln.join(o, ln.l_orderkey == o.o_orderkey)
+        key, u = F.col("l_orderkey"), F.floor(F.col("o_custkey") / 10)
+        n = F.col("l_linenumber")
+        freq = F.element_at(F.array(*[F.lit(f) for f in (0.5, 1.0, 10.0, 100.0, 208.3, 1000.0, 5000.0, 14700.0)]), ((n - 1 + key) % 8 + 1).cast("int"))
+        re = 0.01 + F.col("l_discount") / 10.0 + n * 0.0001
+        im = -(0.005 + F.col("l_tax") / 10.0)
+        return ing.eis_rows(d.select(
+            F.format_string("P%03d_%d", (F.floor(u / 3) % DESIGN_POINTS).cast("int"),
+                            (F.floor(u / (3 * DESIGN_POINTS)) * 3 + u % 3 + 1).cast("int")).alias("cell_id"),
+            (key % 12).cast("int").alias("checkup_k"), F.when(key % 3 < 2, 50.0).otherwise(70.0).alias("soc_percent"),
+            F.when(key % 5 < 4, "RT").otherwise("OT").alias("temperature_context"), (20.0 + key % 7).alias("temperature_C"),
+            freq.alias("frequency_Hz"), re.alias("z_real"), im.alias("z_imag"), F.sqrt(re * re + im * im).alias("z_abs"),
+            F.degrees(F.atan2(im, re)).alias("phase"), (F.col("l_quantity") > 5).alias("is_valid_raw"),
+            ((key % 48) * 1800.0).alias("alignment_delta_s"), sp.hash_int(*[c.cast("string") for c in (key, n, F.col("l_partkey"), F.col("l_suppkey"), F.round(F.col("l_extendedprice") * 100).cast("long"))]).alias("row_id")))
+
+    def build_pulse_summary(self) -> DataFrame:
+        return dg.pulse_summary(self.pulses)
+
+    def build_eis_quality(self) -> DataFrame:
+        return dg.spectrum_quality(self.eis)
+
+    def build_eis_features(self) -> DataFrame:
+        return dg.eis_features(self.eis, self.eis_quality, self.intervals)
+
+    def build_pulse_targets(self) -> DataFrame:
+        return dg.pulse_targets(self.intervals, self.pulse_summary, keep=["condition_fold", "c_rate_holdout_fold", "profile_holdout_fold"])
+
+    def build_eis_targets(self) -> DataFrame:
+        return dg.eis_targets(self.intervals, self.eis_features, keep=["condition_fold", "c_rate_holdout_fold", "profile_holdout_fold"])
+
+    def build_diagnostic(self) -> DataFrame:
+        pulse = dg.canonical_state(self.pulse_summary).withColumn("quality_flags", F.lit("OK"))
+        return tr.diagnostic_horizon(self.points, {
+            "pulse": (pulse, ["pulse_1s_resistance", "pulse_10ms_resistance"]),
+            "eis": (self.eis_features, ["z_abs_1kHz", "nyquist_semicircle_width_proxy"])})
+
+    def build_preds(self) -> DataFrame:
+        return ru.capacity_predictions(self.intervals)
+
+    def build_hpreds(self) -> DataFrame:
+        return ru.horizon_predictions(self.horizon)
+
+    def build_warn_long(self) -> DataFrame:
+        return ru.warning_long(self.warning, kn.TARGETS)
+
+    def build_wpreds(self) -> DataFrame:
+        from ..operators.splits import hash_int
+        return ru.warning_predictions(self.warn_long).withColumn("row_id", hash_int(F.col("cell_id"), F.col("checkup_k").cast("string")))
+
+    def build_metrics(self) -> DataFrame:
+        return me.regression_metrics(self.preds)
+
+    def build_board(self) -> DataFrame:
+        return me.leaderboard(self.metrics)
+
+    def build_hmetrics(self) -> DataFrame:
+        return me.regression_metrics(self.hpreds, [*ru.ARM, "horizon_checkups"])
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """Pages as a file inventory."""
+        return self.read("pages").select(
+            F.col("url").alias("path"), F.length("html").cast("long").alias("size_bytes"), F.md5("html").alias("hash"), "page_id",
+            F.concat(F.element_at(F.array(*[F.lit(x) for x in ("cfg", "eoc", "eis", "PLS", "log_age", "logger", "misc")]), (F.col("page_id") % 7 + 1).cast("int")),
+                     F.format_string("_P%03d_%d.csv", (F.col("page_id") % 100).cast("int"), (F.col("page_id") % 3 + 1).cast("int"))).alias("name"))
+
 
 for _n in [n for n in dir(Views) if n.startswith("build_")]:
     product(getattr(Views, _n))
