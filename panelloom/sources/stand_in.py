@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lineage import cut
 from ..functions.ordered import carry
-from ..operators import diagnostics as dg, dwell, events as ev, intervals as iv, knee as kn, metrics as me, rules as ru, splits as sp, trajectories as tr
+from ..operators import contrasts as co, diagnostics as dg, dwell, events as ev, intervals as iv, knee as kn, metrics as me, rules as ru, splits as sp, support as su, trajectories as tr, uncertainty as un
 
 from . import ingest as ing
 
@@ -229,6 +229,28 @@ class Views:
     def build_hmetrics(self) -> DataFrame:
         return me.regression_metrics(self.hpreds, [*ru.ARM, "horizon_checkups"])
 
+    def build_registry(self) -> DataFrame:
+        return co.contrast_registry(self.spine)
+
+    def build_stability(self) -> DataFrame:
+        return co.observed_stability(self.registry, self.points)
+
+    def build_pairwise(self) -> DataFrame:
+        return co.pairwise_ordering(self.registry, self.hpreds)
+
+    def build_support(self) -> DataFrame:
+        return su.condition_support(self.spine)
+
+    def build_spread(self) -> DataFrame:
+        return un.replicate_spread(self.spine)
+
+    def build_coupling(self) -> DataFrame:
+        """Capacity and pulse changes of an interval, with an integer row id."""
+        p = self.pulse_targets.filter("delta_pulse_1s_resistance IS NOT NULL").select(
+            "cell_id", "checkup_k", "delta_pulse_1s_resistance", "pulse_1s_resistance_k")
+        d = self.intervals.join(p, ["cell_id", "checkup_k"])
+        return d.withColumn("row_id", sp.hash_int(F.col("cell_id"), F.col("checkup_k").cast("string")))
+
     @cached_property
     def files(self) -> DataFrame:
         """Pages as a file inventory."""
