@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import metrics as me, models as mo, rules as ru, sequences as sq, uncertainty as un
 from .base import Q
 
@@ -39,7 +40,12 @@ def _warn(v):
     return p.select("split_name", "heldout_fold", "target", "model_level", "parameter_set", F.col("y_true").alias("y"), F.col("y_pred").alias("p"))
 
 
-Q("E12_warning_models", lambda v: me.point_scores(_warn(v), ["split_name", "heldout_fold", "target", "model_level"]).join(me.auroc(_warn(v), ["split_name", "heldout_fold", "target", "model_level"]), ["split_name", "heldout_fold", "target", "model_level"]),
+def _warnscores(v):
+    d, k = cut(_warn(v)), ["split_name", "heldout_fold", "target", "model_level"]
+    return me.point_scores(d, k).join(me.auroc(d, k), k)
+
+
+Q("E12_warning_models", _warnscores,
   "split_name heldout_fold:i target model_level n:i brier:r auroc:r")
 
 
@@ -51,15 +57,21 @@ def _cal(v):
     rest = base_w.join(part, "parameter_set", "left_semi").withColumn("side", F.lit(1)).unionByName(w.filter(F.col(CR) != 0).withColumn("side", F.lit(2)))
     d = fit.unionByName(rest).withColumn("_f", F.when(F.col("side") == 0, 0).otherwise(1))
     p = mo.run_warning_arms(d.withColumn(CR, F.col("_f")), CR, "event_within_3_checkups", ["B5_logistic"])
-    p = p.join(d.select("cell_id", "checkup_k", "side"), ["cell_id", "checkup_k"]).select("cell_id", "checkup_k", "parameter_set", "side", F.col("y_true").cast("int").alias("y"), F.col("y_pred").alias("p"))
+    p = cut(p.join(d.select("cell_id", "checkup_k", "side"), ["cell_id", "checkup_k"]).select(
+        "cell_id", "checkup_k", "parameter_set", "side", F.col("y_true").cast("int").alias("y"), F.col("y_pred").alias("p")))
     base, test = p.filter("side = 1"), p.filter("side = 2")
     out = [mo.calibrate(base, test, m) for m in ("raw", "platt", "isotonic")]
     u = un.union_all([o.withColumn("method", F.lit(m)) for o, m in zip(out, ("raw", "platt", "isotonic"))])
-    return u.withColumn("p", F.col("p_calibrated"))
+    return cut(u.withColumn("p", F.col("p_calibrated")))
+
+
+def _calscores(v):
+    d, k = _cal(v), ["method", "calibration"]
+    return me.point_scores(d, k).join(me.ece(d, k), k)
 
 
 for _n in ("E15_platt_isotonic", "B36_warning_calibration_run"):
-    Q(_n, lambda v: me.point_scores(_cal(v), ["method", "calibration"]).join(me.ece(_cal(v), ["method", "calibration"]), ["method", "calibration"]), "method calibration n:i brier:r ece:r")
+    Q(_n, _calscores, "method calibration n:i brier:r ece:r")
 
 
 def _robust(v):

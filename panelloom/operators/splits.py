@@ -19,9 +19,9 @@ def hash_positions(df: DataFrame, keys, id_col: str, seed: int, out: str = "pos"
     """Zero-based position of each (unique) id inside ``keys`` in hash order."""
     keys = list(keys)
     d = df.withColumn("_h", hash_int(F.lit(str(seed)), F.col(id_col).cast("string")))
-    d = d.withColumn("_chunk", F.shiftright("_h", 40)).withColumn("_all", F.lit(0))
-    d = carry(d, keys or ["_all"], "_chunk", ["_h", id_col], sums_before={out: F.lit(1)})
-    return d.withColumn(out, F.col(out).cast("long")).drop("_h", "_chunk", "_all")
+    d = d.withColumn("_chunk", F.shiftright("_h", 40)).withColumn("_whole", F.lit(0))
+    d = carry(d, keys or ["_whole"], "_chunk", ["_h", id_col], sums_before={out: F.lit(1)})
+    return d.withColumn(out, F.col(out).cast("long")).drop("_h", "_chunk", "_whole")
 
 
 def split_registry(cells: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
