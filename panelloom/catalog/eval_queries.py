@@ -56,31 +56,30 @@ Q("A12_feature_gain", lambda v: me.adjacent_gains(v.board), "run_scope model_lev
 Q("A13_sensitivity_delta", lambda v: me.scope_deltas(v.metrics), "model_level feature_group target split_name heldout_fold:i primary_mae:r sensitivity_mae:r primary_minus_sensitivity_mae:r primary_minus_sensitivity_condition_mean_mae:r",
   """SELECT p.model_level, p.feature_group, p.target, p.split_name, p.heldout_fold, p.mae AS primary_mae, s.mae AS sensitivity_mae, p.mae - s.mae AS primary_minus_sensitivity_mae, p.condition_mean_mae - s.condition_mean_mae AS primary_minus_sensitivity_condition_mean_mae
   FROM met p JOIN met s USING (model_level, feature_group, target, split_name, heldout_fold) WHERE p.run_scope = 'primary' AND s.run_scope LIKE 'sens%'""")
-_M, _G, _T = F.col("model_level"), F.col("feature_group"), F.col("target")
 GK = ["run_scope", "target", "split_name"]
 GAIN = "run_scope target split_name candidate_model_level candidate_feature_group reference_model_level reference_feature_group gain:r relative_gain:r beats_reference"
 
 
-def _gains(name, cand, ref, cand_sql, ref_sql, keys=GK, src="board", value="condition_mean_mae", frame=lambda v: v.board, extra=""):
+def _gains(name, cand_sql, ref_sql, keys=GK, src="board", value="condition_mean_mae", frame=lambda v: v.board, extra=""):
     on = ", ".join(keys)
-    Q(name, lambda v: me.arm_gains(frame(v), keys, cand, ref, value), GAIN.replace("run_scope target split_name", " ".join(k + (":i" if k in ("heldout_fold", "parameter_set", "horizon_checkups") else "") for k in keys)),
+    Q(name, lambda v: me.arm_gains(frame(v), keys, F.expr(cand_sql.replace("@", "")), F.expr(ref_sql.replace("@", "")), value), GAIN.replace("run_scope target split_name", " ".join(k + (":i" if k in ("heldout_fold", "parameter_set", "horizon_checkups") else "") for k in keys)),
       f"""SELECT {', '.join('c.' + k for k in keys)}, c.model_level AS candidate_model_level, c.feature_group AS candidate_feature_group, r.model_level AS reference_model_level, r.feature_group AS reference_feature_group,
       r.{value} - c.{value} AS gain, CASE WHEN abs(r.{value}) > 1e-12 THEN (r.{value} - c.{value}) / r.{value} END AS relative_gain, r.{value} - c.{value} > 1e-12::DOUBLE AS beats_reference
       FROM {src} c JOIN {src} r USING ({on}) WHERE {cand_sql.replace('@', 'c.')} AND {ref_sql.replace('@', 'r.')}""")
 
 
 F4 = ru.GROUPS[3]
-_gains("A22_stress_ablation_gain", (_M == "L2_rule") & (_G == "F2_state"), (_M == "L2_rule") & (_G == F4), "@model_level = 'L2_rule' AND @feature_group = 'F2_state'", f"@model_level = 'L2_rule' AND @feature_group = '{F4}'")
-_gains("A23_stress_gain_vs_references", _G == F4, _M.isin("L0_persistence", "L1_mean"), f"@feature_group = '{F4}'", "@model_level IN ('L0_persistence', 'L1_mean')")
-_gains("A15_bias_correction_comparison", _M == "L3_quantile", (_M == "L2_rule") & (_G == F4), "@model_level = 'L3_quantile'", f"@model_level = 'L2_rule' AND @feature_group = '{F4}'")
-_gains("A122_order_vs_shuffled_gains", _M == "L2_rule", _M == "L1_mean", "@model_level = 'L2_rule'", "@model_level = 'L1_mean'", [*GK, "heldout_fold"], "met", frame=lambda v: v.metrics)
-_gains("A124_hierarchical_comparison", _M == "L2_rule", _M == "L1_mean", "@model_level = 'L2_rule'", "@model_level = 'L1_mean'")
-_gains("A125_degradation_by_split", _M != "L0_persistence", _M == "L0_persistence", "@model_level <> 'L0_persistence'", "@model_level = 'L0_persistence'", value="worst_condition_mae")
-_gains("A128_distillation_gains", _M == "L3_quantile", _M == "L1_mean", "@model_level = 'L3_quantile'", "@model_level = 'L1_mean'", [*GK, "heldout_fold"], "met", frame=lambda v: v.metrics)
-_gains("B45_semi_empirical_comparison", (_M == "L2_rule") & (_G == "F2_state"), _M == "L1_mean", "@model_level = 'L2_rule' AND @feature_group = 'F2_state'", "@model_level = 'L1_mean'")
+_gains("A22_stress_ablation_gain", "@model_level = 'L2_rule' AND @feature_group = 'F2_state'", f"@model_level = 'L2_rule' AND @feature_group = '{F4}'")
+_gains("A23_stress_gain_vs_references", f"@feature_group = '{F4}'", "@model_level IN ('L0_persistence', 'L1_mean')")
+_gains("A15_bias_correction_comparison", "@model_level = 'L3_quantile'", f"@model_level = 'L2_rule' AND @feature_group = '{F4}'")
+_gains("A122_order_vs_shuffled_gains", "@model_level = 'L2_rule'", "@model_level = 'L1_mean'", [*GK, "heldout_fold"], "met", frame=lambda v: v.metrics)
+_gains("A124_hierarchical_comparison", "@model_level = 'L2_rule'", "@model_level = 'L1_mean'")
+_gains("A125_degradation_by_split", "@model_level <> 'L0_persistence'", "@model_level = 'L0_persistence'", value="worst_condition_mae")
+_gains("A128_distillation_gains", "@model_level = 'L3_quantile'", "@model_level = 'L1_mean'", [*GK, "heldout_fold"], "met", frame=lambda v: v.metrics)
+_gains("B45_semi_empirical_comparison", "@model_level = 'L2_rule' AND @feature_group = 'F2_state'", "@model_level = 'L1_mean'")
 CK = ["run_scope", "split_name", "heldout_fold", "target", "parameter_set"]
 for _n in ("J08_candidate_reference_pairing", "A125b_condition_degradation"):
-    _gains(_n, _M != "L0_persistence", _M == "L0_persistence", "@model_level <> 'L0_persistence'", "@model_level = 'L0_persistence'", CK, "cerr", "condition_mae", lambda v: me.condition_errors(v.preds))
+    _gains(_n, "@model_level <> 'L0_persistence'", "@model_level = 'L0_persistence'", CK, "cerr", "condition_mae", lambda v: me.condition_errors(v.preds))
 Q("A14_rate_target_comparison", lambda v: me.error_summary(v.preds.filter("run_scope = 'primary' AND model_level = 'L2_rule'").withColumn("path", F.when(F.col("target") == ru.DELTA, "rate").otherwise("direct")), ["split_name", "feature_group", "path"]).groupBy("split_name", "feature_group").agg(
     F.max(F.when(F.col("path") == "direct", F.col("mae"))).alias("direct_mae"), F.max(F.when(F.col("path") == "rate", F.col("mae"))).alias("rate_mae")), "split_name feature_group direct_mae:r rate_mae:r",
   f"SELECT split_name, feature_group, avg(abs(e)) FILTER (target = '{ru.LEVEL}') AS direct_mae, avg(abs(e)) FILTER (target = '{ru.DELTA}') AS rate_mae FROM preds WHERE run_scope = 'primary' AND model_level = 'L2_rule' GROUP BY ALL")
@@ -97,10 +96,10 @@ _es = "count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bi
 
 
 def _errors(name, keys, where="run_scope = 'primary'", kinds="", cols=None, sql_cols=None):
-    cols, sql_cols = cols or {}, sql_cols or {}
+    sql_cols = sql_cols or {}
     sel = ", ".join(f"{sql_cols[k]} AS {k}" if k in sql_cols else k for k in keys)
     ints = {"heldout_fold", "parameter_set", "horizon_checkups"}
-    Q(name, lambda v: me.error_summary(v.preds.filter(where).withColumns(cols), keys), " ".join(k + (":i" if k in ints else ":r" if k.startswith("nominal") else "") for k in keys) + " " + ES,
+    Q(name, lambda v: me.error_summary(v.preds.filter(where).withColumns(cols() if cols else {}), keys), " ".join(k + (":i" if k in ints else ":r" if k.startswith("nominal") else "") for k in keys) + " " + ES,
       f"SELECT {sel}, {_es} FROM preds WHERE {where} GROUP BY ALL")
 
 
@@ -108,7 +107,7 @@ _cr = "run_scope = 'primary' AND split_name = 'c_rate_holdout_fold'"
 _errors("A78_hotspots", ["model_level", "feature_group", "target", "parameter_set"], _cr)
 _errors("A79_metric_summary", ["model_level", "feature_group", "target"], _cr)
 _errors("A21_residual_groups", ["target", "voltage_window_family"], _cr + " AND model_level = 'L2_rule'")
-_errors("A20_residual_diagnostics", ["target", "parameter_set", "level_bucket"], _cr + " AND model_level = 'L2_rule'", cols={"level_bucket": S.cut(F.col("capacity_Ah_k"), [(1.5, "low"), (2.0, "mid"), (2.5, "high")], "top")},
+_errors("A20_residual_diagnostics", ["target", "parameter_set", "level_bucket"], _cr + " AND model_level = 'L2_rule'", cols=lambda: {"level_bucket": S.cut(F.col("capacity_Ah_k"), [(1.5, "low"), (2.0, "mid"), (2.5, "high")], "top")},
         sql_cols={"level_bucket": _case("capacity_Ah_k", [(1.5, "low"), (2.0, "mid"), (2.5, "high")], "top")})
 _errors("A87_path_error_decomposition", ["split_name", "parameter_set", "target"], "run_scope = 'primary' AND model_level = 'L2_rule' AND feature_group = 'F2_state'")
 _errors("B43_distillation_metrics", ["split_name", "heldout_fold", "model_level", "target"], "run_scope = 'primary'")
@@ -144,7 +143,7 @@ Q("B40_horizon_metrics", lambda v: v.build_hmetrics(), f"{ARM} horizon_checkups:
 HG = ["target", "split_name", "heldout_fold", "horizon_checkups"]
 for _n, _c, _r in (("A114_horizon_reference_gain", "model_level = 'MH2_mean'", "model_level IN ('MH0_persistence', 'MH1_prior_slope')"), ("A115_oracle_exposure_gain", "feature_group = 'K3_oracle_exposure'", "feature_group = 'K2_state_exposure'"),
                    ("A116_trajectory_shape_gain", "feature_group = 'K4_trajectory_shape'", "feature_group <> 'K4_trajectory_shape'")):
-    _gains(_n, F.expr(_c), F.expr(_r), "@" + _c, "@" + _r, HG, "hmet", frame=lambda v: v.hmetrics)
+    _gains(_n, "@" + _c, "@" + _r, HG, "hmet", frame=lambda v: v.hmetrics)
 Q("A118_horizon_condition_errors", lambda v: me.error_summary(v.hpreds.filter("split_name = 'c_rate_holdout_fold'"), ["model_level", "feature_group", "horizon_checkups", "parameter_set"]), f"model_level feature_group horizon_checkups:i parameter_set:i {ES}",
   f"SELECT model_level, feature_group, horizon_checkups, parameter_set, {_es} FROM hp WHERE split_name = 'c_rate_holdout_fold' GROUP BY ALL")
 
@@ -180,7 +179,7 @@ _DK = "heldout_fold, model_level, feature_group, diagnostic_family, target_name,
 table("dmet", f"SELECT * FROM (SELECT {_DK}, count(*) AS test_rows, avg(abs(e)) AS mae FROM dp GROUP BY ALL) JOIN (SELECT {_DK}, avg(c) AS condition_mean_mae FROM (SELECT {_DK}, parameter_set, avg(abs(e)) AS c FROM dp GROUP BY ALL) GROUP BY ALL) USING ({_DK})")
 _dm = lambda v: me.regression_metrics(_dpred(v), ["heldout_fold", "model_level", "feature_group", *_dk])
 Q("B41_diagnostic_metrics", _dm, "heldout_fold:i model_level diagnostic_family target_name horizon_checkups:i test_rows:i mae:r condition_mean_mae:r", "SELECT * FROM dmet")
-_gains("A119_diagnostic_gains", F.expr("model_level = 'DM3_blend'"), F.expr("model_level <> 'DM3_blend'"), "@model_level = 'DM3_blend'", "@model_level <> 'DM3_blend'", [*_dk, "heldout_fold"], "dmet", frame=_dm)
+_gains("A119_diagnostic_gains", "@model_level = 'DM3_blend'", "@model_level <> 'DM3_blend'", [*_dk, "heldout_fold"], "dmet", frame=_dm)
 Q("A121_diagnostic_hotspots", lambda v: me.error_summary(_dpred(v), ["model_level", "target_name", "parameter_set"]), f"model_level target_name parameter_set:i {ES}", f"SELECT model_level, target_name, parameter_set, {_es} FROM dp GROUP BY ALL")
 
 

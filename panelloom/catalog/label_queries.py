@@ -128,7 +128,7 @@ LEFT JOIN fit f ON f.cell_id = a.cell_id AND f.x_axis = a.x_axis AND f.smoothing
 KC = ("cell_id x_axis smoothing_policy detector_name knee_checkup_k:i knee_x_value:r knee_capacity_Ah:r knee_soh:r pre_knee_slope:r post_knee_slope:r detector_quality_flags")
 for _n, _w in (("W14_two_line_knee", "detector_name IN ('piecewise_linear_bic', 'two_line_l_method')"), ("W15_max_chord_knee", "detector_name = 'max_chord_distance'"),
                ("W16_slope_change_knee", "detector_name = 'slope_change_threshold'")):
-    Q(_n, lambda v, w=_w: kn.knee_candidates(v.points).filter(w), KC, f"SELECT * FROM kcand WHERE {_w}")
+    Q(_n, lambda v, w=_w: kn.knee_candidates(v.points, cut).filter(w), KC, f"SELECT * FROM kcand WHERE {_w}")
 Q("W17_detector_grid", lambda v: v.build_candidates(), "parameter_set:i replicate_id:i " + KC, "SELECT * FROM kcand")
 Q("B09_knee_report", lambda v: v.candidates.groupBy("detector_name", "x_axis", "smoothing_policy").agg(F.count(F.lit(1)).alias("n"), F.count("knee_checkup_k").alias("valid"),
   F.avg("knee_checkup_k").alias("mean_k")), "detector_name x_axis smoothing_policy n:i valid:i mean_k:r",

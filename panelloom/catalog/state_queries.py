@@ -155,7 +155,7 @@ Q("B47_dataset_manifest", lambda v: fl.dataset_manifest(_fm(v), _cohort(v)), "fi
 # ---- row-level rules ----
 _x = "event_id:i"
 _ev = lambda v, **c: v._keyed().select("event_id", *[e.alias(n) for n, e in c.items()])
-_v = F.col("value")
+_v = lambda: F.col("value")
 Q("P01_window_family", lambda v: _ev(v, y=S.window_family(F.element_at(F.array(F.lit(2.5), F.lit(3.249), F.lit(3.0)), (F.col("event_id") % 3 + 1).cast("int")), F.element_at(F.array(F.lit(4.2), F.lit(4.092)), (F.col("event_id") % 2 + 1).cast("int")),
    F.when(F.col("event_id") % 5 == 0, "calendar").otherwise("cyclic"), F.when(F.col("event_id") % 10 == 0, "50").otherwise("12.5%"))), f"{_x} y",
   """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'calendar_soc_50' WHEN event_id % 5 = 0 THEN 'calendar_soc_12.5' WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'approx_0_100' WHEN event_id % 3 = 0 THEN 'custom_2p50_4p09'
@@ -175,8 +175,8 @@ Q("P08_midpoint_bucket", lambda v: v.spine.select("cell_id", "checkup_k", S.midp
 Q("P09_growth_bin", lambda v: v.pulse_targets.select("cell_id", "checkup_k", S.growth_bin(F.col("delta_pulse_1s_resistance")).alias("b")), "cell_id checkup_k:i b",
   "SELECT cell_id, checkup_k, " + _case("delta_pulse_1s_resistance", [(-0.001, "negative"), (0.001, "near_zero"), (0.003, "moderate")], "high") + " AS b FROM ptgt")
 Q("P10_violation_type", lambda v: v.violations.groupBy("violation_type").count(), "violation_type count:i", "SELECT violation_type, count(*) AS count FROM viol GROUP BY 1")
-Q("P11_magnitude_bucket", lambda v: _ev(v, b=S.magnitude_bucket(_v * _v, _v)), f"{_x} b", "SELECT event_id, " + _case("greatest(value * value, value)", [(1e-9, "tiny"), (1, "small"), (60, "medium"), (3600, "large")], "severe", "<=") + " AS b FROM events")
-Q("P12_safe_ratio", lambda v: _ev(v, y=S.safe_ratio(_v, F.col("event_id") % 3)), f"{_x} y:r", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value / (event_id % 3) END AS y FROM events")
+Q("P11_magnitude_bucket", lambda v: _ev(v, b=S.magnitude_bucket(_v() * _v(), _v())), f"{_x} b", "SELECT event_id, " + _case("greatest(value * value, value)", [(1e-9, "tiny"), (1, "small"), (60, "medium"), (3600, "large")], "severe", "<=") + " AS b FROM events")
+Q("P12_safe_ratio", lambda v: _ev(v, y=S.safe_ratio(_v(), F.col("event_id") % 3)), f"{_x} y:r", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value / (event_id % 3) END AS y FROM events")
 _st = lambda t, h: f"CASE WHEN {t} THEN 'positive_observed' WHEN coalesce(time_to_event_checkups > {h}, false) OR event_observed THEN 'negative_observed' ELSE 'right_censored_unknown' END"
 Q("P15_censoring_status", lambda v: v.warning.select("cell_id", "checkup_k", *[S.label_status(F.col(f"event_within_{h}_checkup{'s' if h > 1 else ''}"), F.col("time_to_event_checkups"), h, F.col("event_observed")).alias(f"s{h}") for h in (1, 2, 3)]),
   "cell_id checkup_k:i s1 s2 s3", f"SELECT cell_id, checkup_k, {_st('event_within_1_checkup', 1)} AS s1, {_st('event_within_2_checkups', 2)} AS s2, {_st('event_within_3_checkups', 3)} AS s3 FROM warn")
@@ -195,7 +195,7 @@ _soh = "CASE WHEN soh_k >= 0.9::DOUBLE THEN 'soh_ge_0_90' WHEN soh_k >= 0.8::DOU
 Q("P23_soh_bin", lambda v: v.warning.select("cell_id", "checkup_k", S.soh_bin(F.col("soh_k")).alias("b")), "cell_id checkup_k:i b", f"SELECT cell_id, checkup_k, {_soh} AS b FROM warn")
 _pd = "CASE WHEN prior_delta_capacity_Ah IS NULL THEN 'unknown' ELSE " + _case("abs(prior_delta_capacity_Ah)", [(.005, "prior_abs_lt_0_005"), (.02, "prior_abs_0_005_0_02"), (.05, "prior_abs_0_02_0_05")], "prior_abs_ge_0_05") + " END"
 Q("P24_prior_delta_bin", lambda v: v.horizon.select("cell_id", "checkup_k", "horizon_checkups", S.prior_delta_bin(F.col("prior_delta_capacity_Ah")).alias("b")), "cell_id checkup_k:i horizon_checkups:i b", f"SELECT cell_id, checkup_k, horizon_checkups, {_pd} AS b FROM hz")
-Q("P25_logit_clip", lambda v: _ev(v, p=S.clip_probability(_v / 300), z=S.logit(_v / 300)), f"{_x} p:r z:r", "SELECT event_id, c AS p, ln(c / (1 - c)) AS z FROM (SELECT event_id, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, value / 300)) AS c FROM events)")
+Q("P25_logit_clip", lambda v: _ev(v, p=S.clip_probability(_v() / 300), z=S.logit(_v() / 300)), f"{_x} p:r z:r", "SELECT event_id, c AS p, ln(c / (1 - c)) AS z FROM (SELECT event_id, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, value / 300)) AS c FROM events)")
 _rb = "CASE parameter_set % 4 WHEN 0 THEN '<1C' WHEN 1 THEN '1C-1.5C' WHEN 2 THEN '1.5C-5over3C' ELSE '>=5over3C' END"
 SKEY = {"temperature_holdout_fold": "nominal_temperature_C::VARCHAR", "c_rate_holdout_fold": f"{_rb} || '|1C-1.5C'", "profile_holdout_fold": "profile_label", "voltage_window_holdout_fold": "voltage_window_family",
         "condition_fold": f"concat_ws('|', aging_mode, nominal_temperature_C::VARCHAR, {_rb}, voltage_window_family, profile_label)"}

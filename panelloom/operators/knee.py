@@ -39,45 +39,47 @@ def series(points: DataFrame) -> DataFrame:
     return d.select("cell_id", "idx", "k", F.explode(F.array(*combos)).alias("z")).select("cell_id", "idx", "k", "z.*")
 
 
-def _sums(df: DataFrame, block: int) -> DataFrame:
-    """Prefix sums of the regression moments and counts of distinct x, per series."""
+def _sums(df: DataFrame, block: int, cut) -> DataFrame:
+    """Prefix and suffix sums of the regression moments and counts of distinct x, per series.
+
+    Prefix moments are taken about the first point and suffix moments about the last one, so
+    short ends of a long axis lose no digits to a far-away centre.
+    """
     g = df.groupBy(*SERIES).agg(
-        F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count(F.lit(1)).alias("n"),
-        F.min_by("x", "idx").alias("x0"), F.max_by("x", "idx").alias("x1"),
+        F.count(F.lit(1)).alias("n"), F.min_by("x", "idx").alias("x0"), F.max_by("x", "idx").alias("x1"),
         F.min_by("y", "idx").alias("y0"), F.max_by("y", "idx").alias("y1"))
-    d = df.join(g, SERIES).withColumn("_chunk", F.floor(F.col("idx") / block))
-    u, v = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    d = carry(d, SERIES, "_chunk", ["idx"], prev={"px": "x", "py": "y"}, nxt={"nx": "x", "ny": "y"},
-              sums={"c": F.lit(1.0), "su": u, "sv": v, "suu": u * u, "suv": u * v, "svv": v * v})
-    new = (F.col("px").isNull() | (F.col("px") != F.col("x"))).cast("long")
-    d = d.withColumn("_new", new)
-    t = d.groupBy(*SERIES).agg(F.sum("_new").alias("distinct_x"), *[F.sum(e).alias(f"t_{n}") for n, e in (
-        ("uu", u * u), ("uv", u * v), ("vv", v * v))])
-    d = carry(d, SERIES, "_chunk", ["idx"], sums={"dx": "_new"}).join(t, SERIES)
-    return d
+    d = df.join(g, SERIES).withColumns({"_chunk": F.floor(F.col("idx") / block), "_back": -F.floor(F.col("idx") / block), "_r": -F.col("idx")})
+
+    def moments(p: str, x0: str, y0: str) -> dict[str, Column]:
+        u, v = F.col("x") - F.col(x0), F.col("y") - F.col(y0)
+        return {f"{p}c": F.lit(1.0), f"{p}su": u, f"{p}sv": v, f"{p}suu": u * u, f"{p}suv": u * v, f"{p}svv": v * v}
+    d = carry(d, SERIES, "_chunk", ["idx"], prev={"px": "x", "py": "y"}, nxt={"nx": "x", "ny": "y"}, sums=moments("", "x0", "y0"))
+    d = cut(d.withColumn("_new", (F.col("px").isNull() | (F.col("px") != F.col("x"))).cast("long")))
+    d = carry(d, SERIES, "_back", ["_r"], sums={**moments("r", "x1", "y1"), "dr": "_new"})
+    t = d.groupBy(*SERIES).agg(F.max("dr").alias("distinct_x"))
+    d = d.join(t, SERIES)
+    # distinct values from here on: the runs that start later, plus the one in progress
+    return d.withColumn("after", F.col("dr") - F.col("_new")).withColumns({"dx": F.col("distinct_x") - F.col("after"), "dr": F.col("after") + 1}).drop("after")
 
 
 def _fit(c, su, sv, suu, suv, svv, distinct) -> tuple[Column, Column]:
     """Slope and squared error of a least-squares line from raw moments."""
     sxx, sxy, syy = suu - su * su / c, suv - su * sv / c, svv - sv * sv / c
-    ok = (c >= 2) & (distinct >= 2)
+    ok = (c >= 2) & (distinct >= 2) & (sxx > 0)
     return F.when(ok, sxy / sxx), F.when(ok, F.greatest(F.lit(0.0), syy - sxy * sxy / sxx)).otherwise(F.lit(float("inf")))
 
 
-def line_fits(points: DataFrame, block: int = 64) -> DataFrame:
+def line_fits(points: DataFrame, block: int = 64, cut=lambda df: df) -> DataFrame:
     """Per point: slope and error of the line up to it and of the line from it."""
-    d = _sums(series(points), block)
-    C, u, v = F.col, F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    pre = _fit(C("c"), C("su"), C("sv"), C("suu"), C("suv"), C("svv"), C("dx"))
-    # centred sums over the whole series are zero, so a suffix is the negated prefix plus the point
-    post = _fit(C("n") - C("c") + 1, u - C("su"), v - C("sv"), C("t_uu") - C("suu") + u * u,
-                C("t_uv") - C("suv") + u * v, C("t_vv") - C("svv") + v * v, C("distinct_x") - C("dx") + 1)
+    d = _sums(series(points), block, cut)
+    pre = _fit(*[F.col(c) for c in ("c", "su", "sv", "suu", "suv", "svv", "dx")])
+    post = _fit(*[F.col(c) for c in ("rc", "rsu", "rsv", "rsuu", "rsuv", "rsvv", "dr")])
     return d.withColumns({"pre_slope": pre[0], "pre_sse": pre[1], "post_slope": post[0], "post_sse": post[1]})
 
 
 def knee_candidates(points: DataFrame, cut=lambda df: df, block: int = 64) -> DataFrame:
     """The detector grid: 3 axes x 2 smoothings x 7 detectors per cell."""
-    fits = cut(line_fits(points, block))
+    fits = cut(line_fits(points, block, cut))
     C = F.col
     row = F.struct("k", "idx", "x", "y", "s", "pre_slope", "post_slope")
     tie = lambda v: F.round(v, 9)  # noqa: E731  equal scores go to the first point
@@ -86,7 +88,8 @@ def knee_candidates(points: DataFrame, cut=lambda df: df, block: int = 64) -> Da
     two = F.when(inside & (sse < float("inf")), F.struct(tie(sse), "idx"))
     span_x, span_y = C("x1") - C("x0"), C("y1") - C("y0")
     chord = F.abs(span_y * C("x") - span_x * C("y") + C("x1") * C("y0") - C("y1") * C("x0"))
-    far = F.struct((-tie(chord / F.sqrt(span_x * span_x + span_y * span_y))).alias("d"), "idx")
+    span = F.sqrt(span_x * span_x + span_y * span_y)
+    far = F.when(span > 0, F.struct((-tie(F.try_divide(chord, span))).alias("d"), "idx"))
     s_in = F.when(F.abs(C("x") - C("px")) > 1e-12, (C("y") - C("py")) / (C("x") - C("px")))
     s_out = F.when(F.abs(C("nx") - C("x")) > 1e-12, (C("ny") - C("y")) / (C("nx") - C("x")))
     change = F.abs(s_out - s_in)

@@ -8,13 +8,16 @@ from ..functions.ordered import carry, count_below, quantiles, row_numbers
 from .rules import ARM, FOLD, GROUPS
 
 BOARD = ["run_scope", "model_level", "feature_group", "target", "split_name"]
-ERR = F.col("y_pred") - F.col("y_true")
+
+
+def _err() -> Column:
+    return F.col("y_pred") - F.col("y_true")
 
 
 def condition_errors(pred: DataFrame, keys=ARM) -> DataFrame:
     """Mean absolute error per arm and condition; the base of every two-level metric."""
     return pred.groupBy(*keys, "parameter_set").agg(
-        F.avg(F.abs(ERR)).alias("condition_mae"), F.sum(F.abs(ERR)).alias("abs_sum"), F.sum(ERR * ERR).alias("sq_sum"), F.sum(ERR).alias("err_sum"),
+        F.avg(F.abs(_err())).alias("condition_mae"), F.sum(F.abs(_err())).alias("abs_sum"), F.sum(_err() * _err()).alias("sq_sum"), F.sum(_err()).alias("err_sum"),
         F.count(F.lit(1)).alias("n"))
 
 
@@ -100,9 +103,9 @@ def best_against_baseline(board: DataFrame, pred: DataFrame) -> DataFrame:
 
 def error_summary(pred: DataFrame, keys) -> DataFrame:
     """n, MAE, RMSE, bias and median absolute error per key."""
-    g = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(ERR)).alias("mae"), F.sqrt(F.avg(ERR * ERR)).alias("rmse"),
-                                F.avg(ERR).alias("bias"), F.countDistinct("parameter_set").alias("parameter_sets"))
-    med = quantiles(pred.withColumn("_e", F.abs(ERR)), keys, "_e", {"median_abs_error": 0.5})
+    g = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(_err())).alias("mae"), F.sqrt(F.avg(_err() * _err())).alias("rmse"),
+                                F.avg(_err()).alias("bias"), F.countDistinct("parameter_set").alias("parameter_sets"))
+    med = quantiles(pred.withColumn("_e", F.abs(_err())), keys, "_e", {"median_abs_error": 0.5})
     return g.join(med, list(keys))
 
 
@@ -130,18 +133,23 @@ def win_rate(gains: DataFrame, keys) -> DataFrame:
 
 
 # ---- probability scores ----
-P, Y = F.col("p"), F.col("y")
+def _p() -> Column:
+    return F.col("p")
+
+
+def _y() -> Column:
+    return F.col("y")
 
 
 def point_scores(df: DataFrame, keys) -> DataFrame:
     """Brier, log loss and the least-squares calibration line of y on logit(p)."""
-    c = S.clip_probability(P)
-    ll = -(Y * F.log(c) + (1 - Y) * F.log(1 - c))
-    z = S.logit(P)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(Y).alias("positives"), F.avg((P - Y) * (P - Y)).alias("brier"),
+    c = S.clip_probability(_p())
+    ll = -(_y() * F.log(c) + (1 - _y()) * F.log(1 - c))
+    z = S.logit(_p())
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(_y()).alias("positives"), F.avg((_p() - _y()) * (_p() - _y())).alias("brier"),
                                  F.avg(ll).alias("log_loss"),
-                                 F.when(F.var_pop(z) > 1e-12, F.covar_pop(z, Y.cast("double")) / F.var_pop(z)).alias("calibration_slope"),
-                                 F.when(F.var_pop(z) > 1e-12, F.avg(Y) - F.avg(z) * F.covar_pop(z, Y.cast("double")) / F.var_pop(z)).alias("calibration_intercept"))
+                                 F.when(F.var_pop(z) > 1e-12, F.covar_pop(z, _y().cast("double")) / F.var_pop(z)).alias("calibration_slope"),
+                                 F.when(F.var_pop(z) > 1e-12, F.avg(_y()) - F.avg(z) * F.covar_pop(z, _y().cast("double")) / F.var_pop(z)).alias("calibration_intercept"))
 
 
 def auroc(df: DataFrame, keys) -> DataFrame:
@@ -149,7 +157,7 @@ def auroc(df: DataFrame, keys) -> DataFrame:
 
     Each score is one row however many predictions share it; NULL if a class is absent.
     """
-    f = count_below(df, keys, "p", {"pos": Y, "neg": 1 - Y})
+    f = count_below(df, keys, "p", {"pos": _y(), "neg": 1 - _y()})
     return f.groupBy(*keys).agg(
         F.when((F.sum("pos") > 0) & (F.sum("neg") > 0),
                F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
@@ -157,15 +165,15 @@ def auroc(df: DataFrame, keys) -> DataFrame:
 
 def auprc(df: DataFrame, keys, tiebreak: str) -> DataFrame:
     """Step area under precision-recall in order of falling score, ties by ``tiebreak``."""
-    d = row_numbers(df.withColumn("_neg", -P), keys, "_neg", tiebreak, "rn")
-    d = carry(d.withColumn("_chunk", F.floor(F.col("rn") / 4096)), keys, "_chunk", ["rn"], sums={"tp": Y})
-    g = d.groupBy(*keys).agg(F.sum(Y).alias("pos"), F.sum(F.when(Y == 1, F.col("tp") / F.col("rn"))).alias("s"))
+    d = row_numbers(df.withColumn("_neg", -_p()), keys, "_neg", tiebreak, "rn")
+    d = carry(d.withColumn("_chunk", F.floor(F.col("rn") / 4096)), keys, "_chunk", ["rn"], sums={"tp": _y()})
+    g = d.groupBy(*keys).agg(F.sum(_y()).alias("pos"), F.sum(F.when(_y() == 1, F.col("tp") / F.col("rn"))).alias("s"))
     return g.select(*keys, F.when(F.col("pos") > 0, F.coalesce("s", F.lit(0.0)) / F.col("pos")).alias("auprc"))
 
 
 def reliability_bins(df: DataFrame, keys, bins: int = 10) -> DataFrame:
-    b = F.least(F.floor(P * bins), F.lit(bins - 1)).cast("int")
-    return df.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(P).alias("mean_p"), F.avg(Y.cast("double")).alias("observed_rate"))
+    b = F.least(F.floor(_p() * bins), F.lit(bins - 1)).cast("int")
+    return df.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(_p()).alias("mean_p"), F.avg(_y().cast("double")).alias("observed_rate"))
 
 
 def ece(df: DataFrame, keys, bins: int = 10) -> DataFrame:
@@ -179,7 +187,7 @@ def ece_equal_frequency(df: DataFrame, keys, bins: int = 10) -> DataFrame:
     Rows with equal (p, y) are folded, so a bin is cut by counts: the part of a folded group
     inside a bin is an overlap of two integer ranges.
     """
-    f = count_below(df, keys, "p", {"n1": Y, "n0": 1 - Y})
+    f = count_below(df, keys, "p", {"n1": _y(), "n0": 1 - _y()})
     n = f.groupBy(*keys).agg(F.sum(F.col("n0") + F.col("n1")).alias("n"))
     start = F.col("n0_below") + F.col("n1_below")
     parts = F.array(F.struct(start.alias("a"), (start + F.col("n0")).alias("b"), F.lit(0.0).alias("yy")),
@@ -197,7 +205,7 @@ def ece_equal_frequency(df: DataFrame, keys, bins: int = 10) -> DataFrame:
 
 def warning_metrics(df: DataFrame, keys, tiebreak: str = "row_id") -> DataFrame:
     """All probability scores plus the mean and worst per-condition Brier score."""
-    cond = df.groupBy(*keys, "parameter_set").agg(F.avg((P - Y) * (P - Y)).alias("b")).groupBy(*keys).agg(
+    cond = df.groupBy(*keys, "parameter_set").agg(F.avg((_p() - _y()) * (_p() - _y())).alias("b")).groupBy(*keys).agg(
         F.avg("b").alias("condition_mean_brier"), F.max("b").alias("worst_condition_brier"))
     out = point_scores(df, keys).join(cond, keys)
     for part in (auroc(df, keys), auprc(df, keys, tiebreak), ece(df, keys), ece_equal_frequency(df, keys)):

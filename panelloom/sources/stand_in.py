@@ -17,7 +17,7 @@ from ..operators import contrasts as co, diagnostics as dg, dwell, events as ev,
 from . import ingest as ing
 
 DESIGN_POINTS = 60
-SECONDS = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1000000.0D")
+SECONDS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1000000.0D"
 DWELL = dwell.DwellLimits(max_gap_s=43200.0, gap_counts_s=(21600.0, 43200.0))
 EVENT = ev.EventLimits(max_gap_s=43200.0)
 
@@ -56,7 +56,7 @@ class Views:
         p = (F.floor(u / 3) % DESIGN_POINTS).cast("int")
         r = (F.floor(u / (3 * DESIGN_POINTS)) * 3 + u % 3 + 1).cast("int")
         return self.read("events").withColumns({
-            "parameter_set": p, "replicate_id": r, "t": SECONDS,
+            "parameter_set": p, "replicate_id": r, "t": F.expr(SECONDS),
             "cell_id": F.format_string("P%03d_%d", p, r)})
 
     def build_cells(self) -> DataFrame:
