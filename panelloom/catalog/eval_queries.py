@@ -271,7 +271,7 @@ table("res", "SELECT *, -e AS residual FROM preds WHERE run_scope = 'primary' AN
 _rbp = "CASE parameter_set % 4 WHEN 0 THEN '<1C' WHEN 1 THEN '1C-1.5C' WHEN 2 THEN '1.5C-5over3C' ELSE '>=5over3C' END"
 table("resl", " UNION ALL ".join(f"SELECT split_name, '{p}' AS pool, {e} AS pool_value, cell_id, checkup_k, residual FROM res" for p, e in (("temperature", "nominal_temperature_C::VARCHAR"), ("rate", _rbp), ("window", "voltage_window_family"), ("profile", "profile_label"), ("mode", "aging_mode"))))
 table("poolt", "SELECT split_name, pool, pool_value, avg(residual) AS mean, count(*) AS n, avg(residual) * count(*) / (count(*) + 5.0::DOUBLE) AS shrunk_offset FROM resl GROUP BY ALL HAVING count(*) >= 3")
-Q("E23_partial_pooling", lambda v: ru.residual_pool(_res(v), ["split_name"]), "split_name pool pool_value mean:r n:i shrunk_offset:r", "SELECT split_name, pool, pool_value, mean, n, shrunk_offset FROM pooltt")
+Q("E23_partial_pooling", lambda v: ru.residual_pool(_res(v), ["split_name"]), "split_name pool pool_value mean:r n:i shrunk_offset:r", "SELECT split_name, pool, pool_value, mean, n, shrunk_offset FROM poolt")
 Q("E23b_pooled_offset", lambda v: ru.pooled_offset(_res(v), ru.residual_pool(_res(v), ["split_name"]), _res(v).groupBy("split_name").agg(F.avg("residual").alias("global_offset")), ["split_name"], ["cell_id", "checkup_k"]).withColumnRenamed("pooled_offset", "pooled"), "split_name cell_id checkup_k:i hits:i pooled:r",
   "SELECT split_name, cell_id, checkup_k, count(p.shrunk_offset) AS hits, coalesce(avg(p.shrunk_offset), max(g.m)) AS pooled FROM resl r LEFT JOIN poolt p USING (split_name, pool, pool_value) JOIN (SELECT split_name, avg(residual) AS m FROM res GROUP BY ALL) g USING (split_name) GROUP BY ALL")
 Q("E24_replicate_radius", lambda v: ru.replicate_radius(_res(v), _res(v).groupBy("split_name", "parameter_set", "checkup_k_next").agg((F.max("y_true") - F.min("y_true")).alias("spread"), F.count(F.lit(1)).alias("c")).filter("c >= 2"), ["split_name"]), "split_name r90:r s90:r radius:r",
