@@ -186,7 +186,7 @@ def order_statistics(df: DataFrame, keys, value: str, index: Column, out: str) -
     totals = f.groupBy(*keys).agg(F.sum("_w").alias("_n")).withColumn("_i", index)
     cond = (F.col("_i") >= F.col("_w_below")) & (F.col("_i") < F.col("_w_below") + F.col("_w"))
     if not keys:
-        j = f.crossJoin(F.broadcast(totals))   # one row on the right: the global count
+        j = f.crossJoin(totals)   # one row on the right: the global count
     else:
         j = f.join(totals, keys)
     return j.filter(cond).select(*keys, F.col(value).alias(out), F.col("_n").alias(f"{out}_n"))

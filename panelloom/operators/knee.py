@@ -17,6 +17,7 @@ PRIMARY = {"detector_name": "piecewise_linear_bic", "x_axis": "checkup_index", "
 SEVERE = ["few_checkups", "duplicate_checkups", "capacity_increase_gt_0p02Ah"]
 SERIES = ["cell_id", "x_axis", "smoothing_policy"]
 WEAK_RATIO = 1.25
+X_EPS = 1e-9   # summed axes carry rounding noise: closer points are one x value
 TARGETS = {"event_within_1_checkup": 1, "event_within_2_checkups": 2, "event_within_3_checkups": 3}
 
 
@@ -54,7 +55,7 @@ def _sums(df: DataFrame, block: int, cut) -> DataFrame:
         u, v = F.col("x") - F.col(x0), F.col("y") - F.col(y0)
         return {f"{p}c": F.lit(1.0), f"{p}su": u, f"{p}sv": v, f"{p}suu": u * u, f"{p}suv": u * v, f"{p}svv": v * v}
     d = carry(d, SERIES, "_chunk", ["idx"], prev={"px": "x", "py": "y"}, nxt={"nx": "x", "ny": "y"}, sums=moments("", "x0", "y0"))
-    d = cut(d.withColumn("_new", (F.col("px").isNull() | (F.col("px") != F.col("x"))).cast("long")))
+    d = cut(d.withColumn("_new", (F.col("px").isNull() | (F.abs(F.col("px") - F.col("x")) > X_EPS)).cast("long")))
     d = carry(d, SERIES, "_back", ["_r"], sums={**moments("r", "x1", "y1"), "dr": "_new"})
     t = d.groupBy(*SERIES).agg(F.max("dr").alias("distinct_x"))
     d = d.join(t, SERIES)
