@@ -1,9 +1,74 @@
-"""Corpus pipeline: the stages in order, each written as Parquet and read again as the next one's documents."""
+"""Corpus pipeline: the stages in order, each written as Parquet and read again as the next one's documents.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``.  Rows with null ids or texts pass through filters unless a stage's operator says otherwise.
+"""
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from panelloom.llm import decontaminate, linededup, mixpack, superminhash, toxicity
+from panelloom.llm.common import id_key, read, sized, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below the threshold."""
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; lines in windows that occur earlier are taken out, and n_chars follows the text.
+
+    A document that loses all its lines stays with what is left (blank lines or an empty text)."""
+    clean = linededup.dedup_lines(docs)
+    changed = F.col("n_removed") > 0
+    out = {"text": F.when(changed, F.col("clean_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(changed, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return clean.withColumns(out).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at five-word shingles and a similarity of 0.8: the smallest doc_id.
+
+    Of rows that share this doc_id one stays, if their texts have a word."""
+    found = superminhash.near_duplicates(docs, words=5, percent=80)
+    gone = written(found.where(~F.col("kept")).select(id_key().alias("_id")).distinct(), "copies")
+    out = docs.withColumn("_id", id_key()).join(sized(gone), "_id", "left_anti")
+    again = written(found.where("kept and n_shingles > 0").groupBy(id_key().alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "again")
+    if not again.isEmpty():
+        several = out.join(sized(again), "_id", "left_semi")
+        worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+        first = several.where(worded).groupBy("_id").agg(F.min(F.struct(F.xxhash64("text"), F.struct(*docs.columns))).alias("row"))
+        one = first.select("row.col2.*")
+        out = out.join(sized(again), "_id", "left_anti").select(*docs.columns).union(several.where(~worded).select(*docs.columns)).union(one)
+    return out.select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no item of ``benchmark``."""
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens that mirror the mix of sources."""
+    return mixpack.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("packing", pack),
+]
+
+#: Toxicity is learnt, so no stage after it can be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

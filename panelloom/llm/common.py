@@ -45,6 +45,23 @@ def from_key(c: str) -> Column:
     return F.when(F.col(c) != NULL_ID, F.col(c))
 
 
+def words_of(text: Column) -> Column:
+    """Words between white space, A-Z folded."""
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), SPACE, -1), "")
+
+
+def sized(keys: DataFrame, at_most: int = 1_000_000) -> DataFrame:
+    """A written table of a few short columns, sent to all executors only up to ``at_most`` rows."""
+    return F.broadcast(keys) if keys.count() <= at_most else keys
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
 # --- words of a batch of texts as 64-bit hashes (numpy, inside tasks) ---------------------------------
 
 _rng = np.random.default_rng(20240229)
@@ -78,12 +95,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_chunks(texts):
-    """Runs of consecutive texts (as bytes) of about CHUNK_BYTES; a longer text is a run of its own."""
+def text_chunks(texts, at_most: int = CHUNK_BYTES):
+    """Runs of consecutive texts (as bytes) of about ``at_most`` bytes; a longer text is a run of its own."""
     run, size = [], 0
     for t in texts:
         b = t.encode("utf-8", "surrogatepass") if t else b""
-        if run and size + len(b) > CHUNK_BYTES:
+        if run and size + len(b) > at_most:
             yield run
             run, size = [], 0
         run.append(b)
@@ -93,20 +110,29 @@ def text_chunks(texts):
 
 
 def word_hashes(run: list[bytes]):
-    """Hashes of all words of the texts, A-Z folded, and the offset of each text's first word.
+    """Hashes of all words of the texts, A-Z folded.
 
-    Returns (hashes, bounds, starts, ends): words of text i are hashes[bounds[i]:bounds[i+1]];
-    starts and ends are byte positions in the joined buffer.
+    Returns (hashes, bounds): words of text i are hashes[bounds[i]:bounds[i+1]].
     """
-    buffer = b" " + b" ".join(run) + b" "
-    a = np.frombuffer(buffer, np.uint8)
+    return _hashed(np.frombuffer(b" " + b" ".join(run) + b" ", np.uint8), run, _TABLE_FOLDED)[:2]
+
+
+def exact_word_hashes(run: list[bytes]):
+    """As ``word_hashes`` with capitals kept apart, and the code points in the words of each text."""
+    a = np.frombuffer(b" " + b" ".join(run) + b" ", np.uint8)
+    hashes, bounds, firsts = _hashed(a, run, _TABLE)
+    points = np.concatenate([[0], np.cumsum(~_IS_SPACE[a] & ((a & 0xC0) != 0x80))])
+    return hashes, bounds, np.diff(points[firsts])
+
+
+def _hashed(a: np.ndarray, run: list[bytes], table: np.ndarray):
     space = _IS_SPACE[a]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
     power, inverse = _power(len(a) + 1)
     prefix = np.empty(len(a) + 1, np.uint64)
     prefix[0] = 0
-    np.cumsum(_TABLE_FOLDED[a] * power[:-1], out=prefix[1:])
+    np.cumsum(table[a] * power[:-1], out=prefix[1:])
     hashes = mix((prefix[ends] - prefix[starts]) * inverse[starts])
     firsts = np.cumsum([1] + [len(b) + 1 for b in run])
-    return hashes, np.searchsorted(starts, firsts), starts, ends
+    return hashes, np.searchsorted(starts, firsts), firsts
