@@ -11,15 +11,18 @@ candidates; they are compared on their full sets and grouped by connected compon
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import from_key, id_key, mix, text_chunks, word_hashes, written
+from .common import from_key, id_key, mix, sized, text_chunks, union_all, word_hashes, written
 from .components import components
 
 WORDS = 4
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
+#: Members of a bucket up to which its pairs are listed, and of a block above that.
+SMALL, BLOCK = 64, 256
 #: Odd multipliers that place the words of a shingle.
 _PLACE = np.random.default_rng(7).integers(1, 2 ** 63, 64, dtype=np.uint64) | np.uint64(1)
 _LEVEL = np.random.default_rng(11).integers(1, 2 ** 63, SIZE, dtype=np.uint64)
@@ -29,7 +32,7 @@ _HALF = np.uint64(32)
 
 def shingle_sets(run: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; a shorter text is one shingle, no words none."""
-    h, bounds, _, _ = word_hashes(run)
+    h, bounds = word_hashes(run)
     n = len(h) - words + 1
     whole = np.zeros(max(n, 0), np.uint64)
     if n > 0:
@@ -115,16 +118,10 @@ def marks(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(id_key().alias("id"), "text").mapInArrow(run, MARKS)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, at_most: int = 1_000_000) -> DataFrame:
-    """Rows of ``df`` whose id is among the distinct ``ids`` (a written table); sent to all executors only
-    up to ``at_most`` ids of eight bytes, shuffled beyond."""
-    return df.join(F.broadcast(ids) if ids.count() <= at_most else ids, "id", "left_semi")
-
-
 def checked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    texts = only_ids(docs.select(id_key().alias("id"), "text"), ids)
+    texts = docs.select(id_key().alias("id"), "text").join(sized(ids), "id", "left_semi")
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
 
@@ -155,22 +152,56 @@ def _sets_of(texts, words):
     return [s for chunk in text_chunks(texts) for s in shingle_sets(chunk, words)]
 
 
-def lonely(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, lone): how many shingles of a document occur in no other document among ``ids``."""
-    def run(batches):
-        for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            at = 0
-            for chunk in text_chunks(texts):
-                sets = shingle_sets(chunk, words)
-                own = np.repeat(np.array(ids[at:at + len(chunk)], np.int64), [len(s) for s in sets])
-                at += len(chunk)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(sets).view(np.int64))], ["id", "s"])
+def links_within(frame: pd.DataFrame, words: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows (rep, label, block, text) of different labels, at most one for each two labels.
 
-    rows = only_ids(docs.select(id_key().alias("id"), "text"), ids).mapInArrow(run, "id long, s long")
-    alone = rows.groupBy("s").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo = hi")
-    return alone.groupBy(F.col("lo").alias("id")).agg(F.count(F.lit(1)).alias("lone"))
+    Rows of one block are compared with each other if all rows are of that block, else only across.
+    All intersections come from one product of the incidence matrix of shingles that occur twice.
+    """
+    sets = _sets_of(frame["text"].tolist(), words)
+    size = np.array([len(s) for s in sets], np.int64)
+    own = np.repeat(np.arange(len(sets)), size)
+    distinct, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    often = np.flatnonzero(count > 1)
+    number = np.full(len(distinct), -1)
+    for lo in range(0, len(often), 4096):
+        part = often[lo:lo + 4096]
+        number[:] = -1
+        number[part] = np.arange(len(part))
+        use = number[column] >= 0
+        seen = np.zeros((len(sets), len(part)), np.float32)
+        seen[own[use], number[column[use]]] = 1
+        common += seen @ seen.T
+    common = common.astype(np.int64)
+    linked = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (size[:, None] > 0) & (size[None, :] > 0)
+    label, block = frame["label"].to_numpy(), frame["block"].to_numpy()
+    linked &= label[:, None] < label[None, :]
+    if block.min() != block.max():
+        linked &= block[:, None] != block[None, :]
+    rep, found = frame["rep"].to_numpy(), {}
+    for i, j in zip(*np.nonzero(linked)):
+        found.setdefault((label[i], label[j]), (int(rep[i]), int(rep[j])))
+    return list(found.values())
+
+
+def block_links(left: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between different groups in large buckets (band, key, rep, label, size), compared block by block.
+
+    A bucket is cut into blocks of about BLOCK members by hash; a task holds the texts of two blocks.
+    """
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("rep", F.lit("block")), n).cast("int")
+    ids = written(left.select(F.col("rep").alias("id")).distinct(), "ids")
+    texts = docs.select(id_key().alias("id"), "text").join(sized(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    units = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    units = units.withColumns({"u": F.least("block", "other"), "v": F.greatest("block", "other")})
+    units = units.select("band", "key", "u", "v", "rep", "label", "block").join(texts.withColumnRenamed("id", "rep"), "rep")
+
+    def run(frame):
+        return pd.DataFrame(links_within(frame, words, percent), columns=["a", "b"]).astype("int64")
+
+    return units.groupBy("band", "key", "u", "v").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -180,10 +211,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     (A-Z folded words).  A bucket of documents that agree in a band is never expanded into its pairs:
 
     1. every member is compared with one member of its bucket, and the links are grouped;
-    2. in buckets that still hold several groups, again with the member that has the fewest shingles
-       of its own;
-    3. the pairs left are those of different groups in one bucket for which a link is still possible,
-       given how many shingles each shares with nobody (see ``_possible``).  They are all compared.
+    2. the same with another member, in buckets that still hold several groups;
+    3. what is left of those buckets is compared in full across groups: pair by pair in buckets of at most
+       SMALL members, block by block in larger ones, where only links between groups leave the task.
 
     Null or wordless text: no shingles, linked with nothing.  Rows with one doc_id are one document: a
     link of any of its texts counts.  A null doc_id counts as one document with the smallest id.  Extra
@@ -192,47 +222,42 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     docs = docs.select("doc_id", "text")
     seen = written(marks(docs, words), "marks")
     classes = seen.where("n_shingles > 0").groupBy("fp1", "fp2").agg(
-        F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        F.min("id").alias("rep"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     rows = seen.select("id", "n_shingles", "fp1", "fp2").join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"], "left")
     several = rows.where("rep is not null").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi")
     edges = [written(rows.join(several, "id").where("rep != lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")), "same")]
 
-    member = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    member = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     member = written(member.join(shared, ["band", "key"]), "members")
 
     tried = None
-    lone = None
-    for step in ("any", "central", "rest"):
+    for step in ("first", "second", "rest"):
         if tried is None:
-            left = member.select("band", "key", "rep", "n", F.col("rep").alias("label"))
+            left = member.select("band", "key", "rep", F.col("rep").alias("label"))
         else:
             left = labelled(member, edges)
-            split = left.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-            left = left.join(split.select("band", "key"), ["band", "key"])
-            if step == "central":
-                left = written(left, "left")
-                ids = written(left.select(F.col("rep").alias("id")).distinct(), "ids")
-                lone = written(lonely(docs, ids, words), "lone")
-            left = left.join(lone.withColumnRenamed("id", "rep"), "rep", "left").fillna(0, ["lone"])
-            # a partner has at most 100 / percent times the size
-            left = left.where((F.col("lone") * (100 + percent) * percent <= F.col("n") * (100 - percent) * (100 + percent)))
+            split = left.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
+            left = left.join(split.select("band", "key", "size"), ["band", "key"]).select("band", "key", "rep", "label", "size")
         if step == "rest":
-            x, y = left.alias("x"), left.alias("y")
+            left = written(left, "left")
+            large = left.where(F.col("size") > SMALL)
+            if not large.isEmpty():
+                edges.append(written(block_links(large, docs, words, percent), "links"))
+            x, y = left.where(F.col("size") <= SMALL).alias("x"), left.alias("y")
             pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
-                           & (F.col("x.label") != F.col("y.label")) & _possible(percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+                           & (F.col("x.label") != F.col("y.label"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         else:
-            order = F.xxhash64("rep") if step == "any" else F.col("lone") / F.col("n")
-            pivot = left.groupBy("band", "key").agg(F.min_by(F.struct("rep", "label"), F.struct(order, "rep")).alias("p"))
-            pairs = (left.join(pivot, ["band", "key"]).where("rep != p.rep and (label != p.label)")
+            pivot = left.groupBy("band", "key").agg(F.min_by(F.struct("rep", "label"), F.struct(F.xxhash64("rep", F.lit(step)), "rep")).alias("p"))
+            pairs = (left.join(pivot, ["band", "key"]).where("rep != p.rep and label != p.label")
                      .select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            if step == "any":
+            if step == "first":
                 break
             continue
         edges.append(written(checked(pairs, docs, words, percent), "links"))
@@ -243,24 +268,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     return out.select(from_key("id").alias("doc_id"), "n_shingles", from_key("_c").alias("component_id"), (F.col("id") == F.col("_c")).alias("kept"))
 
 
-def _possible(percent: int):
-    """Whether pair (x, y) can still reach the limit, from sizes and lone shingles.
-
-    Intersection i and lone shingles satisfy lone_x + lone_y <= n_x + n_y - 2 i, and the limit asks
-    i (100 + percent) >= percent (n_x + n_y).
-    """
-    n = F.col("x.n") + F.col("y.n")
-    return (((F.col("x.lone") + F.col("y.lone")) * (100 + percent) <= n * (100 - percent))
-            & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
-
-
 def labelled(member: DataFrame, edges: list[DataFrame]) -> DataFrame:
     groups = components(union_all(edges)).withColumnRenamed("id", "rep")
     return member.join(groups, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
