@@ -40,7 +40,8 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     later = found.join(again, ["w1", "w2"]).where(place != F.col("first"))
     covered = later.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.explode("at").alias("at"))
     covered = written(covered.groupBy("_id", "_th").agg(F.collect_set("at").alias("_gone")), "covered-lines")
-    out = key.join(covered, ["_id", "_th"], "left")
+    # texts meet their lines by one shuffle at every size
+    out = key.join(covered.hint("merge"), ["_id", "_th"], "left")
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))

@@ -5,9 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import attribution, decontaminate, hashtree, licenses, linededup, linequality, mixpack, superminhash, toxicity, urlrules
 from .common import read
+from .oracles import SQL as ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):

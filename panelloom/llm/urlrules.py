@@ -17,7 +17,7 @@ from .common import LOWER, UPPER, written
 
 #: The rules of the registered query (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-OPEN, POINT, CLOSE = 0, 1, 2
+AGAIN, OPEN, POINT, CLOSE = -1, 0, 1, 2
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -44,25 +44,25 @@ def sweep(points: DataFrame, intervals: DataFrame, whole_stack: bool = False) ->
     payload = [c for c in points.columns if c not in ("key", "tie")]
     k = F.encode("key", "UTF-8")
     nothing = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in payload]
-    start = intervals.select(k.alias("k"), F.lit(OPEN).alias("kind"), F.lit(0).cast("long").alias("tie"), "interval", *nothing)
-    end = intervals.select(F.concat(k, F.unhex(F.lit("FF"))).alias("k"), F.lit(CLOSE).alias("kind"), F.lit(0).cast("long").alias("tie"), "interval", *nothing)
+    start = intervals.select(k.alias("k"), F.lit(OPEN).alias("kind"), F.lit(0).cast("long").alias("tie"), k.alias("_own"), "interval", *nothing)
+    end = intervals.select(F.concat(k, F.unhex(F.lit("FF"))).alias("k"), F.lit(CLOSE).alias("kind"), F.lit(0).cast("long").alias("tie"), k.alias("_own"), "interval", *nothing)
     no = F.lit(None).cast(intervals.schema["interval"].dataType).alias("interval")
-    point = points.select(k.alias("k"), F.lit(POINT).alias("kind"), F.col("tie").cast("long"), no, *payload)
+    point = points.select(k.alias("k"), F.lit(POINT).alias("kind"), F.col("tie").cast("long"), F.unhex(F.lit("")).alias("_own"), no, *payload)
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     events = start.union(end).union(point).repartitionByRange(parts, "k", "kind", "tie").withColumn("part", F.spark_partition_id())
     events = written(events, "events")
-    opened = events.where(F.col("kind") == OPEN).select("interval", "k", F.col("part").alias("a"))
-    closed = events.where(F.col("kind") == CLOSE).select("interval", F.col("part").alias("b"))
-    across = opened.join(closed, "interval").where("b > a").withColumn("part", F.explode(F.expr("sequence(a + 1, b)")))
-    again = across.select(F.unhex(F.lit("")).alias("k"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("tie"), "interval", *nothing, "part", F.col("k").alias("under"))
-    events = events.withColumn("under", F.unhex(F.lit(""))).union(again)
-    line = Window.partitionBy("part").orderBy("k", "kind", "under", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    opened = events.where(F.col("kind") == OPEN).select("_own", "interval", F.col("part").alias("a"))
+    closed = events.where(F.col("kind") == CLOSE).select("_own", F.col("part").alias("b"))
+    across = opened.join(closed, "_own").where("b > a").withColumn("part", F.explode(F.expr("sequence(a + 1, b)")))
+    again = across.select(F.unhex(F.lit("")).alias("k"), F.lit(AGAIN).alias("kind"), F.lit(0).cast("long").alias("tie"), "_own", "interval", *nothing, "part")
+    events = events.union(again)
+    line = Window.partitionBy("part").orderBy("k", "kind", "_own", "tie").rowsBetween(Window.unboundedPreceding, 0)
     delta = F.when(F.col("kind") == CLOSE, -1).when(F.col("kind") == POINT, 0).otherwise(1)
     events = events.withColumn("depth", F.sum(delta).over(line)).where(F.col("kind") != CLOSE)
     if whole_stack:
         at = F.when(F.col("kind") == POINT, F.sequence(F.lit(1).cast("long"), F.greatest("depth", F.lit(1)))).otherwise(F.array("depth"))
         events = events.withColumn("depth", F.explode(at))
-    level = Window.partitionBy("part", "depth").orderBy("k", "kind", "under", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    level = Window.partitionBy("part", "depth").orderBy("k", "kind", "_own", "tie").rowsBetween(Window.unboundedPreceding, 0)
     # at depth 0 nothing is ever opened, so points there find null
     top = F.last("interval", ignorenulls=True).over(level)
     return events.withColumn("interval", top).where(F.col("kind") == POINT).select(*payload, "interval")
