@@ -60,7 +60,7 @@ def sweep(points: DataFrame, intervals: DataFrame, whole_stack: bool = False) ->
     delta = F.when(F.col("kind") == CLOSE, -1).when(F.col("kind") == POINT, 0).otherwise(1)
     events = events.withColumn("depth", F.sum(delta).over(line)).where(F.col("kind") != CLOSE)
     if whole_stack:
-        at = F.when(F.col("kind") == POINT, F.sequence(F.lit(1).cast("long"), F.greatest("depth", F.lit(1)))).otherwise(F.array("depth"))
+        at = F.when((F.col("kind") == POINT) & (F.col("depth") > 0), F.sequence(F.lit(1).cast("long"), "depth")).otherwise(F.array("depth"))
         events = events.withColumn("depth", F.explode(at))
     level = Window.partitionBy("part", "depth").orderBy("k", "kind", "_own", "tie").rowsBetween(Window.unboundedPreceding, 0)
     # at depth 0 nothing is ever opened, so points there find null
