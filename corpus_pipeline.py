@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelloom.llm import decontaminate, linededup, mixpack, superminhash, toxicity
-from panelloom.llm.common import id_key, read, sized, written
+from panelloom.llm.common import id_key, packed, read, sized, union_all, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +20,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """All documents; lines in windows that occur earlier are taken out, and n_chars follows the text.
 
     A document that loses all its lines stays with what is left (blank lines or an empty text)."""
-    clean = linededup.dedup_lines(docs)
-    changed = F.col("n_removed") > 0
-    out = {"text": F.when(changed, F.col("clean_text")).otherwise(F.col("text"))}
+    clean = linededup.dedup_lines(packed(docs).select("row", "row.doc_id", "row.text"))
+    out = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return clean.withColumns(out).select(*docs.columns)
+        length = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("row.n_chars"))
+    return clean.select(*[out[c].alias(c) if c in out else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +33,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that share this doc_id one stays, if their texts have a word."""
     found = superminhash.near_duplicates(docs, words=5, percent=80)
-    gone = written(found.where(~F.col("kept")).select(id_key().alias("_id")).distinct(), "copies")
-    out = docs.withColumn("_id", id_key()).join(sized(gone), "_id", "left_anti")
-    again = written(found.where("kept and n_shingles > 0").groupBy(id_key().alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "again")
-    if not again.isEmpty():
-        several = out.join(sized(again), "_id", "left_semi")
-        worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-        first = several.where(worded).groupBy("_id").agg(F.min(F.struct(F.xxhash64("text"), F.struct(*docs.columns))).alias("row"))
-        one = first.select("row.col2.*")
-        out = out.join(sized(again), "_id", "left_anti").select(*docs.columns).union(several.where(~worded).select(*docs.columns)).union(one)
-    return out.select(*docs.columns)
+    found = written(found.select(id_key().alias("id"), "kept", "n_shingles"), "near-copies")
+    gone = written(found.where("not kept").select("id").distinct(), "copies")
+    rows = packed(docs).select("row", id_key("row.doc_id").alias("id")).join(sized(gone), "id", "left_anti")
+    again = written(found.where("kept and n_shingles > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "again")
+    if again.isEmpty():
+        return rows.select("row.*")
+    several = rows.join(sized(again), "id", "left_semi").withColumn("worded", F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    one = several.where("worded").groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return union_all([f.select("row.*") for f in (rows.join(sized(again), "id", "left_anti"), several.where("not worded"), one)])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

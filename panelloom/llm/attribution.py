@@ -56,7 +56,7 @@ def allocate(token_ends: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule:
     one that holds most of its bytes (the first of equals), ``share`` to each by its part of the bytes.
     The counts of all sections add up to the number of tokens.
     """
-    token_starts = np.concatenate([[0], token_ends[:-1]]).astype(np.int64)
+    token_starts = np.concatenate([[0], token_ends])[:-1].astype(np.int64)
     first = np.searchsorted(ends, token_starts, side="right")
     last = np.searchsorted(ends, token_ends - 1, side="right")
     crossing = np.flatnonzero(first != last)

@@ -45,6 +45,11 @@ def from_key(c: str) -> Column:
     return F.when(F.col(c) != NULL_ID, F.col(c))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns in one struct ``row``, so that helper columns beside it cannot clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def words_of(text: Column) -> Column:
     """Words between white space, A-Z folded."""
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), SPACE, -1), "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import from_key, id_key, sized, union_all, words_of, written
+from .common import from_key, id_key, packed, sized, union_all, words_of, written
 
 #: Eight words of eleven or twelve.
 MASKS = ("11011101011", "111010011011", "110110110011")
@@ -88,5 +88,6 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text overlaps with no item; null texts stay."""
-    bad = written(overlaps(docs, benchmark).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), "contaminated")
-    return docs.withColumns({"_id": id_key(), "_th": F.xxhash64("text")}).join(sized(bad), ["_id", "_th"], "left_anti").drop("_id", "_th")
+    bad = written(overlaps(docs, benchmark).select("id", "th").distinct(), "contaminated")
+    rows = packed(docs).select("row", id_key("row.doc_id").alias("id"), F.xxhash64("row.text").alias("th"))
+    return rows.join(sized(bad), ["id", "th"], "left_anti").select("row.*")

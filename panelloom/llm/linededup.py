@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_key, written
+from .common import id_key, packed, written
 
 #: What is cut off a line before it is compared; a line of nothing else is blank.
 EDGES = " \t\r"
@@ -31,20 +31,22 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     blank lines stay.  A repeat that overlaps the first occurrence takes the shared lines out, so a line
     repeated on end is left once.  Fewer than ``width`` lines: unchanged.  Null text stays null with 0
     lines; a null doc_id comes first.  Rows with equal doc_id and text are one document and get one result.
-    All columns of ``docs`` are kept.
+    All other columns of ``docs`` are kept.
     """
-    key = docs.withColumns({"_id": id_key(), "_th": F.xxhash64("text")})
-    found = windows(key.select(F.col("_id").alias("id"), F.col("_th").alias("th"), "text").where("text is not null"), width)
+    key = packed(docs).select("row", id_key("row.doc_id").alias("id"), F.xxhash64("row.text").alias("th"))
+    found = windows(key.select("id", "th", F.col("row.text").alias("text")).where("text is not null"), width)
     place = F.struct("id", "th", F.col("at")[0].alias("at"))
     again = found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     later = found.join(again, ["w1", "w2"]).where(place != F.col("first"))
-    covered = later.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.explode("at").alias("at"))
-    covered = written(covered.groupBy("_id", "_th").agg(F.collect_set("at").alias("_gone")), "covered-lines")
+    covered = later.select("id", "th", F.explode("at").alias("at")).groupBy("id", "th").agg(F.collect_set("at").alias("gone"))
+    covered = written(covered, "covered-lines")
     # texts meet their lines by one shuffle at every size
-    out = key.join(covered.hint("merge"), ["_id", "_th"], "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    out = key.join(covered.hint("merge"), ["id", "th"], "left")
+    text = F.col("row.text")
+    lines = F.split(text, "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    clean = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     number = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(EDGES)) != ""))
-    return out.withColumns({"clean_text": text, "n_lines": F.when(F.col("text").isNull(), 0).otherwise(number).cast("long"),
-                            "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")}).drop("_id", "_th", "_gone")
+    added = {"clean_text": clean, "n_lines": F.when(text.isNull(), 0).otherwise(number).cast("long"),
+             "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")}
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *[c.alias(n) for n, c in added.items()])
