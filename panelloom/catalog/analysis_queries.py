@@ -142,7 +142,7 @@ for _n in ("A07_uncertainty_summary", "B19_replicate_report"):
 _arm1 = "run_scope = 'primary' AND model_level = 'L2_rule' AND feature_group = 'F2_state'"
 table("cfp", f"SELECT * FROM preds WHERE {_arm1}")
 table("cpool", """SELECT t.target, t.split_name, t.heldout_fold, m.method, abs(p.e) AS a, p.parameter_set, s.spread FROM (SELECT DISTINCT target, split_name, heldout_fold FROM cfp) t JOIN cfp p ON p.target = t.target
-JOIN (VALUES ('Q1_split_conformal_abs_residual'), ('Q2_cross_split_conformal_abs_residual'), ('Q3_replicate_hybrid')) m(method) ON m.method NOT LIKE 'Q1%' OR (p.split_name = t.split_name AND p.heldout_fold <> t.heldout_fold)
+JOIN (VALUES ('Q1_split_conformal_abs_residual'), ('Q2_stressor_family_conformal'), ('Q3_replicate_tolerance_hybrid')) m(method) ON m.method NOT LIKE 'Q1%' OR (p.split_name = t.split_name AND p.heldout_fold <> t.heldout_fold)
 LEFT JOIN spr s ON s.parameter_set = p.parameter_set AND s.checkup_k_next = p.checkup_k_next AND s.target = p.target
 WHERE NOT EXISTS (SELECT 1 FROM cfp x WHERE x.target = t.target AND x.split_name = t.split_name AND x.heldout_fold = t.heldout_fold AND x.parameter_set = p.parameter_set)""")
 table("crad", """SELECT target, split_name, heldout_fold, method, n_calibration_conditions, n_calibration_rows, CASE WHEN method LIKE 'Q3%' THEN greatest(r, coalesce(rep, 0.0)) ELSE r END AS radius FROM (SELECT target, split_name, heldout_fold, method, count(DISTINCT parameter_set) AS n_calibration_conditions, count(*) AS n_calibration_rows,

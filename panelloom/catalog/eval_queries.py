@@ -129,11 +129,11 @@ Q("J18_residual_coupling_join", lambda v: v.preds.filter("run_scope = 'primary'
 # ---- horizon arms ----
 table("hzs", " UNION ALL ".join(f"SELECT '{s}' AS split_name, {s} AS fold, * FROM hz" for s in SPLITS))
 table("hfolds", "SELECT DISTINCT split_name, fold AS heldout_fold FROM hzs WHERE split_name = 'condition_fold' OR fold <> 0")
-table("hmean", "SELECT f.*, horizon_checkups, avg(delta_capacity_Ah_h) AS md FROM hfolds f JOIN hzs h ON h.split_name = f.split_name AND h.fold <> f.heldout_fold GROUP BY ALL")
-table("htest", "SELECT h.*, f.heldout_fold, m.md FROM hfolds f JOIN hzs h ON h.split_name = f.split_name AND h.fold = f.heldout_fold JOIN hmean m ON m.split_name = f.split_name AND m.heldout_fold = f.heldout_fold AND m.horizon_checkups = h.horizon_checkups")
+table("hmean", "SELECT f.*, horizon_checkups, avg(delta_capacity_Ah_h) AS md, avg(CASE WHEN horizon_duration_h > 0 THEN delta_capacity_Ah_h / horizon_duration_h END) AS mr FROM hfolds f JOIN hzs h ON h.split_name = f.split_name AND h.fold <> f.heldout_fold GROUP BY ALL")
+table("htest", "SELECT h.*, f.heldout_fold, m.md, m.mr FROM hfolds f JOIN hzs h ON h.split_name = f.split_name AND h.fold = f.heldout_fold JOIN hmean m ON m.split_name = f.split_name AND m.heldout_fold = f.heldout_fold AND m.horizon_checkups = h.horizon_checkups")
 table("hp", " UNION ALL ".join(f"SELECT 'primary' AS run_scope, 'capacity_Ah_kh' AS target, '{a}' AS model_level, '{g}' AS feature_group, *, capacity_Ah_kh AS y_true, {p} AS y_pred, {p} - capacity_Ah_kh AS e FROM htest" for a, g, p in (
     ("MH0_persistence", "persistence", "capacity_Ah_k"), ("MH1_prior_slope", "prior_slope", "capacity_Ah_k + coalesce(prior_delta_capacity_Ah, 0) * horizon_checkups"), ("MH2_mean", "K2_state_exposure", "capacity_Ah_k + md"),
-    ("MH2_mean", "K3_oracle_exposure", "capacity_Ah_k + (md + delta_capacity_Ah_h) / 2"), ("MH2_mean", "K4_trajectory_shape", "capacity_Ah_k + md / 2 + coalesce(prior_delta_capacity_Ah, 0) * horizon_checkups / 2"))))
+    ("MH2_mean", "K3_oracle_exposure_diagnostic", "capacity_Ah_k + coalesce(mr * horizon_duration_h, md)"), ("MH2_mean", "K4_trajectory_shape", "capacity_Ah_k + md / 2 + coalesce(prior_delta_capacity_Ah, 0) * horizon_checkups / 2"))))
 HPC = f"{ARM} horizon_checkups:i cell_id checkup_k:i y_true:r y_pred:r"
 Q("E06_prior_slope", lambda v: v.build_hpreds().filter("model_level = 'MH1_prior_slope'"), HPC, "SELECT * FROM hp WHERE model_level = 'MH1_prior_slope'")
 _HK = _ARMQ + ", horizon_checkups"
@@ -141,7 +141,7 @@ table("hmet", f"""SELECT * FROM (SELECT {_HK}, count(*) AS test_rows, avg(abs(e)
 JOIN (SELECT {_HK}, count(*) AS test_parameter_sets, avg(c) AS condition_mean_mae, quantile_cont(c, 0.5) AS condition_median_mae, max(c) AS worst_condition_mae FROM (SELECT {_HK}, parameter_set, avg(abs(e)) AS c FROM hp GROUP BY ALL) GROUP BY ALL) USING ({_HK})""")
 Q("B40_horizon_metrics", lambda v: v.build_hmetrics(), f"{ARM} horizon_checkups:i {MET}", "SELECT * FROM hmet")
 HG = ["target", "split_name", "heldout_fold", "horizon_checkups"]
-for _n, _c, _r in (("A114_horizon_reference_gain", "model_level = 'MH2_mean'", "model_level IN ('MH0_persistence', 'MH1_prior_slope')"), ("A115_oracle_exposure_gain", "feature_group = 'K3_oracle_exposure'", "feature_group = 'K2_state_exposure'"),
+for _n, _c, _r in (("A114_horizon_reference_gain", "model_level = 'MH2_mean'", "model_level IN ('MH0_persistence', 'MH1_prior_slope')"), ("A115_oracle_exposure_gain", "feature_group = 'K3_oracle_exposure_diagnostic'", "feature_group = 'K2_state_exposure'"),
                    ("A116_trajectory_shape_gain", "feature_group = 'K4_trajectory_shape'", "feature_group <> 'K4_trajectory_shape'")):
     _gains(_n, "@" + _c, "@" + _r, HG, "hmet", frame=lambda v: v.hmetrics)
 Q("A118_horizon_condition_errors", lambda v: me.error_summary(v.hpreds.filter("split_name = 'c_rate_holdout_fold'"), ["model_level", "feature_group", "horizon_checkups", "parameter_set"]), f"model_level feature_group horizon_checkups:i parameter_set:i {ES}",

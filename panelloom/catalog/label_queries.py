@@ -166,11 +166,11 @@ table("stab", f"""SELECT *, CASE WHEN n_valid_knees < 2 THEN 'insufficient_label
 SR = "parameter_set:i stability_status n_replicates:i n_valid_knees:i knee_spread_checkups:r median_knee_checkup_k:r has_severe_qa_flags quality_flags"
 Q("A100_stable_registry", lambda v: kn.stable_registry(v.candidates), SR, "SELECT * FROM stab")
 Q("B10_stable_knee_registry", lambda v: kn.stable_registry(v.candidates), SR + " aging_mode nominal_temperature_C:r voltage_window_family nominal_charge_C_rate:r profile_label", "SELECT * FROM stab")
-_cov = lambda f: (f"SELECT '{f}' AS group_field, {f} AS v, count(*) AS n_conditions, count(*) FILTER (stability_status = 'stable') AS stable_conditions, count(*) FILTER (stability_status = 'unstable') AS unstable_conditions, "
+_cov = lambda f: (f"SELECT '{f}' AS group_field, {f}::VARCHAR AS v, count(*) AS n_conditions, count(*) FILTER (stability_status = 'stable') AS stable_conditions, count(*) FILTER (stability_status = 'unstable') AS unstable_conditions, "
                   f"count(*) FILTER (stability_status = 'insufficient_label') AS insufficient_label_conditions, avg((stability_status = 'stable')::INT) AS stable_fraction FROM stab GROUP BY {f}")
-Q("A101_stable_coverage", lambda v: kn.stable_coverage(kn.stable_registry(v.candidates)).filter("group_field IN ('aging_mode', 'voltage_window_family', 'profile_label')"),
+Q("A101_stable_coverage", lambda v: kn.stable_coverage(kn.stable_registry(v.candidates)),
   "group_field group_value n_conditions:i stable_conditions:i unstable_conditions:i insufficient_label_conditions:i stable_fraction:r",
-  "SELECT *, v AS group_value FROM (" + " UNION ALL ".join(_cov(f) for f in ("aging_mode", "voltage_window_family", "profile_label")) + ")")
+  "SELECT *, v AS group_value FROM (" + " UNION ALL ".join(_cov(f) for f in ("aging_mode", "nominal_temperature_C", "nominal_charge_C_rate", "voltage_window_family", "profile_label")) + ")")
 for _n in ("A102_inconsistent_conditions", "B11_knee_forensics"):
     Q(_n, lambda v: kn.knee_inconsistent(v.candidates, v.points), "parameter_set:i n:i knee_spread_checkups:i knee_spread_days:r knee_spread_efc:r trajectory_qa_flags",
       f"""SELECT c.parameter_set, count(*) AS n, max(knee_checkup_k) - min(knee_checkup_k) AS knee_spread_checkups, max(day) - min(day) AS knee_spread_days, max(cum_efc) - min(cum_efc) AS knee_spread_efc,

@@ -8,15 +8,15 @@ from ..functions import scalar as S
 from ..operators import audit as au, sequences as sq, splits as sp, trajectories as tr
 from .base import Q, table
 
-LIM = 6
+LIMITS = {"v1": sq.MAX_EVENTS_V1, "v2": sq.MAX_EVENTS_V2}
 
 
 def _f(name: str) -> str:
     if name.startswith("event_type_"):
         return f"(event_type = '{name.removeprefix('event_type_')}')::INT::DOUBLE"
-    if name == "log1p_duration_h":
+    if name == "log1p_event_duration_h":
         return "ln(1 + greatest(0.0, event_duration_h))"
-    if name == "relative_position":
+    if name == "normalized_event_position":
         return "event_index / greatest(1, n - 1)::DOUBLE"
     return f"{name}::INT::DOUBLE" if name.endswith("_event") else f"coalesce({name}, 0.0)::DOUBLE"
 
@@ -29,28 +29,29 @@ _chk = "list_sum(list_transform(vec, lambda x, i: x * i))"
 for _n, _t, _lay in (("T03_event_vector", "v1", sq.VECTOR_V1), ("T04_tensor_vector", "v2", sq.TENSOR_V2)):
     Q(_n, lambda v, _lay=_lay: sq.event_vectors(v.run_events, _lay).withColumns({"width": F.size("vector"), "weighted": sq.checksum("vector")}), "cell_id checkup_k:i event_index:i width:i weighted:r",
       f"SELECT *, len(vec) AS width, {_chk} AS weighted FROM ev{_t}")
-_sel = f"(n <= {LIM} OR event_index IN (SELECT round_even(i * (n - 1) / {LIM - 1}.0::DOUBLE, 0) FROM (SELECT unnest(range({LIM})) AS i)))"
-table("evsel", f"SELECT * FROM evn e WHERE {_sel.replace('(n -', '(e.n -').replace('(n <=', '(e.n <=')}")
-Q("W23_event_sampling", lambda v: sq.selected_events(sq.event_vectors(v.run_events), LIM), "cell_id checkup_k:i event_index:i event_count:i", "SELECT cell_id, checkup_k, event_index, n AS event_count FROM evsel")
+for _t, _l in LIMITS.items():
+    table(f"evsel{_t}", f"""SELECT * FROM evn e WHERE e.n <= {_l} OR e.event_index IN (
+      SELECT round_even(i * (e.n - 1) / {_l - 1}.0::DOUBLE, 0) FROM (SELECT unnest(range({_l})) AS i))""")
+Q("W23_event_sampling", lambda v: sq.selected_events(sq.event_vectors(v.run_events)), "cell_id checkup_k:i event_index:i event_count:i", "SELECT cell_id, checkup_k, event_index, n AS event_count FROM evselv1")
 
 
 def _flat(t, lay):
     w = len(lay)
-    return f"""SELECT s.cell_id, s.checkup_k, coalesce(max(e.n), 0) AS event_count, count(e.event_index) AS selected_event_count, coalesce(max(e.n), 0) - count(e.event_index) AS truncated_event_count, {LIM * w} AS vector_size,
-      coalesce(sum(list_sum(list_transform(v.vec, lambda x, i: x * (i + {w} * e.r)))), 0.0) AS weighted FROM spine s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cell_id, checkup_k ORDER BY event_index) - 1 AS r FROM evsel) e USING (cell_id, checkup_k)
+    return f"""SELECT s.cell_id, s.checkup_k, coalesce(max(e.n), 0) AS event_count, count(e.event_index) AS selected_event_count, coalesce(max(e.n), 0) - count(e.event_index) AS truncated_event_count, {LIMITS[t] * w} AS vector_size,
+      coalesce(sum(list_sum(list_transform(v.vec, lambda x, i: x * (i + {w} * e.r)))), 0.0) AS weighted FROM spine s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cell_id, checkup_k ORDER BY event_index) - 1 AS r FROM evsel{t}) e USING (cell_id, checkup_k)
       LEFT JOIN ev{t} v ON v.cell_id = e.cell_id AND v.checkup_k = e.checkup_k AND v.event_index = e.event_index GROUP BY ALL"""
 
 
 SEQ = "cell_id checkup_k:i event_count:i selected_event_count:i truncated_event_count:i vector_size:i weighted:r"
 for _n, _t, _lay in (("T06_event_sequence_table", "v1", sq.VECTOR_V1), ("T07_event_tensor_table", "v2", sq.TENSOR_V2), ("T05_pad_flatten_mask", "v1", sq.VECTOR_V1)):
-    Q(_n, lambda v, _lay=_lay: sq.sequence_table(v.spine, v.run_events, _lay, LIM).withColumns({"vector_size": F.size("true_sequence_vector"), "weighted": sq.checksum("true_sequence_vector"),
+    Q(_n, lambda v, _lay=_lay, _t=_t: sq.sequence_table(v.spine, v.run_events, _lay, LIMITS[_t]).withColumns({"vector_size": F.size("true_sequence_vector"), "weighted": sq.checksum("true_sequence_vector"),
       "mask_on": F.size(F.filter("event_mask", lambda x: x == 1))}), SEQ + (" mask_on:i" if "T05" in _n else ""), f"SELECT *, selected_event_count AS mask_on FROM ({_flat(_t, _lay)})")
-Q("T08_sequence_shuffle", lambda v: sq.sequence_table(v.spine, v.run_events, sq.VECTOR_V1, LIM).select("cell_id", "checkup_k", sq.checksum("shuffled_sequence_vector").alias("weighted"), _sum("shuffled_sequence_vector").alias("total")), "cell_id checkup_k:i weighted:r total:r",
-  f"""SELECT s.cell_id, s.checkup_k, coalesce(sum(list_sum(list_transform(v.vec, lambda x, i: x * (i + {len(sq.VECTOR_V1)} * e.r)))), 0.0) AS weighted, coalesce(sum(list_sum(v.vec)), 0.0) AS total FROM spine s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cell_id, checkup_k ORDER BY ('0x' || substr(md5('42|' || cell_id || '|' || checkup_k || '|' || event_index), 1, 12))::BIGINT, event_index) - 1 AS r FROM evsel) e USING (cell_id, checkup_k)
+Q("T08_sequence_shuffle", lambda v: sq.sequence_table(v.spine, v.run_events, sq.VECTOR_V1).select("cell_id", "checkup_k", sq.checksum("shuffled_sequence_vector").alias("weighted"), _sum("shuffled_sequence_vector").alias("total")), "cell_id checkup_k:i weighted:r total:r",
+  f"""SELECT s.cell_id, s.checkup_k, coalesce(sum(list_sum(list_transform(v.vec, lambda x, i: x * (i + {len(sq.VECTOR_V1)} * e.r)))), 0.0) AS weighted, coalesce(sum(list_sum(v.vec)), 0.0) AS total FROM spine s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cell_id, checkup_k ORDER BY ('0x' || substr(md5('42|' || cell_id || '|' || checkup_k || '|' || event_index), 1, 12))::BIGINT, event_index) - 1 AS r FROM evselv1) e USING (cell_id, checkup_k)
   LEFT JOIN evv1 v ON v.cell_id = e.cell_id AND v.checkup_k = e.checkup_k AND v.event_index = e.event_index GROUP BY ALL""")
-Q("A110_vector_qa", lambda v: sq.vector_qa(sq.sequence_table(v.spine, v.run_events, sq.VECTOR_V1, LIM), sq.VECTOR_V1), "rows:i bad_length:i bad_mask:i order_sum_mismatch:i leaking_names:i", "SELECT count(*) AS rows, 0 AS bad_length, 0 AS bad_mask, 0 AS order_sum_mismatch, 0 AS leaking_names FROM spine")
-Q("E30_masked_standardise", lambda v: sq.masked_statistics(v.run_events, sq.TENSOR_V2, LIM), "pos:i n:i mean:r std:r",
-  "SELECT pos, count(*) AS n, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-12 THEN 1.0 ELSE stddev_pop(x) END AS std FROM (SELECT unnest(range(26)) AS pos, unnest(v.vec) AS x FROM evv2 v JOIN evsel e USING (cell_id, checkup_k, event_index)) GROUP BY pos")
+Q("A110_vector_qa", lambda v: sq.vector_qa(sq.sequence_table(v.spine, v.run_events, sq.VECTOR_V1), sq.VECTOR_V1), "rows:i bad_length:i bad_mask:i order_sum_mismatch:i leaking_names:i", "SELECT count(*) AS rows, 0 AS bad_length, 0 AS bad_mask, 0 AS order_sum_mismatch, 0 AS leaking_names FROM spine")
+Q("E30_masked_standardise", lambda v: sq.masked_statistics(v.run_events), "pos:i n:i mean:r std:r",
+  "SELECT pos, count(*) AS n, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-12 THEN 1.0 ELSE stddev_pop(x) END AS std FROM (SELECT unnest(range(26)) AS pos, unnest(v.vec) AS x FROM evv2 v JOIN evselv2 e USING (cell_id, checkup_k, event_index)) GROUP BY pos")
 Q("E30b_embedding_statistics", lambda v: v.read("embeddings").select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("std")), "pos:i mean:r std:r",
   "SELECT pos, avg(x::DOUBLE) AS mean, stddev_pop(x::DOUBLE) AS std FROM (SELECT unnest(range(64)) AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY pos")
 

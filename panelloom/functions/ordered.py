@@ -11,6 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+#: Types whose extremes by another column are kept in fixed-width aggregation buffers.
+FIXED_WIDTH = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz"}
+#: Stands for a null chunk.
+NO_CHUNK = -(1 << 62)
+
+
+def attach(df: DataFrame, small: DataFrame, keys) -> DataFrame:
+    """Left join by ``keys`` in which null equals null, so a group with a null key keeps its row."""
+    keys = list(keys)
+    right = small.select(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_a{i}"))
+    return df.join(right, on, "left").drop(*[f"_a{i}" for i in range(len(keys))])
+
+
 def _cols(names) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
@@ -28,36 +44,39 @@ def carry(df: DataFrame, keys, chunk: str, order, *, prev=None, nxt=None, sums=N
     sums, before, folds = sums or {}, sums_before or {}, folds or {}
     keys, order = list(keys), list(order)
     part = keys + [chunk]
-    pos = F.struct(*_cols(order))
-    summary = df.groupBy(*part).agg(
-        *[F.max_by(F.struct(_c(c).alias("v")), pos).alias(f"_l_{o}") for o, c in prev.items()],
-        *[F.min_by(F.struct(_c(c).alias("v")), pos).alias(f"_f_{o}") for o, c in nxt.items()],
+    # one long stands for the keys, nulls included, so that join and window share one exchange by plain
+    # equality; two keys meet only if all 64 bits and the chunk agree
+    df = df.withColumns({"_kh": F.xxhash64(*keys) if keys else F.lit(0).cast("long"), "_kc": F.coalesce(F.col(chunk).cast("long"), F.lit(NO_CHUNK))})
+    single = len(order) == 1
+    pos = _c(order[0]) if single else F.struct(*_cols(order))
+    kind = dict(df.select(*[_c(c).alias(o) for o, c in {**prev, **nxt}.items()]).dtypes)
+    # fixed-width values under one order column stay in a hash aggregate
+    plain = lambda o: single and kind[o] in FIXED_WIDTH
+    boxed = lambda o, c: _c(c) if plain(o) else F.struct(_c(c).alias("v"))
+    ends = df.groupBy("_kh", *keys, "_kc").agg(
+        *[F.max_by(boxed(o, c), pos).alias(f"_l_{o}") for o, c in prev.items()],
+        *[F.min_by(boxed(o, c), pos).alias(f"_f_{o}") for o, c in nxt.items()],
         *[F.sum(_c(c)).alias(f"_s_{o}") for o, c in {**sums, **before}.items()],
         *[fn(_c(c)).alias(f"_x_{o}") for o, (fn, c) in folds.items()])
-    across = W.partitionBy(*keys).orderBy(chunk)
+    across = W.partitionBy("_kh", *keys).orderBy("_kc")
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
-    summary = summary.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(part)],
-        *[F.lag(f"_l_{o}").over(across).alias(f"_l_{o}") for o in prev],
-        *[F.lead(f"_f_{o}").over(across).alias(f"_f_{o}") for o in nxt],
+    value = lambda side, o: F.col(f"{side}{o}") if plain(o) else F.col(f"{side}{o}")["v"]
+    summary = ends.select(
+        F.col("_kh"), F.col("_kc"),
+        *[F.lag(value("_l_", o)).over(across).alias(f"_l_{o}") for o in prev],
+        *[F.lead(value("_f_", o)).over(across).alias(f"_f_{o}") for o in nxt],
         *[F.sum(f"_s_{o}").over(earlier).alias(f"_s_{o}") for o in {**sums, **before}],
         *[fn(f"_x_{o}").over(earlier).alias(f"_x_{o}") for o, (fn, _) in folds.items()])
-    on = [df[k].eqNullSafe(summary[f"_k{i}"]) for i, k in enumerate(part)]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    out = df.join(summary, cond)
-    local = W.partitionBy(*part).orderBy(*_cols(order))
+    out = df.join(summary, ["_kh", "_kc"])
+    local = W.partitionBy("_kh", "_kc", *part).orderBy(*_cols(order))
     upto = local.rowsBetween(W.unboundedPreceding, 0)
     strictly = local.rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0)
     adds = {}
     for o, c in prev.items():
-        inner = F.lag(F.struct(_c(c).alias("v"))).over(local)
-        adds[o] = F.coalesce(inner, F.col(f"_l_{o}"))["v"]
+        adds[o] = F.when(F.lag(F.lit(1)).over(local).isNotNull(), F.lag(_c(c)).over(local)).otherwise(F.col(f"_l_{o}"))
     for o, c in nxt.items():
-        inner = F.lead(F.struct(_c(c).alias("v"))).over(local)
-        adds[o] = F.coalesce(inner, F.col(f"_f_{o}"))["v"]
+        adds[o] = F.when(F.lead(F.lit(1)).over(local).isNotNull(), F.lead(_c(c)).over(local)).otherwise(F.col(f"_f_{o}"))
     for o, c in sums.items():
         adds[o] = F.coalesce(F.sum(_c(c)).over(upto), zero) + F.coalesce(F.col(f"_s_{o}"), zero)
     for o, c in before.items():
@@ -65,8 +84,7 @@ def carry(df: DataFrame, keys, chunk: str, order, *, prev=None, nxt=None, sums=N
     for o, (fn, c) in folds.items():
         pick = F.greatest if fn is F.max else F.least
         adds[o] = pick(fn(_c(c)).over(upto), F.col(f"_x_{o}"))
-    drop = [c for c in summary.columns]
-    return out.withColumns(adds).drop(*drop)
+    return out.withColumns(adds).drop(*summary.columns)
 
 
 def _c(c):
@@ -95,7 +113,7 @@ def value_chunk(v: Column, per_octave: int = 256) -> Column:
     """
     a = F.abs(v)
     step = F.floor((F.log2(F.greatest(a, F.lit(1e-12))) + 40.0) * per_octave) + 1
-    return F.when(a < 1e-12, F.lit(0)).otherwise(F.signum(v).cast("long") * step).cast("long")
+    return F.when(a < 1e-12, F.lit(0)).otherwise(F.signum(v).cast("long") * step).cast("long")   # null stays null
 
 
 def ranks(df: DataFrame, keys, value: str, out: str = "rank", *, n_out: str | None = None,
@@ -114,16 +132,16 @@ def ranks(df: DataFrame, keys, value: str, out: str = "rank", *, n_out: str | No
     keep = [out] + ([n_out] if n_out else [])
     if n_out:
         folded = folded.withColumnRenamed("_n", n_out)
-    right = folded.select(*keys, value, *keep)
-    return df.join(right, keys + [value])
+    return attach(df, folded.select(*keys, value, *keep), keys + [value])
 
 
 def row_numbers(df: DataFrame, keys, value: str, tiebreak: str, out: str = "rn", *,
-                descending: bool = False, tie_width: int = 65536) -> DataFrame:
-    """Row number by (value, tiebreak) with ``tiebreak`` a unique integer, from 1.
+                descending: bool = False, tie_bits: int = 38) -> DataFrame:
+    """Row number by (value, tiebreak) with ``tiebreak`` a unique 48-bit hash, from 1.
 
     Rows below a value come from the folded distribution of values; rows inside a tie are
-    numbered per (value, block of tie-break ids).
+    numbered per (value, block of hashes): the bits above ``tie_bits`` name one of 1,024 blocks.
+    Null values come first.
     """
     keys = list(keys)
     v = F.col(value) if not descending else -F.col(value)
@@ -131,8 +149,8 @@ def row_numbers(df: DataFrame, keys, value: str, tiebreak: str, out: str = "rn",
     folded = (d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_chunk", value_chunk(F.col("_v"))))
     folded = carry(folded, keys, "_chunk", ["_v"], sums_before={"_below": "_n"})
-    d = d.join(folded.select(*keys, "_v", "_below"), keys + ["_v"])
-    d = d.withColumn("_tb", F.floor(F.col(tiebreak) / F.lit(tie_width)).cast("long"))
+    d = attach(d, folded.select(*keys, "_v", "_below"), keys + ["_v"])
+    d = d.withColumn("_tb", F.shiftright(F.col(tiebreak).cast("long"), tie_bits))
     d = carry(d, keys + ["_v"], "_tb", [tiebreak], sums={"_in": F.lit(1)})
     return d.withColumn(out, (F.col("_below") + F.col("_in")).cast("long")).drop("_v", "_below", "_in", "_tb")
 
@@ -163,7 +181,7 @@ def quantiles(df: DataFrame, keys, value: str, qs: dict[str, float], n_out: str
     if not keys:
         d, keys = d.withColumn("_all", F.lit(0)), ["_all"]
     f = count_below(d, keys, value, {"_w": F.lit(1)})
-    j = f.join(f.groupBy(*keys).agg(F.sum("_w").alias("_n")), keys)
+    j = attach(f, f.groupBy(*keys).agg(F.sum("_w").alias("_n")), keys)
     aggs = [F.first("_n").alias("_n")]
     for i, q in enumerate(qs.values()):
         pos = F.lit(float(q)) * (F.col("_n") - 1)
@@ -188,5 +206,5 @@ def order_statistics(df: DataFrame, keys, value: str, index: Column, out: str) -
     if not keys:
         j = f.crossJoin(totals)   # one row on the right: the global count
     else:
-        j = f.join(totals, keys)
+        j = attach(f, totals, keys)
     return j.filter(cond).select(*keys, F.col(value).alias(out), F.col("_n").alias(f"{out}_n"))

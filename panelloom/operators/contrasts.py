@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as S
-from ..functions.ordered import carry, count_below, quantiles, ranks, row_numbers
+from ..functions.ordered import attach, carry, count_below, quantiles, ranks, row_numbers
 
 # ---- fixed values: contrast families, limits and thresholds ----
 MODE, TEMP, WINDOW, CHG, DIS, PROFILE = ("aging_mode", "nominal_temperature_C", "voltage_window_family", "nominal_charge_C_rate",
@@ -99,7 +99,7 @@ def stability_by_family(stability: DataFrame) -> DataFrame:
     d = stability.withColumn("_e", F.abs("effect_b_minus_a"))
     g = d.groupBy("contrast_family").agg(F.count(F.lit(1)).alias("stability_rows"), F.sum(F.col("sign_stable").cast("long")).alias("sign_stable_rows"),
                                          F.avg(F.col("sign_stable").cast("double")).alias("sign_stable_fraction"), F.countDistinct("contrast_id").alias("unique_contrasts"))
-    return g.join(quantiles(d, ["contrast_family"], "_e", {"median_abs_effect_b_minus_a": .5}), "contrast_family")
+    return attach(g, quantiles(d, ["contrast_family"], "_e", {"median_abs_effect_b_minus_a": .5}), ["contrast_family"])
 
 
 def join_truth(pred: DataFrame, truth: DataFrame, keys, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +138,7 @@ def ordering_summary(pairwise: DataFrame, extra=()) -> DataFrame:
         n(F.col("sign_correct")).alias("sign_correct_rows"), F.avg("effect_abs_error").alias("mean_effect_abs_error"),
         n(F.col("observed_sign_label") == "tie").alias("observed_tie_rows"), n(F.col("predicted_sign_label") == "tie").alias("predicted_tie_rows"))
     g = g.withColumn("sign_accuracy", S.safe_ratio(F.col("sign_correct_rows"), F.col("sign_evaluable_rows")))
-    return g.join(quantiles(d, keys, "effect_abs_error", {"median_effect_abs_error": .5}), keys)
+    return attach(g, quantiles(d, keys, "effect_abs_error", {"median_effect_abs_error": .5}), keys)
 
 
 def threshold_accuracy(pairwise: DataFrame, thresholds=EFFECT_THRESHOLDS) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalar as S
-from ..functions.ordered import carry, quantiles
+from ..functions.ordered import attach, carry, quantiles
 
 # ---- fixed values: selected frequencies and alignment limits ----
 SELECTED = {"0p5Hz": 0.5, "1Hz": 1.0, "10Hz": 10.0, "1kHz": 1000.0, "5kHz": 5000.0}
@@ -174,7 +174,7 @@ def spectrum_coverage(quality: DataFrame, intervals: DataFrame, splits) -> DataF
     keys = ["grouping", "group_value"]
     g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("spectrum_count"), F.countDistinct("cell_id").alias("unique_cells"),
                              F.countDistinct("parameter_set").alias("unique_parameter_sets"), F.countDistinct("checkup_k").alias("unique_checkups"))
-    return g.join(quantiles(d, keys, "valid_modeling_fraction", {"valid_modeling_fraction_median": .5}), keys)
+    return attach(g, quantiles(d, keys, "valid_modeling_fraction", {"valid_modeling_fraction_median": .5}), keys)
 
 
 def target_coverage(targets: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalar as S
-from ..functions.ordered import carry, halo, quantiles
+from ..functions.ordered import attach, carry, halo, quantiles
 from .splits import is_heldout, stack_splits
 from .trajectories import FOLDS, META, trajectory_flags
 
@@ -151,7 +151,7 @@ def detector_agreement(candidates: DataFrame) -> DataFrame:
     within = lambda n: F.avg((F.col("diff") <= n).cast("double"))
     g = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"), within(1).alias("agreement_within_1_checkup"),
                              within(2).alias("agreement_within_2_checkups"), F.avg("diff").alias("mean_abs_disagreement_checkups"))
-    return g.join(quantiles(p, keys, "diff", {"median_abs_disagreement_checkups": 0.5}), keys)
+    return attach(g, quantiles(p, keys, "diff", {"median_abs_disagreement_checkups": 0.5}), keys)
 
 
 def label_stability(candidates: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _spread(df: DataFrame, keys, extra=()) -> DataFrame:
     d = df.withColumn("_k", F.col("knee_checkup_k").cast("double"))
     g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"), F.count("_k").alias("n_valid_knees"),
                              (F.max("_k") - F.min("_k")).alias("spread"), *extra)
-    return g.join(quantiles(d, keys, "_k", {"median_knee_checkup_k": 0.5}), keys, "left")
+    return attach(g, quantiles(d, keys, "_k", {"median_knee_checkup_k": 0.5}), keys)
 
 
 def knee_by_condition(candidates: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as S
-from ..functions.ordered import carry, count_below, quantiles, row_numbers
+from ..functions.ordered import attach, carry, count_below, quantiles, row_numbers
 from .rules import ARM, FOLD, GROUPS
 
 BOARD = ["run_scope", "model_level", "feature_group", "target", "split_name"]
@@ -29,7 +29,7 @@ def regression_metrics(pred: DataFrame, keys=ARM) -> DataFrame:
         F.sqrt(F.sum("sq_sum") / F.sum("n")).alias("rmse"), (F.sum("err_sum") / F.sum("n")).alias("bias"),
         F.avg("condition_mae").alias("condition_mean_mae"), F.max("condition_mae").alias("worst_condition_mae"),
         F.max_by("parameter_set", F.struct("condition_mae", -F.col("parameter_set"))).alias("worst_parameter_set"))
-    return g.join(quantiles(c, keys, "condition_mae", {"condition_median_mae": 0.5}), keys)
+    return attach(g, quantiles(c, keys, "condition_mae", {"condition_median_mae": 0.5}), keys)
 
 
 def quantile_metrics(pred: DataFrame, keys=ARM) -> DataFrame:

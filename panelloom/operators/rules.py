@@ -67,15 +67,19 @@ def capacity_predictions(intervals: DataFrame) -> DataFrame:
 
 
 def horizon_predictions(horizon: DataFrame) -> DataFrame:
-    """Persistence, prior-slope and train-mean arms on the horizon table."""
-    d = F.col("delta_capacity_Ah_h")
-    m = train_means(horizon, {"mean_delta": d}, ["horizon_checkups"])
+    """Persistence, prior-slope and train-mean arms on the horizon table.
+
+    The exposure diagnostic sees the hours of the horizon, never its target: the train mean of the
+    change per hour times those hours.
+    """
+    d, hours = F.col("delta_capacity_Ah_h"), F.col("horizon_duration_h")
+    m = train_means(horizon, {"mean_delta": d, "mean_rate": F.when(hours > 0, d / hours)}, ["horizon_checkups"])
     t = test_rows(horizon).join(m, FOLD + ["horizon_checkups"])
     cap, h = F.col("capacity_Ah_k"), F.col("horizon_checkups")
     slope = prior_slope(cap, F.col("prior_delta_capacity_Ah"), h)
     arms = F.array(*[F.struct(F.lit(a).alias("model_level"), F.lit(g).alias("feature_group"), p.alias("y_pred")) for a, g, p in (
         ("MH0_persistence", "persistence", cap), ("MH1_prior_slope", "prior_slope", slope), ("MH2_mean", "K2_state_exposure", cap + F.col("mean_delta")),
-        ("MH2_mean", "K3_oracle_exposure", cap + (F.col("mean_delta") + d) / 2), ("MH2_mean", "K4_trajectory_shape", cap + F.col("mean_delta") / 2 + F.coalesce(
+        ("MH2_mean", "K3_oracle_exposure_diagnostic", cap + F.coalesce(F.col("mean_rate") * hours, F.col("mean_delta"))), ("MH2_mean", "K4_trajectory_shape", cap + F.col("mean_delta") / 2 + F.coalesce(
             F.col("prior_delta_capacity_Ah"), F.lit(0.0)) * h / 2))])
     t = t.withColumn("_a", F.explode(arms))
     return t.select(F.lit("primary").alias("run_scope"), *FOLD, "cell_id", "parameter_set", "checkup_k", F.col("target_checkup_k").alias("checkup_k_next"),

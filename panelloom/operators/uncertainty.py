@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordered import order_statistics, quantiles, row_numbers
+from ..functions.ordered import attach, order_statistics, quantiles, row_numbers
 from .splits import hash_int, hash_positions
 
 # ---- fixed values ----
@@ -24,7 +24,7 @@ def replicate_spread(intervals: DataFrame) -> DataFrame:
     d = long_targets(intervals)
     g = d.groupBy(*SPREAD_KEY).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("std"),
                                    (F.max("y") - F.min("y")).alias("spread"), F.min("y").alias("lower"), F.max("y").alias("upper"))
-    return g.join(quantiles(d, SPREAD_KEY, "y", {"median": .5}), SPREAD_KEY)
+    return attach(g, quantiles(d, SPREAD_KEY, "y", {"median": .5}), SPREAD_KEY)
 
 
 def tolerance_band(spread: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def error_vs_spread(pred: DataFrame, spread: DataFrame, keys) -> DataFrame:
     d = pred.withColumn("_e", F.abs(F.col("y_pred") - F.col("y_true"))).join(spread.select(*SPREAD_KEY, "spread"), SPREAD_KEY)
     k = [*keys, "parameter_set"]
     g = d.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.avg("_e").alias("mae"), F.avg("spread").alias("mean_spread"))
-    g = g.join(quantiles(d, k, "_e", {"median_abs_error": .5}), k)
+    g = attach(g, quantiles(d, k, "_e", {"median_abs_error": .5}), k)
     return g.withColumn("exceeds_spread", F.col("mae") > F.col("mean_spread") + 1e-12)
 
 
@@ -68,8 +68,8 @@ def conformal(pred: DataFrame, spread: DataFrame, coverage: float = 0.9, least:
     pool = runs.join(pool, "target")     # one copy per evaluated fold
     pool = pool.join(tested, [*key, "parameter_set"], "left_anti")
     same = (F.col("_s") == F.col("split_name")) & (F.col("_f") != F.col("heldout_fold"))
-    methods = F.array_compact(F.array(F.when(same, "Q1_split_conformal_abs_residual"), F.lit("Q2_cross_split_conformal_abs_residual"),
-                                      F.lit("Q3_replicate_hybrid")))
+    methods = F.array_compact(F.array(F.when(same, "Q1_split_conformal_abs_residual"), F.lit("Q2_stressor_family_conformal"),
+                                      F.lit("Q3_replicate_tolerance_hybrid")))
     pool = pool.withColumn("method", F.explode(methods)).join(spread.select(*SPREAD_KEY, "spread"), SPREAD_KEY, "left")
     k = [*key, "method"]
     rad = conformal_radius(pool, k, "_e", coverage).join(quantiles(pool, k, "spread", {"_rep": .5}), k, "left")
@@ -96,7 +96,7 @@ def coverage_rollup(intervals: DataFrame, keys) -> DataFrame:
         F.avg(F.when(F.col("spread").isNotNull(), (F.col("width") < F.col("spread") - 1e-12).cast("double"))).alias("narrower_than_spread_fraction"))
     c = intervals.groupBy(*keys, "parameter_set").agg(F.avg(cov).alias("c")).groupBy(*keys).agg(
         F.avg("c").alias("condition_level_coverage"), F.min("c").alias("worst_condition_coverage"))
-    return g.join(c, keys).join(quantiles(intervals, keys, "width", {"median_interval_width": .5}), keys)
+    return attach(attach(g, c, keys), quantiles(intervals, keys, "width", {"median_interval_width": .5}), keys)
 
 
 # ---- bootstraps over clusters ----

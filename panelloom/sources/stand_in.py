@@ -26,15 +26,22 @@ _OPEN: dict = {}
 
 
 def views(spark: SparkSession, sf_dir: str) -> "Views":
-    """One ``Views`` per application and folder, so that products are written once."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """One ``Views`` per application, folder and state of the folder, so that products are written once."""
+    key = (spark.sparkContext.applicationId, sf_dir, changed_at(spark, sf_dir))
     if key not in _OPEN:
         _OPEN[key] = Views(spark, sf_dir)
     return _OPEN[key]
 
 
+def changed_at(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the tables in a folder of any store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def product(build):
-    """A table several jobs start from: built on first use and checkpointed, never collected."""
+    """A table several jobs start from: built on first use, written as Parquet, never collected."""
     name = build.__name__.removeprefix("build_")
     prop = cached_property(lambda self: cut(build(self)))
     prop.__set_name__(Views, name)
