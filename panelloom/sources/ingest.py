@@ -36,9 +36,10 @@ def modality_of(name: Column) -> Column:
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """A directory of ``;`` CSV files as text columns with the file name and its cell.
 
-    The header of the first file names the columns; nothing is inferred from values.
+    The header of the first file names the columns; nothing is inferred from values.  A file whose
+    header differs, in names or order, is an error and never read by position.
     """
-    df = spark.read.option("sep", ";").option("header", True).option("inferSchema", False).csv(path)
+    df = spark.read.option("sep", ";").option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return df.select("*", name.alias("source_file"), cell_of(name).alias("cell_id"),
                      F.col("_metadata.file_block_start").alias("_block"))

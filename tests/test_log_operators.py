@@ -1,6 +1,7 @@
 """Hand-made fixtures with known results for the log operators."""
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelloom.functions.ordered import carry, quantiles, ranks, row_numbers
@@ -78,7 +79,7 @@ def test_chunked_windows_equal_plain_loops_with_a_hot_key(spark):
         xs = [s[2] for s in seq]
         assert r["p"] == (xs[i - 1] if i else None) and r["n"] == (xs[i + 1] if i + 1 < len(xs) else None)
         assert r["s"] == sum(xs[:i + 1]) and r["b"] == i and r["m"] == max(xs[:i + 1])
-    rn = {(r["id"]): r["rn"] for r in row_numbers(df, ["key"], "x", "id", tie_width=16).collect()}
+    rn = {(r["id"]): r["rn"] for r in row_numbers(df, ["key"], "x", "id", tie_bits=4).collect()}
     rk = {(r["id"]): r["rank"] for r in ranks(df, ["key"], "x").collect()}
     for seq in by.values():
         order = sorted(seq, key=lambda s: (s[2], s[1]))
@@ -92,3 +93,36 @@ def test_chunked_windows_equal_plain_loops_with_a_hot_key(spark):
         p = .3 * (len(xs) - 1)
         want = xs[int(p)] + (p - int(p)) * (xs[min(int(p) + 1, len(xs) - 1)] - xs[int(p)])
         assert abs(q[k] - want) < 1e-9
+
+
+def test_raw_files_with_another_header_are_an_error(spark, tmp_path):
+    from panelloom.sources import ingest
+    (tmp_path / "a_P001_1.csv").write_text("timestamp_s;v_raw_V\n1;3.5\n2;3.6\n")
+    assert [r["v_raw_V"] for r in ingest.read_raw(spark, str(tmp_path)).orderBy("timestamp_s").collect()] == ["3.5", "3.6"]
+    (tmp_path / "b_P001_2.csv").write_text("v_raw_V;timestamp_s\n3.7;3\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        ingest.read_raw(spark, str(tmp_path)).collect()
+
+
+def test_ties_null_keys_and_hot_values(spark):
+    from pyspark.sql import functions as F
+    from panelloom.functions.ordered import attach, carry, quantiles, ranks, row_numbers
+    rows = [(None if i % 5 == 0 else f"k{i % 2}", None if i % 7 == 0 else (0.5 if i % 3 else float(i)), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, x double, i long").withColumn("h", F.shiftrightunsigned(F.xxhash64("i"), 16))
+    got = {r["i"]: r["rn"] for r in row_numbers(df, ["k"], "x", "h").collect()}
+    order = {r["i"]: r["h"] for r in df.collect()}
+    for key in (None, "k0", "k1"):
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0.0, order[r[2]]))
+        assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+    assert ranks(df, ["k"], "x").count() == 600
+    assert {r["k"] for r in quantiles(df, ["k"], "x", {"m": .5}).collect()} == {None, "k0", "k1"}
+    small = spark.createDataFrame([(None, 1)], "k string, v int")
+    assert attach(df, small, ["k"]).where("v = 1").count() == 120
+    # a third of the rows share one value; no block of the tie holds more than a few of them
+    d = df.where("x = 0.5").groupBy("k", F.shiftright("h", 38)).count()
+    assert d.agg(F.max("count")).first()[0] < 20
+    seen = carry(df.withColumn("c", F.floor(F.col("i") / 50)), ["k"], "c", ["i"], prev={"p": "i"}, nxt={"n": "x"}, sums={"s": F.lit(1)}).collect()
+    for key in (None, "k0", "k1"):
+        mine = sorted((r for r in seen if r["k"] == key), key=lambda r: r["i"])
+        assert [r["p"] for r in mine] == [None] + [r["i"] for r in mine[:-1]]
+        assert [r["n"] for r in mine] == [r["x"] for r in mine[1:]] + [None] and [r["s"] for r in mine] == list(range(1, len(mine) + 1))
