@@ -11,16 +11,22 @@ from panelloom.llm import decontaminate, linededup, mixpack, superminhash, toxic
 from panelloom.llm.common import id_key, packed, read, sized, union_all, written
 
 
+#: A text with a word.
+WORD = r"[^\x20\x09-\x0D]"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold."""
     return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; lines in windows that occur earlier are taken out, and n_chars follows the text.
+    """Lines in windows that occur earlier are taken out, and n_chars follows the text.
 
-    A document that loses all its lines stays with what is left (blank lines or an empty text)."""
+    A document that loses lines and has no word left goes: all of it stands elsewhere.  Texts that had no
+    word before stay."""
     clean = linededup.dedup_lines(packed(docs).select("row", "row.doc_id", "row.text"))
+    clean = clean.where((F.col("n_removed") == 0) | F.col("clean_text").rlike(WORD))
     out = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
         length = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
@@ -39,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = written(found.where("kept and n_shingles > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "again")
     if again.isEmpty():
         return rows.select("row.*")
-    several = rows.join(sized(again), "id", "left_semi").withColumn("worded", F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    several = rows.join(sized(again), "id", "left_semi").withColumn("worded", F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)))
     one = several.where("worded").groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
     return union_all([f.select("row.*") for f in (rows.join(sized(again), "id", "left_anti"), several.where("not worded"), one)])
 
