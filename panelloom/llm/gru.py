@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .common import _BASE, _INVERSE, _IS_SPACE, _TABLE_FOLDED, _power, mix  # noqa: F401
+from .common import _IS_SPACE, _TABLE_FOLDED, CHUNK_BYTES, _power, mix
 
 PIECE = 16                  # a longer word is read as several pieces
 GRAMS = (3, 5)              # bytes of a character n-gram; white space marks the ends of a word
@@ -27,9 +27,9 @@ _EVEN[_IS_SPACE] = _TABLE_FOLDED[32]
 def pieces_of(run: list[bytes]):
     """Words of the texts, A-Z folded, cut into pieces.
 
-    Returns (index, bounds, buckets, grams, counts): piece i of the texts is distinct piece index[i];
-    text k has pieces bounds[k] to bounds[k + 1]; each distinct piece has a word bucket and a row of
-    n-gram buckets, of which counts are real.
+    Returns (index, bounds, buckets, grams, counts, hashes): piece i of the texts is distinct piece
+    index[i]; text k has pieces bounds[k] to bounds[k + 1]; each distinct piece has a word bucket, a row
+    of n-gram buckets, of which counts are real, and a 64-bit hash.
     """
     a = np.frombuffer(b" " + b" ".join(run) + b" ", np.uint8)
     space = _IS_SPACE[a]
@@ -55,10 +55,32 @@ def pieces_of(run: list[bytes]):
         real = np.arange(PIECE + 3 - size)[None, :] <= (n - size)[:, None]
         lo = np.minimum(offset, len(a) - size)
         g = mix((prefix[lo + size] - prefix[lo]) * inverse[lo] + np.uint64(size))
-        grams.append(np.where(real, 1 + (g % np.uint64(GRAM_BUCKETS - 1)).astype(np.int64), 0))
+        grams.append(np.where(real, 1 + (g % np.uint64(GRAM_BUCKETS - 1)).astype(np.int32), 0))
         counts += real.sum(axis=1)
     buckets = 1 + (distinct % np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
-    return index, bounds, buckets, np.concatenate(grams, axis=1), np.maximum(counts, 1)
+    return index.astype(np.int32), bounds, buckets, np.concatenate(grams, axis=1), np.maximum(counts, 1), distinct
+
+
+def gathered(texts: list[bytes]):
+    """As ``pieces_of`` for many texts, in runs of bounded size."""
+    runs, run, size = [], [], 0
+    for t in [*texts, None]:
+        if run and (t is None or size + len(t) > CHUNK_BYTES):
+            runs.append(pieces_of(run))
+            run, size = [], 0
+        if t is not None:
+            run.append(t)
+            size += len(t)
+    hashes = np.concatenate([r[5] for r in runs])
+    distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    index, bounds, before, pieces = [], [np.zeros(1, np.int64)], 0, 0
+    for r in runs:
+        index.append(number[before + r[0]].astype(np.int32))
+        bounds.append(r[1][1:] - r[1][0] + pieces)
+        before += len(r[5])
+        pieces += len(r[0])
+    take = lambda k: np.concatenate([r[k] for r in runs])[first]
+    return np.concatenate(index), np.concatenate(bounds), take(2), take(3), take(4), distinct
 
 
 def window_starts(n: int) -> list[int]:
@@ -79,8 +101,8 @@ def windows_of(index: np.ndarray, bounds: np.ndarray):
     at = rows[:, None] + np.arange(STEPS)[None, :]
     real = at < bounds[owner + 1][:, None]
     if not len(index):
-        return np.zeros(at.shape, np.int64), owner
-    return np.where(real, index[np.minimum(at, len(index) - 1)] + 1, 0), owner
+        return np.zeros(at.shape, np.int32), owner
+    return np.where(real, index[np.minimum(at, len(index) - 1)] + 1, 0).astype(np.int32), owner
 
 
 def _sigmoid(x):
@@ -196,7 +218,7 @@ class Network:
 
     def text_logits(self, run: list[bytes], at_once: int = 4096) -> np.ndarray:
         """Largest window logit of each text; every window of every text is scored."""
-        index, bounds, buckets, grams, counts = pieces_of(run)
+        index, bounds, buckets, grams, counts, _ = pieces_of(run)
         rows, owner = windows_of(index, bounds)
         x = self.inputs(buckets, grams, counts)
         out = np.full(len(run), -np.inf)
@@ -224,12 +246,19 @@ class Adam:
             v -= self.rate * (self.m[k] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[k] / (1 - 0.999 ** self.t)) + 1e-8)
 
 
-def _odds(pieces: np.ndarray, documents: np.ndarray, labels: np.ndarray, buckets: int) -> np.ndarray:
-    """Log odds of label 1 given a bucket, from the documents that hold it."""
-    pair = np.unique(documents.astype(np.int64) * buckets + pieces)
-    doc, bucket = pair // buckets, pair % buckets
-    one = np.bincount(bucket[labels[doc] == 1], minlength=buckets)
-    none = np.bincount(bucket[labels[doc] == 0], minlength=buckets)
+def _odds(held: np.ndarray, document: np.ndarray, buckets: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """Log odds of label 1 given a bucket, from the documents that hold it.
+
+    Piece held[i] lies in document[i] (ascending) and has the bucket or buckets buckets[held[i]].
+    """
+    one, none = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    cuts = np.searchsorted(document, np.arange(0, len(labels) + 64, 64))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        own = buckets[held[lo:hi]].reshape(hi - lo, -1).astype(np.int64)
+        pair = np.unique((document[lo:hi, None] * size + own).reshape(-1))
+        is_one = labels[pair // size] == 1
+        one += np.bincount(pair[is_one] % size, minlength=size)
+        none += np.bincount(pair[~is_one] % size, minlength=size)
     odds = np.log((one + 0.5) / (labels.sum() + 1)) - np.log((none + 0.5) / ((1 - labels).sum() + 1))
     sure = np.abs(odds) - 2 * np.sqrt(1 / (one + 0.5) + 1 / (none + 0.5))      # two standard errors nearer to 0
     odds = np.where(one + none < LEAST_TEXTS, 0, np.sign(odds) * np.clip(sure, 0, 4)).astype(np.float32)
@@ -250,7 +279,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int =
     fit = [t for t, a in zip(texts, apart) if not a]
     network = _fit(fit, labels[~apart], epochs, batch, rate, seed)
     kept = [t for t, a in zip(texts, apart) if a] or fit
-    logits = np.concatenate([network.text_logits(kept[lo:lo + 256]) for lo in range(0, len(kept), 256)])
+    logits = np.concatenate([network.text_logits(kept[lo:lo + 64]) for lo in range(0, len(kept), 64)])
     network.weights["scale"] = _scale(logits, labels[apart] if apart.any() else labels)
     return network
 
@@ -273,13 +302,12 @@ def _scale(x: np.ndarray, labels: np.ndarray, steps: int = 60) -> np.ndarray:
 
 def _fit(texts, labels, epochs, batch, rate, seed) -> Network:
     network, r = Network.new(seed), np.random.default_rng(seed)
-    index, bounds, buckets, grams, counts = pieces_of(texts)
+    index, bounds, buckets, grams, counts, _ = gathered(texts)
     rows, owner = windows_of(index, bounds)
-    document = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    network.weights["word"][:, 0] = _odds(buckets[index], document, labels, WORD_BUCKETS)
-    held = np.unique(document * len(buckets) + index)          # distinct pieces of each text
-    held_doc, held_piece = held // len(buckets), held % len(buckets)
-    network.weights["gram"][:, 0] = _odds(grams[held_piece].reshape(-1), np.repeat(held_doc, grams.shape[1]), labels, GRAM_BUCKETS)
+    held = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * len(buckets) + index)      # distinct pieces of each text
+    document, held = held // len(buckets), held % len(buckets)
+    network.weights["word"][:, 0] = _odds(held, document, buckets, labels, WORD_BUCKETS)
+    network.weights["gram"][:, 0] = _odds(held, document, grams, labels, GRAM_BUCKETS)
     x = network.inputs(buckets, grams, counts)
     optimiser = Adam(network, rate)
     first = np.searchsorted(owner, np.arange(len(texts)))

@@ -9,9 +9,9 @@ from . import gru
 from .common import from_key, id_key, text_chunks
 
 #: The classifier is fitted on so many labelled rows of each label at most, by hash of their id ...
-ONES, ZEROS = 1500, 2500
+ONES, ZEROS = 1000, 2000
 #: ... among texts of at most so many bytes.
-LONGEST = 100_000
+LONGEST = 30_000
 THRESHOLD = 0.3
 
 
