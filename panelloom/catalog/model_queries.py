@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..operators import metrics as me, models as mo, rules as ru, sequences as sq, uncertainty as un
+from ..operators.splits import SPLITS
 from .base import Q
 
-CR, PR, CF = "c_rate_holdout_fold", "profile_holdout_fold", "condition_fold"
+CR, PR = "c_rate_holdout_fold", "profile_holdout_fold"
 DELTA = "delta_capacity_Ah"
 ARM = "split_name heldout_fold:i model_level feature_group target test_rows:i mae:r rmse:r condition_mean_mae:r worst_condition_mae:r"
 
@@ -17,8 +18,17 @@ def _met(pred):
 
 
 Q("E08_ridge_trees_quantile", lambda v: _met(mo.run_arms(v.intervals, CR, DELTA, ["L1_ridge", "L2_trees", "L3_quantile"])), ARM)
-Q("E28_semi_empirical_ridge", lambda v: _met(mo.run_arms(v.intervals.withColumns({"sqrt_days": F.sqrt("calendar_days"), "sqrt_efc": F.sqrt(F.greatest(F.coalesce("log_age_efc_delta", F.lit(0.0)), F.lit(0.0)))}), CF, DELTA, ["L1_ridge"],
-  ["sqrt_days", "sqrt_efc", "nominal_temperature_C", "nominal_charge_C_rate"], group="SE2_sqrt_time_efc")), ARM)
+
+
+def _semi_empirical(v):
+    """Square-root laws of time and throughput on every split."""
+    efc = F.greatest(F.coalesce("log_age_efc_delta", F.lit(0.0)), F.lit(0.0))
+    d = cut(v.intervals.withColumns({"sqrt_days": F.sqrt("calendar_days"), "sqrt_efc": F.sqrt(efc)}))
+    numeric = ["sqrt_days", "sqrt_efc", "nominal_temperature_C", "nominal_charge_C_rate"]
+    return _met(un.union_all([mo.run_arms(d, s, DELTA, ["L1_ridge"], numeric, group="SE2_sqrt_time_efc") for s in SPLITS]))
+
+
+Q("E28_semi_empirical_ridge", _semi_empirical, ARM)
 Q("B45_semi_empirical_run", lambda v: _met(mo.run_arms(v.intervals.withColumn("sqrt_days", F.sqrt("calendar_days")), PR, DELTA, ["L1_ridge"], ["sqrt_days", "nominal_temperature_C"], group="SE1_sqrt_time")), ARM)
 Q("E09_horizon_models", lambda v: _met(mo.run_arms(v.horizon, CR, "capacity_Ah_kh", ["L1_ridge", "L2_trees"], ["capacity_Ah_k", "horizon_checkups", "prior_delta_capacity_Ah", "calendar_day_k", "nominal_temperature_C"], group="K2_nominal_condition")), ARM)
 Q("E10_diagnostic_models", lambda v: _met(mo.run_arms(v.diagnostic, CR, "diagnostic_value_kh", ["L1_ridge", "L2_trees"], ["diagnostic_value_k", "horizon_checkups", "capacity_Ah_k", "nominal_temperature_C"], ["target_name"], group="DH3")), ARM)
@@ -75,7 +85,7 @@ for _n in ("E15_platt_isotonic", "B36_warning_calibration_run"):
 
 
 def _robust(v):
-    return _met(un.union_all([mo.weighted_arm(v.intervals, CR, DELTA, k) for k in ("R0_reference", "R1_condition_balanced", "R2_stressor_balanced", "R3_bagged")]))
+    return _met(un.union_all([mo.weighted_arm(v.intervals, CR, DELTA, k, steps=10) for k in ("R0_reference", "R1_condition_balanced", "R2_stressor_balanced", "R3_bagged")]))
 
 
 for _n in ("E19_weighted_bagged_trees", "B32_robust_capacity_run"):
@@ -98,7 +108,7 @@ for _n in ("E26_out_of_fold_stacking", "B42_distillation_run"):
 
 
 def _seq(v):
-    s = sq.sequence_table(v.spine, v.run_events, sq.VECTOR_V1, 4).select("cell_id", "checkup_k", "true_sequence_vector", "shuffled_sequence_vector")
+    s = sq.sequence_table(v.spine, v.run_events, sq.VECTOR_V1).select("cell_id", "checkup_k", "true_sequence_vector", "shuffled_sequence_vector")
     d = v.intervals.join(s, ["cell_id", "checkup_k"])
     return _met(mo.sequence_ridge(d, CR, DELTA).unionByName(mo.sequence_ridge(d, CR, DELTA, "shuffled_sequence_vector", "S1_shuffled_ridge")))
 

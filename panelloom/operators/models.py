@@ -24,6 +24,8 @@ from .uncertainty import cluster_weights
 NUMERIC = ["capacity_Ah_k", "nominal_temperature_C", "nominal_charge_C_rate", "duration_h", "log_age_efc_delta"]
 CATEGORICAL = ["voltage_window_family", "profile_label"]
 KEEP = ["cell_id", "parameter_set", "checkup_k"]
+#: Boosting steps of every tree arm unless named otherwise.
+STEPS = 50
 
 
 def fold_ids(df: DataFrame, split: str) -> list[int]:
@@ -71,7 +73,7 @@ def tag(pred: DataFrame, split: str, fold: int, model: str, group: str, target:
 
 
 def run_arms(df: DataFrame, split: str, target: str, arms, numeric=NUMERIC, categorical=CATEGORICAL, group: str = "F4_state_log_age_scalar",
-             seed: int = 42, steps: int = 5) -> DataFrame:
+             seed: int = 42, steps: int = STEPS) -> DataFrame:
     """Predictions of the named arms on every held-out fold.
 
     arms: any of L1_ridge, L2_trees, L3_quantile (mean trees plus train-residual quantiles)
@@ -98,7 +100,7 @@ def run_arms(df: DataFrame, split: str, target: str, arms, numeric=NUMERIC, cate
 
 # ---- probabilities ----
 def run_warning_arms(warning: DataFrame, split: str, target: str, arms=("B5_logistic", "B6_trees"), numeric=("soh_k", "calendar_day_k", "cumulative_efc_k", "nominal_temperature_C"),
-                     categorical=CATEGORICAL, seed: int = 42, steps: int = 5, C: float = 1.0) -> DataFrame:
+                     categorical=CATEGORICAL, seed: int = 42, steps: int = STEPS, C: float = 1.0) -> DataFrame:
     """Event probabilities; a train side with one class falls back to its prior."""
     d = warning.withColumn("y", F.col(target).cast("double"))
     out = []
@@ -137,7 +139,7 @@ def calibrate(base: DataFrame, test: DataFrame, method: str, min_class: int = 5)
 
 
 # ---- weighted, bagged and selected trees ----
-def weighted_arm(df: DataFrame, split: str, target: str, kind: str, strength: float = 1.0, bags: int = 3, seed: int = 42, steps: int = 5,
+def weighted_arm(df: DataFrame, split: str, target: str, kind: str, strength: float = 1.0, bags: int = 3, seed: int = 42, steps: int = STEPS,
                  numeric=NUMERIC, categorical=CATEGORICAL, name: str | None = None) -> DataFrame:
     """R0 plain, R1 condition weights, R2 stressor weights, R3 bags of resampled conditions.
 
@@ -170,7 +172,7 @@ def _weights(a: DataFrame, split: str, kind: str, strength: float) -> DataFrame:
     return a.withColumn("weight", F.lit(1.0))
 
 
-def nested_errors(df: DataFrame, split: str, fold: int, target: str, settings, inner: int = 2, seed: int = 42, steps: int = 3) -> DataFrame:
+def nested_errors(df: DataFrame, split: str, fold: int, target: str, settings, inner: int = 2, seed: int = 42, steps: int = STEPS) -> DataFrame:
     """Inner-fold condition errors of each setting, on the train side of one outer fold.
 
     settings: list of (name, kind, strength)
