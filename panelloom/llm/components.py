@@ -15,23 +15,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = written(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m"), (F.col(a) != F.col(b)).alias("_use"))
                 .where("_use").select("v", "m").distinct(), "edges")
-    state = _state(e)
-    while state[0]:
+    while not _stars(e):
         both = e.select(F.col("v").alias("u"), F.col("m").alias("w")).union(e.select(F.col("m"), F.col("v")))
         least = both.groupBy("u").agg(F.min("w").alias("_m")).select("u", F.least("u", "_m").alias("least"))
         large = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), F.col("least").alias("m"))
         low = large.groupBy("v").agg(F.min("m").alias("least"))
         small = large.join(low, "v").where("m != least").select(F.col("m").alias("v"), F.col("least").alias("m"))
         e = written(low.select("v", F.col("least").alias("m")).union(small).distinct(), "edges")
-        after = _state(e)
-        if after == state:
-            break
-        state = after
-    label = e.groupBy("v").agg(F.min("m").alias("component"))
-    roots = label.select(F.col("component").alias("id"), "component").distinct()
-    return label.select(F.col("v").alias("id"), "component").union(roots)
+    roots = e.select(F.col("m").alias("id")).distinct()
+    return e.select(F.col("v").alias("id"), F.col("m").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
 
-def _state(e: DataFrame) -> tuple:
-    r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _stars(e: DataFrame) -> bool:
+    """Whether every vertex has one least neighbour, and no vertex that has one is one."""
+    ends = e.select(F.col("v").alias("x"), F.lit(1).alias("has"), F.lit(0).alias("is")).union(e.select("m", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("has").alias("has"), F.max("is").alias("is")).where("has > 1 or (has = 1 and is = 1)").isEmpty()

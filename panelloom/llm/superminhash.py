@@ -108,7 +108,7 @@ def marks(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(chunk, words)
                 keys = bands(signatures(sets))
                 n = np.array([len(s) for s in sets], np.int64)
-                fp = np.array([[mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(n)))] for s, n in zip(sets, n)],
+                fp = np.array([[mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(len(s))))] for s in sets],
                               np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at:at + len(chunk)], pa.int64()), pa.array(n), pa.array(fp[:, 0]), pa.array(fp[:, 1]),
@@ -193,7 +193,7 @@ def block_links(left: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("rep", F.lit("block")), n).cast("int")
     ids = written(left.select(F.col("rep").alias("id")).distinct(), "ids")
-    texts = docs.select(id_key().alias("id"), "text").join(sized(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = docs.select(id_key().alias("id"), "text").join(sized(ids), "id", "left_semi").distinct()
     units = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     units = units.withColumns({"u": F.least("block", "other"), "v": F.greatest("block", "other")})
     units = units.select("band", "key", "u", "v", "rep", "label", "block").join(texts.withColumnRenamed("id", "rep"), "rep")
@@ -211,9 +211,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     (A-Z folded words).  A bucket of documents that agree in a band is never expanded into its pairs:
 
     1. every member is compared with one member of its bucket, and the links are grouped;
-    2. the same with another member, in buckets that still hold several groups;
-    3. what is left of those buckets is compared in full across groups: pair by pair in buckets of at most
-       SMALL members, block by block in larger ones, where only links between groups leave the task.
+    2. buckets that still hold several groups are compared in full across groups: pair by pair in buckets
+       of at most SMALL members, block by block in larger ones, where only links between groups leave the
+       task.
 
     Null or wordless text: no shingles, linked with nothing.  Rows with one doc_id are one document: a
     link of any of its texts counts.  A null doc_id counts as one document with the smallest id.  Extra
@@ -232,42 +232,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     shared = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     member = written(member.join(shared, ["band", "key"]), "members")
 
-    tried = None
-    for step in ("first", "second", "rest"):
-        if tried is None:
-            left = member.select("band", "key", "rep", F.col("rep").alias("label"))
-        else:
-            left = labelled(member, edges)
-            split = left.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
-            left = left.join(split.select("band", "key", "size"), ["band", "key"]).select("band", "key", "rep", "label", "size")
-        if step == "rest":
-            left = written(left, "left")
-            large = left.where(F.col("size") > SMALL)
-            if not large.isEmpty():
-                edges.append(written(block_links(large, docs, words, percent), "links"))
-            x, y = left.where(F.col("size") <= SMALL).alias("x"), left.alias("y")
-            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
-                           & (F.col("x.label") != F.col("y.label"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        else:
-            pivot = left.groupBy("band", "key").agg(F.min_by(F.struct("rep", "label"), F.struct(F.xxhash64("rep", F.lit(step)), "rep")).alias("p"))
-            pairs = (left.join(pivot, ["band", "key"]).where("rep != p.rep and label != p.label")
-                     .select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            if step == "first":
-                break
-            continue
-        edges.append(written(checked(pairs, docs, words, percent), "links"))
-        tried = pairs if tried is None else tried.union(pairs)
-
-    groups = components(union_all(edges)).withColumnRenamed("id", "rep")
+    pivot = member.groupBy("band", "key").agg(F.min_by("rep", F.xxhash64("rep")).alias("p"))
+    tried = member.join(pivot, ["band", "key"]).where("rep != p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+    tried = written(tried.distinct(), "pairs")
+    edges.append(written(checked(tried, docs, words, percent), "links"))
+    groups = written(components(union_all(edges)), "groups")
+
+    left = member.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    mixed = left.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
+    left = written(left.join(mixed, ["band", "key"]).select("band", "key", "rep", "label", "size"), "left")
+    x, y = left.where(F.col("size") <= SMALL).alias("x"), left.alias("y")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
+                   & (F.col("x.label") != F.col("y.label"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = checked(pairs, docs, words, percent)
+    large = left.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        more = more.union(block_links(large, docs, words, percent))
+    more = written(more, "links")
+    if not more.isEmpty():
+        # the groups so far are stars already
+        groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    groups = groups.withColumnRenamed("id", "rep")
+
     out = rows.join(groups, "rep", "left").withColumn("_c", F.coalesce("component", "rep", "id"))
     return out.select(from_key("id").alias("doc_id"), "n_shingles", from_key("_c").alias("component_id"), (F.col("id") == F.col("_c")).alias("kept"))
-
-
-def labelled(member: DataFrame, edges: list[DataFrame]) -> DataFrame:
-    groups = components(union_all(edges)).withColumnRenamed("id", "rep")
-    return member.join(groups, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
