@@ -87,10 +87,11 @@ def template_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEM
     held = blocks.where(F.size("known") >= min(needs)).withColumn("known", F.array_intersect(F.array(*map(F.lit, order)), "known"))
     prefix = held.select("id", "th", "line", "known", F.posexplode(F.slice("known", F.lit(1), F.size("known") - (min(needs) - 1))).alias("b_at", "token"))
     size = F.size("known")
-    met = prefix.join(index, "token").where((size >= F.col("need")) & (F.col("b_at") <= size - F.col("need"))
+    # a few rows for each template, whatever the corpus
+    met = prefix.join(F.broadcast(index), "token").where((size >= F.col("need")) & (F.col("b_at") <= size - F.col("need"))
                                            & (F.least(size - F.col("b_at"), F.col("t_size") - F.col("t_at")) >= F.col("need")))
     met = met.select("id", "th", "line", "known", "template").distinct()
-    found = met.join(whole, "template").withColumn("held", F.size(F.array_intersect("known", "tokens"))).where("held >= need")
+    found = met.join(F.broadcast(whole), "template").withColumn("held", F.size(F.array_intersect("known", "tokens"))).where("held >= need")
     return found.select("id", "th", "line", "label", (F.col("held") / F.size("tokens")).alias("score"))
 
 
