@@ -216,7 +216,7 @@ class Network:
         scale = self.weights["scale"].astype(float)
         return _sigmoid(scale[0] * logits + scale[1])
 
-    def text_logits(self, run: list[bytes], at_once: int = 4096) -> np.ndarray:
+    def text_logits(self, run: list[bytes], at_once: int = 2048) -> np.ndarray:
         """Largest window logit of each text; every window of every text is scored."""
         index, bounds, buckets, grams, counts, _ = pieces_of(run)
         rows, owner = windows_of(index, bounds)

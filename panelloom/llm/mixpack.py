@@ -27,7 +27,7 @@ END = 1
 #: Sources with the most documents have a queue of their own; all others share queue 0.
 OWN_QUEUES = 255
 #: Words whose ids a worker keeps, the first it meets; and the longest such word.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 40
+KEPT_WORDS, KEPT_LENGTH = 150_000, 40
 PUNCTUATION = ".,!?;:"
 
 
