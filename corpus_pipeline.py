@@ -35,19 +35,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at five-word shingles and a similarity of 0.8: the smallest doc_id.
-
-    Of rows that share this doc_id one stays, if their texts have a word."""
-    found = superminhash.near_duplicates(docs, words=5, percent=80)
-    found = written(found.select(id_key().alias("id"), "kept", "n_shingles"), "near-copies")
-    gone = written(found.where("not kept").select("id").distinct(), "copies")
-    rows = packed(docs).select("row", id_key("row.doc_id").alias("id")).join(sized(gone), "id", "left_anti")
-    again = written(found.where("kept and n_shingles > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "again")
+    """One text of each group linked at five-word shingles and a similarity of 0.8: the smallest by (doc_id, text hash).
+
+    A document is a doc_id with a text: rows that share an id, or have none, are told apart by their texts.
+    Of rows with equal doc_id and text one stays, if the text has a word."""
+    rows = packed(docs).select("row", id_key("row.doc_id").alias("id"), F.xxhash64("row.text").alias("th"))
+    key = F.xxhash64("id", "th")
+    found = superminhash.near_duplicates(rows.select(key.alias("doc_id"), "row.text"), words=5, percent=80)
+    found = found.where("n_shingles > 0").groupBy(id_key().alias("key"), id_key("component_id").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    found = written(found.join(rows.select(key.alias("key"), "id", "th").distinct(), "key"), "near-copies")
+    first = found.groupBy("group").agg(F.min(F.struct("id", "th")).alias("first")).select("first.*")
+    gone = written(found.join(first, ["id", "th"], "left_anti").select("id", "th"), "copies")
+    again = written(found.where("n > 1").join(first, ["id", "th"], "left_semi").select("id", "th"), "again")
+    rows = rows.join(sized(gone), ["id", "th"], "left_anti")
     if again.isEmpty():
         return rows.select("row.*")
-    several = rows.join(sized(again), "id", "left_semi").withColumn("worded", F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)))
-    one = several.where("worded").groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
-    return union_all([f.select("row.*") for f in (rows.join(sized(again), "id", "left_anti"), several.where("not worded"), one)])
+    several = rows.join(sized(again), ["id", "th"], "left_semi")
+    one = several.groupBy("id", "th").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return union_all([f.select("row.*") for f in (rows.join(sized(again), ["id", "th"], "left_anti"), one)])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

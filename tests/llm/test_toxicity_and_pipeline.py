@@ -113,6 +113,14 @@ def test_stages(spark, tmp_path):
     assert pure.columns == docs.columns and {r["doc_id"] for r in pure.collect()} == {*range(40, 62), None} - {47}
 
 
+def test_near_copies_go_by_text(spark, tmp_path):
+    a, b, c, d, e = (prose(9000 + k, 60) for k in range(5))
+    texts = [(None, a), (None, b), (5, a + " end"), (6, c), (9, c + " end"), (9, d), (9, d), (None, b), (7, e), (8, b), (4, "")]
+    near = P.drop_near_copies(spark, frame(spark, texts), str(tmp_path))
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in near.collect())
+    assert got == sorted([(0, a), (0, b), (6, c), (9, d), (7, e), (4, "")])
+
+
 def test_run(spark, tmp_path):
     docs = tables(spark, tmp_path)
     rows = P.run(spark, str(tmp_path)).collect()
