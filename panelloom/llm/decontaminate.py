@@ -4,6 +4,10 @@ A mask is a row of 1 and 0; a seed is the hash of the words under its 1s, so wor
 Every position of a training text is hashed under every mask and looked up among the seeds of the
 benchmark; a hit fixes how text and item lie against each other, and all words of that overlap are
 compared.
+
+The masks have two 1s, and their spans follow from the acceptance rule: of ``need`` equal words among ``n``,
+two neighbours are at most ``(n - 1) // (need - 1)`` apart.  With every span up to that as a mask, no overlap
+that the rule accepts is without a hit, wherever its equal words lie.
 """
 from __future__ import annotations
 
@@ -11,9 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import from_key, id_key, packed, sized, union_all, words_of, written
 
-#: Eight words of eleven or twelve.
+#: Eight words of eleven or twelve: the masks of the SQL.  All their hits are hits of the masks below too.
 MASKS = ("11011101011", "111010011011", "110110110011")
-#: An item with fewer words than the shortest mask is one seed of all its words; below this it is ignored.
+#: Items of fewer words are ignored.
 LEAST_WORDS = 5
 #: An overlap counts with so many equal words, or this share of a shorter item.
 EQUAL_WORDS, EQUAL_SHARE = 10, 0.75
@@ -31,17 +35,20 @@ def seed(mask: str, words: Column, at: Column) -> Column:
     return F.xxhash64(F.lit(mask), *[F.get(words, at + i) for i, c in enumerate(mask) if c == "1"])
 
 
+def needed(n: Column) -> Column:
+    """Equal words that make an overlap with an item of ``n`` words."""
+    return F.least(F.lit(EQUAL_WORDS), F.ceil(n * EQUAL_SHARE)).cast("int")
+
+
 def seeds_of(items: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(h, item, q): the seeds of items (item, iw) and the masks in use."""
-    shortest = min(map(len, MASKS))
+    """(h, item, q, n): the seeds of items (item, iw) of n words and the masks in use."""
     n = F.size("iw")
-    short = [r[0] for r in items.where(n < shortest).select(n.alias("n")).distinct().collect()]     # a few lengths at most
-    masks = ["1" * k for k in sorted(short)]
-    parts = [items.where(n == len(m)).select(seed(m, F.col("iw"), F.lit(0)).alias("h"), "item", F.lit(0).alias("q")) for m in masks]
-    for m in MASKS:
-        at = items.where(n >= max(len(m), shortest)).select("item", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - len(m))).alias("q"))
-        parts.append(at.select(seed(m, F.col("iw"), F.col("q")).alias("h"), "item", "q"))
-    return union_all(parts), masks + list(MASKS)
+    apart = F.floor((n - 1) / (needed(n) - 1)).cast("int")
+    widest = items.select(F.max(apart)).first()[0] or 0
+    masks = ["1" + "0" * (d - 1) + "1" for d in range(1, widest + 1)]
+    at = items.select("item", "iw", n.alias("n"), apart.alias("apart"), F.explode(F.sequence(F.lit(0), n - 2)).alias("q"))
+    own = [F.when((F.lit(d) <= F.col("apart")) & (F.col("q") + d < n), seed(m, F.col("iw"), F.col("q"))) for d, m in enumerate(masks, 1)]
+    return at.select(F.explode(F.array_compact(F.array(*own or [F.lit(None).cast("long")]))).alias("h"), "item", "q", "n"), masks
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -63,18 +70,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = written(seeds.distinct(), "seeds")
     blocks = 1 + max(seeds.count() // SEEDS_AT_ONCE, items.count() // ITEMS_AT_ONCE)
     texts = docs.where("text is not null").select(id_key().alias("id"), F.xxhash64("text").alias("th"), hashed_words(F.col("text")).alias("tw"))
-    shortest = min(map(len, masks))
-    at = texts.where(F.size("tw") >= shortest).select("id", "th", "tw", F.explode(F.sequence(F.lit(0), F.size("tw") - shortest)).alias("p"))
-    at = at.select("id", "th", "tw", "p", F.explode(F.array(*[seed(m, F.col("tw"), F.col("p")) for m in masks])).alias("h"))
+    at = texts.where(F.size("tw") >= 2).select("id", "th", "tw", F.explode(F.sequence(F.lit(0), F.size("tw") - 2)).alias("p"))
+    at = at.select("id", "th", "tw", "p", F.explode(F.array(*[seed(m, F.col("tw"), F.col("p")) for m in masks] or [F.lit(0).cast("long")])).alias("h"))
     found = []
     for b in range(blocks):
         mine = seeds.where(F.pmod("item", F.lit(blocks)) == b)
         whole = items.where(F.pmod("item", F.lit(blocks)) == b)
-        hit = at.join(F.broadcast(mine), "h").join(F.broadcast(whole), "item").withColumn("start", F.col("p") - F.col("q"))
-        same = F.size(F.filter(F.sequence(F.lit(0), F.size("iw") - 1), lambda k: (F.col("start") + k >= 0) & (F.get("tw", F.col("start") + k) == F.get("iw", k))))
+        # the words of the overlap are cut out at once, so that no row carries a text from here on
+        start = F.col("p") - F.col("q")
+        off = F.greatest(-start, F.lit(0))
+        hit = at.join(F.broadcast(mine), "h").select("id", "th", "item", start.alias("start"), off.alias("off"), F.slice("tw", start + off + 1, F.col("n") - off).alias("there"))
+        hit = hit.join(F.broadcast(whole), "item")
         n = F.size("iw")
+        same = F.size(F.array_remove(F.zip_with("there", F.slice("iw", F.col("off") + 1, n - F.col("off")), lambda x, y: x.eqNullSafe(y)), False))
         hit = hit.select("id", "th", "item_id", same.alias("equal_words"), n.alias("item_words"), F.greatest("start", F.lit(0)).alias("first_word"))
-        found.append(hit.where(F.col("equal_words") >= F.least(F.lit(EQUAL_WORDS), F.ceil(F.col("item_words") * EQUAL_SHARE))))
+        found.append(hit.where(F.col("equal_words") >= needed(F.col("item_words"))))
     return union_all(found).groupBy("id", "th", "item_id").agg(
         F.max("equal_words").cast("long").alias("equal_words"), F.max("item_words").cast("long").alias("item_words"), F.min("first_word").cast("long").alias("first_word"))
 

@@ -8,7 +8,7 @@ import xxhash
 
 from panelloom.llm import decontaminate as C, hashtree as H, licenses as L, queries, urlrules as U
 
-from .samples import EDGES, frame, prose, words, fold
+from .samples import EDGES, edited, frame, prose, words, fold
 
 DIR = "/root/testdata/sf0.001"
 NATIVE = ("Python", "Pandas", "Arrow")
@@ -49,6 +49,30 @@ def test_seeds(spark):
     assert C.contaminated_pairs(df, bench.limit(0)).count() == 0 and C.contaminated_pairs(df.limit(0), bench).count() == 0
 
 
+def aligned(text, item):
+    """(equal words, first word) of the best placement, by trying every one."""
+    n, best = len(item), (0, 0)
+    for start in range(1 - n, len(text)):
+        same = sum(0 <= start + k < len(text) and text[start + k] == w for k, w in enumerate(item))
+        if same >= min(10, math.ceil(0.75 * n)):
+            best = max(best, (same, -max(start, 0)))
+    return best[0], -best[1]
+
+
+def test_every_overlap_is_hit(spark):
+    items = [prose(300 + n, n).split() for n in (5, 6, 7, 8, 10, 11, 12, 13, 15, 20, 30, 45, 59, 75)]
+    copies = []
+    for k, item in enumerate(items):
+        copies += [[f"x{i}" if i % step == step - 1 else w for i, w in enumerate(item)] for step in (2, 3, 4, 5)]
+        copies += [edited(" ".join(item), 10 * k + j, share).split() for j, share in enumerate((0.2, 0.3, 0.5, 0.75))]
+    texts = [" ".join(["before", "it", *c, "after"]) for c in copies] + [" ".join(c[len(c) // 4:]) for c in copies]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["equal_words"], r["first_word"]) for r in C.contaminated_pairs(frame(spark, texts), bench).collect()}
+    want = {(i, k): aligned(t.split(), item) for i, t in enumerate(texts) for k, item in enumerate(items)}
+    want = {pair: found for pair, found in want.items() if found[0]}
+    assert {p: v[0] for p, v in got.items()} == {p: v[0] for p, v in want.items()} and len(want) > 80
+
+
 def test_seeds_in_several_blocks(spark, monkeypatch):
     docs, bench = queries.read(spark, DIR, "documents"), queries.read(spark, DIR, "benchmark")
     want = sorted(map(tuple, C.contaminated_pairs(docs, bench).collect()))
