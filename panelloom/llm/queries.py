@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, decontaminate, hashtree, licenses, linededup, linequality, mixpack, superminhash, toxicity, urlrules
+from . import attribution, decontaminate, hashtree, licenses, linededup, linequality, mixpack, periodic, ppm, superminhash, toxicity, urlrules, whitening
 from .common import read
 from .oracles import SQL as ORACLES  # noqa: F401
 
@@ -63,3 +63,18 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(read(spark, sf_dir, "pages"), urlrules.rule_table(spark, urlrules.RULES))
+
+
+@query
+def op11_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.predicted(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_rank_one_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(read(spark, sf_dir, "documents"))
