@@ -14,6 +14,8 @@ once, so a position costs one look-up a byte of depth, whatever the number of la
 """
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -153,12 +155,19 @@ def _pruned(levels, most: int):
 
 # --- the Spark side --------------------------------------------------------------------------------------
 
+_ascii_letter = re.compile("[A-Za-z]").search
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_ascii_letter(text) is not None or any(map(str.isalpha, text)))
+
+
 def sample(docs: DataFrame, texts: int = TEXTS) -> list[tuple[str, str]]:
     """The rows to fit on: (text, lang), different texts of each language by hash of the text.
 
     A first pass estimates the number of different texts of each language; the second keeps hashes
     below a threshold that gives about twice as many as asked for, so what is ranked is bounded."""
-    able = docs.where("text is not null and lang is not null").where((F.octet_length("text") <= LONGEST) & F.col("text").rlike(r"\p{L}"))
+    able = docs.where("text is not null and lang is not null").where(F.octet_length("text") <= LONGEST)
     able = able.where(~held_out()).select("lang", "text", F.xxhash64("text").alias("h"))
     share = {r["lang"]: min(1.0, 2 * texts / r["n"]) for r in able.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not share:
@@ -187,12 +196,12 @@ def predicted(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
     def run(batches):
         held = Trees(**shared.value) if shared.value else None
         for batch in batches:
-            ids, letter, at = batch.column("id"), batch.column("letter").to_pylist(), 0
-            for chunk in text_chunks(batch.column("text").to_pylist(), BATCH):
+            ids, texts, at = batch.column("id"), batch.column("text").to_pylist(), 0
+            for chunk in text_chunks(texts, BATCH):
                 names, scores, rate = [], [], []
                 bits = held.code_lengths(chunk) if held else None
                 for i, text in enumerate(chunk):
-                    if held is None or not letter[at + i]:
+                    if held is None or not has_letter(texts[at + i]):
                         names.append(UNKNOWN)
                         scores.append(0.0)
                         rate.append(None)
@@ -205,7 +214,6 @@ def predicted(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
                                                   pa.array(rate, pa.float64())], ["id", "lang_pred", "score", "bits_per_byte"])
                 at += len(chunk)
 
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = docs.select(id_key().alias("id"), "text", letter.alias("letter")).mapInArrow(run, schema)
+    found = docs.select(id_key().alias("id"), "text").mapInArrow(run, schema)
     found = found.select(from_key("id").alias("doc_id"), "lang_pred", "score", "bits_per_byte")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
