@@ -13,8 +13,11 @@ from .samples import EDGES, frame, prose
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_word_ids_equal_the_tokenizer(spark):
@@ -77,6 +80,44 @@ def test_every_window_has_the_target_mix(spark):
             assert abs(carried[q]) < 1.001              # the deficit carries over
 
 
+def test_every_source_keeps_its_share(spark):
+    """A thousand sources, one with a third of the documents: each is served within a burst or two of its share."""
+    source = lambda i: "hot" if i % 3 == 0 else f"s{i % 1000 if i % 5 else i % 30}"
+    df = frame(spark, [prose(k, 12) for k in range(3000)], source)
+    rows = M.pack(df.repartition(5), window=1024, quantum=16).collect()
+    holds([(r["doc_id"], r["text"]) for r in df.collect()], rows, 1024)
+    total, by_window = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        total[r["queue"]] += r["length"]
+        by_window[r["sequence_id"]][r["queue"]] += r["length"]
+    n, seen = sum(total.values()), defaultdict(int)
+    assert len(total) > 600 and n > 100 * 1024
+    for w in range(max(by_window)):
+        for q, length in by_window[w].items():
+            seen[q] += length
+        for q in total:
+            share = 1024 * (w + 1) * total[q] / n
+            assert abs(seen[q] - share) < (1.001 if q == "hot" else 16 + 0.2 * total[q]), (q, w)
+
+
+def test_small_tail(spark):
+    """Sources with less than a token a window together."""
+    source = lambda i: "tiny" if i == 7 else f"s{i % 2}"
+    df = frame(spark, ["one" if k == 7 else prose(k, 900) for k in range(40)], source)
+    holds([(r["doc_id"], r["text"]) for r in df.collect()], M.pack(df, window=256).collect(), 256)
+    holds([(r["doc_id"], r["text"]) for r in df.collect()], M.pack(df, weights={"s0": 1, "tiny": 1}, window=256).collect(), 256)
+
+
+def test_weighted_sources_first(spark):
+    df = frame(spark, [prose(k, 50) for k in range(60)], lambda i: f"s{i % 6}")
+    rows = M.pack(df, weights={"s1": 3, "s4": 1}, window=64).collect()
+    holds([(r["doc_id"], r["text"]) for r in df.collect()], rows, 64)
+    last = max(r["sequence_id"] for r in rows if r["queue"] in ("s1", "s4"))
+    assert {r["queue"] for r in rows if r["sequence_id"] < last} == {"s1", "s4"}
+    with pytest.raises(ValueError, match="nowhere"):
+        M.pack(df, weights={"s1": 1, "nowhere": 2})
+
+
 def test_schedule_serves_everything():
     for sizes, weights in [({1: 10, 2: 1}, {1: 1, 2: 100}), ({0: 3, 1: 7, 2: 10 ** 15}, None), ({1: 5}, {}), ({1: 1, 2: 1, 3: 1}, {1: 7, 2: 11, 3: 13})]:
         phases = M.schedule(sizes, weights)
