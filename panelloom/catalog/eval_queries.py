@@ -71,12 +71,7 @@ def _gains(name, cand_sql, ref_sql, keys=GK, src="board", value="condition_mean_
 F4 = ru.GROUPS[3]
 _gains("A22_stress_ablation_gain", "@model_level = 'L2_rule' AND @feature_group = 'F2_state'", f"@model_level = 'L2_rule' AND @feature_group = '{F4}'")
 _gains("A23_stress_gain_vs_references", f"@feature_group = '{F4}'", "@model_level IN ('L0_persistence', 'L1_mean')")
-_gains("A15_bias_correction_comparison", "@model_level = 'L3_quantile'", f"@model_level = 'L2_rule' AND @feature_group = '{F4}'")
-_gains("A122_order_vs_shuffled_gains", "@model_level = 'L2_rule'", "@model_level = 'L1_mean'", [*GK, "heldout_fold"], "met", frame=lambda v: v.metrics)
-_gains("A124_hierarchical_comparison", "@model_level = 'L2_rule'", "@model_level = 'L1_mean'")
 _gains("A125_degradation_by_split", "@model_level <> 'L0_persistence'", "@model_level = 'L0_persistence'", value="worst_condition_mae")
-_gains("A128_distillation_gains", "@model_level = 'L3_quantile'", "@model_level = 'L1_mean'", [*GK, "heldout_fold"], "met", frame=lambda v: v.metrics)
-_gains("B45_semi_empirical_comparison", "@model_level = 'L2_rule' AND @feature_group = 'F2_state'", "@model_level = 'L1_mean'")
 CK = ["run_scope", "split_name", "heldout_fold", "target", "parameter_set"]
 for _n in ("J08_candidate_reference_pairing", "A125b_condition_degradation"):
     _gains(_n, "@model_level <> 'L0_persistence'", "@model_level = 'L0_persistence'", CK, "cerr", "condition_mae", lambda v: me.condition_errors(v.preds))
@@ -110,7 +105,6 @@ _errors("A21_residual_groups", ["target", "voltage_window_family"], _cr + " AND
 _errors("A20_residual_diagnostics", ["target", "parameter_set", "level_bucket"], _cr + " AND model_level = 'L2_rule'", cols=lambda: {"level_bucket": S.cut(F.col("capacity_Ah_k"), [(1.5, "low"), (2.0, "mid"), (2.5, "high")], "top")},
         sql_cols={"level_bucket": _case("capacity_Ah_k", [(1.5, "low"), (2.0, "mid"), (2.5, "high")], "top")})
 _errors("A87_path_error_decomposition", ["split_name", "parameter_set", "target"], "run_scope = 'primary' AND model_level = 'L2_rule' AND feature_group = 'F2_state'")
-_errors("B43_distillation_metrics", ["split_name", "heldout_fold", "model_level", "target"], "run_scope = 'primary'")
 _gf = ["nominal_temperature_C", "voltage_window_family", "target", "parameter_set"]
 Q("A17_grouped_error_summaries", lambda v: me.grouped_errors(v.preds.filter(_cr).withColumn("nominal_temperature_C", F.col("nominal_temperature_C").cast("int")), ["model_level", "feature_group"], _gf), f"model_level feature_group grouping group_value {ES}",
   " UNION ALL ".join(f"SELECT model_level, feature_group, '{g}' AS grouping, {g + ('::INT' if 'temp' in g else '')}::VARCHAR AS group_value, {_es} FROM preds WHERE {_cr} GROUP BY ALL" for g in _gf))

@@ -1,45 +1,58 @@
-"""Estimator and resampling queries: whole tables, rows-only check (numerics are MLlib's)."""
+"""Estimator and resampling queries over all splits and held-out folds (learnt weights, so no SQL oracle; tests recompute them)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import metrics as me, models as mo, rules as ru, sequences as sq, uncertainty as un
+from ..operators import metrics as me, models as mo, ridge as rg, rules as ru, sequences as sq, uncertainty as un
 from ..operators.splits import SPLITS
+from . import features as fe
 from .base import Q
 
 CR, PR = "c_rate_holdout_fold", "profile_holdout_fold"
-DELTA = "delta_capacity_Ah"
-ARM = "split_name heldout_fold:i model_level feature_group target test_rows:i mae:r rmse:r condition_mean_mae:r worst_condition_mae:r"
+DELTA, LEVEL = "delta_capacity_Ah", "capacity_Ah_k1"
+F4 = fe.CAPACITY["F4_state_log_age_scalar"]
+ARM = "split_name heldout_fold:i model_level feature_group target test_rows:i mae:r rmse:r bias:r condition_mean_mae:r worst_condition_mae:r"
+BOARD = "split_name model_level feature_group target fold_count:i condition_mean_mae:r worst_condition_mae:r"
 
 
 def _met(pred):
     return me.regression_metrics(pred)
 
 
-Q("E08_ridge_trees_quantile", lambda v: _met(mo.run_arms(v.intervals, CR, DELTA, ["L1_ridge", "L2_trees", "L3_quantile"])), ARM)
+def _ridge(df, targets, groups, arms=rg.plain_arms, **kw):
+    """Predictions of ridge arms for feature sets ``groups`` on every split, fold and target."""
+    return cut(rg.run(df, targets, arms(groups, **kw), *fe.fields(groups))[0])
 
 
-def _semi_empirical(v):
-    """Square-root laws of time and throughput on every split."""
-    efc = F.greatest(F.coalesce("log_age_efc_delta", F.lit(0.0)), F.lit(0.0))
-    d = cut(v.intervals.withColumns({"sqrt_days": F.sqrt("calendar_days"), "sqrt_efc": F.sqrt(efc)}))
-    numeric = ["sqrt_days", "sqrt_efc", "nominal_temperature_C", "nominal_charge_C_rate"]
-    return _met(un.union_all([mo.run_arms(d, s, DELTA, ["L1_ridge"], numeric, group="SE2_sqrt_time_efc") for s in SPLITS]))
+def _stressed(v):
+    keys = ["cell_id", "checkup_k"]
+    return v.intervals.join(v.stress.select(*keys, *[c for c in fe.STRESS if c in v.stress.columns]), keys, "left")
 
 
-Q("E28_semi_empirical_ridge", _semi_empirical, ARM)
-Q("B45_semi_empirical_run", lambda v: _met(mo.run_arms(v.intervals.withColumn("sqrt_days", F.sqrt("calendar_days")), PR, DELTA, ["L1_ridge"], ["sqrt_days", "nominal_temperature_C"], group="SE1_sqrt_time")), ARM)
-Q("E09_horizon_models", lambda v: _met(mo.run_arms(v.horizon, CR, "capacity_Ah_kh", ["L1_ridge", "L2_trees"], ["capacity_Ah_k", "horizon_checkups", "prior_delta_capacity_Ah", "calendar_day_k", "nominal_temperature_C"], group="K2_nominal_condition")), ARM)
-Q("E10_diagnostic_models", lambda v: _met(mo.run_arms(v.diagnostic, CR, "diagnostic_value_kh", ["L1_ridge", "L2_trees"], ["diagnostic_value_k", "horizon_checkups", "capacity_Ah_k", "nominal_temperature_C"], ["target_name"], group="DH3")), ARM)
+Q("E08_ridge_trees_quantile", lambda v: _met(_ridge(v.intervals, [DELTA, LEVEL], fe.CAPACITY).unionByName(
+    mo.run_arms(v.intervals, CR, DELTA, ["L2_trees", "L3_quantile"]), allowMissingColumns=True)), ARM)
+Q("E28_semi_empirical_ridge", lambda v: _met(_ridge(_stressed(v), [LEVEL, DELTA], fe.SEMI_EMPIRICAL, model="L4_semi_empirical_ridge")), ARM)
+Q("B45_semi_empirical_run", lambda v: me.leaderboard(_met(_ridge(_stressed(v), [LEVEL, DELTA], fe.SEMI_EMPIRICAL, model="L4_semi_empirical_ridge"))), BOARD)
+Q("E09_horizon_models", lambda v: _met(_ridge(v.horizon, ["capacity_Ah_kh", "delta_capacity_Ah_h"], fe.HORIZON, model="MH2_ridge").unionByName(
+    mo.run_arms(v.horizon, CR, "capacity_Ah_kh", ["L2_trees"], *fe.HORIZON["K2_nominal_condition"], group="K2_nominal_condition"))), ARM)
+
+
+def _diagnostic(v):
+    """One target column for each diagnostic: a row counts for its own only."""
+    names = [r["target_name"] for r in v.diagnostic.select("target_name").distinct().orderBy("target_name").collect()]
+    d = v.diagnostic.withColumns({n: F.when(F.col("target_name") == n, F.col("diagnostic_value_kh")) for n in names})
+    return _met(_ridge(d, names, fe.DIAGNOSTIC, model="DM2_ridge"))
+
+
+Q("E10_diagnostic_models", _diagnostic, ARM)
 
 
 def _pulse(v):
-    p = v.pulse_targets.filter("delta_pulse_1s_resistance IS NOT NULL").select("cell_id", "checkup_k", "pulse_1s_resistance_k", "delta_pulse_1s_resistance")
-    e = v.eis_targets.filter("delta_eis_z_abs_1kHz IS NOT NULL").select("cell_id", "checkup_k", "eis_z_abs_1kHz_k", "delta_eis_z_abs_1kHz")
-    a = mo.run_arms(v.intervals.join(p, ["cell_id", "checkup_k"]), CR, "delta_pulse_1s_resistance", ["L1_ridge"], [*mo.NUMERIC, "pulse_1s_resistance_k"])
-    b = mo.run_arms(v.intervals.join(e, ["cell_id", "checkup_k"]), CR, "delta_eis_z_abs_1kHz", ["L1_ridge"], [*mo.NUMERIC, "eis_z_abs_1kHz_k"])
-    return _met(a.unionByName(b))
+    p = v.pulse_targets.select("cell_id", "checkup_k", *fe.PULSE_TARGETS, "pulse_1s_resistance_k", "pulse_10ms_resistance_k")
+    e = v.eis_targets.select("cell_id", "checkup_k", *fe.SPECTRUM_TARGETS, "eis_z_real_1kHz_k", "eis_z_imag_1kHz_k", "eis_z_abs_1kHz_k", "eis_phase_1kHz_k")
+    d = cut(v.intervals.join(p, ["cell_id", "checkup_k"], "left").join(e, ["cell_id", "checkup_k"], "left"))
+    return _met(_ridge(d, fe.PULSE_TARGETS, fe.PULSE).unionByName(_ridge(d, fe.SPECTRUM_TARGETS, fe.SPECTRUM)))
 
 
 Q("E11_pulse_eis_models", _pulse, ARM)
@@ -84,54 +97,102 @@ for _n in ("E15_platt_isotonic", "B36_warning_calibration_run"):
     Q(_n, _calscores, "method calibration n:i brier:r ece:r")
 
 
-def _robust(v):
-    return _met(un.union_all([mo.weighted_arm(v.intervals, CR, DELTA, k, steps=10) for k in ("R0_reference", "R1_condition_balanced", "R2_stressor_balanced", "R3_bagged")]))
+F4_SET = {"F4_state_log_age_scalar": F4}
+
+
+def _weighted(v):
+    arms = rg.weighted_arms("F4_state_log_age_scalar", *F4)
+    return cut(rg.run(v.intervals, [DELTA, LEVEL], arms, *F4)[0])
+
+
+Q("E19_weighted_bagged_trees", lambda v: _met(_weighted(v)), ARM)
+Q("B32_robust_capacity_run", lambda v: me.leaderboard(_met(_weighted(v))), BOARD)
+SEEDS = (42, 43, 44)
+NEST = "split_name heldout_fold:i target seed:i setting mean_condition_mae:r worst_condition_mae:r"
+PICK = "split_name heldout_fold:i target seed:i policy setting mean_gain:r max_degradation:r guarded"
+
+
+def _nested(v, targets=(DELTA,), seeds=(42,), settings=rg.SETTINGS):
+    return rg.run_nested(v.intervals, list(targets), rg.nested_arms("F4_state_log_age_scalar", *F4, settings=settings, seeds=seeds), *F4)
+
+
+Q("E20_worst_fold_selection", lambda v: rg.chosen(_nested(v, (DELTA, LEVEL)), "worst"), NEST)
+Q("E22_arm_selector", lambda v: rg.chosen(_nested(v, (DELTA, LEVEL)), "mean"), NEST)
+WEIGHTS = [s for s in rg.SETTINGS if s[1] in ("R0", "R2")]
+Q("E21_adaptive_weight_search", lambda v: _nested(v, (DELTA, LEVEL), settings=WEIGHTS), NEST)
+
 
+def _replicated(v):
+    """The search repeated over seeds, with the pick of either policy."""
+    scores = _nested(v, seeds=SEEDS, settings=WEIGHTS)
+    return un.union_all([rg.adaptive_selection(scores, p) for p in ("max_gain_guarded", "conservative_guarded")])
 
-for _n in ("E19_weighted_bagged_trees", "B32_robust_capacity_run"):
-    Q(_n, _robust, ARM)
-SETTINGS = [("R0_reference", "R0_reference", 0.0), ("R1_w0.5", "R1_condition_balanced", 0.5), ("R1_w1.0", "R1_condition_balanced", 1.0)]
-NEST = "split_name heldout_fold:i target setting mean_condition_mae:r worst_condition_mae:r"
-for _n in ("E21_adaptive_weight_search", "E33_adaptive_replication"):
-    Q(_n, lambda v: mo.nested_errors(v.intervals, CR, 1, DELTA, SETTINGS), NEST)
-for _n, _p in (("E20_worst_fold_selection", "worst"), ("E22_arm_selector", "mean")):
-    Q(_n, lambda v, _p=_p: mo.choose(mo.nested_errors(v.intervals, CR, 1, DELTA, SETTINGS[:2]), "R0_reference", _p), "split_name heldout_fold:i target setting")
+
+Q("E33_adaptive_replication", _replicated, PICK)
 
 
 def _stack(v):
-    p = v.pulse_targets.select("cell_id", "checkup_k", "pulse_1s_resistance_k")
-    return _met(mo.stacked(v.intervals.join(p, ["cell_id", "checkup_k"], "left"), CR, DELTA, "pulse_1s_resistance_k"))
+    p = v.pulse_targets.select("cell_id", "checkup_k", "pulse_1s_resistance_k1")
+    d = v.intervals.join(p, ["cell_id", "checkup_k"], "left")
+    return cut(rg.run(d, [DELTA, LEVEL], rg.stacked_arms("pulse_1s_resistance_k1", "F4_state_log_age_scalar", *F4), *F4, extra_targets=["pulse_1s_resistance_k1"])[0])
 
 
-for _n in ("E26_out_of_fold_stacking", "B42_distillation_run"):
-    Q(_n, _stack, ARM)
+Q("E26_out_of_fold_stacking", lambda v: _met(_stack(v)), ARM)
+Q("B42_distillation_run", lambda v: me.leaderboard(_met(_stack(v))), BOARD)
+Q("B43_distillation_metrics", lambda v: me.error_summary(_stack(v), ["split_name", "heldout_fold", "model_level", "target"]),
+  "split_name heldout_fold:i model_level target n:i mae:r rmse:r bias:r median_abs_error:r parameter_sets:i")
 
 
 def _seq(v):
     s = sq.sequence_table(v.spine, v.run_events, sq.VECTOR_V1).select("cell_id", "checkup_k", "true_sequence_vector", "shuffled_sequence_vector")
-    d = v.intervals.join(s, ["cell_id", "checkup_k"])
-    return _met(mo.sequence_ridge(d, CR, DELTA).unionByName(mo.sequence_ridge(d, CR, DELTA, "shuffled_sequence_vector", "S1_shuffled_ridge")))
+    d = cut(v.intervals.join(s, ["cell_id", "checkup_k"]))
+    return _met(un.union_all([mo.sequence_ridge(d, s, DELTA, c, n) for s in SPLITS for c, n in (("true_sequence_vector", "S1_sequence_ridge"), ("shuffled_sequence_vector", "S1_shuffled_ridge"))]))
 
 
 for _n in ("E29_sequence_ridge", "B46_sequence_value_run"):
     Q(_n, _seq, ARM)
+Q("B44_hierarchical_predict", lambda v: _met(_ridge(v.intervals, [DELTA, LEVEL], fe.CAPACITY, rg.hierarchical_arms)), ARM)
+
+# ---- arms against their references ----
+GAIN = "split_name target candidate_model_level candidate_feature_group reference_model_level reference_feature_group gain:r relative_gain:r beats_reference"
+KEYS = ["run_scope", "split_name", "target"]
+
+
+def _gain(board, candidate, reference, keys=KEYS):
+    return me.arm_gains(board, keys, F.expr(candidate), F.expr(reference), "condition_mean_mae")
+
+
+def _corrected(v):
+    board = me.leaderboard(_met(_ridge(v.intervals, [DELTA, LEVEL], fe.CAPACITY, rg.corrected_arms)))
+    return un.union_all([_gain(board, f"model_level = 'L1_ridge_bias_corrected' AND feature_group = '{g}'", f"model_level = 'L1_ridge' AND feature_group = '{g}'") for g in fe.CAPACITY])
+
+
+Q("A15_bias_correction_comparison", _corrected, GAIN)
+
+
+def _pooled(v):
+    board = me.leaderboard(_met(_ridge(v.intervals, [DELTA, LEVEL], fe.CAPACITY, rg.hierarchical_arms)))
+    pairs = [("H2_partial_pooling_ridge", "H1_state_time_ridge"), ("H1_state_time_ridge", "H0_global_train_mean")]
+    return un.union_all([_gain(board, f"model_level = '{a}' AND feature_group = '{g}'", f"model_level = '{b}' AND feature_group = '{g}'") for a, b in pairs for g in fe.CAPACITY])
+
+
+Q("A124_hierarchical_comparison", _pooled, GAIN)
+Q("A128_distillation_gains", lambda v: _gain(_met(_stack(v)), "model_level = 'D1_auxiliary_state'", "model_level = 'D0_without_state'", [*KEYS, "heldout_fold"]),
+  GAIN.replace("target ", "target heldout_fold:i ", 1))
+Q("A122_order_vs_shuffled_gains", lambda v: _gain(_seq(v), "model_level = 'S1_sequence_ridge'", "model_level = 'S1_shuffled_ridge'", [*KEYS, "heldout_fold"]),
+  GAIN.replace("target ", "target heldout_fold:i ", 1))
 
 
-def _hier(v):
-    """Ridge plus a pooled offset of its train residuals (the partial-pooling arm)."""
-    a, b = mo.sides(v.intervals, CR, 1)
-    fa, fb = mo.featurise(a, b, mo.NUMERIC, mo.CATEGORICAL)
-    m = mo.ridge(fa, DELTA)
-    res = m.transform(fa).withColumns({"residual": F.col(DELTA) - F.col("prediction"), "split_name": F.lit(CR)})
-    pool = ru.residual_pool(res, ["split_name"])
-    test = m.transform(fb).withColumn("split_name", F.lit(CR))
-    off = ru.pooled_offset(test, pool, res.groupBy("split_name").agg(F.avg("residual").alias("global_offset")), ["split_name"], ["cell_id", "checkup_k"])
-    j = test.join(off, ["split_name", "cell_id", "checkup_k"])
-    arms = [mo.tag(j, CR, 1, n, "F2_state", DELTA, e) for n, e in (("H1_ridge", F.col("prediction")), ("H3_pooled", F.col("prediction") + F.col("pooled_offset")))]
-    return _met(un.union_all(arms))
+def _semi_gain(v):
+    """Best semi-empirical set of each target and split against the widest plain ridge."""
+    semi = me.leaderboard(_met(_ridge(_stressed(v), [LEVEL, DELTA], fe.SEMI_EMPIRICAL, model="L4_semi_empirical_ridge")))
+    best = me.best_arm(semi).select("target", "split_name", F.col("best_model_level").alias("model_level"), F.col("best_feature_group").alias("feature_group"))
+    semi = semi.join(best, ["target", "split_name", "model_level", "feature_group"])
+    board = cut(semi.unionByName(me.leaderboard(_met(_ridge(v.intervals, [LEVEL, DELTA], F4_SET)))))
+    return _gain(board, "model_level = 'L4_semi_empirical_ridge'", "model_level = 'L1_ridge'")
 
 
-Q("B44_hierarchical_predict", _hier, ARM)
+Q("B45_semi_empirical_comparison", _semi_gain, GAIN)
 
 
 def _resid(v):
