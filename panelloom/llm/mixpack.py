@@ -17,6 +17,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from bisect import bisect_right
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ from .common import from_key, id_key, sized, written
 
 WINDOW = 2048
 END = 1
-#: Words whose ids a worker keeps, the first it meets; and the longest such word in bytes.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 40
-PUNCTUATION = ".,!?;:"
+#: Words whose ids a worker keeps, the first it meets (the first half also with their signs and capitals); and the longest such word in bytes.
+KEPT_WORDS, KEPT_LENGTH = 240_000, 40
+#: A run of these around letters is one piece of the text for the tokenizer; an apostrophe may start a contraction.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A source with so many tokens a window has its own queue; the others are served in bursts of QUANTUM tokens.
 LEAST, QUANTUM = 8, 128
 #: Blocks of due times in which bursts are put in order.
@@ -42,19 +44,20 @@ TAIL = 0
 
 # --- token ids ------------------------------------------------------------------------------------------
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The printable stand-in of each byte in a byte-level vocabulary."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    stand = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(stand[b] for b in range(256))
 
 
 class WordIds(dict):
     """Ids of a text as little-endian 16-bit numbers, from ids of its words (the keys, as bytes).
 
-    The tokenizer drops white space and no token spans it, so words can be encoded alone.  A word of
-    letters and closing punctuation goes to the vocabulary directly; any other word through the whole
-    tokenizer.
+    The tokenizer drops white space and no token spans it, so words can be encoded alone.  Letters with signs
+    before or after them go to the vocabulary directly, piece by piece; any other word goes through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -62,27 +65,49 @@ class WordIds(dict):
         self.whole = Tokenizer.from_file(path)
         if self.whole.get_vocab_size() > 65536:
             raise ValueError("ids do not fit 16 bits")
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
         self.letters = _byte_letters()
         self.two = [i.to_bytes(2, "little") for i in range(65536)]
+        self.signs: dict[bytes, bytes] = {b"": b""}
 
-    def _part(self, part: str) -> bytes:
-        if not part.isascii():
-            part = part.encode("utf-8").decode("latin-1").translate(self.letters)
+    def _part(self, part: bytes) -> bytes:
         two = self.two
-        return b"".join([two[t.id] for t in self.model.tokenize(part)])
-
-    def word(self, word: str) -> bytes:
-        base = word.rstrip(PUNCTUATION)
-        # Latin letters have one lower case each; others are left to the tokenizer
-        if len(word) <= KEPT_LENGTH and base.isalpha() and (base.isascii() or max(base) < "Ā" and unicodedata.is_normalized("NFC", base)):
-            return self._part(base.lower()) + (self._part(word[len(base):]) if len(base) < len(word) else b"")
-        two = self.two
-        return b"".join([two[i] for i in self.whole.encode(word, add_special_tokens=False).ids])
+        return b"".join([two[t.id] for t in self.tokenize(charmap_decode(part, "strict", self.letters)[0])])
+
+    def _signs(self, signs: bytes) -> bytes:
+        ids = self.signs.get(signs)
+        if ids is None:
+            ids = self._part(signs)
+            if len(self.signs) < 10_000 and len(signs) <= KEPT_LENGTH:
+                self.signs[signs] = ids
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.word(word.decode("utf-8"))
-        if len(self) < KEPT_WORDS and len(word) <= KEPT_LENGTH:
+        base = word.strip(SIGNS)
+        low = None
+        if len(word) <= KEPT_LENGTH and b"<|" not in word:
+            if base.isalpha():                            # of bytes: ASCII letters
+                low = base.lower()
+            else:
+                text = base.decode("utf-8")
+                # Latin letters have one lower case each; others are left to the tokenizer
+                if text.isalpha() and max(text) < "Ā" and unicodedata.is_normalized("NFC", text):
+                    low = text.lower().encode("utf-8")
+        if low is None:
+            two = self.two
+            ids = b"".join([two[i] for i in self.whole.encode(word.decode("utf-8"), add_special_tokens=False).ids])
+        else:
+            ids = self.get(low)
+            if ids is None:
+                ids = self._part(low)
+                if len(self) < KEPT_WORDS:
+                    self[low] = ids
+            if low == word:
+                return ids
+            if len(base) < len(word):
+                at = word.index(base)
+                ids = self._signs(word[:at]) + ids + self._signs(word[at + len(base):])
+        if len(self) < KEPT_WORDS // 2 and len(word) <= KEPT_LENGTH:
             self[word] = ids
         return ids
 
