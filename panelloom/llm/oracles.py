@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express: plain joins over all rows, without hashes, seeds or sweeps."""
 from __future__ import annotations
 
-from .decontaminate import EQUAL_SHARE, EQUAL_WORDS, LEAST_WORDS, MASKS
+from .decontaminate import EQUAL, EQUAL_SHARE, LEAST_WORDS, WINDOW
 from .licenses import PHRASES, TEMPLATES, THRESHOLD
 from .urlrules import RULES
 
@@ -9,28 +9,24 @@ A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 BLANKS = "' ' || chr(9) || chr(13)"
 
 
-def _key(mask: str, at: str) -> str:
-    return "concat_ws(' ', " + ", ".join(f"w[{at} + {i + 1}]" for i, c in enumerate(mask) if c == "1") + ")"
-
-
-def _seeds(table: str, id_: str, at: str) -> str:
-    return " UNION ALL ".join(
-        f"SELECT {id_}, w, {m} AS m, {at}, {_key(mask, at)} AS key FROM (SELECT {id_}, w, unnest(range(len(w) - {len(mask)} + 1)) AS {at} "
-        f"FROM {table} WHERE len(w) >= {len(mask)})" for m, mask in enumerate(MASKS))
+def _cut(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate({text}, {A_Z}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
+#: The rule alone, without seeds: all equal words of a document and an item, counted along each diagonal.
 OP1 = f"""
-WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, {A_Z}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-items AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, {A_Z}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-long_items AS (SELECT * FROM items WHERE len(w) >= {LEAST_WORDS}),
-train AS ({_seeds("cut", "doc_id", "p")}),
-test AS ({_seeds("long_items", "item_id", "q")}),
-hits AS (SELECT DISTINCT doc_id, item_id, p - q AS s FROM train JOIN test USING (m, key)),
-equal AS (SELECT doc_id, item_id, s, len(items.w) AS item_words,
-            len(list_filter(range(len(items.w)), lambda k: s + k >= 0 AND cut.w[s + k + 1] = items.w[k + 1])) AS equal_words
-          FROM hits JOIN cut USING (doc_id) JOIN items USING (item_id))
-SELECT doc_id, item_id, max(equal_words) AS equal_words, max(item_words) AS item_words, min(greatest(s, 0)) AS first_word
-FROM equal WHERE equal_words >= least({EQUAL_WORDS}, ceil(item_words * {EQUAL_SHARE})) GROUP BY doc_id, item_id
+WITH items AS (SELECT item_id, w, len(w) AS n, least(len(w), {WINDOW}) AS width, CASE WHEN len(w) >= {WINDOW} THEN {EQUAL} ELSE ceil(len(w) * {EQUAL_SHARE}) END AS need
+               FROM (SELECT DISTINCT item_id, {_cut("text")} AS w FROM benchmark) WHERE len(w) >= {LEAST_WORDS}),
+item_words AS (SELECT item_id, n, width, need, unnest(w) AS word, unnest(range(n)) AS q FROM items),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM (SELECT doc_id, {_cut("text")} AS w FROM documents)),
+same AS (SELECT doc_id, item_id, n, width, need, p - q AS s, q FROM words JOIN item_words USING (word)),
+near AS (SELECT doc_id, item_id, s FROM same GROUP BY ALL HAVING count(*) >= min(need)),
+counted AS (SELECT doc_id, item_id, n, width, need, s, q, CASE WHEN q <= n - width
+              THEN count(*) OVER (PARTITION BY doc_id, item_id, s ORDER BY q RANGE BETWEEN CURRENT ROW AND {WINDOW} - 1 FOLLOWING)
+              ELSE count(*) FILTER (q >= n - width) OVER (PARTITION BY doc_id, item_id, s) END AS equal
+            FROM same JOIN near USING (doc_id, item_id, s))
+SELECT doc_id, item_id, max(equal) AS equal_words, max(n) AS item_words, min(greatest(s + q, 0)) AS first_word
+FROM counted WHERE equal >= need GROUP BY doc_id, item_id
 """
 
 OP2 = f"""
