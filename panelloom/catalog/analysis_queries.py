@@ -101,8 +101,8 @@ SU = "split_name heldout_fold:i parameter_set:i train_conditions:i nearest_dista
 for _n in ("J12_nearest_condition_support", "B16_condition_support"):
     Q(_n, lambda v: v.build_support(), SU, "SELECT * FROM sup")
 Q("P29_low_support_flag", lambda v: v.support.select("split_name", "parameter_set", S.low_support(F.col("support_score")).alias("low")), "split_name parameter_set:i low", "SELECT split_name, parameter_set, support_score < 0.5 AS low FROM sup")
-Q("A91_support_summary", lambda v: su.support_summary(v.support.filter("split_name = 'c_rate_holdout_fold'")), "conditions:i low_support:i low_fraction:r mean_score:r median_score:r mean_distance:r",
-  "SELECT count(*) AS conditions, count(*) FILTER (support_score < 0.5) AS low_support, avg((support_score < 0.5)::INT) AS low_fraction, avg(support_score) AS mean_score, quantile_cont(support_score, 0.5) AS median_score, avg(nearest_distance) AS mean_distance FROM sup WHERE split_name = 'c_rate_holdout_fold'")
+Q("A91_support_summary", lambda v: su.support_summary(v.support, ["split_name"]), "split_name conditions:i low_support:i low_fraction:r mean_score:r median_score:r mean_distance:r",
+  "SELECT split_name, count(*) AS conditions, count(*) FILTER (support_score < 0.5) AS low_support, avg((support_score < 0.5)::INT) AS low_fraction, avg(support_score) AS mean_score, quantile_cont(support_score, 0.5) AS median_score, avg(nearest_distance) AS mean_distance FROM sup GROUP BY split_name")
 Q("J11_support_attach", lambda v: su.attach(v.hpreds.filter("model_level = 'MH0_persistence'"), v.support), "split_name cell_id checkup_k:i horizon_checkups:i support_score:r nearest_distance:r", "SELECT h.*, support_score, nearest_distance FROM hp h LEFT JOIN sup USING (split_name, parameter_set) WHERE model_level = 'MH0_persistence'")
 table("pwsup", "SELECT p.*, least(a.support_score, b.support_score) AS support_score, greatest(a.nearest_distance, b.nearest_distance) AS nearest_distance FROM pw p LEFT JOIN sup a ON a.split_name = p.split_name AND a.parameter_set = arm_a_parameter_set LEFT JOIN sup b ON b.split_name = p.split_name AND b.parameter_set = arm_b_parameter_set")
 Q("J11b_two_arm_support_attach", lambda v: su.attach_two(v.pairwise.filter("model_level = 'MH0_persistence'"), v.support), "split_name horizon_checkups:i contrast_id checkup_k:i support_score:r nearest_distance:r", "SELECT * FROM pwsup WHERE model_level = 'MH0_persistence'")
@@ -110,8 +110,8 @@ _RET = "(VALUES (1.0::DOUBLE), (0.9::DOUBLE), (0.75::DOUBLE), (0.5::DOUBLE), (0.
 table("hsel", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_SC} ORDER BY -support_score, nearest_distance, parameter_set, split_part(cell_id, '_', 2)::INT, checkup_k) AS pos, count(*) OVER (PARTITION BY {_SC}) AS n FROM (SELECT h.*, support_score, nearest_distance FROM hp h JOIN sup USING (split_name, parameter_set))), {_RET} WHERE pos <= greatest(1, ceil(n * retention_fraction))""")
 Q("A93_selective_regression", lambda v: su.selective_regression(v.hpreds, v.support, co.SCOPE), f"{SC} retention_fraction:r rows_retained:i conditions_retained:i mae:r rmse:r mean_support_score:r median_nearest_distance:r",
   f"SELECT {_SC}, retention_fraction, count(*) AS rows_retained, count(DISTINCT parameter_set) AS conditions_retained, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(support_score) AS mean_support_score, quantile_cont(nearest_distance, 0.5) AS median_nearest_distance FROM hsel GROUP BY ALL")
-Q("B17_selective_reliability", lambda v: su.selective_regression(v.hpreds.filter("split_name = 'c_rate_holdout_fold'"), v.support, co.SCOPE), f"{SC} retention_fraction:r rows_retained:i mae:r",
-  f"SELECT {_SC}, retention_fraction, count(*) AS rows_retained, avg(abs(e)) AS mae FROM hsel WHERE split_name = 'c_rate_holdout_fold' GROUP BY ALL")
+Q("B17_selective_reliability", lambda v: su.selective_regression(v.hpreds, v.support, co.SCOPE), f"{SC} retention_fraction:r rows_retained:i mae:r",
+  f"SELECT {_SC}, retention_fraction, count(*) AS rows_retained, avg(abs(e)) AS mae FROM hsel GROUP BY ALL")
 Q("W26_supported_row_retention", lambda v: su.retained(su.attach(v.hpreds.filter("model_level = 'MH1_prior_slope'"), v.support).withColumn("_r", su.replicate_of(F.col("cell_id"))), co.SCOPE, "parameter_set", ["_r", "checkup_k"], F.col("_r"), [0.5]), f"{SC} cell_id checkup_k:i",
   "SELECT * FROM hsel WHERE model_level = 'MH1_prior_slope' AND retention_fraction = 0.5")
 _WP = "split_name, target, model_level"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import diagnostics as dg, knee as kn, metrics as me, rules as ru
-from ..operators.splits import SPLITS, stack_splits
+from ..operators.splits import SPLITS, stack_splits, test_rows
 from .base import Q, table
 from .label_queries import META
 from .state_queries import SKEY, _case, _lead, _pd, _prox, _soh
@@ -159,22 +159,25 @@ _dk = ["diagnostic_family", "target_name", "horizon_checkups"]
 
 
 def _dpred(v):
-    d = stack_splits(v.diagnostic.filter("diagnostic_value_k IS NOT NULL")).filter("split_name = 'condition_fold'").withColumnRenamed("fold", "heldout_fold")
+    d = test_rows(v.diagnostic.filter("diagnostic_value_k IS NOT NULL"))
     m = ru.train_means(v.diagnostic.filter("diagnostic_value_k IS NOT NULL"), {"mean_value": F.col("diagnostic_value_kh")}, ["diagnostic_family", "target_name", "horizon_checkups"])
     d = d.join(m, ["split_name", "heldout_fold", *_dk])
     arms = F.array(*[F.struct(F.lit(a).alias("model_level"), p.alias("y_pred")) for a, p in (("DM0_persistence", F.col("diagnostic_value_k")), ("DM1_mean", F.col("mean_value")), ("DM3_blend", (F.col("mean_value") + F.col("diagnostic_value_k")) / 2))])
     return d.withColumn("_a", F.explode(arms)).select("*", "_a.model_level", "_a.y_pred").withColumns({"y_true": F.col("diagnostic_value_kh"), "feature_group": F.lit("DH0")}).drop("_a")
 
 
-table("dpt", """SELECT d.*, condition_fold AS heldout_fold, m.mv FROM dhz d JOIN (SELECT f.fold, diagnostic_family, target_name, horizon_checkups, avg(diagnostic_value_kh) AS mv FROM (SELECT DISTINCT condition_fold AS fold FROM dhz) f JOIN dhz ON condition_fold <> f.fold WHERE diagnostic_value_k IS NOT NULL GROUP BY ALL) m
-  ON m.fold = d.condition_fold AND m.diagnostic_family = d.diagnostic_family AND m.target_name = d.target_name AND m.horizon_checkups = d.horizon_checkups WHERE d.diagnostic_value_k IS NOT NULL""")
+_dhs = " UNION ALL ".join(f"SELECT '{s}' AS split_name, {s} AS fold, * FROM dhz WHERE diagnostic_value_k IS NOT NULL" for s in SPLITS)
+table("dhs", _dhs)
+table("dpt", """WITH f AS (SELECT DISTINCT split_name, fold FROM dhs WHERE split_name = 'condition_fold' OR fold <> 0),
+m AS (SELECT f.split_name, f.fold, diagnostic_family, target_name, horizon_checkups, avg(diagnostic_value_kh) AS mv FROM f JOIN dhs d ON d.split_name = f.split_name AND d.fold <> f.fold GROUP BY ALL)
+SELECT d.*, d.fold AS heldout_fold, m.mv FROM dhs d JOIN m USING (split_name, fold, diagnostic_family, target_name, horizon_checkups)""")
 table("dp", " UNION ALL ".join(f"SELECT *, '{a}' AS model_level, 'DH0' AS feature_group, {p} - diagnostic_value_kh AS e FROM dpt" for a, p in (("DM0_persistence", "diagnostic_value_k"), ("DM1_mean", "mv"), ("DM3_blend", "(mv + diagnostic_value_k) / 2"))))
-_DK = "heldout_fold, model_level, feature_group, diagnostic_family, target_name, horizon_checkups"
+_DK = "split_name, heldout_fold, model_level, feature_group, diagnostic_family, target_name, horizon_checkups"
 table("dmet", f"SELECT * FROM (SELECT {_DK}, count(*) AS test_rows, avg(abs(e)) AS mae FROM dp GROUP BY ALL) JOIN (SELECT {_DK}, avg(c) AS condition_mean_mae FROM (SELECT {_DK}, parameter_set, avg(abs(e)) AS c FROM dp GROUP BY ALL) GROUP BY ALL) USING ({_DK})")
-_dm = lambda v: me.regression_metrics(_dpred(v), ["heldout_fold", "model_level", "feature_group", *_dk])
-Q("B41_diagnostic_metrics", _dm, "heldout_fold:i model_level diagnostic_family target_name horizon_checkups:i test_rows:i mae:r condition_mean_mae:r", "SELECT * FROM dmet")
-_gains("A119_diagnostic_gains", "@model_level = 'DM3_blend'", "@model_level <> 'DM3_blend'", [*_dk, "heldout_fold"], "dmet", frame=_dm)
-Q("A121_diagnostic_hotspots", lambda v: me.error_summary(_dpred(v), ["model_level", "target_name", "parameter_set"]), f"model_level target_name parameter_set:i {ES}", f"SELECT model_level, target_name, parameter_set, {_es} FROM dp GROUP BY ALL")
+_dm = lambda v: me.regression_metrics(_dpred(v), ["split_name", "heldout_fold", "model_level", "feature_group", *_dk])
+Q("B41_diagnostic_metrics", _dm, "split_name heldout_fold:i model_level diagnostic_family target_name horizon_checkups:i test_rows:i mae:r condition_mean_mae:r", "SELECT * FROM dmet")
+_gains("A119_diagnostic_gains", "@model_level = 'DM3_blend'", "@model_level <> 'DM3_blend'", [*_dk, "split_name", "heldout_fold"], "dmet", frame=_dm)
+Q("A121_diagnostic_hotspots", lambda v: me.error_summary(_dpred(v), ["split_name", "model_level", "target_name", "parameter_set"]), f"split_name model_level target_name parameter_set:i {ES}", f"SELECT split_name, model_level, target_name, parameter_set, {_es} FROM dp GROUP BY ALL")
 
 
 def _ceiling(v):
@@ -235,16 +238,16 @@ Q("B37_calibration_leaderboard", lambda v: me.warning_metrics(v.wpreds, WK).grou
 
 def _perf(v):
     from ..operators.diagnostics import grouped
-    d = v.wpreds.filter("split_name = 'condition_fold'").withColumns({"lead_time": S.lead_time_bin(F.col("margin_soh"), F.col("time_to_event_checkups")), "proximity": S.proximity_bin(F.col("soh_k"))})
+    d = v.wpreds.withColumns({"lead_time": S.lead_time_bin(F.col("margin_soh"), F.col("time_to_event_checkups")), "proximity": S.proximity_bin(F.col("soh_k"))})
     d = grouped(d, ["lead_time", "proximity"])
-    keys = ["target", "model_level", "grouping", "group_value"]
+    keys = ["split_name", "target", "model_level", "grouping", "group_value"]
     return me.point_scores(d, keys).join(me.auroc(d, keys), keys).join(me.ece(d, keys), keys)
 
 
-_g = "target, model_level, grouping, group_value"
-table("wgrp", f"SELECT *, 'lead_time' AS grouping, {_lead} AS group_value FROM wp WHERE split_name = 'condition_fold' UNION ALL SELECT *, 'proximity', {_prox} FROM wp WHERE split_name = 'condition_fold'")
+_g = "split_name, target, model_level, grouping, group_value"
+table("wgrp", f"SELECT *, 'lead_time' AS grouping, {_lead} AS group_value FROM wp UNION ALL SELECT *, 'proximity', {_prox} FROM wp")
 for _n in ("A56_grouped_performance", "B39_warning_diagnosis"):
-    Q(_n, _perf, "target model_level grouping group_value n:i brier:r auroc:r ece:r",
+    Q(_n, _perf, "split_name target model_level grouping group_value n:i brier:r auroc:r ece:r",
       f"""SELECT * FROM (SELECT {_g}, count(*) AS n, avg((p - y) * (p - y)) AS brier, CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(y * r) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))) END AS auroc FROM (
       SELECT *, rank() OVER (PARTITION BY {_g} ORDER BY p) + (count(*) OVER (PARTITION BY {_g}, p) - 1) / 2.0::DOUBLE AS r FROM wgrp) GROUP BY ALL) JOIN (SELECT {_g}, sum(m * abs(mp - my)) / sum(m) AS ece FROM (SELECT {_g}, least(floor(p * 10), 9) AS b, count(*) AS m, avg(p) AS mp, avg(y) AS my FROM wgrp GROUP BY ALL) GROUP BY ALL) USING ({_g})""")
 Q("A57_censoring_by_split", lambda v: stack_splits(v.warn_long).groupBy("target", "split_name", "fold").pivot("label_status", ["positive_observed", "negative_observed", "right_censored_unknown"]).agg(F.count(F.lit(1))).fillna(0),

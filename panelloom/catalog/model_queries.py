@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import metrics as me, models as mo, ridge as rg, rules as ru, sequences as sq, uncertainty as un
+from ..operators import logistic as lg, metrics as me, models as mo, ridge as rg, rules as ru, sequences as sq, uncertainty as un
 from ..operators.splits import SPLITS
 from . import features as fe
 from .base import Q
@@ -58,43 +58,43 @@ def _pulse(v):
 Q("E11_pulse_eis_models", _pulse, ARM)
 
 
+WARN_TARGETS = ["event_within_1_checkup", "event_within_2_checkups", "event_within_3_checkups"]
+
+
 def _warn(v):
-    p = mo.run_warning_arms(v.warning, CR, "event_within_3_checkups")
-    return p.select("split_name", "heldout_fold", "target", "model_level", "parameter_set", F.col("y_true").alias("y"), F.col("y_pred").alias("p"))
+    """Logistic probabilities of every target, split, fold and feature set."""
+    d = v.warning.withColumns({t: F.col(t).cast("double") for t in WARN_TARGETS})
+    p = lg.logistic_arms(d, WARN_TARGETS, fe.WARNING)
+    return cut(p.select("split_name", "heldout_fold", "target", "model_level", "feature_group", "cell_id", "checkup_k", "parameter_set", F.col("y_true").cast("int").alias("y"), F.col("y_pred").alias("p")))
 
 
 def _warnscores(v):
-    d, k = cut(_warn(v)), ["split_name", "heldout_fold", "target", "model_level"]
+    d, k = _warn(v), ["split_name", "heldout_fold", "target", "model_level", "feature_group"]
     return me.point_scores(d, k).join(me.auroc(d, k), k)
 
 
-Q("E12_warning_models", _warnscores,
-  "split_name heldout_fold:i target model_level n:i brier:r auroc:r")
+Q("E12_warning_models", _warnscores, "split_name heldout_fold:i target model_level feature_group n:i brier:r log_loss:r auroc:r")
 
 
 def _cal(v):
-    part = ru.calibration_partition(v.warn_long.filter("target = 'event_within_3_checkups'")).filter(f"split_name = '{CR}'").filter("calibration").select("parameter_set")
-    w = v.warning
-    base_w = w.filter(F.col(CR) == 0)
-    fit = base_w.join(part, "parameter_set", "left_anti").withColumn("side", F.lit(0))
-    rest = base_w.join(part, "parameter_set", "left_semi").withColumn("side", F.lit(1)).unionByName(w.filter(F.col(CR) != 0).withColumn("side", F.lit(2)))
-    d = fit.unionByName(rest).withColumn("_f", F.when(F.col("side") == 0, 0).otherwise(1))
-    p = mo.run_warning_arms(d.withColumn(CR, F.col("_f")), CR, "event_within_3_checkups", ["B5_logistic"])
-    p = cut(p.join(d.select("cell_id", "checkup_k", "side"), ["cell_id", "checkup_k"]).select(
-        "cell_id", "checkup_k", "parameter_set", "side", F.col("y_true").cast("int").alias("y"), F.col("y_pred").alias("p")))
-    base, test = p.filter("side = 1"), p.filter("side = 2")
-    out = [mo.calibrate(base, test, m) for m in ("raw", "platt", "isotonic")]
-    u = un.union_all([o.withColumn("method", F.lit(m)) for o, m in zip(out, ("raw", "platt", "isotonic"))])
-    return cut(u.withColumn("p", F.col("p_calibrated")))
+    """Every (split, fold, target): the base model leaves the calibration conditions out, the maps are learnt on them, the fold is judged."""
+    part = ru.calibration_partition(v.warn_long).where("calibration")
+    d = v.warning.withColumns({t: F.col(t).cast("double") for t in WARN_TARGETS})
+    p = cut(lg.logistic_arms(d, WARN_TARGETS, {"W2_nominal": fe.WARNING["W2_nominal"]}, leave_out=part))
+    keys = ["split_name", "heldout_fold", "target"]
+    rows = p.select(*keys, "cell_id", "checkup_k", "parameter_set", "calibration", F.col("y_true").cast("int").alias("y"), F.col("y_pred").alias("p"))
+    return cut(lg.calibrated(rows, keys).withColumn("p", F.col("p_calibrated")))
 
 
 def _calscores(v):
-    d, k = _cal(v), ["method", "calibration"]
+    d, k = _cal(v), ["split_name", "heldout_fold", "target", "method", "applied"]
     return me.point_scores(d, k).join(me.ece(d, k), k)
 
 
-for _n in ("E15_platt_isotonic", "B36_warning_calibration_run"):
-    Q(_n, _calscores, "method calibration n:i brier:r ece:r")
+Q("E15_platt_isotonic", _calscores, "split_name heldout_fold:i target method applied n:i brier:r log_loss:r ece:r")
+Q("B36_warning_calibration_run", lambda v: _calscores(v).groupBy("split_name", "target", "method").agg(
+    F.count(F.lit(1)).alias("folds"), F.sum((F.col("applied") != "raw").cast("long")).alias("calibrated_folds"), F.avg("brier").alias("brier"), F.avg("ece").alias("ece")),
+  "split_name target method folds:i calibrated_folds:i brier:r ece:r")
 
 
 F4_SET = {"F4_state_log_age_scalar": F4}

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as S
-from ..functions.ordered import carry, quantiles
+from ..functions.ordered import attach as attach_keys, carry, quantiles
 from .splits import SPLITS, stack_splits
 
 # ---- fixed values: fields of the distance and retention fractions ----
@@ -131,11 +131,12 @@ def selective_ordering(pairwise: DataFrame, support: DataFrame, keys) -> DataFra
                               n("sign_correct").alias("sign_correct_rows"), F.avg("effect_abs_error").alias("mean_effect_abs_error"), F.avg("support_score").alias("mean_support_score"))
 
 
-def support_summary(support: DataFrame) -> DataFrame:
+def support_summary(support: DataFrame, keys) -> DataFrame:
+    """Conditions, low-support share, mean and median score per key."""
     low = S.low_support(F.col("support_score"))
-    g = support.agg(F.count(F.lit(1)).alias("conditions"), F.sum(low.cast("long")).alias("low_support"), F.avg(low.cast("double")).alias("low_fraction"),
-                    F.avg("support_score").alias("mean_score"), F.avg("nearest_distance").alias("mean_distance"))
-    return g.crossJoin(quantiles(support, [], "support_score", {"median_score": .5}))   # one-row frames
+    g = support.groupBy(*keys).agg(F.count(F.lit(1)).alias("conditions"), F.sum(low.cast("long")).alias("low_support"), F.avg(low.cast("double")).alias("low_fraction"),
+                                   F.avg("support_score").alias("mean_score"), F.avg("nearest_distance").alias("mean_distance"))
+    return attach_keys(g, quantiles(support, keys, "support_score", {"median_score": .5}), keys)
 
 
 def stratum_gains(gains: DataFrame, support: DataFrame, keys) -> DataFrame:
