@@ -4,12 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import logistic as lg, metrics as me, models as mo, ridge as rg, rules as ru, sequences as sq, uncertainty as un
+from ..operators import boosting as bo, logistic as lg, metrics as me, models as mo, ridge as rg, rules as ru, sequences as sq, uncertainty as un
 from ..operators.splits import SPLITS
 from . import features as fe
 from .base import Q
 
-CR, PR = "c_rate_holdout_fold", "profile_holdout_fold"
 DELTA, LEVEL = "delta_capacity_Ah", "capacity_Ah_k1"
 F4 = fe.CAPACITY["F4_state_log_age_scalar"]
 ARM = "split_name heldout_fold:i model_level feature_group target test_rows:i mae:r rmse:r bias:r condition_mean_mae:r worst_condition_mae:r"
@@ -30,19 +29,24 @@ def _stressed(v):
     return v.intervals.join(v.stress.select(*keys, *[c for c in fe.STRESS if c in v.stress.columns]), keys, "left")
 
 
+def _trees(df, targets, groups, name, model="L2_trees", **kw):
+    """Predictions of boosted trees on the feature set ``name``, every split, fold and target."""
+    return bo.run_trees(df, targets, *groups[name], name, model, **kw)
+
+
 Q("E08_ridge_trees_quantile", lambda v: _met(_ridge(v.intervals, [DELTA, LEVEL], fe.CAPACITY).unionByName(
-    mo.run_arms(v.intervals, CR, DELTA, ["L2_trees", "L3_quantile"]), allowMissingColumns=True)), ARM)
+    _trees(v.intervals, [DELTA, LEVEL], fe.CAPACITY, "F4_state_log_age_scalar", quantile_model="L3_quantile"), allowMissingColumns=True)), ARM)
 Q("E28_semi_empirical_ridge", lambda v: _met(_ridge(_stressed(v), [LEVEL, DELTA], fe.SEMI_EMPIRICAL, model="L4_semi_empirical_ridge")), ARM)
 Q("B45_semi_empirical_run", lambda v: me.leaderboard(_met(_ridge(_stressed(v), [LEVEL, DELTA], fe.SEMI_EMPIRICAL, model="L4_semi_empirical_ridge"))), BOARD)
 Q("E09_horizon_models", lambda v: _met(_ridge(v.horizon, ["capacity_Ah_kh", "delta_capacity_Ah_h"], fe.HORIZON, model="MH2_ridge").unionByName(
-    mo.run_arms(v.horizon, CR, "capacity_Ah_kh", ["L2_trees"], *fe.HORIZON["K2_nominal_condition"], group="K2_nominal_condition"))), ARM)
+    _trees(v.horizon, ["capacity_Ah_kh", "delta_capacity_Ah_h"], fe.HORIZON, "K2_nominal_condition", "MH3_trees"))), ARM)
 
 
 def _diagnostic(v):
     """One target column for each diagnostic: a row counts for its own only."""
     names = [r["target_name"] for r in v.diagnostic.select("target_name").distinct().orderBy("target_name").collect()]
     d = v.diagnostic.withColumns({n: F.when(F.col("target_name") == n, F.col("diagnostic_value_kh")) for n in names})
-    return _met(_ridge(d, names, fe.DIAGNOSTIC, model="DM2_ridge"))
+    return _met(_ridge(d, names, fe.DIAGNOSTIC, model="DM2_ridge").unionByName(_trees(d, names, fe.DIAGNOSTIC, "DH3_capacity_plus_prior_same_diagnostic", "DM3_trees")))
 
 
 Q("E10_diagnostic_models", _diagnostic, ARM)
@@ -62,10 +66,12 @@ WARN_TARGETS = ["event_within_1_checkup", "event_within_2_checkups", "event_with
 
 
 def _warn(v):
-    """Logistic probabilities of every target, split, fold and feature set."""
+    """Logistic and tree probabilities of every target, split and fold."""
     d = v.warning.withColumns({t: F.col(t).cast("double") for t in WARN_TARGETS})
     p = lg.logistic_arms(d, WARN_TARGETS, fe.WARNING)
-    return cut(p.select("split_name", "heldout_fold", "target", "model_level", "feature_group", "cell_id", "checkup_k", "parameter_set", F.col("y_true").cast("int").alias("y"), F.col("y_pred").alias("p")))
+    t = _trees(d, WARN_TARGETS, fe.WARNING, "W2_nominal", "B6_trees", loss="log")
+    names = ["split_name", "heldout_fold", "target", "model_level", "feature_group", "cell_id", "checkup_k", "parameter_set"]
+    return cut(un.union_all([x.select(*names, F.col("y_true").cast("int").alias("y"), F.col("y_pred").alias("p")) for x in (p, t)]))
 
 
 def _warnscores(v):
@@ -101,8 +107,11 @@ F4_SET = {"F4_state_log_age_scalar": F4}
 
 
 def _weighted(v):
-    arms = rg.weighted_arms("F4_state_log_age_scalar", *F4)
-    return cut(rg.run(v.intervals, [DELTA, LEVEL], arms, *F4)[0])
+    """Trees in four weight settings, and the same settings of the ridge."""
+    name = "F4_state_log_age_scalar"
+    ridge = rg.run(v.intervals, [DELTA, LEVEL], rg.weighted_arms(name, *F4), *F4)[0]
+    ridge = ridge.withColumn("model_level", F.concat("model_level", F.lit("_ridge")))
+    return cut(bo.run_weighted(v.intervals, [DELTA, LEVEL], *F4, name).unionByName(ridge))
 
 
 Q("E19_weighted_bagged_trees", lambda v: _met(_weighted(v)), ARM)
