@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from .decontaminate import EQUAL, EQUAL_SHARE, LEAST_WORDS, WINDOW
-from .licenses import PHRASES, TEMPLATES, THRESHOLD
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, window_class
 from .urlrules import RULES
 
 A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -60,12 +60,13 @@ base AS (SELECT doc_id, len(w) AS n_words, {", ".join(f"{_places(p)} AS p{i}" fo
 places AS (SELECT doc_id, n_words, list_concat(list_concat(p0, p1), p2) AS p,
              list_sort(list_filter([{", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(PHRASES))}], lambda x: x IS NOT NULL)) AS b
            FROM base),
-templates AS (SELECT label, list_distinct(string_split(t, ' ')) AS tokens FROM (VALUES {", ".join(f"('{label}', '{t}')" for label, t in TEMPLATES)}) v(label, t)),
-lines AS (SELECT doc_id, i, {_WORDS.format("line")} AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-            unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
-found AS (SELECT doc_id, i, label, len(list_intersect(tokens, lw)) AS held, len(tokens) AS n FROM lines, templates
-          WHERE len(list_intersect(tokens, lw)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
-more AS (SELECT doc_id, list(DISTINCT label) AS l, max(held / n) AS s, count(DISTINCT i) AS n_blocks FROM found GROUP BY doc_id)
+templates AS (SELECT label, list_distinct(string_split(t, ' ')) AS tokens, c, must, without
+              FROM (VALUES {", ".join(f"('{label}', '{t}', {window_class(t)}, {must}::VARCHAR[], {without}::VARCHAR[])" for label, t, must, without in TEMPLATES)}) v(label, t, c, must, without)),
+starts AS (SELECT doc_id, w, c, unnest(range(0, len(w), CAST(pow(2, c) AS BIGINT))) AS s FROM cut, (SELECT DISTINCT c FROM templates) WHERE len(w) > 0),
+found AS (SELECT doc_id, c, s, label, len(list_intersect(tokens, lw)) AS held, len(tokens) AS n
+          FROM (SELECT doc_id, c, s, w[s + 1:s + CAST(pow(2, c + 1) AS BIGINT)] AS lw FROM starts) JOIN templates USING (c)
+          WHERE len(list_intersect(tokens, lw)) >= ceil({THRESHOLD} * len(tokens) - 1e-9) AND list_has_all(lw, must) AND NOT list_has_any(lw, without)),
+more AS (SELECT doc_id, list(DISTINCT label) AS l, max(held / n) AS s, count(DISTINCT (c, s)) AS n_blocks FROM found GROUP BY doc_id)
 SELECT doc_id, n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, array_to_string(b, ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(b, coalesce(l, [])))), ',') AS labels,
        CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(s, 0.0) END::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks

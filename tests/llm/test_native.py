@@ -1,5 +1,7 @@
 """Seeds, licenses, shards and url rules against plain re-computation."""
 import itertools
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -122,6 +124,39 @@ def test_licenses(spark):
     assert L.scan(df.limit(0)).collect() == []
 
 
+def plain_labels(text):
+    """Labels and best share by trying every window of every template."""
+    w = [x for x in re.split("[\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text)) if x]
+    labels, best = set(), 0.0
+    for label, t, must, without in L.TEMPLATES:
+        tokens, step = set(t.split()), 1
+        while step < max(2, len(t.split())):
+            step *= 2
+        for a in range(0, len(w), step):
+            block = set(w[a:a + 2 * step])
+            if len(tokens & block) >= math.ceil(L.THRESHOLD * len(tokens) - 1e-9) and set(must) <= block and not set(without) & block:
+                labels.add(label)
+                best = max(best, len(tokens & block) / len(tokens))
+    return labels, best
+
+
+def test_license_windows(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    r = random.Random(3)
+    pool = sorted({w for _, t, m, x in L.TEMPLATES for w in (*t.split(), *m, *x)} | {"foo", "bar", "some", "word"})
+    texts = ["Intro\n" + bsd, "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0", "Released under the Apache License", "licensed under cc by\nsa 4.0",
+             "x " * 500 + bsd + " y" * 500, "all the rights are not always and everywhere in the whole wide world reserved", "All\nrights\n\nreserved", *EDGES[:6],
+             "GNU Lesser General Public License version 3: this library is licensed under it", "mit " * 40_000]
+    texts += [" ".join(r.choice(pool) for _ in range(r.randrange(3, 120))) for _ in range(60)]
+    texts += [" ".join(x for w in t.split() for x in ([w] if r.random() < 0.9 else ["foo", "bar"])) + " tail" for _, t, _, _ in L.TEMPLATES for _ in range(4)]
+    got = {r["doc_id"]: (set(r["labels"].split(",")) - {""} - set(r["base_labels"].split(",")), r["base_labels"], r["score"]) for r in L.scan(frame(spark, texts)).collect()}
+    assert [got[i][0] for i in range(5)] == [{"bsd"}, {"cc-by-nc"}, {"cc-by"}, set(), {"cc-by-sa"}] and got[5][0] == {"bsd"} and got[6][0] == set() and got[7][0] == {"reserved"}
+    for i, t in enumerate(texts):
+        labels, best = plain_labels(t)
+        base = set(got[i][1].split(",")) - {""}
+        assert got[i][0] == labels - base and abs(got[i][2] - (1.0 if base else best)) < 1e-12, t
+
+
 def draw(i, tree):
     seed = xxhash.xxh64(i.to_bytes(8, "little", signed=True), seed=42).intdigest()
     node, children = "", defaultdict(lambda: defaultdict(float))
