@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import sized, written
 
 #: Vertices with more neighbours get theirs by a table sent to all tasks, so their neighbours need not meet in one.
-HOT = 500
+HOT = 100
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
