@@ -5,7 +5,7 @@ from importlib import import_module
 
 from . import base
 
-MODULES = ["tables", "log_queries", "label_queries", "state_queries", "eval_queries", "analysis_queries", "misc_queries", "model_queries"]
+MODULES = ["tables", "log_queries", "label_queries", "state_queries", "eval_queries", "analysis_queries", "misc_queries", "model_queries", "report_queries"]
 
 
 def _load() -> None:

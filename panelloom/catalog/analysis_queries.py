@@ -38,7 +38,7 @@ table("stb", """SELECT c.contrast_id, c.contrast_family, a.k AS checkup_k, avg(b
 table("stb2", """SELECT s.*, m.na AS arm_a_replicates, n.na AS arm_b_replicates, n.m - m.m AS effect_b_minus_a, m.na >= 2 AND n.na >= 2 AND (pairwise_positive_fraction >= 0.75 OR pairwise_positive_fraction <= 0.25) AS sign_stable FROM stb s JOIN ctr c USING (contrast_id)
 JOIN (SELECT parameter_set, k, count(*) AS na, avg(loss) AS m FROM loss GROUP BY ALL) m ON m.parameter_set = arm_a_parameter_set AND m.k = checkup_k JOIN (SELECT parameter_set, k, count(*) AS na, avg(loss) AS m FROM loss GROUP BY ALL) n ON n.parameter_set = arm_b_parameter_set AND n.k = checkup_k""")
 SB = "contrast_id checkup_k:i arm_a_replicates:i arm_b_replicates:i effect_b_minus_a:r pairwise_positive_fraction:r sign_stable"
-for _n in ("A70_observed_sign_stability", "B13_observed_contrast_evaluation"):
+for _n in ("A70_observed_sign_stability",):
     Q(_n, lambda v: v.build_stability(), SB, "SELECT * FROM stb2")
 Q("A71_stability_by_family", lambda v: co.stability_by_family(v.stability), "contrast_family stability_rows:i sign_stable_rows:i sign_stable_fraction:r unique_contrasts:i median_abs_effect_b_minus_a:r",
   "SELECT contrast_family, count(*) AS stability_rows, count(*) FILTER (sign_stable) AS sign_stable_rows, avg(sign_stable::INT) AS sign_stable_fraction, count(DISTINCT contrast_id) AS unique_contrasts, quantile_cont(abs(effect_b_minus_a), 0.5) AS median_abs_effect_b_minus_a FROM stb2 GROUP BY 1")
@@ -63,9 +63,9 @@ table("pwa", "SELECT *, contrast_family AS fam FROM pw UNION ALL SELECT *, 'all'
 _osum = """count(*) AS pairwise_rows, count(DISTINCT contrast_id) AS unique_contrasts, count(*) FILTER (sign_evaluable) AS sign_evaluable_rows, count(*) FILTER (sign_correct) AS sign_correct_rows, count(*) FILTER (sign_correct) / nullif(count(*) FILTER (sign_evaluable), 0)::DOUBLE AS sign_accuracy,
   avg(effect_abs_error) AS mean_effect_abs_error, quantile_cont(effect_abs_error, 0.5) AS median_effect_abs_error, count(*) FILTER (observed_sign_label = 'tie') AS observed_tie_rows, count(*) FILTER (predicted_sign_label = 'tie') AS predicted_tie_rows"""
 OS = "pairwise_rows:i unique_contrasts:i sign_evaluable_rows:i sign_correct_rows:i sign_accuracy:r mean_effect_abs_error:r median_effect_abs_error:r observed_tie_rows:i predicted_tie_rows:i"
-for _n in ("A73_ordering_summary", "B14_ordering_evaluation"):
+for _n in ("A73_ordering_summary",):
     Q(_n, lambda v: co.ordering_summary(v.pairwise), f"{SC} contrast_family {OS}", f"SELECT {_SC}, fam AS contrast_family, {_osum} FROM pwa GROUP BY ALL")
-for _n in ("A74_effect_threshold_accuracy", "B15_ordering_forensics"):
+for _n in ("A74_effect_threshold_accuracy",):
     Q(_n, lambda v: co.threshold_accuracy(v.pairwise), f"{SC} contrast_family effect_threshold_Ah:r pairwise_rows:i unique_contrasts:i sign_accuracy:r median_effect_abs_error:r",
       f"SELECT {_SC}, fam AS contrast_family, t AS effect_threshold_Ah, {_osum} FROM pwa, (VALUES (0.0::DOUBLE), (0.01::DOUBLE), (0.02::DOUBLE), (0.05::DOUBLE)) x(t) WHERE abs(o) >= t GROUP BY ALL")
 _bin = _case("abs(c.o)", [(.01, "tiny_lt_0.01Ah"), (.02, "small_0.01_to_0.02Ah"), (.05, "medium_0.02_to_0.05Ah")], "large_ge_0.05Ah")
@@ -110,8 +110,6 @@ _RET = "(VALUES (1.0::DOUBLE), (0.9::DOUBLE), (0.75::DOUBLE), (0.5::DOUBLE), (0.
 table("hsel", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_SC} ORDER BY -support_score, nearest_distance, parameter_set, split_part(cell_id, '_', 2)::INT, checkup_k) AS pos, count(*) OVER (PARTITION BY {_SC}) AS n FROM (SELECT h.*, support_score, nearest_distance FROM hp h JOIN sup USING (split_name, parameter_set))), {_RET} WHERE pos <= greatest(1, ceil(n * retention_fraction))""")
 Q("A93_selective_regression", lambda v: su.selective_regression(v.hpreds, v.support, co.SCOPE), f"{SC} retention_fraction:r rows_retained:i conditions_retained:i mae:r rmse:r mean_support_score:r median_nearest_distance:r",
   f"SELECT {_SC}, retention_fraction, count(*) AS rows_retained, count(DISTINCT parameter_set) AS conditions_retained, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(support_score) AS mean_support_score, quantile_cont(nearest_distance, 0.5) AS median_nearest_distance FROM hsel GROUP BY ALL")
-Q("B17_selective_reliability", lambda v: su.selective_regression(v.hpreds, v.support, co.SCOPE), f"{SC} retention_fraction:r rows_retained:i mae:r",
-  f"SELECT {_SC}, retention_fraction, count(*) AS rows_retained, avg(abs(e)) AS mae FROM hsel GROUP BY ALL")
 Q("W26_supported_row_retention", lambda v: su.retained(su.attach(v.hpreds.filter("model_level = 'MH1_prior_slope'"), v.support).withColumn("_r", su.replicate_of(F.col("cell_id"))), co.SCOPE, "parameter_set", ["_r", "checkup_k"], F.col("_r"), [0.5]), f"{SC} cell_id checkup_k:i",
   "SELECT * FROM hsel WHERE model_level = 'MH1_prior_slope' AND retention_fraction = 0.5")
 _WP = "split_name, target, model_level"
@@ -123,7 +121,7 @@ Q("A95_selective_ordering", lambda v: su.selective_ordering(v.pairwise, v.suppor
   SELECT *, row_number() OVER (PARTITION BY {_SC}, fam ORDER BY -support_score, nearest_distance, arm_a_parameter_set, contrast_id, checkup_k) AS pos, count(*) OVER (PARTITION BY {_SC}, fam) AS n FROM (SELECT *, contrast_family AS fam FROM pwsup UNION ALL SELECT *, 'all' FROM pwsup)), {_RET} WHERE pos <= greatest(1, ceil(n * retention_fraction)) GROUP BY ALL""")
 table("cgain", "SELECT c.split_name, c.heldout_fold, c.target, c.parameter_set, c.model_level, c.feature_group, r.condition_mae - c.condition_mae AS gain, r.condition_mae AS refm, c.condition_mae AS candm FROM cerr c JOIN cerr r USING (run_scope, split_name, heldout_fold, target, parameter_set) WHERE c.run_scope = 'primary' AND c.model_level <> 'L0_persistence' AND r.model_level = 'L0_persistence'")
 _cg = lambda v: me.paired_condition_gains(v.preds.filter("run_scope = 'primary'")).withColumnsRenamed({"candidate_model_level": "model_level", "candidate_feature_group": "feature_group"})
-for _n in ("A88_support_stratum_gains", "B21_repair_boundary"):
+for _n in ("A88_support_stratum_gains",):
     Q(_n, lambda v: su.stratum_gains(_cg(v), v.support, ["split_name", "target", "model_level", "feature_group"]), "split_name target model_level feature_group stratum n:i mean_gain:r median_gain:r",
       "SELECT split_name, target, model_level, feature_group, CASE WHEN support_score < 0.5 THEN 'low_support' ELSE 'high_support' END AS stratum, count(*) AS n, avg(gain) AS mean_gain, quantile_cont(gain, 0.5) AS median_gain FROM cgain JOIN sup USING (split_name, parameter_set) GROUP BY ALL")
 
@@ -137,7 +135,7 @@ _EK = ["split_name", "model_level", "feature_group", "target"]
 table("evs", "SELECT split_name, model_level, feature_group, target, parameter_set, count(*) AS n, avg(abs(e)) AS mae, quantile_cont(abs(e), 0.5) AS median_abs_error, avg(spread) AS mean_spread, avg(abs(e)) > avg(spread) + 1e-12 AS exceeds_spread FROM preds JOIN spr USING (parameter_set, checkup_k_next, target) WHERE run_scope = 'primary' GROUP BY ALL")
 _evs = lambda v: un.error_vs_spread(v.preds.filter("run_scope = 'primary'"), v.spread, _EK)
 Q("A06_error_vs_spread", _evs, "split_name model_level feature_group target parameter_set:i mae:r median_abs_error:r mean_spread:r exceeds_spread", "SELECT * FROM evs")
-for _n in ("A07_uncertainty_summary", "B19_replicate_report"):
+for _n in ("A07_uncertainty_summary",):
     Q(_n, lambda v: un.uncertainty_summary(_evs(v), _EK), "split_name model_level feature_group target conditions:i fraction_exceeding:r mean_mae:r", "SELECT split_name, model_level, feature_group, target, count(*) AS conditions, avg(exceeds_spread::INT) AS fraction_exceeding, avg(mae) AS mean_mae FROM evs GROUP BY ALL")
 _arm1 = "run_scope = 'primary' AND model_level = 'L2_rule' AND feature_group = 'F2_state'"
 table("cfp", f"SELECT * FROM preds WHERE {_arm1}")
@@ -150,20 +148,25 @@ table("crad", """SELECT target, split_name, heldout_fold, method, n_calibration_
 table("cint", """SELECT *, miss <= 1e-12 AS covered, 2 * radius AS width, 2 * radius + 20.0 * miss AS interval_score FROM (SELECT p.*, c.method, c.radius, c.n_calibration_conditions, s.spread, greatest(0.0, p.y_pred - radius - p.y_true) + greatest(0.0, p.y_true - p.y_pred - radius) AS miss
 FROM cfp p JOIN crad c USING (target, split_name, heldout_fold) LEFT JOIN spr s USING (parameter_set, checkup_k_next, target))""")
 _cf = lambda v: un.conformal(v.preds.filter(_arm1), v.spread)
+_raw = "run_scope = 'primary' AND model_level = 'L3_quantile'"
+_cf0 = lambda v: un.union_all([_cf(v), un.raw_quantile(v.preds.filter(_raw), v.spread)])
+table("cint0", f"""SELECT method, target, split_name, heldout_fold, cell_id, checkup_k, parameter_set, spread, covered, width, interval_score FROM cint UNION ALL
+SELECT 'Q0_raw_quantile', target, split_name, heldout_fold, cell_id, checkup_k, parameter_set, spread, miss <= 1e-12, w, w + 20.0 * miss FROM (SELECT p.*, s.spread, y_pred_q90 - y_pred_q10 AS w,
+greatest(0.0, y_pred_q10 - y_true) + greatest(0.0, y_true - y_pred_q90) AS miss FROM preds p LEFT JOIN spr s USING (parameter_set, checkup_k_next, target) WHERE {_raw} AND y_pred_q10 IS NOT NULL)""")
 _mk = ["method", "target", "split_name", "heldout_fold"]
 MK = "method target split_name heldout_fold:i"
 Q("A59_conformal_radius", lambda v: _cf(v).groupBy(*_mk).agg(F.max("radius").alias("radius")), f"{MK} radius:r", "SELECT method, target, split_name, heldout_fold, max(radius) AS radius FROM cint GROUP BY ALL")
-Q("A61_interval_score", _cf, f"{MK} cell_id checkup_k:i covered width:r interval_score:r", "SELECT * FROM cint")
+Q("A61_interval_score", _cf0, f"{MK} cell_id checkup_k:i covered width:r interval_score:r", "SELECT * FROM cint0")
 _rl = """count(*) AS n_test_rows, count(DISTINCT parameter_set) AS n_test_conditions, avg(covered::INT) AS empirical_coverage, avg(width) AS mean_interval_width, quantile_cont(width, 0.5) AS median_interval_width, avg(interval_score) AS interval_score, avg(spread) AS mean_test_replicate_spread, avg((width < spread - 1e-12)::INT) AS narrower_than_spread_fraction"""
-for _n in ("A60_conformal_evaluation", "A62_coverage_rollup", "B18_calibration_run"):
-    Q(_n, lambda v: un.coverage_rollup(_cf(v), _mk), f"{MK} n_test_rows:i n_test_conditions:i empirical_coverage:r mean_interval_width:r median_interval_width:r interval_score:r mean_test_replicate_spread:r narrower_than_spread_fraction:r condition_level_coverage:r worst_condition_coverage:r",
-      f"SELECT * FROM (SELECT method, target, split_name, heldout_fold, {_rl} FROM cint GROUP BY ALL) JOIN (SELECT method, target, split_name, heldout_fold, avg(c) AS condition_level_coverage, min(c) AS worst_condition_coverage FROM (SELECT method, target, split_name, heldout_fold, parameter_set, avg(covered::INT) AS c FROM cint GROUP BY ALL) GROUP BY ALL) USING (method, target, split_name, heldout_fold)")
+for _n in ("A60_conformal_evaluation", "A62_coverage_rollup"):
+    Q(_n, lambda v: un.coverage_rollup(_cf0(v), _mk), f"{MK} n_test_rows:i n_test_conditions:i empirical_coverage:r mean_interval_width:r median_interval_width:r interval_score:r mean_test_replicate_spread:r narrower_than_spread_fraction:r condition_level_coverage:r worst_condition_coverage:r",
+      f"SELECT * FROM (SELECT method, target, split_name, heldout_fold, {_rl} FROM cint0 GROUP BY ALL) JOIN (SELECT method, target, split_name, heldout_fold, avg(c) AS condition_level_coverage, min(c) AS worst_condition_coverage FROM (SELECT method, target, split_name, heldout_fold, parameter_set, avg(covered::INT) AS c FROM cint0 GROUP BY ALL) GROUP BY ALL) USING (method, target, split_name, heldout_fold)")
 
 # ---- coupling ----
 table("cpl", "SELECT i.*, t.delta_pulse_1s_resistance, t.pulse_1s_resistance_k, ('0x' || substr(md5(i.cell_id || '|' || i.checkup_k), 1, 12))::BIGINT AS row_id FROM ivq i JOIN ptgt t USING (cell_id, checkup_k) WHERE delta_pulse_1s_resistance IS NOT NULL")
 table("cpls", "SELECT *, 'all' AS scope FROM cpl UNION ALL SELECT *, 'c_rate' FROM cpl WHERE c_rate_holdout_fold <> 0 UNION ALL SELECT *, 'cold' FROM cpl WHERE nominal_temperature_C <= 10")
 _x, _y = "delta_pulse_1s_resistance", "delta_capacity_Ah"
-for _n, _c in (("A35_pearson", "pearson:r"), ("A36_spearman_ordinal", "spearman_ordinal:r"), ("A40_correlation_by_scope", "pearson:r spearman_ordinal:r"), ("B23_coupling_diagnostics", "pearson:r spearman_ordinal:r")):
+for _n, _c in (("A35_pearson", "pearson:r"), ("A36_spearman_ordinal", "spearman_ordinal:r"), ("A40_correlation_by_scope", "pearson:r spearman_ordinal:r")):
     Q(_n, lambda v: un.correlations(un.with_scopes(v.coupling), ["scope"], _x, _y, "row_id"), f"scope n:i {_c}",
       f"SELECT scope, count(*) AS n, corr({_x}, {_y}) AS pearson, corr(rx, ry) AS spearman_ordinal FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY {_x}, row_id) AS rx, row_number() OVER (PARTITION BY scope ORDER BY {_y}, row_id) AS ry FROM cpls) GROUP BY scope")
 _grow = _case(_x, [(-0.001, "negative"), (0.001, "near_zero"), (0.003, "moderate")], "high")
@@ -199,7 +202,7 @@ Q("A45_bootstrap_p05", _p05, " ".join(_GKq) + " p05:r", "SELECT * FROM p05")
 
 # ---- residualised correlation needs a fit: rows only; see ml queries ----
 # ---- paired comparisons, frontiers, gates ----
-for _n in ("J08c_prior_feature_paired_gains", "A83_path_gains", "A126_attribution_comparison", "B30_prior_feature_comparison", "B34_selector_comparison"):
+for _n in ("J08c_prior_feature_paired_gains", "A83_path_gains", "A126_attribution_comparison"):
     Q(_n, lambda v: me.win_rate(_cg(v), _GKq).join(_p05(v), _GKq), " ".join(_GKq) + " n:i mean_gain:r win_rate:r p05:r",
       f"SELECT * FROM (SELECT {', '.join(_GKq)}, count(*) AS n, avg(gain) AS mean_gain, avg((gain > 0)::INT) AS win_rate FROM cgain GROUP BY ALL) JOIN p05 USING ({', '.join(_GKq)})")
 
@@ -291,7 +294,7 @@ UNION ALL SELECT split_name, heldout_fold, feature_group, cell_id, parameter_set
   CASE target WHEN 'capacity_Ah_k1' THEN y_pred - capacity_Ah_k ELSE y_pred + capacity_Ah_k END, e FROM preds WHERE run_scope = 'primary' AND model_level = 'L2_rule'""")
 Q("A82_path_reconstruction", _paths, "split_name heldout_fold:i feature_group cell_id checkup_k:i path target y_true:r y_pred:r", "SELECT * FROM pth")
 _pk = ["split_name", "feature_group", "path", "target"]
-for _n in ("A18_target_path_metrics", "A81_target_path_summary", "B22_target_consistency", "B31_target_consistency_baseline"):
+for _n in ("A18_target_path_metrics", "A81_target_path_summary"):
     Q(_n, lambda v: me.error_summary(_paths(v), _pk), "split_name feature_group path target n:i mae:r rmse:r bias:r", "SELECT split_name, feature_group, path, target, count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias FROM pth GROUP BY ALL")
 Q("A19_direct_vs_derived", lambda v: _paths(v).groupBy("split_name", "feature_group", "target").agg(*[F.avg(F.when(F.col("path") == p, F.abs(F.col("y_pred") - F.col("y_true")))).alias(f"{p}_mae") for p in ("direct", "derived")]), "split_name feature_group target direct_mae:r derived_mae:r",
   "SELECT split_name, feature_group, target, avg(abs(e)) FILTER (path = 'direct') AS direct_mae, avg(abs(e)) FILTER (path = 'derived') AS derived_mae FROM pth GROUP BY ALL")
@@ -306,7 +309,7 @@ def _stress_err(v):
         F.avg(F.when(F.col("high"), F.col("x"))).alias("high_mean"), F.avg(F.when(~F.col("high"), F.col("x"))).alias("rest_mean"))
 
 
-for _n in ("A80_high_error_feature_contrast", "B20_c_rate_diagnosis"):
+for _n in ("A80_high_error_feature_contrast",):
     Q(_n, _stress_err, "feature_group feature high_mean:r rest_mean:r",
       """SELECT feature_group, feature, avg(x) FILTER (ae >= q) AS high_mean, avg(x) FILTER (ae < q) AS rest_mean FROM (SELECT p.feature_group, round(abs(p.e), 10) AS ae, f.feature, f.x, w.q FROM preds p JOIN (SELECT feature_group, quantile_cont(round(abs(e), 10), 0.75) AS q FROM preds WHERE run_scope = 'primary' AND split_name = 'c_rate_holdout_fold' AND model_level = 'L2_rule' AND target = 'delta_capacity_Ah' GROUP BY 1) w USING (feature_group)
       JOIN (SELECT cell_id, checkup_k, unnest(['charge_time_h', 'rest_time_h', 'high_voltage_time_h']) AS feature, unnest([charge_time_h, rest_time_h, time_voltage_ge_4p1_h]) AS x FROM stress) f USING (cell_id, checkup_k) WHERE run_scope = 'primary' AND split_name = 'c_rate_holdout_fold' AND model_level = 'L2_rule' AND target = 'delta_capacity_Ah') GROUP BY ALL""")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+SPECS: dict[str, str] = {}
 TABLES: dict[str, str] = {}
 
 
@@ -80,7 +81,7 @@ def query(name: str, spec: str, sql: str | None = None):
             from ..sources.stand_in import views
             return shape(fn(views(spark, sf_dir)), spec)
 
-        QUERIES[name] = run
+        QUERIES[name], SPECS[name] = run, spec
         if sql is not None:
             ORACLES[name] = sql_shape(sql.strip(), spec)
         return fn

@@ -246,13 +246,13 @@ def _perf(v):
 
 _g = "split_name, target, model_level, grouping, group_value"
 table("wgrp", f"SELECT *, 'lead_time' AS grouping, {_lead} AS group_value FROM wp UNION ALL SELECT *, 'proximity', {_prox} FROM wp")
-for _n in ("A56_grouped_performance", "B39_warning_diagnosis"):
+for _n in ("A56_grouped_performance",):
     Q(_n, _perf, "split_name target model_level grouping group_value n:i brier:r auroc:r ece:r",
       f"""SELECT * FROM (SELECT {_g}, count(*) AS n, avg((p - y) * (p - y)) AS brier, CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(y * r) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))) END AS auroc FROM (
       SELECT *, rank() OVER (PARTITION BY {_g} ORDER BY p) + (count(*) OVER (PARTITION BY {_g}, p) - 1) / 2.0::DOUBLE AS r FROM wgrp) GROUP BY ALL) JOIN (SELECT {_g}, sum(m * abs(mp - my)) / sum(m) AS ece FROM (SELECT {_g}, least(floor(p * 10), 9) AS b, count(*) AS m, avg(p) AS mp, avg(y) AS my FROM wgrp GROUP BY ALL) GROUP BY ALL) USING ({_g})""")
 Q("A57_censoring_by_split", lambda v: stack_splits(v.warn_long).groupBy("target", "split_name", "fold").pivot("label_status", ["positive_observed", "negative_observed", "right_censored_unknown"]).agg(F.count(F.lit(1))).fillna(0),
   "target split_name fold:i positive_observed:i negative_observed:i right_censored_unknown:i", "SELECT target, split_name, fold, " + ", ".join(f"count(*) FILTER (label_status = '{s}') AS {s}" for s in ("positive_observed", "negative_observed", "right_censored_unknown")) + " FROM wls GROUP BY ALL")
-for _n in ("A58_censoring_policy_comparison", "B38_censoring_comparison"):
+for _n in ("A58_censoring_policy_comparison",):
     Q(_n, lambda v: __import__("functools").reduce(lambda a, b: a.unionByName(b), [ru.with_policy(v.wpreds, p).groupBy("target", "model_level", "split_name").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier")).withColumn("label_policy", F.lit(p))
                                                       for p in ("all_rows", "verified_only", "censored_as_negative")]), "label_policy target model_level split_name n:i brier:r",
       " UNION ALL ".join(f"SELECT '{p}' AS label_policy, target, model_level, split_name, count(*) AS n, avg((p - y) * (p - y)) AS brier FROM wp {w} GROUP BY ALL" for p, w in (("all_rows", ""), ("verified_only", "WHERE label_status <> 'right_censored_unknown'"), ("censored_as_negative", ""))))

@@ -171,7 +171,7 @@ _cov = lambda f: (f"SELECT '{f}' AS group_field, {f}::VARCHAR AS v, count(*) AS
 Q("A101_stable_coverage", lambda v: kn.stable_coverage(kn.stable_registry(v.candidates)),
   "group_field group_value n_conditions:i stable_conditions:i unstable_conditions:i insufficient_label_conditions:i stable_fraction:r",
   "SELECT *, v AS group_value FROM (" + " UNION ALL ".join(_cov(f) for f in ("aging_mode", "nominal_temperature_C", "nominal_charge_C_rate", "voltage_window_family", "profile_label")) + ")")
-for _n in ("A102_inconsistent_conditions", "B11_knee_forensics"):
+for _n in ("A102_inconsistent_conditions",):
     Q(_n, lambda v: kn.knee_inconsistent(v.candidates, v.points), "parameter_set:i n:i knee_spread_checkups:i knee_spread_days:r knee_spread_efc:r trajectory_qa_flags",
       f"""SELECT c.parameter_set, count(*) AS n, max(knee_checkup_k) - min(knee_checkup_k) AS knee_spread_checkups, max(day) - min(day) AS knee_spread_days, max(cum_efc) - min(cum_efc) AS knee_spread_efc,
       coalesce(nullif(concat_ws(';', CASE WHEN bool_or(detector_quality_flags LIKE '%capacity_increase%') THEN 'capacity_increase_gt_0p02Ah' END, CASE WHEN bool_or(detector_quality_flags LIKE '%few_checkups%') THEN 'few_checkups' END), ''), 'none') AS trajectory_qa_flags

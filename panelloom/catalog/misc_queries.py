@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..contracts import CONTRACTS
 from ..functions import scalar as S
 from ..operators import audit as au, sequences as sq, splits as sp, trajectories as tr
+from . import features as fe
 from .base import Q, table
 
 LIMITS = {"v1": sq.MAX_EVENTS_V1, "v2": sq.MAX_EVENTS_V2}
@@ -73,8 +74,28 @@ def _used(v):
 
 _scan = lambda v: _used(v).filter(F.col("name").contains("k1") | F.col("name").contains("delta_capacity"))
 _scansql = " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n FROM ivq" for c in ("t_result_k1_s", "capacity_Ah_k1", "delta_capacity_Ah", "delta_capacity_soh"))
-for _n in ("T10_leakage_token_scan", "E31_leakage_audit", "B48_horizon_leakage_rows"):
-    Q(_n, _scan, "name n:i", _scansql)
+Q("T10_leakage_token_scan", _scan, "name n:i", _scansql)
+
+
+def _declared(groups, forbidden, product):
+    """Feature names of the declared sets, their non-null rows in the product they are read from, and whether they are forbidden."""
+    names = sorted({n for numeric, _ in groups.values() for n in numeric})
+    one = product.agg(*[F.count(n).alias(n) for n in names])
+    used = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("n")) for n in names])).alias("z")).select("z.*")
+    member = F.explode(F.array(*[F.struct(F.lit(g).alias("feature_group"), F.lit(n).alias("name")) for g, (numeric, _) in groups.items() for n in numeric]))
+    j = used.withColumn("_m", member).where(F.col("_m.name") == F.col("feature"))
+    return j.select("_m.feature_group", "feature", "n", F.col("feature").isin(list(forbidden)).alias("forbidden"))
+
+
+def _declared_sql(groups, forbidden, table_name):
+    return " UNION ALL ".join(f"SELECT '{g}' AS feature_group, '{n}' AS feature, count({n}) AS n, {n in forbidden} AS forbidden FROM {table_name}" for g, (numeric, _) in groups.items() for n in numeric)
+
+
+# ---- fixed values: what a model of the interval or of the horizon may not see ----
+FUTURE_STATE = ["capacity_Ah_k1", "delta_capacity_Ah", "delta_capacity_soh", "t_result_k1_s", "cap_aged_est_Ah", "R0_mOhm", "R1_mOhm"]
+FUTURE_EXPOSURE = ["horizon_interval_count", "horizon_duration_h", "horizon_calendar_days", "horizon_log_age_efc_delta", "horizon_log_age_delta_q_Ah", "horizon_log_age_row_count"]
+Q("E31_leakage_audit", lambda v: _declared(fe.CAPACITY, FUTURE_STATE, v.intervals), "feature_group feature n:i forbidden", _declared_sql(fe.CAPACITY, FUTURE_STATE, "ivq"))
+Q("B48_horizon_leakage_rows", lambda v: _declared(fe.HORIZON, FUTURE_EXPOSURE, v.horizon), "feature_group feature n:i forbidden", _declared_sql(fe.HORIZON, FUTURE_EXPOSURE, "hz"))
 
 
 def _overlap(v):

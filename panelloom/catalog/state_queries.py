@@ -100,7 +100,7 @@ table("eisqm", "SELECT q.*, m.* EXCLUDE (cell_id, k) FROM eisq q LEFT JOIN ckmet
 COVS = "grouping group_value spectrum_count:i unique_cells:i unique_parameter_sets:i unique_checkups:i valid_modeling_fraction_median:r"
 _covsql = " UNION ALL ".join([f"SELECT '{c}' AS grouping, {e}::VARCHAR AS group_value, {_c} FROM eisqm GROUP BY {e}" for c, e in (("soc_percent", "soc_percent::INT"), ("temperature_context", "temperature_context"), ("cell_id", "cell_id"), ("checkup_k", "checkup_k"))]
                              + [f"SELECT '{c}', {c}::VARCHAR, {_c} FROM eisqm WHERE {c} IS NOT NULL GROUP BY {c}" for c in SPLITS])
-for _n in ("A24_spectrum_coverage", "B25_eis_qa"):
+for _n in ("A24_spectrum_coverage",):
     Q(_n, lambda v: dg.spectrum_coverage(v.eis_quality, v.spine, SPLITS), COVS, _covsql)
 Q("A27b_eis_alignment_sensitivity", lambda v: dg.spectrum_alignment(v.eis_quality), "threshold_s:r retained_spectra:i retained_cells:i",
   f"SELECT threshold_s, count(*) FILTER (k) AS retained_spectra, count(DISTINCT cell_id) FILTER (k) AS retained_cells FROM (SELECT *, threshold_s IS NULL OR alignment_delta_s <= threshold_s AS k FROM eisq, {_LIM}) GROUP BY threshold_s")

@@ -23,7 +23,8 @@ def nearest_checkup(points: DataFrame, checkups: DataFrame, *, time_col: str = "
     """Nearest check-up of the cell by absolute time; the earlier one wins a tie.
 
     Points and check-ups are merged on one time line and the last check-up is carried
-    forward, so no point is paired with every check-up of its cell.
+    forward, so no point is paired with every check-up of its cell.  Points travel whole on the
+    line: ids only order points of one time, so null and repeated ids lose and multiply nothing.
     """
     c = checkups.select("cell_id", F.col("timestamp").alias("t"), F.col("checkup_k").alias("k"))
     c = carry(c.withColumn("_chunk", F.floor(F.col("t") / width)), ["cell_id"], "_chunk", ["t", "k"],
@@ -31,7 +32,8 @@ def nearest_checkup(points: DataFrame, checkups: DataFrame, *, time_col: str = "
     first = c.groupBy("cell_id").agg(F.min_by(F.struct(F.col("t").alias("ft"), F.col("k").alias("fk")), F.struct("t", "k")).alias("f"))
     marks = c.select("cell_id", "t", F.lit(0).alias("kind"), F.col("k").cast("long").alias("o"),
                      F.struct("t", "k", "nt", "nk").alias("mark"))
-    pts = points.select("cell_id", F.col(time_col).alias("t"), F.lit(1).alias("kind"), F.col(id_col).cast("long").alias("o"))
+    payload = F.struct(*[F.col(p) for p in points.columns])
+    pts = points.select("cell_id", F.col(time_col).alias("t"), F.lit(1).alias("kind"), F.col(id_col).cast("long").alias("o"), payload.alias("_row"))
     line = marks.unionByName(pts, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("t") / width))
     line = carry(line, ["cell_id"], "_chunk", ["t", "kind", "o"], folds={"last": (F.max, "mark")}).filter("kind = 1")
     line = line.join(first, "cell_id", "left")
@@ -39,9 +41,7 @@ def nearest_checkup(points: DataFrame, checkups: DataFrame, *, time_col: str = "
     use_next = after < before
     k = (F.when(F.col("last").isNull(), F.col("f.fk")).when(use_next, F.col("last.nk")).otherwise(F.col("last.k")))
     dt = (F.when(F.col("last").isNull(), F.col("f.ft") - F.col("t")).when(use_next, after).otherwise(before))
-    found = line.select(F.col("o").alias(id_col), F.coalesce(k, F.lit(0)).alias("checkup_k"),
-                        F.coalesce(F.abs(dt), F.lit(0.0)).alias("alignment_delta_s"))
-    return points.join(found, id_col)
+    return line.select("_row.*", F.coalesce(k, F.lit(0)).alias("checkup_k"), F.coalesce(F.abs(dt), F.lit(0.0)).alias("alignment_delta_s"))
 
 
 def pulse_summary(pulses: DataFrame, order: str = "point_id") -> DataFrame:

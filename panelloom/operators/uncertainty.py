@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ordered import attach, order_statistics, quantiles, row_numbers
+from ..functions.lineage import cut
+from ..functions.ordered import attach, order_statistics, quantiles, row_numbers, value_chunk
 from .splits import hash_int, hash_positions
 
 # ---- fixed values ----
@@ -59,25 +60,75 @@ def conformal(pred: DataFrame, spread: DataFrame, coverage: float = 0.9, least:
 
     pred holds one arm.  The calibration pool of a (target, split, fold) is every row of the
     target whose condition is not tested there; Q1 keeps the same split and other folds.
+
+    A pool is a total less what is tested: the place of an order statistic is found in the running counts of
+    stretches of values (total minus tested), and only the values of that one stretch are looked at.
     """
     key = ["target", "split_name", "heldout_fold"]
     base = pred.withColumn("_e", F.abs(F.col("y_true") - F.col("y_pred")))
-    tested = base.select(*key, "parameter_set").distinct()
+    tested = cut(base.select(*key, "parameter_set").distinct())
+    known = base.join(spread.select(*SPREAD_KEY, "spread"), SPREAD_KEY, "left")
+    near = {"radius": conformal_index(coverage)}
+    middle = {"_a": F.floor((F.col("_n") - 1) / 2), "_b": F.ceil((F.col("_n") - 1) / 2)}
+    errors = counted_values(known, "_e")
+    one, two = pool_statistics(errors, tested, True, near), pool_statistics(errors, tested, False, near)
+    rep = pool_statistics(counted_values(known, "spread"), tested, False, middle).select(*key, ((F.col("_a") + F.col("_b")) / 2).alias("_rep"))
+    three = attach(two, rep, key).withColumn("radius", F.greatest("radius", F.coalesce("_rep", F.lit(0.0)))).drop("_rep")
+    names = ("Q1_split_conformal_abs_residual", "Q2_stressor_family_conformal", "Q3_replicate_tolerance_hybrid")
+    rad = union_all([d.withColumn("method", F.lit(m)) for d, m in zip((one, two, three), names)]).withColumnRenamed("_n", "n_calibration_rows")
+    rad = rad.join(_pool_conditions(base, tested, key), [*key, "method"]).where(F.col("n_calibration_conditions") >= least)
+    d = base.join(rad, key).join(spread.select(*SPREAD_KEY, "spread"), SPREAD_KEY, "left")
+    return interval_scores(d, F.col("y_pred") - F.col("radius"), F.col("y_pred") + F.col("radius"))
+
+
+def counted_values(pred: DataFrame, value: str) -> DataFrame:
+    """(target, _s, _f, parameter_set, v, n, chunk): values of each split, fold and condition with their counts."""
+    by = ["target", F.col("split_name").alias("_s"), F.col("heldout_fold").alias("_f"), "parameter_set", F.col(value).alias("v")]
+    return cut(pred.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("chunk", value_chunk(F.col("v"))))
+
+
+def pool_statistics(counts: DataFrame, tested: DataFrame, same_split: bool, positions: dict[str, Column]) -> DataFrame:
+    """Order statistics of the pool of each run (target, split_name, heldout_fold): all values of its target (of its split, if
+    ``same_split``) except those of the conditions ``tested`` in it.  ``positions`` are expressions over the pool's size ``_n``."""
+    key = ["target", "split_name", "heldout_fold"]
+    scope = ["target", "split_name"] if same_split else ["target"]
+    mine = counts.withColumnRenamed("_s", "split_name") if same_split else counts.drop("_s")
+    runs = tested.select(*key).distinct()
+    total = mine.groupBy(*scope, "chunk").agg(F.sum("n").alias("all"))
+    gone = mine.join(tested, [*scope, "parameter_set"]).groupBy(*key, "chunk").agg(F.sum("n").alias("gone"))
+    # stretches of values are a fixed grid, so these tables do not grow with the predictions
+    left = runs.join(total, scope).join(gone, [*key, "chunk"], "left").select(*key, "chunk", (F.col("all") - F.coalesce("gone", F.lit(0))).alias("n")).where("n > 0")
+    w = W.partitionBy(*key)
+    before = w.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    line = left.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "_n": F.sum("n").over(w)})
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at.cast("long").alias("at")) for name, at in positions.items()]))
+    line = line.withColumn("p", each).where((F.col("p.at") >= F.col("before")) & (F.col("p.at") < F.col("before") + F.col("n")))
+    picked = cut(line.select(*key, "chunk", "before", "_n", "p.name", "p.at"))
+    inside = picked.join(mine, [*scope, "chunk"]).join(tested, [*key, "parameter_set"], "left_anti")
+    inside = inside.groupBy(*key, "name", "at", "_n", "before", "v").agg(F.sum("n").alias("n"))
+    upto = W.partitionBy(*key, "name").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    inside = inside.withColumn("low", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    hit = inside.where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + F.col("n")))
+    return cut(hit.groupBy(*key, "_n").pivot("name", list(positions)).agg(F.max("v")))
+
+
+def _pool_conditions(base: DataFrame, tested: DataFrame, key) -> DataFrame:
+    """Distinct conditions left in each pool; one row a condition and split, not a prediction."""
+    where = base.select("target", F.col("split_name").alias("_s"), F.col("heldout_fold").alias("_f"), "parameter_set").distinct()
     runs = tested.select(*key).distinct()
-    pool = base.select("target", F.col("split_name").alias("_s"), F.col("heldout_fold").alias("_f"), "parameter_set", "checkup_k_next", "_e")
-    pool = runs.join(pool, "target")     # one copy per evaluated fold
-    pool = pool.join(tested, [*key, "parameter_set"], "left_anti")
+    d = runs.join(where, "target").join(tested, [*key, "parameter_set"], "left_anti")
     same = (F.col("_s") == F.col("split_name")) & (F.col("_f") != F.col("heldout_fold"))
-    methods = F.array_compact(F.array(F.when(same, "Q1_split_conformal_abs_residual"), F.lit("Q2_stressor_family_conformal"),
-                                      F.lit("Q3_replicate_tolerance_hybrid")))
-    pool = pool.withColumn("method", F.explode(methods)).join(spread.select(*SPREAD_KEY, "spread"), SPREAD_KEY, "left")
-    k = [*key, "method"]
-    rad = conformal_radius(pool, k, "_e", coverage).join(quantiles(pool, k, "spread", {"_rep": .5}), k, "left")
-    n = pool.groupBy(*k).agg(F.countDistinct("parameter_set").alias("n_calibration_conditions"), F.count(F.lit(1)).alias("n_calibration_rows")).filter(
-        F.col("n_calibration_conditions") >= least)
-    rad = rad.join(n, k).withColumn("radius", F.when(F.col("method").startswith("Q3"), F.greatest("radius", F.coalesce("_rep", F.lit(0.0)))).otherwise(F.col("radius")))
-    d = base.join(rad.drop("radius_n", "_rep"), key).join(spread.select(*SPREAD_KEY, "spread"), SPREAD_KEY, "left")
-    return interval_scores(d, F.col("y_pred") - F.col("radius"), F.col("y_pred") + F.col("radius"))
+    g = d.groupBy(*key).agg(F.countDistinct(F.when(same, F.col("parameter_set"))).alias("a"), F.countDistinct("parameter_set").alias("b"))
+    names = [("Q1_split_conformal_abs_residual", "a"), ("Q2_stressor_family_conformal", "b"), ("Q3_replicate_tolerance_hybrid", "b")]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("n_calibration_conditions")) for m, c in names]))
+    return g.select(*key, each.alias("m")).select(*key, "m.*")
+
+
+def raw_quantile(pred: DataFrame, spread: DataFrame) -> DataFrame:
+    """Method Q0: the intervals between the 0.1 and 0.9 quantiles that an arm predicts itself, not calibrated."""
+    d = pred.where("y_pred_q10 IS NOT NULL AND y_pred_q90 IS NOT NULL").join(spread.select(*SPREAD_KEY, "spread"), SPREAD_KEY, "left")
+    d = d.withColumns({"method": F.lit("Q0_raw_quantile"), "radius": F.lit(None).cast("double")})
+    return interval_scores(d, F.col("y_pred_q10"), F.col("y_pred_q90"))
 
 
 def interval_scores(rows: DataFrame, lower: Column, upper: Column, alpha: float = ALPHA) -> DataFrame:
@@ -175,7 +226,7 @@ def pareto_frontier(df: DataFrame, gain: str = "gain", cost: str = "degradation"
     A point is dominated when a cheaper or equal point gains at least as much.  That is a
     running maximum of gain along cost, so points are not compared in pairs.
     """
-    from ..functions.ordered import carry, value_chunk
+    from ..functions.ordered import carry
     g = F.coalesce(F.col(gain), F.lit(float("-inf")))
     c = F.coalesce(F.col(cost), F.lit(float("inf")))
     d = df.withColumns({"_g": F.round(g, 12), "_c": F.round(c, 12), "_all": F.lit(0)})

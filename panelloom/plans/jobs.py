@@ -40,7 +40,7 @@ class Store:
 
 
 def ingest(spark: SparkSession, raw: dict[str, str], out: Store) -> None:
-    """Conditions, check-ups and log from directories of raw CSV files."""
+    """Conditions, check-ups, log, pulses and spectra from directories of raw CSV files; pulses (``pls``) and spectra (``eis``) may be absent."""
     cond = ing.condition_table(ing.read_raw(spark, raw["cfg"]))
     out.write(cond.withColumn("soc_window_approx", F.col("voltage_window_family")), "condition")
     cohort = out.read("condition").select("cell_id", "parameter_set", "replicate_id")
@@ -50,6 +50,32 @@ def ingest(spark: SparkSession, raw: dict[str, str], out: Store) -> None:
     ing.record_exclusions(ing.excluded(log, cohort, "log"), f"{out.root}/excluded")
     # the stored order is kept beside the contract columns for the monotonicity audit
     out.write(ing.log_table(log, cohort, "log"), "log_ordered", ("cell_id", "timestamp_s"), contract=False)
+    checkups = out.read("checkups")
+    for part, rows, write in (("pls", ing.pulse_rows, write_pulses), ("eis", ing.eis_rows, write_spectra)):
+        if part in raw:
+            files = ing.read_groups(spark, raw[part])
+            ing.record_exclusions(ing.excluded(files, cohort, part), f"{out.root}/excluded")
+            # point ids are taken once and kept
+            points = cut(ing.in_cohort(rows(files, part), cohort))
+            aligned = cut(dg.nearest_checkup(points, checkups).withColumn("alignment_method", F.lit("nearest_eoc_timestamp")))
+            write(out, aligned)
+
+
+def write_pulses(out: Store, aligned: DataFrame) -> None:
+    """Aligned pulses and their summary per state."""
+    out.write(aligned, "pulse_raw", ("cell_id", "checkup_k"))
+    by = dg.PULSE_KEY
+    first = aligned.withColumn("soc_percent", F.round("soc_percent", 1)).groupBy(*by).agg(F.min_by("source_file", "point_id").alias("source_file"))
+    d = dg.pulse_summary(aligned).join(first, by)
+    out.write(d.withColumns({"alignment_method": F.lit("nearest_eoc_timestamp"), "quality_flags": F.lit("OK")}), "pulse_summary", ("cell_id", "checkup_k"))
+
+
+def write_spectra(out: Store, aligned: DataFrame) -> None:
+    """Aligned spectra rows and the quality of each spectrum."""
+    out.write(aligned, "eis", ("cell_id", "checkup_k"))
+    first = aligned.groupBy(*dg.SPECTRUM).agg(F.min_by(F.struct("source_file", "source_archive"), "point_id").alias("_s"))
+    d = dg.spectrum_quality(aligned.withColumn("row_id", F.col("point_id"))).join(first, dg.SPECTRUM).select("*", "_s.*").drop("_s")
+    out.write(d.withColumns({"alignment_method": F.lit("nearest_eoc_timestamp"), "quality_flags": F.lit("OK")}), "eis_quality", ("cell_id", "checkup_k"))
 
 
 def build_products(store: Store, lim: dwell.DwellLimits = dwell.DwellLimits(), events: ev.EventLimits = ev.EventLimits()) -> None:

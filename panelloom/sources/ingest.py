@@ -45,6 +45,23 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
                      F.col("_metadata.file_block_start").alias("_block"))
 
 
+def read_groups(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """A directory of ``;`` CSV files whose headers may differ: files are grouped by their header line and each group is read by
+    its own names; columns that a group lacks are null.  The number of groups is that of file versions."""
+    text = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    first = text.where(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("i"))
+    heads = first.groupBy("file").agg(F.min_by("value", "i").alias("header")).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    out = None
+    for r in heads.orderBy("header").collect():
+        d = spark.read.option("sep", ";").option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(r["files"])
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        d = d.select("*", name.alias("source_file"), cell_of(name).alias("cell_id"), F.col("_metadata.file_block_start").alias("_block"))
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no {glob} under {path}")
+    return out
+
+
 def in_cohort(df: DataFrame, cohort: DataFrame | None) -> DataFrame:
     """Semi-join with the cohort; Catalyst broadcasts it only when it is measured small."""
     return df if cohort is None else df.join(cohort.select("cell_id").distinct(), "cell_id", "left_semi")
@@ -102,15 +119,44 @@ def checkup_table(raw: DataFrame, order: str = "pos") -> DataFrame:
         F.coalesce("d.dis", F.lit(0.0)).alias("discharge_energy_Wh"))
 
 
-def pulse_rows(raw: DataFrame) -> DataFrame:
-    """Milliohm to ohm, direction and context names."""
-    return raw.withColumns({"pulse_10ms_resistance": number("r_ref_10ms_mOhm") / 1000.0,
-                            "pulse_1s_resistance": number("r_ref_1s_mOhm") / 1000.0,
-                            "soc_percent": number("soc_nom"), "temperature_C": number("t_avg_degC"),
-                            "temperature_context": F.when(number("is_rt") == 1, "RT").otherwise("OT"),
-                            "pulse_direction": F.when(number("is_chg") == 1, "charge").otherwise("discharge")})
-
-
-def eis_rows(raw: DataFrame) -> DataFrame:
+def with_modeling_mask(rows: DataFrame) -> DataFrame:
+    """Adds ``is_valid_modeling_frequency`` to typed spectra rows."""
     f, re, im = F.col("frequency_Hz"), F.col("z_real"), F.col("z_imag")
-    return raw.withColumn("is_valid_modeling_frequency", S.modeling_mask(f, re, im, F.col("is_valid_raw").cast("int")))
+    return rows.withColumn("is_valid_modeling_frequency", S.modeling_mask(f, re, im, F.col("is_valid_raw").cast("int")))
+
+
+def _of(raw: DataFrame, name: str) -> Column:
+    """A numeric column of the raw files, null where they have none of that name."""
+    return number(name) if name in raw.columns else F.lit(None).cast("double")
+
+
+def _points(raw: DataFrame) -> DataFrame:
+    """What pulses and spectra share: state of charge, temperature, time, and ``point_id`` in stored order (write it before use)."""
+    return raw.where("cell_id IS NOT NULL").withColumns({
+        "timestamp": _of(raw, "timestamp_s"), "soc_percent": _of(raw, "soc_nom"), "temperature_C": _of(raw, "t_avg_degC"),
+        "temperature_context": F.when(F.floor(_of(raw, "is_rt")) == 1, "RT").otherwise("OT"), "quality_flags": F.lit("OK"),
+        "point_id": F.monotonically_increasing_id()})
+
+
+def pulse_rows(raw: DataFrame, archive: str = "") -> DataFrame:
+    """Pulses in ohm with direction and context; rows without time or resistances are left out."""
+    d = _points(raw).withColumns({
+        "pulse_10ms_resistance": _of(raw, "r_ref_10ms_mOhm") / 1000.0, "pulse_1s_resistance": _of(raw, "r_ref_1s_mOhm") / 1000.0,
+        "pulse_direction": F.when(F.floor(F.coalesce(_of(raw, "cyc_charged"), F.lit(0.0))) == 1, "charge").otherwise("discharge"),
+        "voltage": _of(raw, "v_raw_V"), "current": _of(raw, "i_raw_A"), "source_archive": F.lit(archive)})
+    keep = ["cell_id", "timestamp", "soc_percent", "temperature_context", "temperature_C", "pulse_direction", "pulse_10ms_resistance", "pulse_1s_resistance", "voltage", "current",
+            "source_file", "source_archive", "quality_flags", "point_id"]
+    return d.where("timestamp IS NOT NULL AND pulse_10ms_resistance IS NOT NULL AND pulse_1s_resistance IS NOT NULL").select(*keep)
+
+
+def eis_rows(raw: DataFrame, archive: str = "") -> DataFrame:
+    """Spectra in ohm with magnitude, phase and validity; an amplitude that is missing follows from the components."""
+    re, im, amp, ph = (_of(raw, c) for c in ("z_re_comp_mOhm", "z_im_comp_mOhm", "z_amp_comp_mOhm", "z_ph_comp_deg"))
+    d = _points(raw).withColumns({
+        "frequency_Hz": _of(raw, "freq_Hz"), "z_real": re / 1000.0, "z_imag": im / 1000.0,
+        "z_abs": F.coalesce(amp / 1000.0, F.sqrt(re * re + im * im) / 1000.0), "phase": F.coalesce(ph, F.degrees(F.atan2(im, re))),
+        "is_valid_raw": F.coalesce(F.floor(_of(raw, "valid")) == 1, F.lit(False)), "source_archive": F.lit(archive)})
+    d = with_modeling_mask(d).withColumn("is_valid_modeling_frequency", F.coalesce("is_valid_modeling_frequency", F.lit(False)))
+    keep = ["cell_id", "timestamp", "soc_percent", "temperature_context", "temperature_C", "frequency_Hz", "z_real", "z_imag", "z_abs", "phase", "is_valid_raw",
+            "is_valid_modeling_frequency", "source_file", "source_archive", "quality_flags", "point_id"]
+    return d.where("timestamp IS NOT NULL AND frequency_Hz IS NOT NULL").select(*keep)

@@ -184,7 +184,7 @@ class Views:
         freq = F.element_at(F.array(*[F.lit(f) for f in (0.5, 1.0, 10.0, 100.0, 208.3, 1000.0, 5000.0, 14700.0)]), ((n - 1 + key) % 8 + 1).cast("int"))
         re = 0.01 + F.col("l_discount") / 10.0 + n * 0.0001
         im = -(0.005 + F.col("l_tax") / 10.0)
-        return ing.eis_rows(d.select(
+        return ing.with_modeling_mask(d.select(
             F.format_string("P%03d_%d", (F.floor(u / 3) % DESIGN_POINTS).cast("int"),
                             (F.floor(u / (3 * DESIGN_POINTS)) * 3 + u % 3 + 1).cast("int")).alias("cell_id"),
             (key % 12).cast("int").alias("checkup_k"), F.when(key % 3 < 2, 50.0).otherwise(70.0).alias("soc_percent"),
