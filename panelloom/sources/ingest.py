@@ -45,18 +45,22 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
                      F.col("_metadata.file_block_start").alias("_block"))
 
 
+def _decoded(path: Column) -> Column:
+    """File metadata give paths URL-encoded."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def read_groups(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """A directory of ``;`` CSV files whose headers may differ: files are grouped by their header line and each group is read by
     its own names; columns that a group lacks are null.  The number of groups is that of file versions."""
     text = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
-    # the path comes URL-encoded
-    path_of = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path_of = _decoded(F.col("_metadata.file_path"))
     first = text.where(F.col("_metadata.file_block_start") == 0).select(path_of.alias("file"), "value", F.monotonically_increasing_id().alias("i"))
     heads = first.groupBy("file").agg(F.min_by("value", "i").alias("header")).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
     out = None
     for r in heads.orderBy("header").collect():
         d = spark.read.option("sep", ";").option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(r["files"])
-        name = F.col("_metadata.file_name")
+        name = _decoded(F.col("_metadata.file_name"))
         d = d.select("*", name.alias("source_file"), cell_of(name).alias("cell_id"), F.col("_metadata.file_block_start").alias("_block"))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     if out is None:
