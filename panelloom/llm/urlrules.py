@@ -1,6 +1,7 @@
 """URL rules by a sort-merge range join over reversed-host keys.
 
-A key is the host's labels in reverse, each ended by byte 1, then byte 2 and the path.  All keys under a
+A key is the host's labels in reverse, each ended by byte 1, then byte 2 and the path; bytes 1 to 3 inside a
+label are written as byte 3 and a letter, so that no label holds an end mark.  All keys under a
 rule's host, or under a rule's path on one host, start with the rule's key: they form the interval from
 that key to the key with byte 255 behind it, and intervals nest.  A sweep over the sorted keys, openings
 and ends holds the stack of active intervals; its depth is a running sum, and the interval on top at a
@@ -27,6 +28,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
+    for mark, letter in (("\x03", "c"), ("\x01", "a"), ("\x02", "b")):
+        host = F.replace(host, F.lit(mark), F.lit("\x03" + letter))
     return F.concat(F.array_join(F.reverse(F.split(host, "\\.", -1)), "\x01"), F.lit("\x01"))
 
 

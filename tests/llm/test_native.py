@@ -215,7 +215,7 @@ def verdict(url, rules):
 
 def test_url_rules(spark):
     rules = U.RULES + [("block", "a.org", "/x/"), ("allow", "b.a.org", "/"), ("block", "org", "/x/y/z"), ("allow", "org", "/x/"), ("block", "", "/"), ("allow", "a.org", "/x/é")]
-    hosts = ["org", "example.org", "EXAMPLE.org", "www.example.org", "a.org", "b.a.org", "c.b.a.org", "notorg", "x.com", "com", "fr", "a.org.", "a.org:80", "b..a.org", "ü.org"]
+    hosts = ["org", "example.org", "EXAMPLE.org", "www.example.org", "a.org", "b.a.org", "c.b.a.org", "notorg", "x.com", "com", "fr", "a.org.", "a.org:80", "b..a.org", "ü.org", "x.org\x01example", "a\x02.org", "\x01.org", "a\x03a.org", "x\x01.a\x03b.org", "org\x01\x02"]
     tails = ["", "/", "/es/", "/en/1", "/en/12?x", "/en/2#f", "/x/", "/x/y/z/", "/x/y", "/x/é/", "/fr/", "/de/q", "?q=/", "#/es/", "/es"]
     urls = [f"http://{h}{t}" for h in hosts for t in tails] + [None, "", "nothing", "://", "a://b://org/x/", "ftp:///x/", "http://org/\nes/"]
     pages = spark.createDataFrame([(k % 190 or None, u, "x", "y") for k, u in enumerate(urls * 2)], "page_id long, url string, host string, tie string")
