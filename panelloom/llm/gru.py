@@ -1,8 +1,8 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy.
 
 Input of a step is a word: the vector of its hash, and the mean and the largest of its character n-gram
-vectors.  Word and n-gram vectors are log odds of label 1 beside fixed random signs; all else is learnt by
-back-propagation.  A window of steps gives one logit; a text takes the largest of its overlapping windows.
+vectors.  All is learnt by back-propagation; word and n-gram vectors start from log odds of label 1 beside
+random signs.  A window of steps gives one logit; a text takes the largest of its overlapping windows.
 """
 from __future__ import annotations
 
@@ -192,6 +192,7 @@ class Network:
         g["A"] = np.einsum("tbs,tba->sa", s, dm)
         g["a"] = dm.sum(axis=(0, 1))
         ds += dm @ w["A"].T
+        dx = np.zeros_like(keep["x"])
         for side, part in (("f", ds[:, :, :h]), ("b", ds[::-1, :, h:])):
             order = keep["rows"].T if side == "f" else keep["rows"].T[::-1]
             U, dU = w[f"{side}U"], np.zeros_like(w[f"{side}U"])
@@ -208,10 +209,29 @@ class Network:
                 dU += state.T @ du
                 back = total * z + du @ U.T
             flat, where = dproj.reshape(-1, 3 * h), order.reshape(-1)
+            np.add.at(dx, where, flat @ w[f"{side}W"].T)
             g[f"{side}U"], g[f"{side}b"] = dU, flat.sum(axis=0)
             g[f"{side}W"] = keep["x"][where].T @ flat
+        keep["dx"] = dx
         return g
 
+    def vector_gradients(self, dx: np.ndarray, buckets, grams, counts) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """(rows, gradients) of the word and n-gram vectors, from the derivatives by the inputs of distinct pieces."""
+        words, at = np.unique(buckets, return_inverse=True)
+        gw = np.zeros((len(words), WORD_DIM), np.float32)
+        np.add.at(gw, at, dx[:, :WORD_DIM])
+        rows, at = np.unique(grams, return_inverse=True)
+        at = at.reshape(grams.shape)
+        gg = np.zeros((len(rows), GRAM_DIM), np.float32)
+        share = dx[:, WORD_DIM:WORD_DIM + GRAM_DIM] / counts[:, None]
+        for column in at.T:
+            np.add.at(gg, column, share)
+        first = self.weights["gram"][grams][:, :, 0]
+        top = first.argmax(axis=1)
+        most = first[np.arange(len(top)), top] > 0                 # else the largest is the floor of 0
+        np.add.at(gg[:, 0], at[np.arange(len(top)), top][most], dx[most, -1])
+        return {"word": (words, gw), "gram": (rows, gg)}
+
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         scale = self.weights["scale"].astype(float)
         return _sigmoid(scale[0] * logits + scale[1])
@@ -227,8 +247,10 @@ class Network:
         return out
 
 
-#: Weights that back-propagation leaves alone.
+#: Weights that the optimiser of the whole matrices leaves alone: vectors are stepped by row, the scale is fitted after.
 FIXED = ("word", "gram", "scale")
+#: Step of the vectors, and how fast they are drawn back to where they started.
+VECTOR_RATE, VECTOR_DECAY = 0.005, 0.05
 
 
 class Adam:
@@ -246,6 +268,23 @@ class Adam:
             v -= self.rate * (self.m[k] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[k] / (1 - 0.999 ** self.t)) + 1e-8)
 
 
+class ByRow:
+    """Steps of the word and n-gram vectors that a batch holds, each scaled by its own past gradients (Adagrad)."""
+
+    def __init__(self, network: Network, rate: float = VECTOR_RATE):
+        self.network, self.rate = network, rate
+        self.start = {k: network.weights[k].copy() for k in ("word", "gram")}
+        self.past = {k: np.full(v.shape, 1e-4, np.float32) for k, v in self.start.items()}
+
+    def step(self, found: dict) -> None:
+        for k, (rows, g) in found.items():
+            real = rows != 0                                        # row 0 stands for nothing
+            rows, g = rows[real], g[real]
+            w, past = self.network.weights[k], self.past[k]
+            past[rows] += g * g
+            w[rows] -= self.rate * g / np.sqrt(past[rows]) + VECTOR_DECAY * (w[rows] - self.start[k][rows])
+
+
 def _odds(held: np.ndarray, document: np.ndarray, buckets: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
     """Log odds of label 1 given a bucket, from the documents that hold it.
 
@@ -309,7 +348,7 @@ def _fit(texts, labels, epochs, batch, rate, seed) -> Network:
     network.weights["word"][:, 0] = _odds(held, document, buckets, labels, WORD_BUCKETS)
     network.weights["gram"][:, 0] = _odds(held, document, grams, labels, GRAM_BUCKETS)
     x = network.inputs(buckets, grams, counts)
-    optimiser = Adam(network, rate)
+    optimiser, vectors = Adam(network, rate), ByRow(network)
     first = np.searchsorted(owner, np.arange(len(texts)))
     size = np.diff(np.append(first, len(rows)))
     zeros = np.flatnonzero(labels == 0)
@@ -323,8 +362,17 @@ def _fit(texts, labels, epochs, batch, rate, seed) -> Network:
             take = rows[chosen[lo:lo + batch]]
             target = labels[owner[chosen[lo:lo + batch]]].astype(np.float32)
             used, local = np.unique(take, return_inverse=True)
+            held = used[used > 0] - 1
+            own = (buckets[held], grams[held], counts[held])
+            now = network.inputs(*own)                              # with the vectors as they are now
+            now = now if used[0] == 0 else now[1:]
             keep: dict = {}
-            y = network.logits(x[used], local.reshape(take.shape), keep)
+            y = network.logits(now, local.reshape(take.shape), keep)
             weight = np.where(target == 1, weight_one, 1.0)
-            optimiser.step(network.gradients(keep, ((_sigmoid(y) - target) * weight / len(take)).astype(np.float32)))
+            g = network.gradients(keep, ((_sigmoid(y) - target) * weight / len(take)).astype(np.float32))
+            dx = keep["dx"] if used[0] else keep["dx"][1:]
+            found = network.vector_gradients(dx, *own)
+            optimiser.step(g)
+            vectors.step(found)
+        x = network.inputs(buckets, grams, counts)
     return network

@@ -33,6 +33,73 @@ def test_gradients():
             assert abs((up - down) / (2 * e) - np.ravel(g[k])[i]) < 2e-2 * (1 + abs(np.ravel(g[k])[i])), k
 
 
+def test_vector_gradients():
+    """Word and n-gram vectors against differences, through the inputs."""
+    texts = [prose(k, 40, 30).encode() for k in range(4)]
+    index, bounds, buckets, grams, counts, _ = gru.gathered(texts)
+    rows, owner = gru.windows_of(index, bounds)
+    network = gru.Network.new()
+    r = np.random.default_rng(2)
+    network.weights["gram"][:, 0] = r.random(gru.GRAM_BUCKETS) - 0.5
+    network.weights["gram"][0] = 0
+    network.weights = {k: v.astype(np.float64) for k, v in network.weights.items()}
+    d, keep = np.linspace(-1, 1, len(rows)), {}
+    network.logits(network.inputs(buckets, grams, counts).astype(np.float64), rows, keep)
+    network.gradients(keep, d)
+    found = network.vector_gradients(keep["dx"][1:], buckets, grams, counts)
+    value = lambda: network.logits(network.inputs(buckets, grams, counts).astype(np.float64), rows) @ d
+    for k, (at, g) in found.items():
+        for i in r.integers(0, len(at), 8):
+            if at[i] == 0:
+                continue
+            for c in range(g.shape[1]):
+                was, e = network.weights[k][at[i], c], 1e-3
+                network.weights[k][at[i], c] = was + e
+                up = value()
+                network.weights[k][at[i], c] = was - e
+                down = value()
+                network.weights[k][at[i], c] = was
+                assert abs((up - down) / (2 * e) - g[i, c]) < 2e-2 * (1 + abs(g[i, c])), (k, i, c)
+
+
+def test_plain_forward_pass():
+    """Text logits against a loop over windows and words, one number at a time where it is short to write."""
+    network = gru.Network.new(9)
+    r = np.random.default_rng(3)
+    network.weights["word"][:, 0], network.weights["gram"][:, 0] = r.random(gru.WORD_BUCKETS), r.random(gru.GRAM_BUCKETS) - 0.5
+    network.weights["word"][0] = network.weights["gram"][0] = 0
+    texts = [prose(k, n, 50).encode() for k, n in enumerate((1, 5, 32, 33, 70, 131))] + [b"", b"y" * 40]
+    got, w, h = network.text_logits(texts), network.weights, gru.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for text, logit in zip(texts, got):
+        index, bounds, buckets, grams, counts, _ = gru.pieces_of([text])
+        best = -np.inf
+        n = int(bounds[1] - bounds[0])
+        for start in gru.window_starts(n):
+            steps = []
+            for i in range(start, start + gru.STEPS):
+                if i >= n:
+                    steps.append(np.zeros(gru.INPUT))
+                    continue
+                p = index[i]
+                vectors = w["gram"][grams[p]]
+                steps.append(np.concatenate([w["word"][buckets[p]], vectors.sum(axis=0) / counts[p], [max(0.0, vectors[:, 0].max())]]))
+            sides = {}
+            for side, line in (("f", steps), ("b", steps[::-1])):
+                state, out = np.zeros(h), []
+                for x in line:
+                    a, u = x @ w[f"{side}W"] + w[f"{side}b"], state @ w[f"{side}U"]
+                    reset, z = sig(a[:h] + u[:h]), sig(a[h:2 * h] + u[h:2 * h])
+                    new = np.tanh(a[2 * h:] + reset * u[2 * h:])
+                    state = z * state + (1 - z) * new
+                    out.append(state)
+                sides[side] = out if side == "f" else out[::-1]
+            s = np.array([np.concatenate(pair) for pair in zip(sides["f"], sides["b"])])
+            e = np.exp(np.tanh(s @ w["A"] + w["a"]) @ w["v"])
+            best = max(best, float((e / e.sum()) @ s @ w["o"] + w["c"][0]))
+        assert abs(best - logit) < 1e-4, text[:20]
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 31, 32, 33, 48, 49, 100, 4097):
         starts = gru.window_starts(n)
