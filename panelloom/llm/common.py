@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space of every word rule here: space and the six ASCII controls 9 to 13.
@@ -104,6 +105,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into short ones, so that only a few texts at a time become Python objects; unused memory is
+    handed back at the end, as a worker lives on for the next stage."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def text_chunks(texts, at_most: int = CHUNK_BYTES):
     """Runs of consecutive texts (as bytes) of about ``at_most`` bytes; a longer text is a run of its own."""
     run, size = [], 0

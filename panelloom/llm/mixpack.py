@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from .common import from_key, id_key, sized, written
+from .common import from_key, id_key, sized, slices, written
 
 WINDOW = 2048
 END = 1
 #: Words whose ids a worker keeps, the first it meets (the first half also with their signs and capitals); and the longest such word in bytes.
-KEPT_WORDS, KEPT_LENGTH = 240_000, 40
+KEPT_WORDS, KEPT_LENGTH = 160_000, 40
 #: A run of these around letters is one piece of the text for the tokenizer; an apostrophe may start a contraction.
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A source with so many tokens a window has its own queue; the others are served in bursts of QUANTUM tokens.
@@ -259,7 +259,7 @@ def pack(docs: DataFrame, path: str | None = None, weights: dict[str, int] | Non
 
     def encode(batches):
         ids_of, part, at = word_ids(path), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in slices(batches):
             rows = {c: [] for c in ("id", "queue", "part", "at", "n", "ids")}
             for i, q, text in zip(*(batch.column(c).to_pylist() for c in ("id", "source", "text"))):
                 ids = ids_of.text(text or "") + b"\x01\x00"
@@ -306,7 +306,7 @@ def pack(docs: DataFrame, path: str | None = None, weights: dict[str, int] | Non
         rows = rows.where(is_own).unionByName(tail)
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = {c.split()[0]: [] for c in PIECES.split(", ")}
             for i, q, a, n, ids, before in zip(*(batch.column(c).to_pylist() for c in ("id", "queue", "a", "n", "ids", "lo"))):
                 wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import from_key, id_key, mix, text_chunks, NULL_ID
+from .common import NULL_ID, from_key, id_key, mix, slices, text_chunks
 
 #: The shortest run that is reported.
 LEAST = 12
@@ -231,7 +231,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64()] * 6 + [pa.string()] * 2
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, at = batch.column("id").to_pylist(), 0
             for chunk in text_chunks(batch.column("text").to_pylist()):
                 found = described(ids[at:at + len(chunk)], chunk)

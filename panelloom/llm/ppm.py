@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import from_key, id_key, text_chunks
+from .common import from_key, id_key, slices, text_chunks
 from .toxicity import held_out
 
 DEPTH = 4
@@ -195,7 +195,7 @@ def predicted(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
 
     def run(batches):
         held = Trees(**shared.value) if shared.value else None
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, at = batch.column("id"), batch.column("text").to_pylist(), 0
             for chunk in text_chunks(texts, BATCH):
                 names, scores, rate = [], [], []

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import from_key, id_key, mix, sized, text_chunks, union_all, word_hashes, written
+from .common import from_key, id_key, mix, sized, slices, text_chunks, union_all, word_hashes, written
 from .components import components
 
 WORDS = 4
@@ -101,7 +101,7 @@ MARKS = "id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 def marks(docs: DataFrame, words: int) -> DataFrame:
     """Per row of ``docs``: id key, set size, fingerprint of the set and band keys; the text stays behind."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             at = 0
             for chunk in text_chunks(texts):
@@ -126,7 +126,7 @@ def checked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
             keep = []

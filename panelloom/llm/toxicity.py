@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import gru
-from .common import from_key, id_key, text_chunks
+from .common import from_key, id_key, slices, text_chunks
 
 #: The classifier is fitted on so many labelled rows of each label at most, by hash of their id ...
 ONES, ZEROS = 1000, 2000
@@ -54,7 +54,7 @@ def score(docs: DataFrame, network: gru.Network | None) -> DataFrame:
 
     def run(batches):
         model = gru.Network(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.probabilities(model.text_logits(c)) for c in text_chunks(batch.column("text").to_pylist())]
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(found), pa.float64())], ["id", "toxicity"])
@@ -84,7 +84,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     def keep(batches):
         model = gru.Network(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.probabilities(model.text_logits(c)) for c in text_chunks(batch.column(at).to_pylist())]
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) < threshold))
