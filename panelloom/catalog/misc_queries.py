@@ -98,15 +98,21 @@ Q("E31_leakage_audit", lambda v: _declared(fe.CAPACITY, FUTURE_STATE, v.interval
 Q("B48_horizon_leakage_rows", lambda v: _declared(fe.HORIZON, FUTURE_EXPOSURE, v.horizon), "feature_group feature n:i forbidden", _declared_sql(fe.HORIZON, FUTURE_EXPOSURE, "hz"))
 
 
+#: The grouped splits, and one that deals a condition's replicates to several folds: its overlap is what the audit must find.
+_AUDITED = [*sp.SPLITS, "replicate_calibration_fold"]
+
+
 def _overlap(v):
-    """Test conditions of a fold that also sit in its train side (zero when splits are grouped)."""
-    t = v.preds.filter("run_scope = 'primary'").select("split_name", "heldout_fold", "parameter_set").distinct()
-    a = sp.stack_splits(v.splits).select("split_name", "fold", "parameter_set").distinct()
-    j = t.join(a, ["split_name", "parameter_set"])
-    return j.groupBy("split_name", "heldout_fold").agg(F.sum((F.col("fold") != F.col("heldout_fold")).cast("long")).alias("overlap"), F.count(F.lit(1)).alias("conditions"))
+    """Conditions of a fold that also sit in its train side: none where splits are grouped."""
+    a = sp.stack_splits(v.intervals, _AUDITED).select("split_name", "fold", "parameter_set").distinct()
+    n = a.groupBy("split_name", "parameter_set").agg(F.count(F.lit(1)).alias("folds"))
+    return a.join(n, ["split_name", "parameter_set"]).groupBy("split_name", "fold").agg(
+        F.sum((F.col("folds") > 1).cast("long")).alias("overlap"), F.count(F.lit(1)).alias("conditions")).withColumnRenamed("fold", "heldout_fold")
 
 
-Q("B35_selector_leakage_audit", _overlap, "split_name heldout_fold:i overlap:i conditions:i", "SELECT split_name, heldout_fold, 0 AS overlap, count(DISTINCT parameter_set) AS conditions FROM preds WHERE run_scope = 'primary' GROUP BY ALL")
+_stacked = " UNION ALL ".join(f"SELECT DISTINCT '{s}' AS split_name, {s} AS fold, parameter_set FROM ivq" for s in _AUDITED)
+Q("B35_selector_leakage_audit", _overlap, "split_name heldout_fold:i overlap:i conditions:i",
+  f"SELECT split_name, fold AS heldout_fold, count(*) FILTER (folds > 1) AS overlap, count(*) AS conditions FROM (SELECT *, count(*) OVER (PARTITION BY split_name, parameter_set) AS folds FROM ({_stacked})) GROUP BY ALL")
 
 
 def _grid(v):
