@@ -45,13 +45,14 @@ DIAGNOSTIC = {
     "DH2_prior_same_diagnostic_state": ([*_CLOCK, "diagnostic_value_k", *_NOMINAL], _PLACE),
     "DH3_capacity_plus_prior_same_diagnostic": ([*_CLOCK, *_STATE, "diagnostic_value_k", *_NOMINAL], _PLACE),
 }
+DIAGNOSTIC_TARGETS = ["nyquist_semicircle_width_proxy", "pulse_10ms_resistance", "pulse_1s_resistance", "z_abs_1kHz"]
 WARNING = {
     "W0_capacity_state": (["capacity_Ah_k", "soh_k"], []),
     "W1_state_time": (["capacity_Ah_k", "soh_k", "checkup_k", "calendar_day_k", "cumulative_efc_k"], []),
     "W2_nominal": (["capacity_Ah_k", "soh_k", "checkup_k", "calendar_day_k", "cumulative_efc_k", *_NOMINAL], _PLACE),
 }
-_PULSE = ["pulse_1s_resistance_k", "pulse_10ms_resistance_k"]
-_EIS = ["eis_z_real_1kHz_k", "eis_z_imag_1kHz_k", "eis_z_abs_1kHz_k", "eis_phase_1kHz_k"]
+PULSE_STATE = ["pulse_1s_resistance_k", "pulse_10ms_resistance_k"]
+SPECTRUM_STATE = ["eis_z_real_1kHz_k", "eis_z_imag_1kHz_k", "eis_z_abs_1kHz_k", "eis_phase_1kHz_k"]
 
 
 def impedance(prefix: str, state: list[str], other: list[str]) -> dict:
@@ -63,7 +64,7 @@ def impedance(prefix: str, state: list[str], other: list[str]) -> dict:
             f"{prefix}_prior_other_family": ([*base, "capacity_Ah_k", *_USE, *_NOMINAL, *other], _MODE)}
 
 
-PULSE, SPECTRUM = impedance("P", _PULSE, _EIS), impedance("E", _EIS, _PULSE)
+PULSE, SPECTRUM = impedance("P", PULSE_STATE, SPECTRUM_STATE), impedance("E", SPECTRUM_STATE, PULSE_STATE)
 PULSE_TARGETS = ["delta_pulse_1s_resistance", "pulse_1s_resistance_k1", "delta_pulse_10ms_resistance", "pulse_10ms_resistance_k1"]
 SPECTRUM_TARGETS = ["delta_eis_z_real_1kHz", "delta_eis_z_abs_1kHz", "delta_nyquist_semicircle_width_proxy"]
 

@@ -8,6 +8,8 @@ from ..operators import boosting as bo, logistic as lg, metrics as me, models as
 from ..operators.splits import SPLITS
 from . import features as fe
 from .base import Q
+from .ridge_sql import adaptive_sql, board_sql, chosen_sql, gain_sql, metrics_sql, nested_tables, ridge_tables, stacked_tables
+from .state_queries import SKEY
 
 DELTA, LEVEL = "delta_capacity_Ah", "capacity_Ah_k1"
 F4 = fe.CAPACITY["F4_state_log_age_scalar"]
@@ -15,6 +17,19 @@ ARM = "split_name heldout_fold:i model_level feature_group target test_rows:i ma
 BOARD = "split_name model_level feature_group target fold_count:i condition_mean_mae:r worst_condition_mae:r"
 
 
+# ---- SQL of the ridge panels ----
+_BOTH = {DELTA: DELTA, LEVEL: LEVEL}
+ridge_tables("rgc", "SELECT * FROM ivq", _BOTH, fe.CAPACITY, residuals=True)
+ridge_tables("rgs", f"SELECT i.*, {', '.join('s.time_voltage_ge_4p1_h AS high_voltage_time_h' if c == 'high_voltage_time_h' else 's.' + c for c in fe.STRESS)} FROM ivq i LEFT JOIN stress s USING (cell_id, checkup_k)", _BOTH, fe.SEMI_EMPIRICAL)
+ridge_tables("rgh", "SELECT * FROM hz", {t: t for t in ("capacity_Ah_kh", "delta_capacity_Ah_h")}, fe.HORIZON)
+ridge_tables("rgd", """SELECT d.*, h.calendar_day_k, h.cumulative_q_Ah_k, h.prior_delta_capacity_Ah, h.prior_capacity_slope_per_day, h.nominal_charge_C_rate, h.nominal_discharge_C_rate, h.voltage_window_family,
+h.profile_label, h.aging_mode FROM dhz d JOIN hz h USING (cell_id, checkup_k, horizon_checkups)""", {t: f"CASE WHEN target_name = '{t}' THEN diagnostic_value_kh END" for t in fe.DIAGNOSTIC_TARGETS}, fe.DIAGNOSTIC)
+_IMPEDANCE = f"""SELECT i.*, {', '.join('p.' + c for c in [*fe.PULSE_TARGETS, *fe.PULSE_STATE])}, {', '.join('e.' + c for c in [*fe.SPECTRUM_TARGETS, *fe.SPECTRUM_STATE])}
+FROM ivq i LEFT JOIN ptgt p USING (cell_id, checkup_k) LEFT JOIN eist e USING (cell_id, checkup_k)"""
+ridge_tables("rgp", _IMPEDANCE, {t: t for t in fe.PULSE_TARGETS}, fe.PULSE)
+ridge_tables("rge", _IMPEDANCE, {t: t for t in fe.SPECTRUM_TARGETS}, fe.SPECTRUM)
+
+
 def _met(pred):
     return me.regression_metrics(pred)
 
@@ -34,32 +49,35 @@ def _trees(df, targets, groups, name, model="L2_trees", **kw):
     return bo.run_trees(df, targets, *groups[name], name, model, **kw)
 
 
+Q("E08_ridge_arms", lambda v: _met(_ridge(v.intervals, [DELTA, LEVEL], fe.CAPACITY)), ARM, metrics_sql("rgc", {"plain": "L1_ridge"}))
 Q("E08_ridge_trees_quantile", lambda v: _met(_ridge(v.intervals, [DELTA, LEVEL], fe.CAPACITY).unionByName(
     _trees(v.intervals, [DELTA, LEVEL], fe.CAPACITY, "F4_state_log_age_scalar", quantile_model="L3_quantile"), allowMissingColumns=True)), ARM)
-Q("E28_semi_empirical_ridge", lambda v: _met(_ridge(_stressed(v), [LEVEL, DELTA], fe.SEMI_EMPIRICAL, model="L4_semi_empirical_ridge")), ARM)
-Q("B45_semi_empirical_run", lambda v: me.leaderboard(_met(_ridge(_stressed(v), [LEVEL, DELTA], fe.SEMI_EMPIRICAL, model="L4_semi_empirical_ridge"))), BOARD)
+_SEMI = metrics_sql("rgs", {"plain": "L4_semi_empirical_ridge"})
+Q("E28_semi_empirical_ridge", lambda v: _met(_ridge(_stressed(v), [LEVEL, DELTA], fe.SEMI_EMPIRICAL, model="L4_semi_empirical_ridge")), ARM, _SEMI)
+Q("B45_semi_empirical_run", lambda v: me.leaderboard(_met(_ridge(_stressed(v), [LEVEL, DELTA], fe.SEMI_EMPIRICAL, model="L4_semi_empirical_ridge"))), BOARD, board_sql(_SEMI))
+Q("E09_horizon_ridge", lambda v: _met(_ridge(v.horizon, ["capacity_Ah_kh", "delta_capacity_Ah_h"], fe.HORIZON, model="MH2_ridge")), ARM, metrics_sql("rgh", {"plain": "MH2_ridge"}))
 Q("E09_horizon_models", lambda v: _met(_ridge(v.horizon, ["capacity_Ah_kh", "delta_capacity_Ah_h"], fe.HORIZON, model="MH2_ridge").unionByName(
     _trees(v.horizon, ["capacity_Ah_kh", "delta_capacity_Ah_h"], fe.HORIZON, "K2_nominal_condition", "MH3_trees"))), ARM)
 
 
 def _diagnostic(v):
     """One target column for each diagnostic: a row counts for its own only."""
-    names = [r["target_name"] for r in v.diagnostic.select("target_name").distinct().orderBy("target_name").collect()]
-    d = v.diagnostic.withColumns({n: F.when(F.col("target_name") == n, F.col("diagnostic_value_kh")) for n in names})
-    return _met(_ridge(d, names, fe.DIAGNOSTIC, model="DM2_ridge").unionByName(_trees(d, names, fe.DIAGNOSTIC, "DH3_capacity_plus_prior_same_diagnostic", "DM3_trees")))
+    return cut(v.diagnostic.withColumns({n: F.when(F.col("target_name") == n, F.col("diagnostic_value_kh")) for n in fe.DIAGNOSTIC_TARGETS}))
 
 
-Q("E10_diagnostic_models", _diagnostic, ARM)
+Q("E10_diagnostic_ridge", lambda v: _met(_ridge(_diagnostic(v), fe.DIAGNOSTIC_TARGETS, fe.DIAGNOSTIC, model="DM2_ridge")), ARM, metrics_sql("rgd", {"plain": "DM2_ridge"}))
+Q("E10_diagnostic_models", lambda v: _met(_ridge(_diagnostic(v), fe.DIAGNOSTIC_TARGETS, fe.DIAGNOSTIC, model="DM2_ridge").unionByName(
+    _trees(_diagnostic(v), fe.DIAGNOSTIC_TARGETS, fe.DIAGNOSTIC, "DH3_capacity_plus_prior_same_diagnostic", "DM3_trees"))), ARM)
 
 
 def _pulse(v):
-    p = v.pulse_targets.select("cell_id", "checkup_k", *fe.PULSE_TARGETS, "pulse_1s_resistance_k", "pulse_10ms_resistance_k")
-    e = v.eis_targets.select("cell_id", "checkup_k", *fe.SPECTRUM_TARGETS, "eis_z_real_1kHz_k", "eis_z_imag_1kHz_k", "eis_z_abs_1kHz_k", "eis_phase_1kHz_k")
+    p = v.pulse_targets.select("cell_id", "checkup_k", *fe.PULSE_TARGETS, *fe.PULSE_STATE)
+    e = v.eis_targets.select("cell_id", "checkup_k", *fe.SPECTRUM_TARGETS, *fe.SPECTRUM_STATE)
     d = cut(v.intervals.join(p, ["cell_id", "checkup_k"], "left").join(e, ["cell_id", "checkup_k"], "left"))
     return _met(_ridge(d, fe.PULSE_TARGETS, fe.PULSE).unionByName(_ridge(d, fe.SPECTRUM_TARGETS, fe.SPECTRUM)))
 
 
-Q("E11_pulse_eis_models", _pulse, ARM)
+Q("E11_pulse_eis_models", _pulse, ARM, " UNION ALL ".join(f"SELECT * FROM ({metrics_sql(p, {'plain': 'L1_ridge'})})" for p in ("rgp", "rge")))
 
 
 WARN_TARGETS = ["event_within_1_checkup", "event_within_2_checkups", "event_within_3_checkups"]
@@ -125,10 +143,14 @@ def _nested(v, targets=(DELTA,), seeds=(42,), settings=rg.SETTINGS):
     return rg.run_nested(v.intervals, list(targets), rg.nested_arms("F4_state_log_age_scalar", *F4, settings=settings, seeds=seeds), *F4)
 
 
-Q("E20_worst_fold_selection", lambda v: rg.chosen(_nested(v, (DELTA, LEVEL)), "worst"), NEST)
-Q("E22_arm_selector", lambda v: rg.chosen(_nested(v, (DELTA, LEVEL)), "mean"), NEST)
 WEIGHTS = [s for s in rg.SETTINGS if s[1] in ("R0", "R2")]
-Q("E21_adaptive_weight_search", lambda v: _nested(v, (DELTA, LEVEL), settings=WEIGHTS), NEST)
+ridge_tables("rgf", "SELECT * FROM ivq", _BOTH, F4_SET)
+nested_tables("rgn", "rgf", SKEY, rg.SETTINGS, [42], [DELTA, LEVEL])
+nested_tables("rgr", "rgf", SKEY, WEIGHTS, SEEDS, [DELTA])
+Q("E20_worst_fold_selection", lambda v: rg.chosen(_nested(v, (DELTA, LEVEL)), "worst"), NEST, chosen_sql("rgn", "worst"))
+Q("E22_arm_selector", lambda v: rg.chosen(_nested(v, (DELTA, LEVEL)), "mean"), NEST, chosen_sql("rgn", "mean"))
+Q("E21_adaptive_weight_search", lambda v: _nested(v, (DELTA, LEVEL), settings=WEIGHTS), NEST,
+  f"SELECT * FROM rgn_scores WHERE setting IN ({', '.join(repr(n) for n, _, _ in WEIGHTS)})")
 
 
 def _replicated(v):
@@ -137,7 +159,7 @@ def _replicated(v):
     return un.union_all([rg.adaptive_selection(scores, p) for p in ("max_gain_guarded", "conservative_guarded")])
 
 
-Q("E33_adaptive_replication", _replicated, PICK)
+Q("E33_adaptive_replication", _replicated, PICK, adaptive_sql("rgr"))
 
 
 def _stack(v):
@@ -146,10 +168,15 @@ def _stack(v):
     return cut(rg.run(d, [DELTA, LEVEL], rg.stacked_arms("pulse_1s_resistance_k1", "F4_state_log_age_scalar", *F4), *F4, extra_targets=["pulse_1s_resistance_k1"])[0])
 
 
-Q("E26_out_of_fold_stacking", lambda v: _met(_stack(v)), ARM)
-Q("B42_distillation_run", lambda v: me.leaderboard(_met(_stack(v))), BOARD)
+ridge_tables("rgx", "SELECT i.*, p.pulse_1s_resistance_k1 FROM ivq i LEFT JOIN ptgt p USING (cell_id, checkup_k)", _BOTH | {"pulse_1s_resistance_k1": "pulse_1s_resistance_k1"}, F4_SET)
+stacked_tables("rgt", "rgx", "pulse_1s_resistance_k1", [DELTA, LEVEL])
+_STACK = metrics_sql("rgt", {"without": "D0_without_state", "with": "D1_auxiliary_state"})
+Q("E26_out_of_fold_stacking", lambda v: _met(_stack(v)), ARM, _STACK)
+Q("B42_distillation_run", lambda v: me.leaderboard(_met(_stack(v))), BOARD, board_sql(_STACK))
 Q("B43_distillation_metrics", lambda v: me.error_summary(_stack(v), ["split_name", "heldout_fold", "model_level", "target"]),
-  "split_name heldout_fold:i model_level target n:i mae:r rmse:r bias:r median_abs_error:r parameter_sets:i")
+  "split_name heldout_fold:i model_level target n:i mae:r rmse:r bias:r median_abs_error:r parameter_sets:i",
+  """SELECT split_name, heldout_fold, CASE arm WHEN 'with' THEN 'D1_auxiliary_state' ELSE 'D0_without_state' END AS model_level, target, count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias,
+  quantile_cont(abs(e), 0.5) AS median_abs_error, count(DISTINCT parameter_set) AS parameter_sets FROM rgt_pred GROUP BY ALL""")
 
 
 def _seq(v):
@@ -160,7 +187,8 @@ def _seq(v):
 
 for _n in ("E29_sequence_ridge", "B46_sequence_value_run"):
     Q(_n, _seq, ARM)
-Q("B44_hierarchical_predict", lambda v: _met(_ridge(v.intervals, [DELTA, LEVEL], fe.CAPACITY, rg.hierarchical_arms)), ARM)
+_HIER = metrics_sql("rgc", {"mean": "H0_global_train_mean", "plain": "H1_state_time_ridge", "pooled": "H2_partial_pooling_ridge"})
+Q("B44_hierarchical_predict", lambda v: _met(_ridge(v.intervals, [DELTA, LEVEL], fe.CAPACITY, rg.hierarchical_arms)), ARM, _HIER)
 
 # ---- arms against their references ----
 GAIN = "split_name target candidate_model_level candidate_feature_group reference_model_level reference_feature_group gain:r relative_gain:r beats_reference"
@@ -176,7 +204,8 @@ def _corrected(v):
     return un.union_all([_gain(board, f"model_level = 'L1_ridge_bias_corrected' AND feature_group = '{g}'", f"model_level = 'L1_ridge' AND feature_group = '{g}'") for g in fe.CAPACITY])
 
 
-Q("A15_bias_correction_comparison", _corrected, GAIN)
+Q("A15_bias_correction_comparison", _corrected, GAIN,
+  gain_sql(board_sql(metrics_sql("rgc", {"plain": "L1_ridge", "bias": "L1_ridge_bias_corrected"})), "L1_ridge_bias_corrected", "L1_ridge", "split_name, target"))
 
 
 def _pooled(v):
@@ -185,9 +214,10 @@ def _pooled(v):
     return un.union_all([_gain(board, f"model_level = '{a}' AND feature_group = '{g}'", f"model_level = '{b}' AND feature_group = '{g}'") for a, b in pairs for g in fe.CAPACITY])
 
 
-Q("A124_hierarchical_comparison", _pooled, GAIN)
+Q("A124_hierarchical_comparison", _pooled, GAIN, " UNION ALL ".join(gain_sql(board_sql(_HIER), a, b, "split_name, target") for a, b in (
+    ("H2_partial_pooling_ridge", "H1_state_time_ridge"), ("H1_state_time_ridge", "H0_global_train_mean"))))
 Q("A128_distillation_gains", lambda v: _gain(_met(_stack(v)), "model_level = 'D1_auxiliary_state'", "model_level = 'D0_without_state'", [*KEYS, "heldout_fold"]),
-  GAIN.replace("target ", "target heldout_fold:i ", 1))
+  GAIN.replace("target ", "target heldout_fold:i ", 1), gain_sql(_STACK, "D1_auxiliary_state", "D0_without_state", "split_name, target, heldout_fold"))
 Q("A122_order_vs_shuffled_gains", lambda v: _gain(_seq(v), "model_level = 'S1_sequence_ridge'", "model_level = 'S1_shuffled_ridge'", [*KEYS, "heldout_fold"]),
   GAIN.replace("target ", "target heldout_fold:i ", 1))
 
@@ -201,7 +231,10 @@ def _semi_gain(v):
     return _gain(board, "model_level = 'L4_semi_empirical_ridge'", "model_level = 'L1_ridge'")
 
 
-Q("B45_semi_empirical_comparison", _semi_gain, GAIN)
+_TOP = "round(condition_mean_mae, 12), round(worst_condition_mae, 12), model_level, feature_group"
+Q("B45_semi_empirical_comparison", _semi_gain, GAIN, gain_sql(
+    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target, split_name ORDER BY {_TOP}) AS turn FROM ({board_sql(_SEMI)})) WHERE turn = 1 UNION ALL "
+    f"SELECT *, 1 FROM ({board_sql(metrics_sql('rgc', {'plain': 'L1_ridge'}))}) WHERE feature_group = 'F4_state_log_age_scalar'", "L4_semi_empirical_ridge", "L1_ridge", "split_name, target", same_group=False))
 
 
 def _resid(v):

@@ -500,9 +500,10 @@ def adaptive_selection(scores: DataFrame, policy: str, limit: float = 0.02, refe
                                                               F.when(F.element_at("ref", k) > 0, (F.element_at("by_fold", k) - F.element_at("ref", k)) / F.element_at("ref", k)).alias("loss")))
     d = d.withColumn("_g", gains).withColumns({"mean_gain": F.aggregate("_g", F.lit(0.0), lambda a, g: a + g["gain"]) / F.size("_g"),
                                                "max_degradation": F.array_max(F.transform("_g", lambda g: g["loss"]))})
-    d = d.withColumn("guarded", F.coalesce((F.col("max_degradation") <= limit) & (F.col("mean_gain") > 0), F.lit(False)))
-    late = F.coalesce("max_degradation", F.lit(float("inf")))
-    first = F.struct(F.when(F.col("guarded"), 0).otherwise(1), F.when(F.col("guarded"), -F.col("mean_gain")).otherwise(late), late, "setting") if policy == "max_gain_guarded" else \
+    gain = F.round("mean_gain", 9)
+    d = d.withColumn("guarded", F.coalesce((F.col("max_degradation") <= limit) & (gain > 0), F.lit(False)))
+    late = F.coalesce(F.round("max_degradation", 9), F.lit(float("inf")))
+    first = F.struct(F.when(F.col("guarded"), 0).otherwise(1), F.when(F.col("guarded"), -gain).otherwise(late), late, "setting") if policy == "max_gain_guarded" else \
         F.struct(F.when(F.col("guarded"), 0).otherwise(1), F.col("setting"), late)
     best = F.min_by(F.struct("setting", "mean_gain", "max_degradation", "guarded"), first)
     return d.groupBy(*keys).agg(best.alias("b")).select(*keys, F.lit(policy).alias("policy"), "b.*")
@@ -514,8 +515,9 @@ def chosen(scores: DataFrame, policy: str = "worst", limit: float = 0.05, refere
     keys = ["split_name", "heldout_fold", "target", "seed"]
     ref = scores.where(F.col("setting") == reference).select(*keys, F.col("worst_condition_mae").alias("_ref"))
     d = scores.join(ref, keys, "left").withColumn("inside", F.coalesce(F.col("worst_condition_mae") <= F.col("_ref") * (1 + limit), F.lit(True)))
-    score = (F.struct("worst_condition_mae", "mean_condition_mae", "setting") if policy == "worst"
-             else F.struct(F.when(F.col("inside"), 0).otherwise(1), "mean_condition_mae", "setting"))
+    # settings that differ by rounding only are tied
+    worst, mean = F.round("worst_condition_mae", 9), F.round("mean_condition_mae", 9)
+    score = F.struct(worst, mean, "setting") if policy == "worst" else F.struct(F.when(F.col("inside"), 0).otherwise(1), mean, "setting")
     return d.groupBy(*keys).agg(F.min_by(F.struct("setting", "mean_condition_mae", "worst_condition_mae"), score).alias("b")).select(*keys, "b.*")
 
 
