@@ -185,8 +185,8 @@ def _seq(v):
     return _met(un.union_all([mo.sequence_ridge(d, s, DELTA, c, n) for s in SPLITS for c, n in (("true_sequence_vector", "S1_sequence_ridge"), ("shuffled_sequence_vector", "S1_shuffled_ridge"))]))
 
 
-for _n in ("E29_sequence_ridge", "B46_sequence_value_run"):
-    Q(_n, _seq, ARM)
+Q("E29_sequence_ridge", _seq, ARM)
+Q("B46_sequence_value_run", lambda v: me.leaderboard(_seq(v)), BOARD)
 _HIER = metrics_sql("rgc", {"mean": "H0_global_train_mean", "plain": "H1_state_time_ridge", "pooled": "H2_partial_pooling_ridge"})
 Q("B44_hierarchical_predict", lambda v: _met(_ridge(v.intervals, [DELTA, LEVEL], fe.CAPACITY, rg.hierarchical_arms)), ARM, _HIER)
 
