@@ -201,7 +201,7 @@ Q("A103_threshold_stability", lambda v: kn.threshold_stability(v.intervals, v.po
   "threshold_label threshold_fraction:r cells_reaching_threshold:i cell_coverage_fraction:r conditions_with_at_least_2_events:i condition_coverage_fraction:r replicate_consistency_within_1_checkup:r replicate_consistency_within_2_checkups:r "
   "median_spread_checkups:r median_event_checkup_k:r event_within_1_checkup_rows:i event_within_2_checkups_rows:i event_within_3_checkups_rows:i",
   """SELECT threshold_label, threshold_fraction, sum(n_reaching_threshold) AS cells_reaching_threshold, sum(n_reaching_threshold) / sum(n_replicates)::DOUBLE AS cell_coverage_fraction, count(*) FILTER (n_reaching_threshold >= 2) AS conditions_with_at_least_2_events,
-  count(*) FILTER (n_reaching_threshold >= 2) / 76.0::DOUBLE AS condition_coverage_fraction, avg((event_spread_checkups <= 1)::INT) FILTER (n_reaching_threshold >= 2) AS replicate_consistency_within_1_checkup,
+  count(*) FILTER (n_reaching_threshold >= 2) / count(*)::DOUBLE AS condition_coverage_fraction, avg((event_spread_checkups <= 1)::INT) FILTER (n_reaching_threshold >= 2) AS replicate_consistency_within_1_checkup,
   avg((event_spread_checkups <= 2)::INT) FILTER (n_reaching_threshold >= 2) AS replicate_consistency_within_2_checkups, quantile_cont(event_spread_checkups::DOUBLE, 0.5) FILTER (n_reaching_threshold >= 2) AS median_spread_checkups,
   (SELECT quantile_cont(threshold_event_checkup_k::DOUBLE, 0.5) FROM thr WHERE thr.threshold_label = tbc.threshold_label) AS median_event_checkup_k,
   (SELECT count(*) FROM lab WHERE lab.threshold_label = tbc.threshold_label AND event_within_1_checkup) AS event_within_1_checkup_rows, (SELECT count(*) FROM lab WHERE lab.threshold_label = tbc.threshold_label AND event_within_2_checkups) AS event_within_2_checkups_rows,

@@ -290,8 +290,10 @@ def threshold_by_condition(points: DataFrame) -> DataFrame:
         "replicate_consistent_within_1_checkup": within(1), "replicate_consistent_within_2_checkups": within(2)})
 
 
-def threshold_stability(intervals: DataFrame, points: DataFrame, conditions: int = 76) -> DataFrame:
+def threshold_stability(intervals: DataFrame, points: DataFrame, conditions: int | None = None) -> DataFrame:
+    """Coverage, consistency and class counts per threshold; coverage is of ``conditions``, by default those of the panel."""
     by = threshold_by_condition(points)
+    whole = F.count(F.lit(1)).cast("double") if conditions is None else F.lit(float(conditions))
     key = "threshold_label"
     two = F.col("n_reaching_threshold") >= 2
     share = lambda n: F.avg(F.when(two, (F.col("event_spread_checkups") <= n).cast("double")))
@@ -299,7 +301,7 @@ def threshold_stability(intervals: DataFrame, points: DataFrame, conditions: int
         F.sum("n_reaching_threshold").alias("cells_reaching_threshold"),
         (F.sum("n_reaching_threshold") / F.sum("n_replicates")).alias("cell_coverage_fraction"),
         F.sum(two.cast("long")).alias("conditions_with_at_least_2_events"),
-        (F.sum(two.cast("long")) / F.lit(float(conditions))).alias("condition_coverage_fraction"),
+        (F.sum(two.cast("long")) / whole).alias("condition_coverage_fraction"),
         share(1).alias("replicate_consistency_within_1_checkup"), share(2).alias("replicate_consistency_within_2_checkups"))
     s = quantiles(by.filter(two), [key], "event_spread_checkups", {"median_spread_checkups": 0.5})
     e = threshold_events(points).withColumn("_k", F.col("threshold_event_checkup_k").cast("double"))
