@@ -116,6 +116,26 @@ def value_chunk(v: Column, per_octave: int = 256) -> Column:
     return F.when(a < 1e-12, F.lit(0)).otherwise(F.signum(v).cast("long") * step).cast("long")   # null stays null
 
 
+#: Distinct values of a key in one chunk from which the chunk is cut further.
+CROWD = 65_536
+_FINE = 1 << 20
+
+
+def with_chunks(folded: DataFrame, keys, value: str) -> DataFrame:
+    """Distinct values per key with ``_chunk``: ``value_chunk``, cut evenly between least and greatest where many values lie in a narrow band.
+
+    Counts, least and greatest are exact, so every branch and retry cuts alike.  Only crowded chunks are listed, at most one
+    for each CROWD distinct values, and that list is sent to all tasks, so the values are not shuffled once more."""
+    keys = list(keys)
+    d = folded.withColumn("_coarse", value_chunk(F.col(value)))
+    crowded = d.groupBy(*keys, "_coarse").agg(F.count(F.lit(1)).alias("_cn"), F.min(value).alias("_clo"), F.max(value).alias("_chi")).where(F.col("_cn") > CROWD)
+    d = attach(d, F.broadcast(crowded), [*keys, "_coarse"])
+    parts = F.least(F.lit(_FINE), F.ceil(2.0 * F.col("_cn") / CROWD))
+    fine = F.least(parts - 1, F.floor((F.col(value) - F.col("_clo")) / (F.col("_chi") - F.col("_clo")) * parts))
+    fine = F.when(F.col("_chi") > F.col("_clo"), F.greatest(F.lit(0), fine)).otherwise(0)
+    return d.withColumn("_chunk", (F.col("_coarse") * (2 * _FINE) + F.coalesce(fine, F.lit(0))).cast("long")).drop("_coarse", "_cn", "_clo", "_chi")
+
+
 def ranks(df: DataFrame, keys, value: str, out: str = "rank", *, n_out: str | None = None,
           weight: Column | None = None) -> DataFrame:
     """Tie-averaged ranks of ``value`` inside ``keys`` (ascending, from 1).
@@ -125,8 +145,7 @@ def ranks(df: DataFrame, keys, value: str, out: str = "rank", *, n_out: str | No
     """
     keys = list(keys)
     w = F.lit(1) if weight is None else weight
-    folded = (df.groupBy(*keys, value).agg(F.sum(w).alias("_n"))
-              .withColumn("_chunk", value_chunk(F.col(value))))
+    folded = with_chunks(df.groupBy(*keys, value).agg(F.sum(w).alias("_n")), keys, value)
     folded = carry(folded, keys, "_chunk", [value], sums_before={"_below": "_n"})
     folded = folded.withColumn(out, F.col("_below") + (F.col("_n") + 1) / 2.0)
     keep = [out] + ([n_out] if n_out else [])
@@ -146,8 +165,7 @@ def row_numbers(df: DataFrame, keys, value: str, tiebreak: str, out: str = "rn",
     keys = list(keys)
     v = F.col(value) if not descending else -F.col(value)
     d = df.withColumn("_v", v.cast("double"))
-    folded = (d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_chunk", value_chunk(F.col("_v"))))
+    folded = with_chunks(d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), keys, "_v")
     folded = carry(folded, keys, "_chunk", ["_v"], sums_before={"_below": "_n"})
     d = attach(d, folded.select(*keys, "_v", "_below"), keys + ["_v"])
     d = d.withColumn("_tb", F.shiftright(F.col(tiebreak).cast("long"), tie_bits))
@@ -162,9 +180,7 @@ def count_below(df: DataFrame, keys, value: str, weight_out: dict) -> DataFrame:
     and ``name_below``.
     """
     keys = list(keys)
-    folded = (df.groupBy(*keys, value)
-              .agg(*[F.sum(e).alias(n) for n, e in weight_out.items()])
-              .withColumn("_chunk", value_chunk(F.col(value))))
+    folded = with_chunks(df.groupBy(*keys, value).agg(*[F.sum(e).alias(n) for n, e in weight_out.items()]), keys, value)
     folded = carry(folded, keys, "_chunk", [value],
                    sums_before={f"{n}_below": n for n in weight_out})
     return folded.drop("_chunk")
