@@ -263,10 +263,9 @@ def apply_isotonic(rows: DataFrame, steps: DataFrame, keys) -> DataFrame:
     own = line.groupBy(*keys, "_chunk").agg(F.max("_end").alias("_last"), F.min("_end").alias("_first"))
     back, ahead = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
     own = own.select(*keys, "_chunk", F.max("_last").over(back).alias("_before"), F.min("_first").over(ahead).alias("_after"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("p")
-    line = line.join(own, [*keys, "_chunk"]).withColumns({
-        "_l": F.coalesce(F.max("_end").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_before"),
-        "_r": F.coalesce(F.min("_end").over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)), "_after")})
+    # both run from a partition's start to the current row: a frame that ends at the partition's end is added up anew for each row
+    up, down = (Window.partitionBy(*keys, "_chunk").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("p").asc(), F.col("p").desc()))
+    line = line.join(own, [*keys, "_chunk"]).withColumns({"_l": F.coalesce(F.max("_end").over(up), "_before"), "_r": F.coalesce(F.min("_end").over(down), "_after")})
     l, r, p = F.col("_l"), F.col("_r"), F.col("p")
     value = (F.when(l.isNull(), r["v"]).when(r.isNull(), l["v"]).when(r["p"] <= l["p"], l["v"])
              .otherwise(l["v"] + (r["v"] - l["v"]) * (p - l["p"]) / (r["p"] - l["p"])))
