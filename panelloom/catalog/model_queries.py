@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..operators import boosting as bo, logistic as lg, metrics as me, models as mo, ridge as rg, rules as ru, sequences as sq, uncertainty as un
-from ..operators.splits import SPLITS
 from . import features as fe
 from .base import Q
 from .ridge_sql import adaptive_sql, board_sql, chosen_sql, gain_sql, metrics_sql, nested_tables, ridge_tables, stacked_tables
@@ -180,9 +179,11 @@ Q("B43_distillation_metrics", lambda v: me.error_summary(_stack(v), ["split_name
 
 
 def _seq(v):
-    s = sq.sequence_table(v.spine, v.run_events, sq.VECTOR_V1).select("cell_id", "checkup_k", "true_sequence_vector", "shuffled_sequence_vector")
-    d = cut(v.intervals.join(s, ["cell_id", "checkup_k"]))
-    return _met(un.union_all([mo.sequence_ridge(d, s, DELTA, c, n) for s in SPLITS for c, n in (("true_sequence_vector", "S1_sequence_ridge"), ("shuffled_sequence_vector", "S1_shuffled_ridge"))]))
+    vectors = {"true_sequence_vector": "S1_sequence_ridge", "shuffled_sequence_vector": "S1_shuffled_ridge"}
+    s = sq.sequence_table(v.spine, v.run_events, sq.VECTOR_V1)
+    # the padding at the end of a vector is left off
+    s = s.select("cell_id", "checkup_k", *[F.slice(c, F.lit(1), (F.col("selected_event_count") * F.col("event_feature_count")).cast("int")).alias(c) for c in vectors])
+    return _met(cut(mo.sequence_ridges(cut(v.intervals.join(s, ["cell_id", "checkup_k"])), DELTA, vectors)))
 
 
 Q("E29_sequence_ridge", _seq, ARM)

@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -17,8 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scalar as S
 from ..functions.lineage import cut
 from ..functions.ordered import quantiles
+from . import ridge as rg
 from .rules import balanced_weights
-from .splits import inner_folds, is_heldout
+from .splits import SPLITS, inner_folds, is_heldout, stack_splits
 from .uncertainty import cluster_weights
 
 NUMERIC = ["capacity_Ah_k", "nominal_temperature_C", "nominal_charge_C_rate", "duration_h", "log_age_efc_delta"]
@@ -228,17 +232,130 @@ def stacked(df: DataFrame, split: str, target: str, aux: str, **kw) -> DataFrame
     return reduce(DataFrame.unionByName, out)
 
 
-def sequence_ridge(panel: DataFrame, split: str, target: str, vector: str = "true_sequence_vector", name: str = "S1_sequence_ridge") -> DataFrame:
-    """Ridge on scalar features plus the flattened, standardised event vectors."""
-    from pyspark.ml.functions import array_to_vector
-    d = panel.withColumn("_vec", array_to_vector(F.col(vector)))
-    out = []
-    for fold in fold_ids(d, split):
-        a, b = sides(d, split, fold)
-        sc = StandardScaler(inputCol="_vec", outputCol="_seq", withMean=True, withStd=True).fit(a)
-        fa, fb = featurise(sc.transform(a), sc.transform(b), NUMERIC, CATEGORICAL, ["_seq"])
-        out.append(tag(ridge(fa, target, 10.0).transform(fb), split, fold, name, vector, target, F.col("prediction")))
-    return reduce(DataFrame.unionByName, out)
+# ---- event sequences: ridges of all splits and folds from one pass of normal equations ----
+def _stretched(column, n: int) -> np.ndarray:
+    """Arrays of a batch as lines of equal length, zeros at the end."""
+    size = np.array(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    row = np.repeat(np.arange(n), size)
+    out = np.zeros((n, int(size.max()) if n else 0))
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _plus(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """Sum of two blocks; the one of shorter sequences has zeros in the other's further places."""
+    if a is None:
+        return b
+    big, small = (a, b) if len(a) >= len(b) else (b, a)
+    out = big.copy()
+    out[:len(small), :len(small)] += small
+    return out
+
+
+def _sequence_fit(block: np.ndarray, places: rg.Layout, alpha: float) -> np.ndarray:
+    """Ridge coefficients over (design vector, 0, sequence) from the sums of products of (design vector, target, sequence).
+
+    Numbers and sequence places are standardised by sample deviation, missing numbers count as the mean, flags stay; constant places are left out."""
+    p, w, n = len(places.numeric), places.width, block[0, 0]
+    turn = []
+    for here, at in [(1 + j, 1 + p + j) for j in range(p)] + [(0, j) for j in range(w + 1, len(block))]:
+        known, total, square = block[0, here], block[0, at], block[at, at]
+        spread = square - total * total / known if known else 0.0
+        if n > 1 and spread > 1e-12 * square:
+            column = np.zeros(len(block))
+            column[at], column[here] = 1.0, -total / known
+            turn.append(column / np.sqrt(spread / (n - 1)))
+    for j in range(1 + 2 * p, w):
+        turn.append(np.eye(1, len(block), j)[0])
+    turn = np.array(turn).reshape(-1, len(block)).T
+    mean, mean_y = turn.T @ block[0] / n, block[0, w] / n
+    gram = turn.T @ block @ turn - n * np.outer(mean, mean)
+    beta = np.linalg.solve(gram + alpha * np.eye(len(mean)), turn.T @ block[w] - n * mean * mean_y)
+    out = turn @ beta
+    out[0] += mean_y - mean @ beta
+    return out
+
+
+def sequence_ridges(panel: DataFrame, target: str, vectors: dict[str, str], numeric=NUMERIC, categorical=CATEGORICAL, alpha: float = 10.0, splits=SPLITS) -> DataFrame:
+    """Ridges on scalar features plus a standardised event vector, for every split, held-out fold and vector (vectors = {column: model name}).
+
+    A vector may end before its padding.  Rows are laid out by their folds, tasks add up the products of few fold combinations
+    each; the sums of a fold are joined in tasks, a train side is the sum of the other folds, and only coefficients reach the driver."""
+    names = list(vectors)
+    shift = rg.layout(panel, numeric, [])
+    categories = [(c, r["v"]) for c in categorical for r in panel.where(F.col(c).isNotNull()).select(S.group_label(F.col(c)).alias("v")).distinct().orderBy("v").collect()]
+    places = rg.Layout(shift.numeric, shift.shift, tuple(categories))
+    folds = [f"_{s}" for s in splits]
+    z = panel.select(*KEEP, places.column().alias("_z"), S.finite(F.col(target)).alias("_y"), *[F.col(s).cast("int").alias(f) for s, f in zip(splits, folds)], *names).where("_y is not null")
+    width, schema = places.width, "vector int, " + ", ".join(f"{f} int" for f in folds) + ", size int, block binary"
+
+    def opened(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                n = batch.num_rows
+                x = batch.column("_z").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                yield batch, x, batch.column("_y").to_numpy(zero_copy_only=False), [_stretched(batch.column(c), n) for c in names]
+
+    def sums(batches):
+        held: dict = {}
+
+        def out():
+            for (v, key), block in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), *[pa.array([k], pa.int32()) for k in key], pa.array([len(block)], pa.int32()), pa.array([block.tobytes()], pa.binary())],
+                                                 ["vector", *folds, "size", "block"])
+            held.clear()
+        for batch, x, y, lines in opened(batches):
+            keys = list(zip(*(batch.column(f).to_pylist() for f in folds)))
+            for key in dict.fromkeys(keys):
+                mine = np.array([k == key for k in keys])
+                for v, line in enumerate(lines):
+                    w = np.column_stack([x[mine], y[mine], line[mine]])
+                    held[v, key] = _plus(held.get((v, key)), w.T @ w)
+            if sum(b.nbytes for b in held.values()) > rg.HELD_BYTES:
+                yield from out()
+        yield from out()
+
+    def total(key, frame):
+        block = None
+        for size, b in zip(frame["size"], frame["block"]):
+            block = _plus(block, np.frombuffer(b, float).reshape(size, size))
+        return pd.DataFrame([{"vector": int(key[0]), "split_name": key[1], "fold": int(key[2]), "size": len(block), "block": block.tobytes()}])
+
+    def fit(key, frame):
+        blocks = {int(f): np.frombuffer(b, float).reshape(n, n) for f, n, b in zip(frame["fold"], frame["size"], frame["block"])}
+        found = []
+        for fold in sorted(blocks):
+            rest = reduce(_plus, (b for f, b in sorted(blocks.items()) if f != fold), None)
+            if rest is not None and (key[1] == "condition_fold" or fold != 0):
+                found.append((int(key[0]), key[1], fold, _sequence_fit(rest, places, alpha).tolist()))
+        return pd.DataFrame(found, columns=["vector", "split_name", "heldout_fold", "coef"])
+
+    parts = max(z.sparkSession.sparkContext.defaultParallelism, z.rdd.getNumPartitions())
+    laid = z.select("_z", "_y", *folds, *names, *KEEP).repartitionByRange(parts, *folds, "cell_id", "checkup_k")
+    table = cut(laid.select("_z", "_y", *folds, *names).mapInArrow(sums, schema))
+    table = stack_splits(table.select("vector", "size", "block", *[F.col(f).alias(s) for s, f in zip(splits, folds)]), splits).where("fold is not null")
+    per = table.groupBy("vector", "split_name", "fold").applyInPandas(total, "vector int, split_name string, fold int, size int, block binary")
+    models = per.groupBy("vector", "split_name").applyInPandas(fit, "vector int, split_name string, heldout_fold int, coef array<double>").collect()
+    shared = z.sparkSession.sparkContext.broadcast([(r["vector"], r["split_name"], r["heldout_fold"], np.array(r["coef"])) for r in sorted(models, key=lambda r: r[:3])])
+    kinds = dict(z.dtypes)
+    arm = ["split_name", "heldout_fold", "model_level", "feature_group", "target"]
+    schema_out = "split_name string, heldout_fold int, model_level string, feature_group string, target string, " + ", ".join(f"{c} {kinds[c]}" for c in KEEP) + ", y_true double, y_pred double"
+
+    def predicted(batches):
+        for batch, x, y, lines in opened(batches):
+            held = {s: np.array(batch.column(f).fill_null(-1).to_pylist()) for s, f in zip(splits, folds)}
+            for v, split, fold, coef in shared.value:
+                at = np.flatnonzero(held[split] == fold)
+                if not len(at):
+                    continue
+                line, own = lines[v][at], coef[width + 1:]
+                both = min(line.shape[1], len(own))
+                p = x[at] @ coef[:width] + line[:, :both] @ own[:both]
+                const = [pa.array([c] * len(at), k) for c, k in zip((split, fold, vectors[names[v]], names[v], target), (pa.string(), pa.int32(), *[pa.string()] * 3))]
+                yield pa.RecordBatch.from_arrays([*const, *[batch.column(c).take(pa.array(at)) for c in KEEP], pa.array(y[at]), pa.array(p)], [*arm, *KEEP, "y_true", "y_pred"])
+
+    return z.mapInArrow(predicted, schema_out).withColumn("run_scope", F.lit("primary"))
 
 
 def residualised(df: DataFrame, values, numeric, categorical) -> DataFrame:
