@@ -2,9 +2,9 @@
 
 Features are cut into bins once (quantiles of the table; missing values have a bin of their own).  One pass over
 the rows adds up, for all models at once, the gradient and weight of each (node, feature, bin) of the level
-that is being grown; the driver picks the best cut of every node from these sums, and the next pass
-sees the grown trees.  The number of passes is steps times depth, however many models there are, and what
-is sent to the driver is of fixed size for a model.
+that is being grown; tasks add up the parts of a model and pick the best cut of each node, the driver takes note of the
+cuts, and the next pass sees the grown trees.  The number of passes is steps times depth, however many models there are, and
+what is sent to the driver is a few numbers a node.
 """
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalar as S
@@ -25,7 +24,8 @@ from .splits import SPLITS, is_heldout, stack_splits
 
 STEPS, DEPTH, RATE, LEAST_ROWS = 50, 3, 0.1, 20
 BINS = 32
-FAN = 64
+#: Rows of a stored chunk, and of the pieces that are dealt to the partitions.
+CHUNK, SMALL = 16384, 512
 
 
 @dataclass
@@ -60,21 +60,25 @@ def binned(df: DataFrame, numeric, categorical, targets, keep=rg.KEEP, splits=SP
 
 
 def _route(bins: np.ndarray, feature: np.ndarray, at: np.ndarray, levels: int) -> np.ndarray:
-    """Node of each row after ``levels`` levels of a tree in heap order; a row goes right if its bin exceeds the cut."""
-    node = np.zeros(len(bins), np.int64)
-    rows = np.arange(len(bins))
-    for _ in range(levels):
-        f = feature[node]
-        right = (f >= 0) & (bins[rows, np.maximum(f, 0)] > at[node])
-        node = 2 * node + 1 + right
+    """Place of each row among the nodes after ``levels`` levels of a tree in heap order; a row goes right if its bin exceeds the cut.
+
+    ``bins`` has a line for each feature, so that a cut is one comparison along a line."""
+    node = np.zeros(bins.shape[1], np.uint8)
+    for level in range(levels):
+        right = np.zeros(len(node), bool)
+        for k in range(2 ** level):
+            n = 2 ** level - 1 + k
+            if feature[n] >= 0:
+                over = bins[feature[n]] > at[n]
+                right |= over if level == 0 else over & (node == k)
+        node = 2 * node + right
     return node
 
 
 def _score(bins: np.ndarray, base: float, trees: list) -> np.ndarray:
-    out = np.full(len(bins), base)
-    inner = 2 ** DEPTH - 1
+    out = np.full(bins.shape[1], base)
     for feature, at, value in trees:
-        out += value[_route(bins, feature, at, DEPTH) - inner]
+        out += value.take(_route(bins, feature, at, DEPTH))
     return out
 
 
@@ -87,12 +91,71 @@ def _gradients(loss: str, score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
 
 def _opened(batch, splits):
     n = batch.num_rows
-    bins = batch.column("_b").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.int64)
+    bins = np.ascontiguousarray(batch.column("_b").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.uint8).T)
     y = batch.column("_y").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
     fold = {s: np.array([np.nan if v is None else v for v in batch.column(f"_{s}").to_pylist()], float) for s in splits}
     return bins, y, fold, np.array(batch.column("_unit").to_pylist(), object)
 
 
+@dataclass
+class Chunk:
+    """Rows of a pass: a line of bins for each feature, of ``y`` for each target, of folds for each split; ``code`` numbers ``units``."""
+    bins: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray
+    code: np.ndarray
+    units: list
+
+
+def packed(rows: DataFrame, splits=SPLITS) -> DataFrame:
+    """The rows as stored chunks of up to CHUNK rows, one partition a core or more: a pass reads bytes, nothing is decoded row by row."""
+    schema = "bins binary, y binary, fold binary, code binary, units array<string>"
+
+    def records(chunks):
+        for c in chunks:
+            yield pa.RecordBatch.from_arrays([*[pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in (c.bins, c.y, c.fold, c.code)], pa.array([c.units], pa.list_(pa.string()))],
+                                             ["bins", "y", "fold", "code", "units"])
+
+    def pack(batches):
+        def small():
+            for batch in batches:
+                for at in range(0, batch.num_rows, SMALL):
+                    bins, y, fold, unit = _opened(batch.slice(at, SMALL), splits)
+                    code, units = pd.factorize(unit, use_na_sentinel=False)
+                    yield Chunk(bins, y.T, np.array([fold[s] for s in splits]), code.astype(np.int32), list(units))
+        yield from records(small())
+
+    def merge(batches):
+        def large():
+            held, n = [], 0
+            for c in _chunks(batches, len(splits)):
+                if held and n + len(c.code) > CHUNK:
+                    yield joined(held)
+                    held, n = [], 0
+                held.append(c)
+                n += len(c.code)
+            if held:
+                yield joined(held)
+
+        def joined(held):
+            before = np.cumsum([0] + [len(c.units) for c in held])
+            return Chunk(*[np.concatenate([getattr(c, k) for c in held], axis=1) for k in ("bins", "y", "fold")],
+                         np.concatenate([c.code + b for c, b in zip(held, before)]).astype(np.int32), [u for c in held for u in c.units])
+        yield from records(large())
+
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    small = rows.select("_b", "_y", "_unit", *[f"_{s}" for s in splits]).mapInArrow(pack, schema)
+    return cut(small.repartition(cores).mapInArrow(merge, schema))
+
+
+def _chunks(batches, splits: int):
+    for batch in batches:
+        for r in range(batch.num_rows):
+            code = np.frombuffer(batch.column("code")[r].as_buffer(), np.int32)
+            y, fold = (np.frombuffer(batch.column(k)[r].as_buffer(), float).reshape(-1, len(code)) for k in ("y", "fold"))
+            yield Chunk(np.frombuffer(batch.column("bins")[r].as_buffer(), np.uint8).reshape(-1, len(code)), y, fold, code, batch.column("units")[r].as_py())
+
+
 def _train(m: Model, y, fold, unit):
     f = fold[m.split]
     at = np.flatnonzero((f != m.fold) & ~np.isnan(f) & ~np.isnan(y[:, m.target]))
@@ -102,31 +165,50 @@ def _train(m: Model, y, fold, unit):
     return at[w > 0], w[w > 0]
 
 
-def _sums(rows: DataFrame, function) -> dict[int, np.ndarray]:
-    """Totals of ``function(batch)`` = {model: array} over all rows; partial totals of many partitions are added up in tasks first."""
-    schema = "model int, part int, total array<double>"
+def _sides(chunk: Chunk, models: dict[int, Model], splits):
+    """(model number, bins, y, weights) of the train rows of each model that has any; models of one side share their rows."""
+    sides: dict = {}
+    for i, m in models.items():
+        sides.setdefault((m.split, m.fold, m.target), []).append(i)
+    for (split, fold, target), members in sides.items():
+        f, y = chunk.fold[list(splits).index(split)], chunk.y[target]
+        at = np.flatnonzero((f != fold) & ~np.isnan(f) & ~np.isnan(y))
+        if not len(at):
+            continue
+        bins, y = chunk.bins.take(at, axis=1), y[at]
+        for i in members:
+            if models[i].weights is None:
+                yield i, bins, y, None
+                continue
+            w = np.array([models[i].weights.get(u, 0.0) for u in chunk.units])[chunk.code[at]]
+            used = np.flatnonzero(w > 0)
+            if len(used) == len(at):
+                yield i, bins, y, w
+            elif len(used):
+                yield i, bins.take(used, axis=1), y[used], w[used]
 
+
+def _totals(chunks: DataFrame, function, finish, splits=SPLITS) -> dict[int, np.ndarray]:
+    """``finish`` of the total of ``function(chunk)`` = {model: array} over all chunks; totals are added up and finished in tasks."""
     def run(batches):
-        held, part = {}, TaskContext.get().partitionId()
+        held: dict = {}
+        for chunk in _chunks(batches, len(splits)):
+            for i, total in function(chunk):
+                held[i] = held.get(i, 0) + total
+        for i, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["model", "total"])
+
+    def add(batches):
+        held: dict = {}
         for batch in batches:
-            if batch.num_rows:
-                for i, total in function(batch).items():
-                    held[i] = held.get(i, 0) + total
+            for i, total in zip(batch.column("model").to_pylist(), batch.column("total")):
+                held[i] = held.get(i, 0) + np.frombuffer(total.as_buffer(), float)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([part] * len(held), pa.int32()),
-                                              pa.array([t.tolist() for t in held.values()], pa.list_(pa.float64()))], ["model", "part", "total"])
-
-    def add(key, frame):
-        return pd.DataFrame([{"model": int(frame["model"].iloc[0]), "part": int(key[-1]), "total": np.sum([np.asarray(t, float) for t in frame["total"]], axis=0).tolist()}])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.asarray(finish(t), float).tolist() for t in held.values()], pa.list_(pa.float64()))], ["model", "found"])
 
-    out = rows.mapInArrow(run, schema)
-    if rows.rdd.getNumPartitions() > FAN:
-        out = out.groupBy("model", F.floor(F.col("part") / FAN).cast("int").alias("to")).applyInPandas(add, schema)
-        out = out.groupBy("model", F.lit(0).alias("to")).applyInPandas(add, schema)
-    total: dict[int, np.ndarray] = {}
-    for r in out.collect():
-        total[r["model"]] = total.get(r["model"], 0) + np.array(r["total"])
-    return total
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    out = chunks.mapInArrow(run, "model int, total binary").repartition(cores, "model").mapInArrow(add, "model int, found array<double>")
+    return {r["model"]: np.array(r["found"]) for r in out.collect()}
 
 
 def _best(hist: np.ndarray, least: float):
@@ -142,62 +224,72 @@ def _best(hist: np.ndarray, least: float):
     return (int(f), int(b), left[:, f, b], right[:, f, b]) if gain[f, b] > 1e-12 else None
 
 
+def _histograms(bins: np.ndarray, node: np.ndarray | None, nodes: int, values) -> np.ndarray:
+    """Sums of each of ``values`` (None: 1 a row) by (node, feature, bin)."""
+    width = BINS + 1
+    out = np.empty((len(values), nodes, len(bins), width))
+    for f, line in enumerate(bins):
+        index = line.astype(np.intp) if node is None else node + line
+        for k, v in enumerate(values):
+            out[k, :, f] = np.bincount(index, weights=v, minlength=nodes * width).reshape(nodes, width)
+    return out
+
+
 def grow(rows: DataFrame, features: int, models: list[Model], loss: str = "square", steps: int = STEPS, splits=SPLITS) -> list[Model]:
     """Grow ``steps`` trees of DEPTH levels for each model."""
-    spark = rows.sparkSession
+    if not models:
+        return models
+    spark, chunks = rows.sparkSession, packed(rows, splits)
+    every = dict(enumerate(models))
 
-    def means(batch):
-        _, y, fold, unit = _opened(batch, splits)
-        out = {}
-        for i, m in enumerate(models):
-            at, w = _train(m, y, fold, unit)
-            if len(at):
-                out[i] = np.array([w @ y[at, m.target], w.sum()])
-        return out
+    def means(chunk):
+        for i, _, y, w in _sides(chunk, every, splits):
+            yield i, np.array([y.sum(), len(y)] if w is None else [w @ y, w.sum()], float)
 
     open_ = []
-    for i, t in _sums(rows, means).items():
+    for i, t in sorted(_totals(chunks, means, lambda t: t, splits).items()):
         mean = t[0] / t[1]
         models[i].base = mean if loss == "square" else (np.log(mean / (1 - mean)) if 0 < mean < 1 else (-40.0 if mean <= 0 else 40.0))
         if loss == "square" or 0 < mean < 1:
             open_.append(i)
-    width, inner = BINS + 1, 2 ** DEPTH - 1
-    for _ in range(steps):
+    width, inner, least = BINS + 1, 2 ** DEPTH - 1, LEAST_ROWS
+    for _ in range(steps if open_ else 0):
         growing = {i: (np.full(inner, -1), np.zeros(inner, np.int64), np.zeros(inner + 1)) for i in open_}
         for level in range(DEPTH):
             shared = spark.sparkContext.broadcast({i: (models[i], growing[i]) for i in open_})
             nodes, first = 2 ** level, 2 ** level - 1
 
-            def histograms(batch):
-                bins, y, fold, unit = _opened(batch, splits)
-                out = {}
-                for i, (m, (feature, at_bin, _)) in shared.value.items():
-                    at, w = _train(m, y, fold, unit)
-                    if not len(at):
-                        continue
-                    b = bins[at]
-                    g, h = _gradients(loss, _score(b, m.base, m.trees), y[at, m.target])
-                    node = _route(b, feature, at_bin, level) - first
-                    index = ((node[:, None] * features + np.arange(features)) * width + b).ravel()
-                    size = nodes * features * width
-                    out[i] = np.concatenate([np.bincount(index, weights=np.repeat(v, features), minlength=size) for v in (w * g, w * h, np.ones(len(at)))])
-                return out
-
-            for i, total in _sums(rows, histograms).items():
-                feature, at_bin, value = growing[i]
-                hist = total.reshape(3, nodes, features, width)
+            def histograms(chunk):
+                held = shared.value
+                for i, b, y, w in _sides(chunk, {i: m for i, (m, _) in held.items()}, splits):
+                    m, (feature, at_bin, _) = held[i]
+                    g, h = _gradients(loss, _score(b, m.base, m.trees), y)
+                    node = _route(b, feature, at_bin, level).astype(np.intp) * width if level else None
+                    if w is not None:
+                        g, h = w * g, w * h
+                    sums = _histograms(b, node, nodes, (g, None) if loss == "square" and w is None else (g, h, None))
+                    yield i, sums[[0, 1, 1]] if len(sums) == 2 else sums
+
+            def cuts(total):
+                """For each node: feature (-1: no cut, -2: no rows), cut, sums of either side."""
+                hist, out = total.reshape(3, nodes, features, width), np.zeros((nodes, 8))
                 for n in range(nodes):
                     if not hist[2, n].any():
+                        out[n, 0] = -2
                         continue
-                    found = _best(hist[:, n], LEAST_ROWS)
-                    if found:
-                        feature[first + n], at_bin[first + n] = found[:2]
-                        sides = found[2:]
-                    else:
-                        sides = (hist[:, n, 0].sum(axis=1), np.zeros(3))
-                    if level == DEPTH - 1:
-                        for k, s in enumerate(sides):
+                    found = _best(hist[:, n], least)
+                    out[n] = [*found[:2], *found[2], *found[3]] if found else [-1, 0, *hist[:, n, 0].sum(axis=1), 0, 0, 0]
+                return out.ravel()
+
+            for i, found in _totals(chunks, histograms, cuts, splits).items():
+                feature, at_bin, value = growing[i]
+                for n, (f, at, *sums) in enumerate(found.reshape(nodes, 8)):
+                    if f >= 0:
+                        feature[first + n], at_bin[first + n] = int(f), int(at)
+                    if f > -2 and level == DEPTH - 1:
+                        for k, s in enumerate((sums[:3], sums[3:])):
                             value[2 * n + k] = -RATE * s[0] / s[1] if s[1] > 0 else 0.0
+            shared.destroy()
         for i in open_:
             models[i].trees.append(growing[i])
     return models
@@ -246,7 +338,7 @@ def predictions(rows: DataFrame, models: list[Model], targets, level, group: str
                 at = _train(m, y, fold, unit)[0] if train else np.flatnonzero((fold[m.split] == m.fold) & ~np.isnan(y[:, m.target]))
                 if not len(at):
                     continue
-                p = _score(bins[at], m.base, m.trees)
+                p = _score(bins.take(at, axis=1), m.base, m.trees)
                 if loss == "log":
                     p = 1 / (1 + np.exp(-p))
                 n = len(at)
