@@ -98,7 +98,7 @@ def build_products(store: Store, lim: dwell.DwellLimits = dwell.DwellLimits(), e
     points = cut(tr.capacity_points(table))
     store.write(tr.horizon_table(points), "horizon", ("cell_id", "checkup_k"))
     store.write(tr.trajectory_features(store.read("horizon"), points), "trajectory_features", ("cell_id", "checkup_k"))
-    store.write(kn.knee_candidates(points, cut), "knee_candidates")
+    store.write(kn.knee_candidates(points), "knee_candidates")
     store.write(kn.threshold_labels(table, points), "threshold_labels", ("cell_id", "checkup_k"))
     store.write(kn.warning_table(store.read("threshold_labels"), table, points), "warning", ("cell_id", "checkup_k"))
     store.write(co.contrast_registry(table), "contrasts", ("contrast_id",))
