@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.lineage import cut
 from ..operators import diagnostics as dg, knee as kn, metrics as me, rules as ru
 from ..operators.splits import SPLITS, stack_splits, test_rows
 from .base import Q, table
@@ -161,7 +162,7 @@ _dk = ["diagnostic_family", "target_name", "horizon_checkups"]
 def _dpred(v):
     d = test_rows(v.diagnostic.filter("diagnostic_value_k IS NOT NULL"))
     m = ru.train_means(v.diagnostic.filter("diagnostic_value_k IS NOT NULL"), {"mean_value": F.col("diagnostic_value_kh")}, ["diagnostic_family", "target_name", "horizon_checkups"])
-    d = d.join(m, ["split_name", "heldout_fold", *_dk])
+    d = d.join(F.broadcast(m), ["split_name", "heldout_fold", *_dk])
     arms = F.array(*[F.struct(F.lit(a).alias("model_level"), p.alias("y_pred")) for a, p in (("DM0_persistence", F.col("diagnostic_value_k")), ("DM1_mean", F.col("mean_value")), ("DM3_blend", (F.col("mean_value") + F.col("diagnostic_value_k")) / 2))])
     return d.withColumn("_a", F.explode(arms)).select("*", "_a.model_level", "_a.y_pred").withColumns({"y_true": F.col("diagnostic_value_kh"), "feature_group": F.lit("DH0")}).drop("_a")
 
@@ -174,7 +175,7 @@ SELECT d.*, d.fold AS heldout_fold, m.mv FROM dhs d JOIN m USING (split_name, fo
 table("dp", " UNION ALL ".join(f"SELECT *, '{a}' AS model_level, 'DH0' AS feature_group, {p} - diagnostic_value_kh AS e FROM dpt" for a, p in (("DM0_persistence", "diagnostic_value_k"), ("DM1_mean", "mv"), ("DM3_blend", "(mv + diagnostic_value_k) / 2"))))
 _DK = "split_name, heldout_fold, model_level, feature_group, diagnostic_family, target_name, horizon_checkups"
 table("dmet", f"SELECT * FROM (SELECT {_DK}, count(*) AS test_rows, avg(abs(e)) AS mae FROM dp GROUP BY ALL) JOIN (SELECT {_DK}, avg(c) AS condition_mean_mae FROM (SELECT {_DK}, parameter_set, avg(abs(e)) AS c FROM dp GROUP BY ALL) GROUP BY ALL) USING ({_DK})")
-_dm = lambda v: me.regression_metrics(_dpred(v), ["split_name", "heldout_fold", "model_level", "feature_group", *_dk])
+_dm = lambda v: me.regression_metrics(_dpred(v), ["split_name", "heldout_fold", "model_level", "feature_group", *_dk], cut)
 Q("B41_diagnostic_metrics", _dm, "split_name heldout_fold:i model_level diagnostic_family target_name horizon_checkups:i test_rows:i mae:r condition_mean_mae:r", "SELECT * FROM dmet")
 _gains("A119_diagnostic_gains", "@model_level = 'DM3_blend'", "@model_level <> 'DM3_blend'", [*_dk, "split_name", "heldout_fold"], "dmet", frame=_dm)
 Q("A121_diagnostic_hotspots", lambda v: me.error_summary(_dpred(v), ["split_name", "model_level", "target_name", "parameter_set"]), f"split_name model_level target_name parameter_set:i {ES}", f"SELECT split_name, model_level, target_name, parameter_set, {_es} FROM dp GROUP BY ALL")
