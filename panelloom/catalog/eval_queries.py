@@ -307,7 +307,9 @@ def _panel(v):
     e = v.eis_targets.filter("eis_z_abs_1kHz_k IS NOT NULL").select("cell_id", "checkup_k", "eis_z_abs_1kHz_k")
     s = v.stress.select("cell_id", "checkup_k", "charge_time_h", "stress_coverage_fraction")
     d = v.intervals.join(s, ["cell_id", "checkup_k"]).join(p, ["cell_id", "checkup_k"]).join(e, ["cell_id", "checkup_k"])
-    return d.join(d.groupBy("parameter_set").agg(F.count(F.lit(1)).alias("condition_rows")), "parameter_set")
+    d = cut(d.select("parameter_set", "cell_id", "checkup_k", "charge_time_h", "pulse_1s_resistance_k", "eis_z_abs_1kHz_k", "capacity_Ah_k"))
+    # one row per condition of the design
+    return d.join(F.broadcast(d.groupBy("parameter_set").agg(F.count(F.lit(1)).alias("condition_rows"))), "parameter_set")
 
 
 _pansql = "SELECT *, count(*) OVER (PARTITION BY parameter_set) AS condition_rows FROM (SELECT s.*, p.pulse_1s_resistance_k, e.eis_z_abs_1kHz_k FROM stress s JOIN ptgt p USING (cell_id, checkup_k) JOIN eist e USING (cell_id, checkup_k) WHERE p.pulse_1s_resistance_k IS NOT NULL AND e.eis_z_abs_1kHz_k IS NOT NULL)"
