@@ -93,7 +93,8 @@ def build_products(store: Store, lim: dwell.DwellLimits = dwell.DwellLimits(), e
     store.write(iv.subset_registry(table), "subset_registry", ("cell_id", "checkup_k"))
     within = iv.range_join(log, spine, cols=["parameter_set", "replicate_id"])
     store.write(dwell.stress_table(table, within, lim, cut), "stress", ("cell_id", "checkup_k"))
-    store.write(ev.run_events(within, events, cut), "run_events", ("cell_id", "checkup_k", "event_index"))
+    bucketed = iv.range_join(log, spine, cols=["parameter_set", "replicate_id"], width=events.chunk_s, bucket="_chunk")
+    store.write(ev.run_events(bucketed, events, chunk="_chunk"), "run_events", ("cell_id", "checkup_k", "event_index"))
     store.write(ev.sequence_features(store.read("run_events"), table, cut=cut), "sequence_features", ("cell_id", "checkup_k"))
     points = cut(tr.capacity_points(table))
     store.write(tr.horizon_table(points), "horizon", ("cell_id", "checkup_k"))
