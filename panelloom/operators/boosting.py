@@ -3,12 +3,14 @@
 Features are cut into bins once (quantiles of the table; missing values have a bin of their own).  One pass over
 the rows adds up, for all models at once, the gradient and weight of each (node, feature, bin) of the level
 that is being grown; tasks add up the parts of a model and pick the best cut of each node, the driver takes note of the
-cuts, and the next pass sees the grown trees.  The number of passes is steps times depth, however many models there are, and
+cuts, and the next pass sees the grown trees.  Rows are scored on lines of bits, and features are counted in groups by joint
+bins, so that a pass costs a model a few operations a tree and a group.  The number of passes is steps times depth, however many models there are, and
 what is sent to the driver is a few numbers a node.
 """
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +26,10 @@ from .splits import SPLITS, is_heldout, stack_splits
 
 STEPS, DEPTH, RATE, LEAST_ROWS = 50, 3, 0.1, 20
 BINS = 32
-#: Rows of a stored chunk, and of the pieces that are dealt to the partitions.
-CHUNK, SMALL = 16384, 512
+#: Rows of a stored chunk, of the blocks it is worked on in, and of the pieces that are dealt to the partitions.
+CHUNK, BLOCK, SMALL = 262144, 65536, 512
+#: Trees whose leaves are looked up at once (an even number), the key of a cut that no bin exceeds, joint bins of a group of features.
+TOGETHER, NO_CUT, JOINT_BINS = 4, 255, 2048
 
 
 @dataclass
@@ -59,32 +63,85 @@ def binned(df: DataFrame, numeric, categorical, targets, keep=rg.KEEP, splits=SP
     return cut(out), len(columns)
 
 
+def _turns(over, levels: int) -> list[np.ndarray]:
+    """For each level of a tree in heap order, which rows go right; ``over(n)`` tells which rows exceed the cut of node ``n``."""
+    turns: list[np.ndarray] = []
+    for level in range(levels):
+        found = [over(2 ** level - 1 + k) for k in range(2 ** level)]
+        for t in reversed(turns):
+            found = [a ^ (t & (a ^ b)) for a, b in zip(found[::2], found[1::2])]
+        turns.append(found[0])
+    return turns
+
+
 def _route(bins: np.ndarray, feature: np.ndarray, at: np.ndarray, levels: int) -> np.ndarray:
-    """Place of each row among the nodes after ``levels`` levels of a tree in heap order; a row goes right if its bin exceeds the cut.
+    """Place of each row among the nodes after ``levels`` levels of one tree; a row goes right if its bin exceeds the cut.
 
     ``bins`` has a line for each feature, so that a cut is one comparison along a line."""
     node = np.zeros(bins.shape[1], np.uint8)
-    for level in range(levels):
-        right = np.zeros(len(node), bool)
-        for k in range(2 ** level):
-            n = 2 ** level - 1 + k
-            if feature[n] >= 0:
-                over = bins[feature[n]] > at[n]
-                right |= over if level == 0 else over & (node == k)
+    for right in _turns(lambda n: bins[feature[n]] > at[n] if feature[n] >= 0 else np.zeros(bins.shape[1], bool), levels):
         node = 2 * node + right
     return node
 
 
-def _score(bins: np.ndarray, base: float, trees: list) -> np.ndarray:
-    out = np.full(bins.shape[1], base)
-    for feature, at, value in trees:
-        out += value.take(_route(bins, feature, at, DEPTH))
-    return out
-
-
-def _gradients(loss: str, score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Forest:
+    """Scores of grown trees: (models, trees, nodes) features (-1: no cut) and cuts, (models, trees, leaves) values, a base for each model.
+
+    The rows that exceed a cut are a line of bits, made once for all trees with that cut, so that a tree's turns are a few
+    operations on words of 64 rows.  The leaves of TOGETHER trees make one code, whose sum of values is looked up at once."""
+
+    def __init__(self, feature, at, value, base):
+        spare = -value.shape[1] % TOGETHER
+        key = np.where(feature < 0, NO_CUT, feature * 256 + at)
+        self.cuts, place = np.unique(np.pad(key, ((0, 0), (0, spare), (0, 0)), constant_values=NO_CUT), return_inverse=True)
+        self.place = place.reshape(len(key), -1, key.shape[2])
+        self.value, self.base = np.pad(value, ((0, 0), (0, spare), (0, 0))), base
+
+    def planes(self, bins: np.ndarray) -> np.ndarray:
+        """A line of words for each cut."""
+        n = bins.shape[1]
+        out = np.zeros((len(self.cuts), -(-n // 64) * 8), np.uint8)
+        of, at = np.divmod(self.cuts, 256)
+        for f in np.unique(of):
+            which = np.flatnonzero(of == f)
+            out[which, :-(-n // 8)] = np.packbits(bins[f] > at[which, None].astype(np.uint8), axis=1)
+        return out.view(np.uint64)
+
+    def score(self, i: int, planes: np.ndarray, n: int) -> np.ndarray:
+        out, half = np.full(planes.shape[1] * 64, float(self.base[i])), TOGETHER // 2 * DEPTH
+        found = np.empty_like(out)
+        turns = np.stack(_turns(lambda k: planes.take(self.place[i, :, k], axis=0), DEPTH), axis=1)
+        for j in range(0, len(turns), TOGETHER):
+            bits = np.unpackbits(turns[j:j + TOGETHER].reshape(2 * half, -1).view(np.uint8), axis=1).view(np.uint64).reshape(2, half, -1)
+            code = bits[:, 0]
+            for x in range(1, half):
+                code <<= np.uint64(1)
+                code |= bits[:, x]
+            first, second = code.view(np.uint8)
+            index = first.astype(np.uint16)
+            index <<= half
+            index |= second
+            sums = self.value[i, j]
+            for v in self.value[i, j + 1:j + TOGETHER]:
+                sums = (sums[:, None] + v).ravel()
+            out += sums.take(index, mode="clip", out=found)
+        return out[:n]
+
+
+def forest(models: list[Model]) -> Forest:
+    """The trees of finished models."""
+    trees, inner = max((len(m.trees) for m in models), default=0), 2 ** DEPTH - 1
+    feature, at, value = (np.full((len(models), trees, k), v, t) for k, v, t in ((inner, -1, np.int64), (inner, 0, np.int64), (inner + 1, 0.0, float)))
+    for i, m in enumerate(models):
+        for t, tree in enumerate(m.trees):
+            feature[i, t], at[i, t], value[i, t] = tree
+    return Forest(feature, at, value, np.array([m.base for m in models]))
+
+
+def _gradients(loss: str, score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Gradient and curvature; None: 1 a row."""
     if loss == "square":
-        return score - y, np.ones(len(y))
+        return score - y, None
     p = 1 / (1 + np.exp(-score))
     return p - y, np.maximum(p * (1 - p), 1e-12)
 
@@ -93,7 +150,7 @@ def _opened(batch, splits):
     n = batch.num_rows
     bins = np.ascontiguousarray(batch.column("_b").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.uint8).T)
     y = batch.column("_y").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
-    fold = {s: np.array([np.nan if v is None else v for v in batch.column(f"_{s}").to_pylist()], float) for s in splits}
+    fold = {s: batch.column(f"_{s}").cast(pa.float64()).to_numpy(zero_copy_only=False) for s in splits}
     return bins, y, fold, np.array(batch.column("_unit").to_pylist(), object)
 
 
@@ -138,9 +195,9 @@ def packed(rows: DataFrame, splits=SPLITS) -> DataFrame:
                 yield joined(held)
 
         def joined(held):
-            before = np.cumsum([0] + [len(c.units) for c in held])
+            place = {u: k for k, u in enumerate(dict.fromkeys(u for c in held for u in c.units))}
             return Chunk(*[np.concatenate([getattr(c, k) for c in held], axis=1) for k in ("bins", "y", "fold")],
-                         np.concatenate([c.code + b for c, b in zip(held, before)]).astype(np.int32), [u for c in held for u in c.units])
+                         np.concatenate([np.array([place[u] for u in c.units], np.int32).take(c.code) for c in held]), list(place))
         yield from records(large())
 
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -156,36 +213,39 @@ def _chunks(batches, splits: int):
             yield Chunk(np.frombuffer(batch.column("bins")[r].as_buffer(), np.uint8).reshape(-1, len(code)), y, fold, code, batch.column("units")[r].as_py())
 
 
-def _train(m: Model, y, fold, unit):
-    f = fold[m.split]
-    at = np.flatnonzero((f != m.fold) & ~np.isnan(f) & ~np.isnan(y[:, m.target]))
-    if m.weights is None:
-        return at, np.ones(len(at))
-    w = np.array([m.weights.get(u, 0.0) for u in unit[at]])
-    return at[w > 0], w[w > 0]
-
-
-def _sides(chunk: Chunk, models: dict[int, Model], splits):
-    """(model number, bins, y, weights) of the train rows of each model that has any; models of one side share their rows."""
-    sides: dict = {}
+def _parts(chunk: Chunk, models: dict[int, Model], splits):
+    """(rows, sides) for the targets known on the same rows: a side is the places of its train rows and the numbers of its models."""
+    known: dict = {}
     for i, m in models.items():
-        sides.setdefault((m.split, m.fold, m.target), []).append(i)
-    for (split, fold, target), members in sides.items():
-        f, y = chunk.fold[list(splits).index(split)], chunk.y[target]
-        at = np.flatnonzero((f != fold) & ~np.isnan(f) & ~np.isnan(y))
-        if not len(at):
-            continue
-        bins, y = chunk.bins.take(at, axis=1), y[at]
+        known.setdefault(m.target, []).append(i)
+    parts: dict = {}
+    for target, members in known.items():
+        here = ~np.isnan(chunk.y[target])
+        parts.setdefault(here.tobytes(), (here, []))[1].extend(members)
+    for here, members in parts.values():
+        rows = np.flatnonzero(here)
+        sides: dict = {}
         for i in members:
-            if models[i].weights is None:
-                yield i, bins, y, None
-                continue
-            w = np.array([models[i].weights.get(u, 0.0) for u in chunk.units])[chunk.code[at]]
-            used = np.flatnonzero(w > 0)
-            if len(used) == len(at):
-                yield i, bins, y, w
-            elif len(used):
-                yield i, bins.take(used, axis=1), y[used], w[used]
+            sides.setdefault((models[i].split, models[i].fold), []).append(i)
+        for first in range(0, len(rows), BLOCK):
+            at = rows[first:first + BLOCK]
+            part = chunk if len(at) == len(here) else Chunk(*[getattr(chunk, k).take(at, axis=1, mode="clip") for k in ("bins", "y", "fold")], chunk.code.take(at), chunk.units)
+            train = [(_outside(part.fold[list(splits).index(split)], fold), own) for (split, fold), own in sides.items()]
+            yield part, [(at, own) for at, own in train if len(at)]
+
+
+def _outside(folds: np.ndarray, fold: int) -> np.ndarray:
+    return np.flatnonzero((folds != fold) & ~np.isnan(folds))
+
+
+def _weighed(m: Model, part: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The rows at ``at`` that have a weight in the model, and the weights; None if all are 1."""
+    if m.weights is None:
+        return at, None
+    w = np.array([m.weights.get(u, 0.0) for u in part.units]).take(part.code.take(at, mode="clip"), mode="clip")
+    if not (w > 0).all():
+        at, w = at[w > 0], w[w > 0]
+    return at, None if (w == 1).all() else w
 
 
 def _totals(chunks: DataFrame, function, finish, splits=SPLITS) -> dict[int, np.ndarray]:
@@ -224,27 +284,66 @@ def _best(hist: np.ndarray, least: float):
     return (int(f), int(b), left[:, f, b], right[:, f, b]) if gain[f, b] > 1e-12 else None
 
 
-def _histograms(bins: np.ndarray, node: np.ndarray | None, nodes: int, values) -> np.ndarray:
-    """Sums of each of ``values`` (None: 1 a row) by (node, feature, bin)."""
-    width = BINS + 1
-    out = np.empty((len(values), nodes, len(bins), width))
-    for f, line in enumerate(bins):
-        index = line.astype(np.intp) if node is None else node + line
-        for k, v in enumerate(values):
-            out[k, :, f] = np.bincount(index, weights=v, minlength=nodes * width).reshape(nodes, width)
-    return out
+def _joint(bins: np.ndarray) -> tuple[list, np.ndarray]:
+    """Features put together as long as their joint bins stay few: [(features, bins of each)] and a line of joint bins for each group."""
+    size = bins.max(axis=1).astype(int) + 1
+    groups: list[list[int]] = []
+    for f in np.argsort(-size, kind="stable"):
+        g = min(groups, key=lambda g: math.prod(size[g]), default=None)
+        if g is not None and math.prod(size[g]) * size[f] <= JOINT_BINS:
+            g.append(int(f))
+        else:
+            groups.append([int(f)])
+    lines = np.zeros((len(groups), bins.shape[1]), np.intp)
+    for g, line in zip(groups, lines):
+        for f in g:
+            line *= size[f]
+            line += bins[f]
+    return [(g, [int(size[f]) for f in g]) for g in groups], lines
+
+
+def _spread(table: np.ndarray, sizes: list[int]):
+    """Sums by the bins of each feature of a group from the sums by their joint bins (the last axis)."""
+    if len(sizes) == 1:
+        yield table
+        return
+    half = len(sizes) // 2
+    both = table.reshape(len(table), math.prod(sizes[:half]), -1)
+    yield from _spread(np.add.reduce(both, axis=2), sizes[:half])
+    yield from _spread(np.add.reduce(both, axis=1), sizes[half:])
+
+
+def _histograms(groups, lines: np.ndarray, node: np.ndarray | None, nodes: int, values, features: int) -> np.ndarray:
+    """Sums of each of ``values`` (None: 1 a row) by (node, feature, bin); ``lines`` are joint bins."""
+    out = np.zeros((len(values) * nodes, features, BINS + 1))
+    place, first = np.empty(lines.shape[1], np.intp), {}
+    for (members, sizes), line in zip(groups, lines):
+        n = math.prod(sizes)
+        if node is not None:
+            if n not in first:
+                first[n] = node * n
+            line = np.add(line, first[n], out=place)
+        table = np.array([np.bincount(line, weights=v, minlength=n * nodes) for v in values], float).reshape(len(out), n)
+        for f, k, found in zip(members, sizes, _spread(table, sizes)):
+            out[:, f, :k] = found
+    return out.reshape(len(values), nodes, features, -1)
 
 
 def grow(rows: DataFrame, features: int, models: list[Model], loss: str = "square", steps: int = STEPS, splits=SPLITS) -> list[Model]:
     """Grow ``steps`` trees of DEPTH levels for each model."""
     if not models:
         return models
-    spark, chunks = rows.sparkSession, packed(rows, splits)
-    every = dict(enumerate(models))
+    chunks, send = packed(rows, splits), rows.sparkSession.sparkContext.broadcast
+    every = send(dict(enumerate(models)))
 
     def means(chunk):
-        for i, _, y, w in _sides(chunk, every, splits):
-            yield i, np.array([y.sum(), len(y)] if w is None else [w @ y, w.sum()], float)
+        for part, sides in _parts(chunk, every.value, splits):
+            for side, members in sides:
+                for i in members:
+                    at, w = _weighed(every.value[i], part, side)
+                    y = part.y[every.value[i].target][at]
+                    if len(y):
+                        yield i, np.array([y.sum(), len(y)] if w is None else [w @ y, w.sum()], float)
 
     open_ = []
     for i, t in sorted(_totals(chunks, means, lambda t: t, splits).items()):
@@ -252,27 +351,39 @@ def grow(rows: DataFrame, features: int, models: list[Model], loss: str = "squar
         models[i].base = mean if loss == "square" else (np.log(mean / (1 - mean)) if 0 < mean < 1 else (-40.0 if mean <= 0 else 40.0))
         if loss == "square" or 0 < mean < 1:
             open_.append(i)
-    width, inner, least = BINS + 1, 2 ** DEPTH - 1, LEAST_ROWS
-    for _ in range(steps if open_ else 0):
-        growing = {i: (np.full(inner, -1), np.zeros(inner, np.int64), np.zeros(inner + 1)) for i in open_}
+    width, inner, least, place = BINS + 1, 2 ** DEPTH - 1, LEAST_ROWS, {i: k for k, i in enumerate(open_)}
+    base = np.array([models[i].base for i in open_])
+    feature, at_bin = np.full((len(open_), steps, inner), -1), np.zeros((len(open_), steps, inner), np.int64)
+    value = np.zeros((len(open_), steps, inner + 1))
+    for step in range(steps if open_ else 0):
         for level in range(DEPTH):
-            shared = spark.sparkContext.broadcast({i: (models[i], growing[i]) for i in open_})
+            shared = send((Forest(feature[:, :step], at_bin[:, :step], value[:, :step], base), feature[:, step], at_bin[:, step]))
             nodes, first = 2 ** level, 2 ** level - 1
 
             def histograms(chunk):
-                held = shared.value
-                for i, b, y, w in _sides(chunk, {i: m for i, (m, _) in held.items()}, splits):
-                    m, (feature, at_bin, _) = held[i]
-                    g, h = _gradients(loss, _score(b, m.base, m.trees), y)
-                    node = _route(b, feature, at_bin, level).astype(np.intp) * width if level else None
-                    if w is not None:
-                        g, h = w * g, w * h
-                    sums = _histograms(b, node, nodes, (g, None) if loss == "square" and w is None else (g, h, None))
-                    yield i, sums[[0, 1, 1]] if len(sums) == 2 else sums
+                (trees, new, new_at), held = shared.value, every.value
+                for part, sides in _parts(chunk, {i: held[i] for i in open_}, splits):
+                    planes, n = trees.planes(part.bins), len(part.code)
+                    groups, lines = _joint(part.bins)
+                    for side, members in sides:
+                        mine = lines if len(side) == n else lines.take(side, axis=1, mode="clip")
+                        for i in members:
+                            at, w = _weighed(held[i], part, side)
+                            if not len(at):
+                                continue
+                            own = mine if len(at) == len(side) else lines.take(at, axis=1, mode="clip")
+                            k = place[i]
+                            g, h = _gradients(loss, trees.score(k, planes, n).take(at, mode="clip"), part.y[held[i].target].take(at, mode="clip"))
+                            node = _route(part.bins, new[k], new_at[k], level).take(at, mode="clip").astype(np.intp) if level else None
+                            if w is not None:
+                                g, h = w * g, w * h if h is not None else w
+                            sums = _histograms(groups, own, node, nodes, (g, None) if h is None else (g, h, None), features)
+                            yield i, sums if loss == "square" and held[i].weights is None else sums[[0, 1, len(sums) - 1]]
 
             def cuts(total):
                 """For each node: feature (-1: no cut, -2: no rows), cut, sums of either side."""
-                hist, out = total.reshape(3, nodes, features, width), np.zeros((nodes, 8))
+                hist, out = total.reshape(-1, nodes, features, width), np.zeros((nodes, 8))
+                hist = hist[[0, 1, -1]]     # plain rows have curvature 1
                 for n in range(nodes):
                     if not hist[2, n].any():
                         out[n, 0] = -2
@@ -282,16 +393,17 @@ def grow(rows: DataFrame, features: int, models: list[Model], loss: str = "squar
                 return out.ravel()
 
             for i, found in _totals(chunks, histograms, cuts, splits).items():
-                feature, at_bin, value = growing[i]
+                k = place[i]
                 for n, (f, at, *sums) in enumerate(found.reshape(nodes, 8)):
                     if f >= 0:
-                        feature[first + n], at_bin[first + n] = int(f), int(at)
+                        feature[k, step, first + n], at_bin[k, step, first + n] = int(f), int(at)
                     if f > -2 and level == DEPTH - 1:
-                        for k, s in enumerate((sums[:3], sums[3:])):
-                            value[2 * n + k] = -RATE * s[0] / s[1] if s[1] > 0 else 0.0
+                        for leaf, s in enumerate((sums[:3], sums[3:])):
+                            value[k, step, 2 * n + leaf] = -RATE * s[0] / s[1] if s[1] > 0 else 0.0
             shared.destroy()
-        for i in open_:
-            models[i].trees.append(growing[i])
+    for i, k in place.items():
+        models[i].trees = list(zip(feature[k], at_bin[k], value[k]))
+    every.destroy()
     return models
 
 
@@ -323,28 +435,36 @@ def weighted(table: DataFrame, places: rg.Layout, targets, bags: int = 3, seed:
 
 
 def predictions(rows: DataFrame, models: list[Model], targets, level, group: str, loss: str = "square", keep=rg.KEEP, splits=SPLITS, train: bool = False) -> DataFrame:
-    """Long table of predictions on the held-out folds (or on the train sides); ``level(model)`` names the arm."""
-    shared = rows.sparkSession.sparkContext.broadcast([(m, level(m)) for m in models])
+    """Long table of predictions on the held-out folds (or on the train sides of models without weights); ``level(model)`` names the arm.
+
+    Models of one arm, split, fold and target give one prediction, their mean."""
+    sides: dict = {}
+    for m in models:
+        sides.setdefault((m.split, m.fold, m.target), []).append(m)
+    link = (lambda s: 1 / (1 + np.exp(-s))) if loss == "log" else lambda s: s
+    sent = [(forest(own), own, [level(m) for m in own]) for own in sides.values()]
+    shared = rows.sparkSession.sparkContext.broadcast(sent)
     kinds, targets = dict(rows.dtypes), list(targets)
-    schema = ("split_name string, heldout_fold int, model_level string, feature_group string, target string, setting string, "
+    schema = ("split_name string, heldout_fold int, model_level string, feature_group string, target string, "
               + ", ".join(f"{c} {kinds[c]}" for c in keep) + ", y_true double, y_pred double")
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins, y, fold, unit = _opened(batch, splits)
-            for m, name in shared.value:
-                at = _train(m, y, fold, unit)[0] if train else np.flatnonzero((fold[m.split] == m.fold) & ~np.isnan(y[:, m.target]))
+            bins, y, fold, _ = _opened(batch, splits)
+            for trees, own, names in shared.value:
+                m, f = own[0], fold[own[0].split]
+                at = np.flatnonzero(((f != m.fold) & ~np.isnan(f) if train else f == m.fold) & ~np.isnan(y[:, m.target]))
                 if not len(at):
                     continue
-                p = _score(bins.take(at, axis=1), m.base, m.trees)
-                if loss == "log":
-                    p = 1 / (1 + np.exp(-p))
-                n = len(at)
-                const = [pa.array([v] * n, k) for v, k in ((m.split, pa.string()), (m.fold, pa.int32()), (name, pa.string()), (group, pa.string()), (targets[m.target], pa.string()), (m.setting, pa.string()))]
-                yield pa.RecordBatch.from_arrays([*const, *[batch.column(c).take(pa.array(at)) for c in keep], pa.array(y[at, m.target]), pa.array(p)],
-                                                 ["split_name", "heldout_fold", "model_level", "feature_group", "target", "setting", *keep, "y_true", "y_pred"])
+                planes, kept = trees.planes(bins.take(at, axis=1, mode="clip")), None
+                for name in dict.fromkeys(names):
+                    arm = [k for k, other in enumerate(names) if other == name]
+                    p = sum(link(trees.score(k, planes, len(at))) for k in arm) / len(arm)
+                    kept = kept or [*[batch.column(c).take(pa.array(at)) for c in keep], pa.array(y[at, m.target])]
+                    const = [pa.repeat(pa.scalar(v, k), len(at)) for v, k in ((m.split, pa.string()), (m.fold, pa.int32()), (name, pa.string()), (group, pa.string()), (targets[m.target], pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*const, *kept, pa.array(p)], ["split_name", "heldout_fold", "model_level", "feature_group", "target", *keep, "y_true", "y_pred"])
 
     return rows.mapInArrow(run, schema).withColumn("run_scope", F.lit("primary"))
 
@@ -357,7 +477,7 @@ def run_trees(df: DataFrame, targets, numeric, categorical, group: str, model: s
     targets = list(targets)
     rows, features = binned(df, numeric, categorical, targets, keep, splits)
     models = grow(rows, features, declared(rows, targets, splits), loss, steps, splits)
-    out = predictions(rows, models, targets, lambda m: model, group, loss, keep, splits).drop("setting")
+    out = predictions(rows, models, targets, lambda m: model, group, loss, keep, splits)
     if quantile_model:
         key = ["split_name", "heldout_fold", "target"]
         r = predictions(rows, models, targets, lambda m: model, group, loss, keep, splits, train=True).withColumn("_r", F.col("y_true") - F.col("y_pred"))
@@ -369,12 +489,14 @@ def run_trees(df: DataFrame, targets, numeric, categorical, group: str, model: s
 
 
 def run_weighted(df: DataFrame, targets, numeric, categorical, group: str, bags: int = 3, steps: int = STEPS, keep=rg.KEEP, splits=SPLITS) -> DataFrame:
-    """Trees under the four weight settings; the bags of a fold are averaged."""
+    """Trees under the four weight settings; the bags of a fold are averaged, and rows with equal ``keep``.  Nothing is stored."""
     targets = list(targets)
     rows, features = binned(df, numeric, categorical, targets, keep, splits)
     places = rg.layout(df, [], [])
     table = rg.blocks(rg.designed(df, places, targets), targets, splits)
     models = grow(rows, features, weighted(table, places, targets, bags, splits=splits), "square", steps, splits)
     p = predictions(rows, models, targets, lambda m: m.setting.split("|")[0], group, "square", keep, splits)
+    if rows.groupBy(*keep).count().where("count > 1").isEmpty():
+        return p
     by = ["run_scope", "split_name", "heldout_fold", "model_level", "feature_group", "target", *keep]
-    return cut(p.groupBy(*by).agg(F.avg("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred")))
+    return p.groupBy(*by).agg(F.avg("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"))

@@ -96,3 +96,54 @@ def test_one_class_and_no_rows(data):
     p = B.run_trees(data, ["rare"], ["x1"], [], "g", loss="log", steps=2).collect()
     assert p and all(0 <= r["y_pred"] <= 1 for r in p)
     assert B.run_trees(data.limit(0), ["y"], ["x1"], [], "g", steps=2).collect() == []
+
+
+def test_scores_of_many_trees_at_once():
+    """A forest gives each row base and leaf values, nodes without a cut and a number of trees that fills no group included."""
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, B.BINS + 1, (5, 203)).astype(np.uint8)
+    feature, at, value = rng.integers(-1, 5, (2, 7, 7)), rng.integers(0, B.BINS, (2, 7, 7)), rng.normal(size=(2, 7, 8))
+    forest = B.Forest(feature, at, value, np.array([0.5, -1.0]))
+    for i in range(2):
+        want = np.full(203, forest.base[i])
+        for r in range(203):
+            for f, a, v in zip(feature[i], at[i], value[i]):
+                node = 0
+                for _ in range(B.DEPTH):
+                    node = 2 * node + 1 + (f[node] >= 0 and bins[f[node], r] > a[node])
+                want[r] += v[node - 7]
+        assert np.allclose(forest.score(i, forest.planes(bins), 203), want, atol=1e-12)
+
+
+def test_features_are_counted_in_groups():
+    """Sums by (node, feature, bin) come from fewer counts than there are features, in whole and in blocks of rows."""
+    rng = np.random.default_rng(4)
+    bins = np.array([rng.integers(0, k, 500) for k in (33, 33, 33, 4, 2, 2, 1)]).astype(np.uint8)
+    g, node = rng.normal(size=500), rng.integers(0, 4, 500)
+    groups, lines = B._joint(bins)
+    assert len(groups) <= 3 and sorted(f for members, _ in groups for f in members) == list(range(7))
+    got = B._histograms(groups, lines, node, 4, (g, None), 7)
+    for n in range(4):
+        for f in range(7):
+            for k, w in enumerate((g, np.ones(500))):
+                assert np.allclose(got[k, n, f], np.bincount(bins[f][node == n], w[node == n], B.BINS + 1), atol=1e-12)
+
+
+def test_rows_in_blocks(data, monkeypatch):
+    monkeypatch.setattr(B, "LEAST_ROWS", 8)
+    rows, features = B.binned(data, NUMERIC, CATEGORICAL, ["y"])
+    (chunk,) = [c for b in [B.packed(rows.coalesce(1)).coalesce(1).toArrow().to_batches()] for c in B._chunks(b, 5)][:1]
+    whole = list(B._parts(chunk, dict(enumerate(B.declared(rows, ["y"]))), B.SPLITS))
+    monkeypatch.setattr(B, "BLOCK", 16)
+    blocks = list(B._parts(chunk, dict(enumerate(B.declared(rows, ["y"]))), B.SPLITS))
+    assert len(blocks) > len(whole) == 1 and sum(len(p.code) for p, _ in blocks) == len(whole[0][0].code)
+    assert sum(len(at) for _, sides in blocks for at, _ in sides) == sum(len(at) for _, sides in whole for at, _ in sides)
+
+
+def test_bags_are_averaged_in_tasks(data):
+    """No shuffle for the mean of the bags; rows that come twice are still one."""
+    p = B.run_weighted(data, ["y"], NUMERIC, CATEGORICAL, "g", bags=2, steps=1)
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    key = ["split_name", "heldout_fold", "model_level", "cell_id", "checkup_k"]
+    once, twice = p.groupBy(*key).count().collect(), B.run_weighted(data.union(data), ["y"], NUMERIC, CATEGORICAL, "g", bags=2, steps=1).groupBy(*key).count().collect()
+    assert {r["count"] for r in once} == {r["count"] for r in twice} == {1} and len(once) == len(twice)
