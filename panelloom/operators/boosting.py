@@ -88,14 +88,20 @@ class Forest:
     """Scores of grown trees: (models, trees, nodes) features (-1: no cut) and cuts, (models, trees, leaves) values, a base for each model.
 
     The rows that exceed a cut are a line of bits, made once for all trees with that cut, so that a tree's turns are a few
-    operations on words of 64 rows.  The leaves of TOGETHER trees make one code, whose sum of values is looked up at once."""
+    operations on words of 64 rows.  The leaves of TOGETHER trees make one code, whose sum of values is looked up at once.
+    A model's trees with the same cuts are one tree with the sums of their values."""
 
     def __init__(self, feature, at, value, base):
-        spare = -value.shape[1] % TOGETHER
-        key = np.where(feature < 0, NO_CUT, feature * 256 + at)
-        self.cuts, place = np.unique(np.pad(key, ((0, 0), (0, spare), (0, 0)), constant_values=NO_CUT), return_inverse=True)
-        self.place = place.reshape(len(key), -1, key.shape[2])
-        self.value, self.base = np.pad(value, ((0, 0), (0, spare), (0, 0))), base
+        self.base, self.value, trees = base, [], []
+        for key, leaves in zip(np.where(feature < 0, NO_CUT, feature * 256 + at), value):
+            distinct, same = np.unique(key, axis=0, return_inverse=True)
+            spare = ((0, -len(distinct) % TOGETHER), (0, 0))
+            sums = np.zeros((len(distinct), leaves.shape[1]))
+            np.add.at(sums, same.ravel(), leaves)
+            trees.append(np.pad(distinct, spare, constant_values=NO_CUT))
+            self.value.append(np.pad(sums, spare))
+        self.cuts = np.unique(np.concatenate(trees)) if trees else np.zeros(0, int)
+        self.place = [np.searchsorted(self.cuts, t) for t in trees]
 
     def planes(self, bins: np.ndarray) -> np.ndarray:
         """A line of words for each cut."""
@@ -110,7 +116,7 @@ class Forest:
     def score(self, i: int, planes: np.ndarray, n: int) -> np.ndarray:
         out, half = np.full(planes.shape[1] * 64, float(self.base[i])), TOGETHER // 2 * DEPTH
         found = np.empty_like(out)
-        turns = np.stack(_turns(lambda k: planes.take(self.place[i, :, k], axis=0), DEPTH), axis=1)
+        turns = np.stack(_turns(lambda k: planes.take(self.place[i][:, k], axis=0), DEPTH), axis=1)
         for j in range(0, len(turns), TOGETHER):
             bits = np.unpackbits(turns[j:j + TOGETHER].reshape(2 * half, -1).view(np.uint8), axis=1).view(np.uint64).reshape(2, half, -1)
             code = bits[:, 0]
@@ -121,8 +127,8 @@ class Forest:
             index = first.astype(np.uint16)
             index <<= half
             index |= second
-            sums = self.value[i, j]
-            for v in self.value[i, j + 1:j + TOGETHER]:
+            sums = self.value[i][j]
+            for v in self.value[i][j + 1:j + TOGETHER]:
                 sums = (sums[:, None] + v).ravel()
             out += sums.take(index, mode="clip", out=found)
         return out[:n]
@@ -473,18 +479,20 @@ def run_trees(df: DataFrame, targets, numeric, categorical, group: str, model: s
               steps: int = STEPS, keep=rg.KEEP, splits=SPLITS) -> DataFrame:
     """Predictions of boosted trees for every split, held-out fold and target.
 
-    With ``quantile_model`` also an arm of quantiles: the trees plus the 0.1, 0.5 and 0.9 quantiles of the train residuals."""
+    With ``quantile_model`` also an arm of quantiles: the trees plus the 0.1, 0.5 and 0.9 quantiles of the train residuals;
+    these predictions are stored, others are not."""
     targets = list(targets)
     rows, features = binned(df, numeric, categorical, targets, keep, splits)
     models = grow(rows, features, declared(rows, targets, splits), loss, steps, splits)
     out = predictions(rows, models, targets, lambda m: model, group, loss, keep, splits)
-    if quantile_model:
-        key = ["split_name", "heldout_fold", "target"]
-        r = predictions(rows, models, targets, lambda m: model, group, loss, keep, splits, train=True).withColumn("_r", F.col("y_true") - F.col("y_pred"))
-        q = cut(quantiles(cut(r.select(*key, "_r")), key, "_r", {"q10": .1, "q50": .5, "q90": .9}))
-        v = [F.col("y_pred") + F.col(c) for c in ("q10", "q50", "q90")]
-        three = out.join(q, key).withColumns({"model_level": F.lit(quantile_model), "y_pred_q10": F.least(*v), "y_pred_q50": v[1], "y_pred_q90": F.greatest(*v)})
-        out = out.unionByName(three.withColumn("y_pred", F.col("y_pred_q50")).select(*out.columns, "y_pred_q10", "y_pred_q50", "y_pred_q90"), allowMissingColumns=True)
+    if not quantile_model:
+        return out
+    key = ["split_name", "heldout_fold", "target"]
+    r = predictions(rows, models, targets, lambda m: model, group, loss, keep, splits, train=True).withColumn("_r", F.col("y_true") - F.col("y_pred"))
+    q = cut(quantiles(cut(r.select(*key, "_r")), key, "_r", {"q10": .1, "q50": .5, "q90": .9}))
+    v = [F.col("y_pred") + F.col(c) for c in ("q10", "q50", "q90")]
+    three = out.join(q, key).withColumns({"model_level": F.lit(quantile_model), "y_pred_q10": F.least(*v), "y_pred_q50": v[1], "y_pred_q90": F.greatest(*v)})
+    out = out.unionByName(three.withColumn("y_pred", F.col("y_pred_q50")).select(*out.columns, "y_pred_q10", "y_pred_q50", "y_pred_q90"), allowMissingColumns=True)
     return cut(out)
 
 

@@ -147,3 +147,17 @@ def test_bags_are_averaged_in_tasks(data):
     key = ["split_name", "heldout_fold", "model_level", "cell_id", "checkup_k"]
     once, twice = p.groupBy(*key).count().collect(), B.run_weighted(data.union(data), ["y"], NUMERIC, CATEGORICAL, "g", bags=2, steps=1).groupBy(*key).count().collect()
     assert {r["count"] for r in once} == {r["count"] for r in twice} == {1} and len(once) == len(twice)
+
+
+def test_trees_with_equal_cuts_are_one():
+    feature, at = np.full((1, 6, 7), -1), np.zeros((1, 6, 7), int)
+    feature[0, :5, 0], at[0, :5, 0] = 1, 4
+    forest = B.Forest(feature, at, np.ones((1, 6, 8)), np.zeros(1))
+    assert len(forest.place[0]) == len(forest.value[0]) == B.TOGETHER and forest.value[0].sum() == 48
+    bins = np.arange(20, dtype=np.uint8).reshape(2, 10)
+    assert (forest.score(0, forest.planes(bins), 10) == 6).all()
+
+
+def test_predictions_are_not_stored(data):
+    """Queries fold them at once."""
+    assert "MapInArrow" in B.run_trees(data, ["y"], ["x1"], [], "g", steps=1)._jdf.queryExecution().executedPlan().toString()
